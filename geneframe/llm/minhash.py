@@ -159,7 +159,7 @@ def _verify(weigh):
 
 
 def _prefixes(weigh):
-    """For each text, its rarest shingles up to (1 - s) of its weight, with a flag for those within 1 - 2s / (1 + s)."""
+    """For each text, its rarest shingles up to (1 - s) of its weight, the weight before each, and a flag for those within 1 - 2s / (1 + s)."""
 
     def run(batches):
         for batch in batches:
@@ -175,7 +175,7 @@ def _prefixes(weigh):
                 within = before <= (1 - SIMILARITY + 1e-9) * total[rows]
                 short = before <= (1 - 2 * SIMILARITY / (1 + SIMILARITY) + 1e-9) * total[rows]
                 nodes = part.column("node").take(pa.array(rows[within]))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(h[within].view(np.int64)), pa.array(short[within])], names=["node", "shingle", "short"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(h[within].view(np.int64)), pa.array(before[within]), pa.array(short[within])], names=["node", "shingle", "before", "short"])
 
     return run
 
@@ -186,9 +186,9 @@ def classes(docs: DataFrame) -> DataFrame:
     A node is a distinct text; exact copies never meet in pairs. Two nodes of one class are joined by a chain of pairs whose weighted
     Jaccard similarity over five-word shingles is 0.8 or more. class_id is the smallest doc_id of the class (null if all are null).
     Candidates share a band. In a bucket, each node is first compared with the one whose shingles are most common (in a group of edited
-    copies, the text they come from): as many pairs as nodes. What is then left in different components of one bucket is compared where
+    copies, the text they come from): as many pairs as nodes. Texts of buckets that then still hold different components are compared where
     prefix filtering allows the similarity, which is exact: for 0.8, the longer text's rarest fifth must share a shingle with the
-    shorter one's rarest ninth. So no bucket has a cap and none is expanded into all pairs.
+    shorter one's rarest ninth, with enough weight left in both. So no bucket has a cap and none is expanded into all pairs.
     Null, empty and wordless texts are alone: node null, class_id their doc_id, class_size 1. Repeated rows: rows of one class.
     """
     spark = docs.sparkSession
@@ -212,14 +212,17 @@ def classes(docs: DataFrame) -> DataFrame:
     known = components(links)
     banded = banded.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = banded.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
-    left = written(banded.join(mixed, ["band", "key"]).select("band", "key", "node", "component", "total", "first"))
-    prefixes = written(texts.join(left.select("node").distinct(), "node", "left_semi").mapInArrow(_prefixes(weigh), "node binary, shingle long, short boolean"))
-    keyed = left.join(prefixes, "node").select(F.xxhash64("band", "key", "shingle").alias("k"), "node", "component", "total", "short", "first")
-    keyed = keyed.join(keyed.groupBy("k").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("k"), "k")
-    keyed = written(keyed)
-    x = keyed.where("short").select("k", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "total", "first")))
-    y = keyed.select("k", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "total")))
-    pairs = x.join(y, "k").where("component_x <> component_y and total_y >= total_x and total_x >= 0.799 * total_y and node_x <> node_y and node_x <> first_x and node_y <> first_x")
+    left = written(banded.join(mixed, ["band", "key"]).select("node", "component", "total").distinct())
+    prefixes = texts.join(left.select("node"), "node", "left_semi").mapInArrow(_prefixes(weigh), "node binary, shingle long, before double, short boolean")
+    keyed = written(left.join(prefixes, "node"))
+    several = keyed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+    keyed = written(keyed.join(several, "shingle"))
+    x = keyed.where("short").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "total", "before")))
+    y = keyed.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "total", "before")))
+    # at the first shingle that two texts share, what is left of both must be enough
+    fits = F.least(F.col("total_x") - F.col("before_x"), F.col("total_y") - F.col("before_y")) >= (SIMILARITY / (1 + SIMILARITY) - 1e-6) * (F.col("total_x") + F.col("total_y"))
+    near = (F.col("component_x") != F.col("component_y")) & (F.col("total_y") >= F.col("total_x") - 1e-6) & (F.col("total_x") >= (SIMILARITY - 1e-6) * F.col("total_y"))
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & near & fits & (F.col("node_x") != F.col("node_y")))
     pairs = pairs.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
     links = links.unionByName(written(verified(pairs)))
     known = written(components(links)).withColumnRenamed("id", "node")
