@@ -15,7 +15,7 @@ from .common import Rolling, mix, slices, table, text_bytes, written
 #: Length of a repeated string, and of the substring whose fingerprint stands for it.
 LENGTH, GRAM = 200, 48
 #: Bytes of distinct candidate text that one task sorts, and bytes of queued suffixes that it holds in memory before it spills.
-SHARD_BYTES, QUEUE_BYTES = 6 << 20, 64 << 20
+SHARD_BYTES, QUEUE_BYTES = 3 << 20, 64 << 20
 
 
 # Sorting of suffixes
@@ -48,7 +48,7 @@ class BucketQueue:
         for a, b in self.chunks.pop(key, ()):
             if isinstance(a, int):
                 self.file.seek(a)
-                out.append((np.frombuffer(self.file.read(8 * b), np.int64), np.frombuffer(self.file.read(2 * b), np.int16)))
+                out.append((np.frombuffer(self.file.read(4 * b), np.int32), np.frombuffer(self.file.read(2 * b), np.int16)))
             else:
                 self.held -= a.nbytes + b.nbytes
                 out.append((a, b))
@@ -88,19 +88,29 @@ def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int, keys: tuple[
     return out
 
 
-def _doubled(ranks: np.ndarray, steps: int) -> np.ndarray:
-    """The recursion's base in memory: suffix order of a string of names by prefix doubling, up to 2**steps names deep."""
-    n, r = len(ranks), np.unique(ranks, return_inverse=True)[1].astype(np.int64) + 1
-    order, h = np.argsort(r, kind="stable"), 1
+def _doubled(names: np.ndarray, steps: int) -> np.ndarray:
+    """The recursion's base in memory: suffix order of a string of names by prefix doubling, up to 2**steps names deep. A round sorts only
+    what is still tied."""
+    n = len(names)
+    order = np.argsort(names, kind="stable")
+    new = np.concatenate(([True], names[order][1:] != names[order][:-1]))
+    rank = np.zeros(n + 1, np.int64)
+    rank[n] = -1
+    places, h = np.arange(n), 1
+    rank[order] = np.maximum.accumulate(np.where(new, places, 0))
     for _ in range(steps):
-        if r.max(initial=0) == n:
+        sizes = np.diff(np.append(np.flatnonzero(new), len(new)))
+        tied = np.repeat(sizes > 1, sizes)
+        places = places[tied]
+        if not len(places):
             break
-        second = np.zeros(n, np.int64)
-        second[: max(n - h, 0)] = r[h:]
-        key = r * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        r = np.zeros(n, np.int64)
-        r[order] = np.cumsum(np.concatenate(([1], key[order][1:] != key[order][:-1])))
+        own = order[places]
+        first, second = rank[own], rank[np.minimum(own + h, n)]
+        by = np.lexsort((second, first))
+        own, first, second = own[by], first[by], second[by]
+        order[places] = own
+        new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        rank[own] = places[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
         h *= 2
     return order
 
@@ -116,13 +126,15 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
     n = len(t)
     if n < 2:
         return np.arange(n), np.zeros(n, np.int64)
-    t = t.astype(np.int64) + 1  # 0 is the end
+    t = t.astype(np.int32) + np.int32(1)  # 0 is the end; positions are 32-bit, a shard is far smaller
     # S (True) or L: by the next symbol that differs; the end is the smallest
     differs = np.flatnonzero(np.concatenate((t[1:] != t[:-1], [True])))
     after = differs[np.searchsorted(differs, np.arange(n))]
     follow = np.concatenate((t, [0]))
     small = follow[after + 1] > t
-    star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    star = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
+    del differs, after, follow
+    symbol_kind = np.uint16 if t.max() < 1 << 16 else np.int32  # 16-bit keys are sorted by radix
     if len(star):
         ends = np.concatenate((star[1:] + 1, [n]))
         typed = 2 * t + small  # of equal symbols, an L-suffix is the smaller
@@ -174,7 +186,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
         ok = prev >= 0
         idx = np.flatnonzero(ok)
         idx = idx[want(prev[idx], t[pos[idx]])]
-        c = t[prev[idx]]
+        c = t[prev[idx]].astype(symbol_kind)
         by = np.argsort(c, kind="stable")
         idx, c = idx[by], c[by]
         cuts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else []
@@ -196,7 +208,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
 
     queue, least = BucketQueue(limit), {}
     # the last suffix is L-type and follows the end, which is scanned first
-    queue.push(int(t[-1]), np.array([n - 1]), np.zeros(1, np.int16))
+    queue.push(int(t[-1]), np.array([n - 1], np.int32), np.zeros(1, np.int16))
     least[int(t[-1])] = np.int16(0)
     heads = np.searchsorted(t[star], symbols) if len(star) else np.zeros(len(symbols), int)
     tails = np.searchsorted(t[star], symbols, "right") if len(star) else heads
@@ -215,7 +227,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
                 got.append((pos, lcp))
                 last = int(pos[-1])
                 induce(queue, least, pos, lcp, takes_l)
-        pos, lcp = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int16))
+        pos, lcp = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int32), np.zeros(0, np.int16))
         larges[symbol] = (pos, lcp)
         own, own_lcp = star[heads[s] : tails[s]], star_lcp[heads[s] : tails[s]].copy()
         if len(own):
@@ -248,18 +260,25 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
     return pos, np.concatenate(([0], lcp[:-1])).astype(np.int64)
 
 
-def repeated_starts(strings: list[bytes], length: int = LENGTH, **options) -> list[np.ndarray]:
-    """For each string, which starts of `length` bytes occur at another place of the strings. Suffixes never run on into the next string."""
-    parts = [np.concatenate((np.frombuffer(s, np.uint8).astype(np.int64) + 1, [0])) for s in strings]
+def repeated_starts(strings: list[bytes], several: list[bool] | None = None, length: int = LENGTH, **options) -> list[np.ndarray]:
+    """For each string, which starts of `length` bytes occur at another place of the strings. Suffixes never run on into the next string.
+
+    A string with several places stands for all of them: its suffix tuples count as more than one.
+    """
+    parts = [np.concatenate((np.frombuffer(s, np.uint8).astype(np.int16) + np.int16(1), np.zeros(1, np.int16))) for s in strings]
     t = np.concatenate(parts)
+    sizes = np.array([len(p) for p in parts])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    del parts
     order, lcp = suffix_order(t, length, **options)
-    starts = np.cumsum([0, *map(len, parts)])
-    room = np.repeat(starts[1:] - 1, [len(p) for p in parts]) - np.arange(len(t))
-    full = room[order] >= length
+    full = (np.repeat(starts[1:] - 1, sizes) - np.arange(len(t)) >= length)[order]
+    # runs of suffixes that share `length` bytes; a run repeats if it stands for two places or more
     same = (lcp >= length) & full & np.concatenate(([False], full[:-1]))
+    count = np.repeat(np.array(several if several is not None else [False] * len(strings), np.int64) + 1, sizes)[order]
+    heads = np.flatnonzero(~same)
+    places = np.repeat(np.add.reduceat(count, heads), np.diff(np.append(heads, len(order))))
     again = np.zeros(len(t), bool)
-    again[order[same]] = True
-    again[order[np.flatnonzero(same) - 1]] = True
+    again[order[full & (places > 1)]] = True
     return [again[a : max(a, a + len(s) - length + 1)] for a, s in zip(starts, strings, strict=False)]
 
 
@@ -313,7 +332,7 @@ def _winnow(with_places: bool):
 
 
 def _cut(batches):
-    """Texts with the regions that they stand for -> the regions' bytes, twice where the region has several places."""
+    """Texts with the regions that they stand for -> the regions' bytes, and whether the region has several places."""
     for batch in batches:
         for part in slices(batch, "text"):
             rows = {n: [] for n in ("shard", "fp", "region", "bytes", "several")}
@@ -333,7 +352,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _sort(t: pa.Table) -> pa.Table:
     strings, several = t.column("bytes").to_pylist(), t.column("several").to_pylist()
-    found = repeated_starts(strings + [s for s, more in zip(strings, several, strict=True) if more])[: len(strings)]
+    found = repeated_starts(strings, several)
     keep = [i for i, f in enumerate(found) if f.any()]
     take = pa.array(keep, pa.int64())
     runs = [[{"s": a, "e": b} for a, b in _runs(found[i])] for i in keep]
@@ -365,7 +384,7 @@ def stripped(docs: DataFrame) -> DataFrame:
     2. Winnowing cuts each text into regions of starts that share a gram. Equal strings of LENGTH bytes share it, so only regions whose
        gram occurs twice can hold a repeat. Of equal regions one is kept, with the note that there are several.
     3. Distinct regions are dealt into shards by gram, about SHARD_BYTES each, and the suffixes of each shard are sorted by external
-       induced sorting, a region with several places twice; starts whose neighbour shares LENGTH bytes repeat.
+       induced sorting, a region's suffixes with its number of places; starts that share LENGTH bytes with another place repeat.
     4. The starts go back to all places of the region, and from there to the texts.
     Null text: as empty. Under LENGTH bytes: nothing is removed. Repeated rows are copies. Nothing is sampled or capped.
     """
@@ -379,7 +398,7 @@ def stripped(docs: DataFrame) -> DataFrame:
     regions = places.groupBy("fp", "region", "size").agg(F.count("*").alias("n"), F.min(F.struct("node", "a")).alias("at"))
     more = regions.groupBy("fp").agg(F.sum("n").alias("all")).where("all > 1").select("fp")
     regions = written(regions.join(more, "fp", "left_semi"))
-    total = regions.agg(F.sum(F.col("size") * F.when(F.col("n") > 1, 2).otherwise(1))).first()[0] or 0
+    total = regions.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")
     wanted = regions.select(F.col("at.node").alias("node"), F.struct(shard, "fp", "region", F.col("at.a").alias("a"), "size", "n").alias("r")).groupBy("node").agg(F.collect_list("r").alias("regions"))
