@@ -10,12 +10,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import slices, table, written
+from .common import Rolling, slices, table, text_bytes
 
-#: Text bytes whose pre-tokens form one block: within it a word has one row with all its positions, so no word is hot.
-BLOCK_BYTES = 4 << 20
+#: Text bytes whose pre-tokens form one block: a word leaves it once, however often it occurs, so no word is hot. Text split at a time.
+BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 2 << 20
+#: Word buckets for each shuffle partition.
+BUCKETS = 4
 
 
 def default_path() -> str:
@@ -76,81 +77,121 @@ def unvarint(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _explode(pattern: str):
+def _pack(*parts: np.ndarray) -> bytes:
+    """Arrays of bytes in one compressed blob, behind their sizes."""
+    raw = np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob[:8], np.int64)[0]), codec="zstd", asbytes=True), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    sizes = raw[8 : 8 + 8 * n].view(np.int64)
+    ends = 8 + 8 * n + np.concatenate(([0], np.cumsum(sizes)))
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _spread(heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """heads[0], heads[0]+1, ... (sizes[0] of them), heads[1], ..."""
+    return np.repeat(heads - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _explode(pattern: str, buckets: int):
+    """Documents -> for each block one row with the word number at each position, and one for each bucket with its distinct words."""
+
     def run(batches):
         from pyspark import TaskContext
 
-        find, task, block = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
+        find, task, number = regex.compile(pattern).findall, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
-                found = [find(t) if t else () for t in part.column("text").to_pylist()]
-                counts = [len(x) for x in found]
-                coded = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                order = np.argsort(codes, kind="stable")
-                sizes = np.bincount(codes, minlength=len(coded.dictionary)) if len(codes) else np.zeros(0, np.int64)
-                heads = np.cumsum(sizes) - sizes
-                gaps = np.diff(order, prepend=0)
-                gaps[heads] = order[heads] if len(heads) else gaps[heads]
-                packed, width = varint(gaps)
-                ends = np.concatenate(([0], np.cumsum(width)))[np.concatenate((heads, [len(gaps)]))] if len(heads) else np.zeros(1, np.int64)
-                places = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-                name = (task << 32) | block
-                block += 1
-                # the row without a word: which documents the block has, with the number of pre-tokens of each
-                who = np.array([part.column("doc_id").is_null().to_numpy(zero_copy_only=False), part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), counts], np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * (len(heads) + 1), pa.int64()), pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.nulls(1, pa.string())]), pa.concat_arrays([places, pa.array([who], pa.binary())])],
-                    names=["block", "word", "places"],
-                )
+            for block in slices(batch, "text", BLOCK_BYTES):
+                counts, chunks = [], []
+                for part in slices(block, "text", SPLIT_BYTES):
+                    found = [find(t) if t else () for t in part.column("text").to_pylist()]
+                    counts += [len(x) for x in found]
+                    chunks.append(pa.array([w for x in found for w in x], pa.string()).dictionary_encode())
+                whole = pa.chunked_array(chunks, chunks[0].type).unify_dictionaries()
+                words_of = whole.chunk(whole.num_chunks - 1).dictionary
+                codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in whole.chunks]).astype(np.int64)
+                # frequent words get small numbers
+                by = np.argsort(-np.bincount(codes, minlength=len(words_of)), kind="stable")
+                rank = np.zeros(len(by), np.int64)
+                rank[by] = np.arange(len(by))
+                words_of = words_of.take(pa.array(by))
+                data, offsets = text_bytes(words_of)
+                bucket = (Rolling(data).of(offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+                name = (task << 32) | number
+                number += 1
+                who = np.array([block.column("doc_id").is_null().to_numpy(zero_copy_only=False), block.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), counts], np.int64)
+                rows = [(f"b{name}", name, True, _pack(who.view(np.uint8).ravel(), varint(rank[codes])[0]))]
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                size = np.diff(offsets)
+                for k in np.flatnonzero(np.diff(cuts)):
+                    own = order[cuts[k] : cuts[k + 1]]
+                    rows.append((f"w{k}", name, False, _pack(varint(np.diff(own, prepend=0))[0], varint(size[own])[0], data[_spread(offsets[own], size[own])])))
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "block", "places", "blob"])
 
     return run
 
 
 def _encode(path: str, pattern: str):
-    def run(batches):
-        piece = _encoding(path, pattern)._encode_single_piece
-        for batch in batches:
-            ids = [np.array(piece(w), np.uint32).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
-
-    return run
+    """One bucket's words of all blocks -> their ids. Each distinct word is encoded once. A block's positions pass as they are."""
 
+    def run(t: pa.Table) -> pa.Table:
+        t = t.drop_columns(["key"])
+        if t.column("places")[0].as_py():
+            return t
+        piece, known, out = _encoding(path, pattern)._encode_single_piece, {}, []
+        for blob in t.column("blob").to_pylist():
+            own, sizes, data = _unpack(blob)
+            ends, raw, got = np.cumsum(unvarint(sizes)).tolist(), data.tobytes(), []
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                ids = known.get(w := raw[a:b])
+                if ids is None:
+                    ids = known[w] = piece(w)
+                got.append(ids)
+            out.append(_pack(own, varint(np.array([len(x) for x in got], np.int64))[0], varint(np.array([i for x in got for i in x], np.int64))[0]))
+        return t.set_column(2, "blob", pa.array(out, pa.binary()))
 
-def _spread(heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """heads[0], heads[0]+1, ... (sizes[0] of them), heads[1], ..."""
-    return np.repeat(heads - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    return run
 
 
 def _assemble(path: str, digest: bool):
+    """A block's positions and the ids of its words -> its documents' ids, in order, and their bytes again."""
+
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        has = t.column("word").is_valid().to_numpy()
-        places, ids = t.column("places").to_pylist(), t.column("ids").to_pylist()
-        who = np.frombuffer(places[int(np.flatnonzero(~has)[0])], np.int64).reshape(3, -1)
-        rows = np.flatnonzero(has)
-        pre = int(who[2].sum())
-        # word of each position, then ids of each word
-        code = np.zeros(pre, np.int64)
-        for k, r in enumerate(rows):
-            code[np.cumsum(unvarint(np.frombuffer(places[r], np.uint8)))] = k
-        flat = np.frombuffer(b"".join(ids[r] for r in rows), np.uint32)
-        sizes = np.array([len(ids[r]) // 4 for r in rows], np.int64)
-        heads = np.cumsum(sizes) - sizes
-        n_ids = sizes[code] if pre else np.zeros(0, np.int64)
-        out = flat[_spread(heads[code], n_ids)] if pre else flat
+        code, who, own, sizes, ids = None, None, [], [], []
+        for places, blob in zip(t.column("places").to_pylist(), t.column("blob").to_pylist(), strict=True):
+            parts = _unpack(blob)
+            if places:
+                who, code = parts[0].view(np.int64).reshape(3, -1), unvarint(parts[1])
+            else:
+                own.append(np.cumsum(unvarint(parts[0])))
+                sizes.append(unvarint(parts[1]))
+                ids.append(unvarint(parts[2]))
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        number, count = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (own, sizes))
+        size_of, head_of = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        size_of[number], head_of[number] = count, np.cumsum(count) - count
+        n_ids = size_of[code]
+        out = flat[_spread(head_of[code], n_ids)]
         ends = np.concatenate(([0], np.cumsum(n_ids)))[np.concatenate(([0], np.cumsum(who[2])))]
+        spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
         # decoding: ids joined with the token-byte table
         table_bytes, at = _token_bytes(path)
-        size = at[out + 1] - at[out]
-        text, byte_at = table_bytes[_spread(at[out], size)], np.concatenate(([0], np.cumsum(size)))
-        raw, sha = out.astype("<u4"), lambda x: hashlib.sha256(x.tobytes()).hexdigest()
+        raw = out.astype("<u4")
+
+        def text(a: int, b: int) -> bytes:
+            i = out[a:b]
+            return table_bytes[_spread(at[i], at[i + 1] - at[i])].tobytes()
+
         columns = {"doc_id": pa.array(who[1], pa.int64(), mask=who[0].astype(bool)), "n_tokens": pa.array(np.diff(ends), pa.int64())}
-        spans = list(zip(ends[:-1], ends[1:], strict=True))
         if digest:
-            columns |= {"ids_sha256": pa.array([sha(raw[a:b]) for a, b in spans], pa.string()), "decoded_sha256": pa.array([sha(text[byte_at[a] : byte_at[b]]) for a, b in spans], pa.string())}
+            columns |= {"ids_sha256": pa.array([hashlib.sha256(raw[a:b].tobytes()).hexdigest() for a, b in spans], pa.string()), "decoded_sha256": pa.array([hashlib.sha256(text(a, b)).hexdigest() for a, b in spans], pa.string())}
         else:
-            columns |= {"ids": pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary()), "decoded": pa.array([text[byte_at[a] : byte_at[b]].tobytes() for a, b in spans], pa.binary())}
+            columns |= {"ids": pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary()), "decoded": pa.array([text(a, b) for a, b in spans], pa.binary())}
         return pa.table(columns)
 
     return run
@@ -159,18 +200,19 @@ def _assemble(path: str, digest: bool):
 def encoded(docs: DataFrame, digest: bool = False, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and ids (little-endian 32-bit) with decoded bytes, or with digest=True the SHA-256 of both.
 
-    Pre-tokens are exploded with their positions, one row for a block of documents and distinct word (positions as varint gaps). The
-    distinct words of all blocks meet in one shuffle, each is encoded once, and the ids join back; a block's rows meet again and are put in
-    order. A word has one row for each block however often it occurs, so a word that is a third of all text is not a hot key. The dictionary
-    is never broadcast, as it grows with the data. Null text: as empty, no tokens. Null or repeated doc_id: a row each, as given.
+    Pre-tokens are exploded with their positions in blocks of documents. A block's positions are a list of word numbers; its distinct words
+    go to buckets by hash, where the words of all blocks meet and each is encoded once; the ids join the block's positions again and are
+    put in order. A word leaves a block once however often it occurs, so a word that is a third of all text is not a hot key; the dictionary
+    is never broadcast, as it grows with the data. Two shuffles, both of few compressed rows; a lost task is simply run again.
+    Null text: as empty, no tokens. Null or repeated doc_id: a row each, as given. An empty table gives an empty result.
     The tokenizer file must be readable on the executors at the same path.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
-    exploded = written(docs.select("doc_id", "text").mapInArrow(_explode(pattern), "block long, word string, places binary"))
-    pairs = exploded.where("word is not null").select("word").distinct().mapInArrow(_encode(path, pattern), "word string, ids binary")
-    joined = exploded.join(pairs, "word", "left").select("block", "word", "places", "ids")
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exploded = docs.select("doc_id", "text").mapInArrow(_explode(pattern, buckets), "key string, block long, places boolean, blob binary")
+    words_in = exploded.groupBy("key").applyInArrow(_encode(path, pattern), "block long, places boolean, blob binary")
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
-    return joined.groupBy("block").applyInArrow(_assemble(path, digest), f"doc_id long, n_tokens long, {kind}")
+    return words_in.groupBy("block").applyInArrow(_assemble(path, digest), f"doc_id long, n_tokens long, {kind}")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
