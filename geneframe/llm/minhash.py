@@ -132,8 +132,9 @@ def _sign(weigh):
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.stack(bands, 1).ravel()))
                 raw = texts.cast(pa.large_binary()).to_pylist()
                 nodes = [hashlib.md5(x, usedforsecurity=False).digest() if ok else None for x, ok in zip(raw, has.tolist(), strict=True)]
+                total, count = total.astype(float), count.astype(float)  # bincount of nothing is whole
                 rarity = np.round(total / np.maximum(count, 1), 4)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), keys, pa.array(rarity), pa.array(total)], names=["doc_id", "node", "keys", "rarity", "total"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), keys, pa.array(rarity, pa.float64()), pa.array(total, pa.float64())], names=["doc_id", "node", "keys", "rarity", "total"])
 
     return run
 
@@ -175,7 +176,7 @@ def _prefixes(weigh):
                 within = before <= (1 - SIMILARITY + 1e-9) * total[rows]
                 short = before <= (1 - 2 * SIMILARITY / (1 + SIMILARITY) + 1e-9) * total[rows]
                 nodes = part.column("node").take(pa.array(rows[within]))
-                yield pa.RecordBatch.from_arrays([nodes, pa.array(h[within].view(np.int64)), pa.array(before[within]), pa.array(short[within])], names=["node", "shingle", "before", "short"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(h[within].view(np.int64)), pa.array(before[within], pa.float64()), pa.array(short[within])], names=["node", "shingle", "before", "short"])
 
     return run
 
