@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, written
 
 #: A language is learned from at most this many documents (whole texts, those of smallest hash), in so many EM rounds.
 DOCUMENTS, ROUNDS = 400, 4
@@ -152,6 +152,7 @@ def learned(docs: DataFrame, path: str | None = None) -> Model:
     bins = docs.groupBy("lang", F.shiftright("h", 44).alias("b")).agg(F.count("*").alias("n"))
     bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("lang").orderBy("b")))
     last = bins.where(F.col("upto") - F.col("n") < DOCUMENTS).groupBy("lang").agg(F.max("b").alias("most")).withColumnRenamed("lang", "of")
+    last = written(last)  # its size is then known, a row for each language, and Spark need not deal all texts out by language
     few = docs.join(last, (F.col("lang") == F.col("of")) & (F.shiftright("h", 44) <= F.col("most"))).select("lang", "text", "h")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= DOCUMENTS)
     counts = few.groupBy("lang").applyInArrow(_train(pieces), "lang string, piece long, n double")
