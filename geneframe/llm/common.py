@@ -106,6 +106,13 @@ class Rolling:
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * Rolling._down[starts] + (ends - starts).astype(np.uint64))
 
+    def every(self, width: int) -> np.ndarray:
+        """of() for all substrings of `width` bytes, in order."""
+        x = self.prefix[width:] - self.prefix[:-width]
+        x *= Rolling._down[: len(x)]
+        x += np.uint64(width)
+        return mix(x)
+
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

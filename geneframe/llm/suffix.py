@@ -16,6 +16,10 @@ from .common import Rolling, mix, slices, table, text_bytes, written
 LENGTH, GRAM = 200, 48
 #: Bytes of distinct candidate text that one task sorts, and bytes of queued suffixes that it holds in memory before it spills.
 SHARD_BYTES, QUEUE_BYTES = 3 << 20, 64 << 20
+#: Starts that are winnowed at once.
+STARTS = 1 << 18
+#: A gram with over one in HOT of the repeated grams' places is dealt to SALTS tasks. There are fewer than HOT, so they are broadcast.
+HOT, SALTS = 1_000, 64
 
 
 # Sorting of suffixes
@@ -285,23 +289,35 @@ def repeated_starts(strings: list[bytes], several: list[bool] | None = None, len
 # Candidates
 
 
-def _selected(data: np.ndarray, roll: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowing of one text: the gram that stands for each start of LENGTH bytes (the least hash in it, the last of equals), as runs of
-    starts with the same gram: first start, one past the last, gram. Equal strings choose the same gram at the same place in them."""
-    n = len(data) - LENGTH + 1
-    w = LENGTH - GRAM + 1
-    at = np.arange(len(data) - GRAM + 1)
-    key = (roll.of(at, at + GRAM) >> np.uint64(24) << np.uint64(24)) | (np.uint64((1 << 24) - 1) - (at % (1 << 24)).astype(np.uint64))
-    m = len(key)
-    pad = np.concatenate((key, np.full(-m % w, 2**64 - 1, np.uint64))).reshape(-1, w)
-    left = np.minimum.accumulate(pad, axis=1).ravel()
-    right = np.minimum.accumulate(pad[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(right[:n], left[w - 1 : w - 1 + n])
-    low = (np.uint64((1 << 24) - 1) - (least & np.uint64((1 << 24) - 1))).astype(np.int64)
-    start = np.arange(n)
-    gram = start + (low - start) % (1 << 24)
-    heads = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-    return heads, np.append(heads[1:], n), gram[heads]
+def _least(key: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours."""
+    span = 1
+    while 2 * span <= width:
+        key = np.minimum(key[:-span], key[span:])
+        span *= 2
+    return np.minimum(key[: len(key) - (width - span)], key[width - span :]) if width > span else key
+
+
+def _selected(data: np.ndarray, offsets: np.ndarray, roll: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing of texts that lie one behind the other (fewer than 2**24 bytes): the gram that stands for each start of LENGTH bytes (the
+    least hash in it, the last of equals), as runs of starts of one text with the same gram: first start, one past the last, gram, text.
+    Equal strings choose the same gram at the same place in them."""
+    n, mask = len(data) - LENGTH + 1, np.uint64((1 << 24) - 1)
+    key = roll.every(GRAM)
+    key &= ~mask
+    key |= mask - np.arange(len(key), dtype=np.uint64)
+    least = _least(key, LENGTH - GRAM + 1)
+    first, end = np.clip(offsets[:-1], 0, n), np.clip(offsets[1:] - LENGTH + 1, 0, n)
+    has = first < end
+    new = np.ones(n + 1, bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:n])
+    new[first[has]] = new[end[has]] = True
+    heads = np.flatnonzero(new[:n])
+    ends = np.append(heads[1:], n)
+    rows = np.searchsorted(offsets, heads, "right") - 1
+    ok = heads < end[rows]
+    heads, ends, rows = heads[ok], ends[ok], rows[ok]
+    return heads, ends, (mask - (least[heads] & mask)).astype(np.int64), rows
 
 
 def _winnow(with_places: bool):
@@ -309,23 +325,21 @@ def _winnow(with_places: bool):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
-                nodes = part.column("node").to_pylist()
                 out = [[], [], [], [], []]
-                for i in np.flatnonzero(np.diff(offsets) >= LENGTH):
-                    own = data[offsets[i] : offsets[i + 1]]
+                for at in range(0, max(0, len(data) - LENGTH + 1), STARTS):  # a longer text is cut between two starts, so memory is bounded
+                    own = data[at : at + STARTS + LENGTH - 1]
                     roll = Rolling(own)
-                    a, b, g = _selected(own, roll)
-                    fp = roll.of(g, g + GRAM)
-                    out[0].append(fp)
+                    a, b, g, rows = _selected(own, offsets - at, roll)
+                    out[0].append(roll.of(g, g + GRAM))
                     if with_places:
                         out[1].append(mix(roll.of(a, b + LENGTH - 1) + (g - a).astype(np.uint64)))
-                        out[2].append(np.full(len(a), i))
-                        out[3].append(a)
+                        out[2].append(rows)
+                        out[3].append(a + at - offsets[rows])
                         out[4].append(b - a + LENGTH - 1)
                 flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
                 columns = [pa.array(flat[0].astype(np.uint64).view(np.int64))]
                 if with_places:
-                    columns += [pa.array(flat[1].astype(np.uint64).view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(flat[2].astype(np.int64))), pa.array(flat[3].astype(np.int32)), pa.array(flat[4].astype(np.int32))]
+                    columns += [pa.array(flat[1].astype(np.uint64).view(np.int64)), part.column("node").take(pa.array(flat[2])), pa.array(flat[3].astype(np.int32)), pa.array(flat[4].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["fp", "region", "node", "a", "size"][: len(columns)])
 
     return run
@@ -392,9 +406,14 @@ def stripped(docs: DataFrame) -> DataFrame:
     copies = docs.groupBy("node").agg(F.count("*").alias("copies"))
     texts = docs.select("node", "text").where(F.octet_length("text") >= LENGTH)
     # a row for each gram and text counts copies of a text; a gram that only they share goes on and is found to be single
-    twice = texts.select("node", "text").mapInArrow(_winnow(False), "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    places = texts.mapInArrow(_winnow(True), "fp long, region long, node binary, a int, size int")
-    places = written(places.join(twice, "fp", "left_semi").distinct())
+    twice = written(texts.select("node", "text").mapInArrow(_winnow(False), "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"))
+    most = (twice.agg(F.sum("n")).first()[0] or 0) // HOT
+    salts = F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    hot = F.broadcast(twice.where(F.col("n") > most).select("fp", F.lit(True).alias("hot")))
+    places = texts.mapInArrow(_winnow(True), "fp long, region long, node binary, a int, size int").join(hot, "fp", "left")
+    places = places.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node", "a"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    places = places.join(twice.select("fp", F.explode(salts).alias("salt")), ["fp", "salt"], "left_semi")
+    places = written(places.distinct().drop("salt"))
     regions = places.groupBy("fp", "region", "size").agg(F.count("*").alias("n"), F.min(F.struct("node", "a")).alias("at"))
     more = regions.groupBy("fp").agg(F.sum("n").alias("all")).where("all > 1").select("fp")
     regions = written(regions.join(more, "fp", "left_semi"))
