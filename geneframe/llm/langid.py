@@ -144,15 +144,27 @@ class Model:
         self.p[-1] = 0
 
 
+def _bounds(docs: DataFrame) -> DataFrame:
+    """(of, most): the bin of hashes up to which DOCUMENTS documents of a language lie, or all its documents.
+
+    A histogram of 2**20 bins is summed to 2**10 first, and only the boundary's bins are looked at one by one, so a task meets 2**10 rows
+    of a language at most, however many documents it has. The result, a row for each language, is written: its size is then known, and
+    Spark need not deal all texts out by language.
+    """
+    bins = written(docs.groupBy("lang", F.shiftright("h", 44).alias("b")).agg(F.count("*").alias("n")))
+    coarse = bins.groupBy("lang", F.shiftright("b", 10).alias("c")).agg(F.sum("n").alias("n"))
+    coarse = coarse.withColumn("before", F.sum("n").over(W.partitionBy("lang").orderBy("c")) - F.col("n")).where(F.col("before") < DOCUMENTS)
+    at = written(coarse.groupBy(F.col("lang").alias("of")).agg(F.max("c").alias("c"), F.max("before").alias("before")))
+    fine = bins.join(at, (F.col("lang") == F.col("of")) & (F.shiftright("b", 10) == F.col("c")))
+    fine = fine.withColumn("before", F.col("before") + F.sum("n").over(W.partitionBy("lang").orderBy("b")) - F.col("n")).where(F.col("before") < DOCUMENTS)
+    return written(fine.groupBy("of").agg(F.max("b").alias("most")))
+
+
 def learned(docs: DataFrame, path: str | None = None) -> Model:
     """docs (doc_id, text, lang) -> a model of the non-null languages, each fitted by EM on DOCUMENTS documents at most."""
     pieces = vocabulary(path or default_path())
     docs = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    # the hash below which DOCUMENTS documents of a language lie, from a histogram of hashes: no language is sorted or gathered
-    bins = docs.groupBy("lang", F.shiftright("h", 44).alias("b")).agg(F.count("*").alias("n"))
-    bins = bins.withColumn("upto", F.sum("n").over(W.partitionBy("lang").orderBy("b")))
-    last = bins.where(F.col("upto") - F.col("n") < DOCUMENTS).groupBy("lang").agg(F.max("b").alias("most")).withColumnRenamed("lang", "of")
-    last = written(last)  # its size is then known, a row for each language, and Spark need not deal all texts out by language
+    last = _bounds(docs)
     few = docs.join(last, (F.col("lang") == F.col("of")) & (F.shiftright("h", 44) <= F.col("most"))).select("lang", "text", "h")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= DOCUMENTS)
     counts = few.groupBy("lang").applyInArrow(_train(pieces), "lang string, piece long, n double")
