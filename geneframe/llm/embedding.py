@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .common import components, table, written
 
 COSINE = 0.93
-#: k-means is fitted on at most SAMPLE vectors (those of smallest hash) and has a cell for each PER_CELL vectors, MOST_CELLS at most.
+#: k-means is fitted on at most SAMPLE vectors (those of smallest hash) and has a cell for each PER_CELL vectors of the most frequent label,
+#: MOST_CELLS at most. Only vectors of one label are compared, so cells that are finer than that add copies and save nothing.
 SAMPLE, PER_CELL, MOST_CELLS, ROUNDS = 20_000, 1_000, 4_096, 8
 #: Vectors of a cell that are compared in one task with as many others; a larger cell is compared block by block.
 BLOCK = 8_192
@@ -116,7 +117,7 @@ def linked(vectors: DataFrame) -> DataFrame:
     edges, counts = [], []
     for dim in sorted(r[0] for r in groups.select("dim").distinct().collect()):
         own = groups.where(F.col("dim") == dim).select("label", "gid", "n", "embedding")
-        size = own.count()
+        size = own.groupBy("label").count().agg(F.max("count")).first()[0]
         fit = own.select("embedding", F.xxhash64("gid", "label").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
         centroids = spark.sparkContext.broadcast(spherical_kmeans(_unit(_matrix(fit.column("embedding"))), max(1, min(MOST_CELLS, math.ceil(size / PER_CELL)))))
         kinds = {f.name: f.dataType.simpleString() for f in own.schema}

@@ -144,16 +144,16 @@ def test_suffix_order(memory, limit):
             assert c == x and tuple(t[a : a + depth]) <= tuple(t[b : b + depth])
 
 
-def test_embedding(spark):
+def test_embedding(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(6, 16))
     x = [(base[i % 6] + rng.normal(scale=0.12, size=16)).astype(np.float32).tolist() for i in range(150)]
     rows = [(i, v, i % 2) for i, v in enumerate(x)] + [(150, x[0], 0), (151, None, 0), (152, [0.0] * 16, 1), (153, [float("nan")] * 16, 1), (154, x[0], None), (155, [1.0, 2.0], 0)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    for block in (embedding.BLOCK, 8):
-        embedding.BLOCK, keep = block, embedding.BLOCK
+    for block, per_cell in ((embedding.BLOCK, embedding.PER_CELL), (8, embedding.PER_CELL), (embedding.BLOCK, 10), (8, 25)):
+        monkeypatch.setattr(embedding, "BLOCK", block)
+        monkeypatch.setattr(embedding, "PER_CELL", per_cell)
         got = {r["vec_id"]: r for r in embedding.linked(v).collect()}
-        embedding.BLOCK = keep
         ok = [i for i, e, label in rows if e and len(e) == 16 and label is not None and i < 151]
         u = {i: np.array(rows[i][1], float) / np.linalg.norm(np.array(rows[i][1], float)) for i in ok}
         link = {i: [j for j in ok if j != i and rows[i][2] == rows[j][2] and u[i] @ u[j] >= 0.93] for i in ok}
