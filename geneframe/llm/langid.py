@@ -16,6 +16,8 @@ from .common import slices, table, written
 DOCUMENTS, ROUNDS = 400, 4
 #: A run of more letters is scored in parts of this length; pieces that are longer than LONGEST are not used.
 PART, LONGEST = 40, 12
+#: Distinct words whose likelihoods a task keeps before it starts anew.
+CACHE = 500_000
 #: Counts that the piece frequencies of all languages add to those of each; the least probability of a piece.
 PRIOR, LEAST = 200.0, 1e-7
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -181,8 +183,8 @@ def _score(model):
                 sizes = np.array([len(x) for x in found], np.int64)
                 coded = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
                 words = coded.dictionary.to_pylist()
-                if len(cache) > 500_000:
-                    cache, known = {}, known[:1]
+                if len(cache) > CACHE:  # numbers start at 0 again, so no old row may stay
+                    cache, known = {}, [np.zeros((0, len(m.langs)))]
                 new = [w for w in words if w not in cache]
                 if new:
                     cache |= {w: len(cache) + i for i, w in enumerate(new)}

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,21 @@ def test_langid(spark):
     assert langid.predicted(d, langid.learned(d.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_langid_cache_starts_anew(monkeypatch):
+    from types import SimpleNamespace
+
+    pieces = [langid._START, *"abcdefgh"]
+    r = random.Random(5)
+    model = langid.Model(pieces, [(lang, i, r.random() * 100) for lang in ("aa", "bb") for i in range(len(pieces))])
+    texts = [" ".join("".join(r.choices("abcdefgh", k=r.randint(1, 9))) for _ in range(30)) for _ in range(80)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t], "held_out": [False]}) for i, t in enumerate(texts)]
+    got = {}
+    for limit in (0, 600, 1 << 40):  # 600 words: more than 16 slices come before the cache is full
+        monkeypatch.setattr(langid, "CACHE", limit)
+        got[limit] = [(x["lang_pred"], x["score"]) for b in langid._score(SimpleNamespace(value=model))(batches) for x in b.to_pylist()]
+    assert got[600] == got[0] == got[1 << 40] and {x for x, _ in got[0]} == {"aa", "bb"}
+
+
 def test_extraction(spark):
     html = "<html><head><title>t</title><script>var a='<p>x</p>';</script></head><body><nav><ul><li><a href=/>Home</a></ul></nav><div class='ad'>Buy now.</div><article><h1>Head &amp; line</h1><p>First   para <b>bold</b>.<p>Second &eacute;.<div class=comments><p>A reader says so.</p></div></article><footer>&copy; us</footer>"
     got = {r["page_id"]: r for r in extraction.extracted(spark.createDataFrame([(1, "u", html), (2, None, None), (3, "v", "")], "page_id long, url string, html string")).collect()}
