@@ -111,8 +111,8 @@ def spotted(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.withColumn("_t", t)
     t = F.col("_t")
-    digit = t.rlike("[0-9]{2}")
-    likely = {"email": F.contains(t, F.lit("@")), "ip": digit & t.rlike(r"[0-9]\.[0-9]"), "card": digit, "phone": F.contains(t, F.lit("+"))}
+    # each is necessary for a match of the pattern
+    likely = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9][ -]?[0-9]"), "phone": F.contains(t, F.lit("+"))}
     d = d.withColumns({n: c for k in KINDS for n, c in _found(f"_{k}", t, BASE[k], likely[k]).items()})
 
     def rest(k: str) -> Column:
@@ -121,7 +121,7 @@ def spotted(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.when(F.size(m) > 0, masked).otherwise(t)
 
     d = d.withColumns({f"_r{k}": rest(k) for k in LOOSE})
-    maybe = {"email": t.rlike(r"[(\[]at[)\]]"), "phone": digit & t.rlike("[0-9]{3}[ .-][0-9]{4}")}
+    maybe = {"email": t.rlike(r"[(\[]at[)\]]"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{4}")}
     d = d.withColumns({n: c for k in LOOSE for n, c in _found(f"_l{k}", F.col(f"_r{k}"), LOOSE[k], maybe[k]).items()})
     found = [*((k, f"_{k}", True) for k in KINDS), *((k, f"_l{k}", False) for k in LOOSE)]
     plus = lambda a, b: a + b

@@ -190,6 +190,14 @@ def test_pii(docs, empty, rows):
     assert tables[0][1][1] > 0.85 and 0.3 < tables[2][1][1] < 0.7 and post["11011"] > 0.9 > 0.1 > post["00100"]
 
 
+def test_pii_digits_apart(spark):
+    texts = ["ping 8.8.8.8 now", "DNS 1.1.1.1", "pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 please", "pay 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(pii.KINDS[s["kind"]], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["_spans"] if s["base"]] for r in pii.decided(d).collect()}
+    assert got == {0: [("ip", "8.8.8.8")], 1: [("ip", "1.1.1.1")], 2: [("card", texts[2][4:35])], 3: [("card", texts[3][4:])]}
+    assert [r["text"] for r in pii.redacted(d).orderBy("doc_id").collect()] == ["ping <IP> now", "DNS <IP>", "pay <CARD> please", "pay <CARD>"]
+
+
 def test_langid(spark):
     words = {"aa": ["nabo", "tiru", "kelo", "suma"], "bb": ["schrik", "wolk", "brand", "tolch"]}
     r = random.Random(0)
