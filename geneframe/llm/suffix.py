@@ -373,6 +373,42 @@ def _sort(t: pa.Table) -> pa.Table:
     return pa.table({"fp": t.column("fp").take(take), "region": t.column("region").take(take), "runs": pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))})
 
 
+def _starts(batches):
+    """Texts with regions of grams that are too large for a shard -> each start of the regions, with a hash of its LENGTH bytes."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for text, regions in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("regions").to_pylist(), strict=True):
+                for at in range(0, len(regions), 1000):
+                    rows = {n: [] for n in ("fp", "region", "s", "start", "n")}
+                    for r in regions[at : at + 1000]:
+                        size = r["size"] - LENGTH + 1
+                        for name, values in (("fp", [r["fp"]] * size), ("region", [r["region"]] * size), ("s", range(size)), ("n", [r["n"]] * size)):
+                            rows[name] += values
+                        rows["start"] += [hashlib.md5(text[a : a + LENGTH], usedforsecurity=False).digest() for a in range(r["a"], r["a"] + size)]
+                    kinds = {"fp": pa.int64(), "region": pa.int64(), "s": pa.int32(), "start": pa.binary(), "n": pa.int64()}
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[n], t) for n, t in kinds.items()], names=list(kinds))
+
+
+def _folded(texts: DataFrame, regions: DataFrame) -> DataFrame:
+    """fp, region, runs of the starts that repeat, for regions of any number: starts are counted by the hash of all their bytes.
+
+    Counts are added up before they are dealt out. Starts of over one in HOT of all places are fewer than HOT, so they are broadcast.
+    """
+    wanted = regions.select(F.col("at.node").alias("node"), F.struct("fp", "region", F.col("at.a").alias("a"), "size", "n").alias("r"))
+    wanted = wanted.groupBy("node").agg(F.collect_list("r").alias("regions"))
+    one = texts.join(written(wanted), "node").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("regions").alias("regions"))
+    starts = written(one.select("text", "regions").mapInArrow(_starts, "fp long, region long, s int, start binary, n long"))
+    again = written(starts.groupBy("start").agg(F.sum("n").alias("all"), F.count("*").alias("rows")).where("all > 1"))
+    most = (again.agg(F.sum("rows")).first()[0] or 0) // HOT
+    hot = F.broadcast(again.where(F.col("rows") > most).select("start"))
+    rest = starts.join(hot, "start", "left_anti").join(again.where(F.col("rows") <= most).select("start"), "start", "left_semi")
+    every = F.array_sort(F.collect_list("s"))
+    found = starts.join(hot, "start", "left_semi").unionByName(rest).groupBy("fp", "region").agg(every.alias("x"))
+    x = F.col("x")
+    first, last = F.filter(x, lambda v: ~F.array_contains(x, v - 1)), F.filter(x, lambda v: ~F.array_contains(x, v + 1))
+    return found.select("fp", "region", F.zip_with(first, last, lambda a, b: F.struct(a.alias("s"), (b + 1).alias("e"))).alias("runs"))
+
+
 def _strip(batches):
     for batch in batches:
         for part in slices(batch, "text"):
@@ -397,8 +433,9 @@ def stripped(docs: DataFrame) -> DataFrame:
     1. Texts are known by their hash; one with copies is removed whole (if it has LENGTH bytes), and counts once for the others.
     2. Winnowing cuts each text into regions of starts that share a gram. Equal strings of LENGTH bytes share it, so only regions whose
        gram occurs twice can hold a repeat. Of equal regions one is kept, with the note that there are several.
-    3. Distinct regions are dealt into shards by gram, about SHARD_BYTES each, and the suffixes of each shard are sorted by external
-       induced sorting, a region's suffixes with its number of places; starts that share LENGTH bytes with another place repeat.
+    3. Distinct regions are dealt into shards by gram, about SHARD_BYTES each, and the suffixes of each shard are sorted by induced sorting,
+       a region's suffixes with its number of places; starts that share LENGTH bytes with another place repeat. A gram whose regions
+       alone exceed SHARD_BYTES isn't gathered in a shard: its starts are counted one by one, by a hash of all their LENGTH bytes.
     4. The starts go back to all places of the region, and from there to the texts.
     Null text: as empty. Under LENGTH bytes: nothing is removed. Repeated rows are copies. Nothing is sampled or capped.
     """
@@ -417,6 +454,11 @@ def stripped(docs: DataFrame) -> DataFrame:
     regions = places.groupBy("fp", "region", "size").agg(F.count("*").alias("n"), F.min(F.struct("node", "a")).alias("at"))
     more = regions.groupBy("fp").agg(F.sum("n").alias("all")).where("all > 1").select("fp")
     regions = written(regions.join(more, "fp", "left_semi"))
+    large = written(regions.groupBy("fp").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > SHARD_BYTES).select("fp"))
+    folded = None
+    if not large.isEmpty():
+        folded = written(_folded(texts, regions.join(F.broadcast(large), "fp", "left_semi")))
+        regions = regions.join(F.broadcast(large), "fp", "left_anti")
     total = regions.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")
@@ -424,6 +466,7 @@ def stripped(docs: DataFrame) -> DataFrame:
     one = texts.join(written(wanted), "node").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("regions").alias("regions"))
     pieces = one.select("text", "regions").mapInArrow(_cut, "shard long, fp long, region long, bytes binary, several boolean")
     found = written(pieces.groupBy("shard").applyInArrow(_sort, "fp long, region long, runs array<struct<s:int,e:int>>"))
+    found = found if folded is None else found.unionByName(folded)
     hits = places.join(found, ["fp", "region"]).select("node", F.explode(F.transform("runs", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"] + LENGTH - 1).alias("e")))).alias("span"))
     spans = hits.groupBy("node").agg(F.collect_list("span").alias("spans"))
     info = written(copies.join(spans, "node", "left").where("copies > 1 or spans is not null"))

@@ -130,6 +130,25 @@ def test_suffix(docs, empty, rows):
     assert sorted(got) == sorted(want) and suffix.stripped(empty).count() == 0
 
 
+def test_suffix_large_gram(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choices("abcdefghijklmnop ", k=n))
+    passage = word(320)
+    # a passage in all texts, between text of their own that every third pair of them shares
+    sides = [word(160) for _ in range(40)]
+    texts = [sides[i // 3] + passage + (sides[-1 - i // 3] if i % 3 else word(90)) for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x["doc_id"]: (x["n_removed"], x["n_spans"], x["kept"]) for x in suffix.stripped(d).collect()}
+    for limit in (1500, 4000, 1):
+        monkeypatch.setattr(suffix, "SHARD_BYTES", limit)
+        regions = []
+        fold = suffix._folded
+        monkeypatch.setattr(suffix, "_folded", lambda t, x: regions.append(x.count()) or fold(t, x))
+        got = {x["doc_id"]: (x["n_removed"], x["n_spans"], x["kept"]) for x in suffix.stripped(d).collect()}
+        monkeypatch.setattr(suffix, "_folded", fold)
+        assert got == want and regions[0] > 0
+
+
 @pytest.mark.parametrize("memory, limit", [(0, 0), (4, 100), (1 << 20, 1 << 30)])
 def test_suffix_order(memory, limit):
     r = random.Random(memory)
