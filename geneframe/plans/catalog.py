@@ -14,7 +14,7 @@ from ..operators import regions as R
 from ..operators import splice as J
 from ..operators import structure as T
 from ..sources import readers as IN
-from .surrogates import S1, S2, S4, features, proteins, residues, sequences
+from .surrogates import S1, S2, S4, S4W, features, proteins, residues, sequences, whole_proteins
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -180,9 +180,12 @@ def normalize_parent(spark, d):
 _HEADER = "gene_id || ' ' || gene_name || ' SGDID:S1, Chr ' || chromosome || ' from 1-9, ' || CASE n_exons WHEN 1 THEN 'Verified' WHEN 2 THEN 'Dubious' ELSE 'Other' END || ' ORF'"
 
 
+def _head():
+    return F.concat(F.lit(">"), F.col("gene_id"), F.lit(" "), F.col("gene_name"), F.lit(" SGDID:S1, Chr "), F.col("chromosome"), F.lit(" from 1-9, "), F.when(F.col("n_exons") == 1, "Verified").when(F.col("n_exons") == 2, "Dubious").otherwise("Other"), F.lit(" ORF"))
+
+
 def _records(spark, d):
-    head = F.concat(F.lit(">"), F.col("gene_id"), F.lit(" "), F.col("gene_name"), F.lit(" SGDID:S1, Chr "), F.col("chromosome"), F.lit(" from 1-9, "), F.when(F.col("n_exons") == 1, "Verified").when(F.col("n_exons") == 2, "Dubious").otherwise("Other"), F.lit(" ORF"))
-    return proteins(spark, d).select(F.concat(head, F.lit("\n"), F.substring("sequence", 1, 20), F.lit("\n"), F.substring("sequence", 21, 10), F.lit("*\n")).alias("value"))
+    return proteins(spark, d).select(F.concat(_head(), F.lit("\n"), F.substring("sequence", 1, 20), F.lit("\n"), F.substring("sequence", 21, 10), F.lit("*\n")).alias("value"))
 
 
 _PROTEIN = f"WITH {S4} SELECT gene_id, gene_name, CASE n_exons WHEN 1 THEN 'Verified' WHEN 2 THEN 'Dubious' ELSE 'Unknown' END AS category, chromosome, sequence, length(sequence)::INTEGER AS length_aa FROM s4"
@@ -203,6 +206,31 @@ def category_filter(spark, d):
     return IN.protein_records(IN.fasta_records(_records(spark, d))).where(F.col("category").isin(*S.CATEGORIES))
 
 
+# The same over whole texts, in lines of 60 letters
+
+
+def _whole_records(spark, d):
+    return whole_proteins(spark, d).select(F.concat(_head(), F.lit("\n"), F.regexp_replace("sequence", "(.{60})", "$1\n"), F.lit("*\n")).alias("value"))
+
+
+_WHOLE = f"WITH {S4W}" + _PROTEIN.removeprefix(f"WITH {S4}").replace("FROM s4", "FROM s4w")
+
+
+@query(_WHOLE)
+def scan_protein_fasta_whole(spark, d):
+    return IN.protein_records(IN.fasta_records(_whole_records(spark, d)))
+
+
+@query(_WHOLE.replace("sequence, length(sequence)::INTEGER AS length_aa FROM", "1 AS one FROM"))
+def parse_header_whole(spark, d):
+    return IN.protein_records(IN.fasta_records(_whole_records(spark, d))).select("gene_id", "gene_name", "category", "chromosome", F.lit(1).alias("one"))
+
+
+@query(_WHOLE + " WHERE n_exons < 3")
+def category_filter_whole(spark, d):
+    return IN.protein_records(IN.fasta_records(_whole_records(spark, d))).where(F.col("category").isin(*S.CATEGORIES))
+
+
 @query(f"WITH {S1} SELECT seq_id::VARCHAR AS seq_id, 'first > part' AS doc, seq FROM s1")
 def scan_fasta(spark, d):
     text = sequences(spark, d).select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit(" first > part\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
@@ -362,6 +390,8 @@ query(
     f"WITH {S4} SELECT gene_id, '{{\"name\":\"' || gene_id || '\",\"modelSeeds\":[1],\"sequences\":[{{\"protein\":{{\"id\":\"A\",\"sequence\":\"' || sequence || '\",\"description\":\"' || category || ' | ' || n_exons || ' exons | ' || length_aa || ' AA | ' || chromosome || '\"}}}}],\"dialect\":\"alphafold3\",\"version\":2}}' AS json FROM s4",
     "sink_af3_json",
 )(lambda spark, d: T.predictor_input(proteins(spark, d)))
+query(ORACLE_SQL["sink_af3_json"].replace(S4, S4W).removesuffix("FROM s4") + "FROM s4w", "sink_af3_json_whole")(lambda spark, d: T.predictor_input(whole_proteins(spark, d)))
+QUERIES["json_encode_whole"], ORACLE_SQL["json_encode_whole"] = QUERIES["sink_af3_json_whole"], ORACLE_SQL["sink_af3_json_whole"]
 QUERIES["json_encode"], ORACLE_SQL["json_encode"] = QUERIES["sink_af3_json"], ORACLE_SQL["sink_af3_json"]
 
 _RES = "res AS (SELECT vec_id::VARCHAR AS gene_id, unnest(range(1, len(embedding) + 1))::INTEGER AS residue_number, unnest(embedding)::DOUBLE AS plddt FROM embeddings)"

@@ -37,6 +37,13 @@ def proteins(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat(F.lit("G"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("gene_id"), F.coalesce("source", F.lit("")).alias("gene_name"), F.coalesce("lang", F.lit("none")).alias("category"), F.coalesce("source", F.lit("")).alias("chromosome"), F.substring(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, CODES), 1, 30).alias("sequence"), length.alias("length_aa"), (1 + F.col("n_chars") % 3).cast("int").alias("n_exons"))
 
 
+def whole_proteins(spark: SparkSession, d: str) -> DataFrame:
+    """As proteins(), with the whole translated text as the sequence, and its length."""
+    t = table(spark, d, "documents").select("doc_id", F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), LETTERS, CODES).alias("_whole"))
+    p = t.select(F.concat(F.lit("G"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("gene_id"), "_whole")
+    return proteins(spark, d).join(p, "gene_id").withColumns({"sequence": F.col("_whole"), "length_aa": F.length("_whole")}).drop("_whole")
+
+
 def residues(spark: SparkSession, d: str) -> DataFrame:
     """Atoms: three of each residue, the first with the vector's value as B factor."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("gene_id"), F.posexplode("embedding").alias("p", "v"))
@@ -50,3 +57,5 @@ s2 AS (SELECT row_number() OVER (PARTITION BY seqid ORDER BY l_orderkey, {', '.j
 S4 = f"""s4 AS (SELECT 'G' || lpad(doc_id::VARCHAR, 9, '0') AS gene_id, coalesce(source, '') AS gene_name, coalesce(lang, 'none') AS category, coalesce(source, '') AS chromosome,
    substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{CODES}'), 1, 30) AS sequence, (50 + n_chars % 900)::INTEGER AS length_aa, (1 + n_chars % 3)::INTEGER AS n_exons FROM documents),
 s4b AS (SELECT *, CASE WHEN length_aa BETWEEN 50 AND 100 THEN '50-100' WHEN length_aa BETWEEN 101 AND 200 THEN '101-200' WHEN length_aa BETWEEN 201 AND 300 THEN '201-300' WHEN length_aa BETWEEN 301 AND 500 THEN '301-500' WHEN length_aa BETWEEN 501 AND 800 THEN '501-800' ELSE '>800' END AS length_bin FROM s4)"""
+S4W = f"""{S4}, s4w AS (SELECT s4.* REPLACE (translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), '{LETTERS}', '{CODES}') AS sequence, length(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'))::INTEGER AS length_aa)
+   FROM s4 JOIN documents ON s4.gene_id = 'G' || lpad(doc_id::VARCHAR, 9, '0'))"""

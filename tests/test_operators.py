@@ -182,3 +182,10 @@ def test_queries_match_sql(spark):
         assert k == sorted(b.columns), name
         a, b = (x[k].sort_values(k).reset_index(drop=True) for x in (a, b))
         assert len(a) == len(b) and not ((a != b) & ~(a.isna() & b.isna())).any(axis=None), name
+
+
+def test_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    whole = {r["gene_id"]: len(r["seq"]) for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('G', lpad(doc_id, 9, '0')) as gene_id", "regexp_replace(lower(text), '[^a-z]', '') as seq").collect()}
+    got = {r["gene_id"]: r for r in catalog.QUERIES["scan_protein_fasta_whole"](spark, sf).collect()}
+    assert {k: len(r["sequence"]) for k, r in got.items()} == {k: r["length_aa"] for k, r in got.items()} == whole and max(whole.values()) > 1000
