@@ -351,8 +351,10 @@ query(f"WITH {_REG} SELECT header || chr(10) || rtrim(regexp_replace(region, '(.
 query(f"WITH {S2} SELECT seqid, ord, start FROM s2 WHERE start - 100 <= 0", "begin_le_zero")(lambda spark, d: R.begin_le_zero(features(spark, d), 100).select("seqid", "ord", "start"))
 
 
-def _gff(spark, d):
+def _gff(spark, d, coding=False):
+    """The features as lines; if coding, every third has the type CDS."""
     f = features(spark, d)
+    f = f.withColumn("type", F.when(F.col("ord") % 3 == 0, "CDS").otherwise(F.col("type"))) if coding else f
     line = F.concat_ws("\t", F.col("seqid").cast("string"), F.lit("src"), F.col("type"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID=x;Parent="), "parent", F.lit(";")))
     return f.select("ord", F.when(F.col("ord") == 1, F.concat(F.lit("#"), line)).otherwise(line).alias("value"))
 
@@ -360,6 +362,7 @@ def _gff(spark, d):
 _GFF = f'WITH {S2} SELECT ord, seqid::VARCHAR AS seqid, start, "end", strand, parent FROM s2 WHERE ord > 1'
 query(_GFF, "scan_gff")(lambda spark, d: IN.gff_features(_gff(spark, d), ["exon"]).select("ord", "seqid", "start", "end", "strand", "parent"))
 query(_GFF + " AND 1 = 0", "scan_gff_cds")(lambda spark, d: IN.gff_features(_gff(spark, d), ["CDS"]).select("ord", "seqid", "start", "end", "strand", "parent"))
+query(_GFF + " AND ord % 3 = 0", "scan_gff_cds_whole")(lambda spark, d: IN.gff_features(_gff(spark, d, True), ["CDS"]).select("ord", "seqid", "start", "end", "strand", "parent"))
 
 
 # Proteins and metrics
@@ -413,6 +416,19 @@ query("SELECT event_id::VARCHAR AS gene_id, value AS ptm, NULL::DOUBLE AS fracti
 query("SELECT vec_id::VARCHAR AS gene_id, unnest([0, 1])::INTEGER AS row_idx, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE]) AS first FROM embeddings", "scan_pae_json")(
     lambda spark, d: IN.pae_rows(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("gene_id"), F.to_json(F.struct(F.array(F.array(F.get("embedding", F.lit(0)).cast("double")), F.array(F.get("embedding", F.lit(1)).cast("double"))).alias("pae"))).alias("value"))).select("gene_id", "row_idx", F.get("pae", F.lit(0)).alias("first"))
 )
+
+
+def _matrices(spark, d):
+    """Each vector, and the vector backwards, as the rows of a matrix."""
+    v = F.col("embedding").cast("array<double>")
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("gene_id"), F.to_json(F.struct(F.array(v, F.reverse(v)).alias("pae"))).alias("value"))
+
+
+query(
+    """WITH m AS (SELECT vec_id::VARCHAR AS gene_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1))::INTEGER AS k FROM embeddings)
+ SELECT gene_id, 0 AS row_idx, k AS col, v[k] AS value FROM m UNION ALL SELECT gene_id, 1, k, v[len(v) + 1 - k] FROM m""",
+    "scan_pae_json_whole",
+)(lambda spark, d: IN.pae_rows(_matrices(spark, d)).select("gene_id", "row_idx", F.posexplode("pae").alias("k", "value")).select("gene_id", "row_idx", (F.col("k") + 1).alias("col"), "value"))
 query(f"WITH {S4} SELECT gene_id, category FROM s4 WHERE n_exons > 1", "join_metrics_meta")(lambda spark, d: T.join_metrics_meta(proteins(spark, d).select("gene_id"), proteins(spark, d).where("n_exons > 1").select("gene_id", "category"))[0])
 query(f"WITH {S4} SELECT gene_id FROM s4 WHERE n_exons <= 1", "join_metrics_meta_missing")(lambda spark, d: T.join_metrics_meta(proteins(spark, d).select("gene_id"), proteins(spark, d).where("n_exons > 1").select("gene_id", "category"))[1])
 query(f"WITH {S4} SELECT gene_id FROM s4 ORDER BY gene_id", "sort_pids")(QUERIES["sort_gene_ids"])

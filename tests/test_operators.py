@@ -189,3 +189,9 @@ def test_whole_texts(spark):
     whole = {r["gene_id"]: len(r["seq"]) for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('G', lpad(doc_id, 9, '0')) as gene_id", "regexp_replace(lower(text), '[^a-z]', '') as seq").collect()}
     got = {r["gene_id"]: r for r in catalog.QUERIES["scan_protein_fasta_whole"](spark, sf).collect()}
     assert {k: len(r["sequence"]) for k, r in got.items()} == {k: r["length_aa"] for k, r in got.items()} == whole and max(whole.values()) > 1000
+
+
+def test_whole_matrices_and_coding_features(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    assert catalog.QUERIES["scan_pae_json_whole"](spark, sf).count() == 2 * n and catalog.QUERIES["scan_gff_cds_whole"](spark, sf).count() > 0
