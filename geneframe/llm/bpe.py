@@ -11,10 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Rolling, slices, table, text_bytes
+from .common import hashes, slices, table, text_bytes
 
 #: Text bytes whose pre-tokens form one block: a word leaves it once, however often it occurs, so no word is hot. Text split at a time.
-BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 2 << 20
+BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
 #: Word buckets for each shuffle partition.
 BUCKETS = 4
 
@@ -119,7 +119,7 @@ def _explode(pattern: str, buckets: int):
                 rank[by] = np.arange(len(by))
                 words_of = words_of.take(pa.array(by))
                 data, offsets = text_bytes(words_of)
-                bucket = (Rolling(data).of(offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+                bucket = (hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
                 name = (task << 32) | number
                 number += 1
                 who = np.array([block.column("doc_id").is_null().to_numpy(zero_copy_only=False), block.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), counts], np.int64)

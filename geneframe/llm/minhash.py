@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, components, mix, shingles, slices, table, text_bytes, words, written
+from .common import components, hashes, mix, shingles, slices, table, text_bytes, words, written
 
 SIMILARITY, WIDTH = 0.8, 5
 #: A pair of similarity 0.8 shares none of BANDS bands of ROWS samples with probability (1 - 0.8**3)**12 = 0.0002.
@@ -24,16 +24,16 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 def _shingle_sets(column: pa.Array):
     """Rows, hashes and counts of the distinct shingles of each row, rows in order. A text under five words is one shingle."""
     data, offsets = text_bytes(column)
-    roll = Rolling(data)
     starts, ends, rows = words(data, offsets)
-    hashes = roll.of(starts, ends)
-    h, at = shingles(hashes, rows, WIDTH)
+    word = hashes(data, starts, ends)
+    del starts, ends
+    h, at = shingles(word, rows, WIDTH)
     of = rows[at]
     n_words = np.bincount(rows, minlength=len(column))
     first = np.cumsum(n_words) - n_words
     for r in np.flatnonzero((n_words > 0) & (n_words < WIDTH)):
         x = np.zeros(1, np.uint64)
-        for w in hashes[first[r] : first[r] + n_words[r]]:
+        for w in word[first[r] : first[r] + n_words[r]]:
             x = mix(x + w)
         h, of = np.append(h, x), np.append(of, r)
     key = mix(h + of.astype(np.uint64) * _GOLDEN)
