@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds with a base pattern, and one that only the method finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Leftmost matches of the base patterns, written so that no match and no failure takes more than linear time or a deep stack.
 BASE = {
@@ -21,22 +24,27 @@ BASE = {
 }
 #: Patterns of candidates that only the method can add, looked for outside the base matches of the same kind.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]++){1,5}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    # keys, tokens and passwords: a run of 16 or more with a digit in it
+    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_/+=-]*+[0-9])[A-Za-z0-9_/+=-]{16,}+",
 }
-GAZETTEER = {
-    "email": r"(?i)\b(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|it|nl|ch|at|be|us|ca|au|jp|cn|in|br|mx)$",
-    "ip": r"^(?!0|127\.|255\.)",
-    "card": r"^[3-6]",
-    "phone": r"^(?:\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])|\(?[2-9])",
-}
+# Gazetteers. Top-level domains, issuers' card prefixes, calling codes, prefixes of issued tokens, names of secret settings.
+DOMAINS = "com org net edu gov mil int info biz name pro io ai dev app de fr es uk eu it nl ch at be dk se no fi pl pt cz gr ie ru ua tr us ca mx br ar cl co au nz jp cn kr in id sg hk tw za il ae test".split()
+#: First digits of a card number, from and to, and its lengths.
+ISSUERS = (("4", "4", (16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 19)), ("644", "659", (16, 19)), ("3528", "3589", (16, 19)), ("300", "305", (14, 16, 19)), ("36", "36", (14, 16, 19)), ("38", "39", (14, 16, 19)), ("62", "62", (16, 17, 18, 19)), ("2200", "2204", (16, 17, 18, 19)), ("50", "50", (16, 17, 18, 19)), ("56", "58", (16, 17, 18, 19)))
+CALLING = {1: "1 7".split(), 2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+CALLING[3] = [str(x) for a, b in ((211, 213), (216, 269), (290, 291), (297, 299), (350, 359), (370, 389), (420, 423), (500, 509), (590, 599), (670, 692), (850, 856), (880, 886), (960, 977), (992, 998)) for x in range(a, b + 1)]
+TOKENS = "AKIA ASIA ghp_ gho_ ghs_ github_pat_ glpat- sk- sk_live_ pk_live_ rk_live_ xoxb- xoxp- xoxa- AIza ya29. eyJ npm_ pypi- hf_ dop_v1_ SG.".split()
+SETTINGS = "token secret password passwd passphrase pwd apikey api_key api-key key access_key private_key auth authorization bearer credential credentials signature session".split()
 CUE = {
     "email": r"(?i)(?:mail|contact|write to|correo|courriel)[^A-Za-z0-9]{0,4}$",
     "ip": r"(?i)(?:\bip|host|server|address|adresse|from)[^A-Za-z0-9]{0,4}$",
     "card": r"(?i)(?:card|karte|carte|tarjeta|visa|account|konto|payment)[^A-Za-z0-9]{0,4}$",
     "phone": r"(?i)(?:phone|tel|call|fax|mobile|cell|telefon)[^A-Za-z0-9]{0,4}$",
+    "secret": r"[=:][ \t]*[\"'`]?$",
 }
-DENY = r"(?i)(?:\bv|version|isbn|order|\bno|\bnr|\bid|serial|section|figure|page)[ .:#]{0,3}$"
+DENY = r"(?i)(?:\bv|version|commit|sha[0-9]*|md5|hash|checksum|etag|revision|isbn|order|\bno|\bnr|\bid|serial|section|figure|page)[ .:#]{0,3}$"
 #: Votes: 0 no, 1 yes, 2 none. Labelers: pattern, validity, gazetteer, context, boundary.
 LABELERS, EM_ROUNDS, CHUNK = 5, 30, 256
 
@@ -61,12 +69,45 @@ def _base(kind: str, m: Column) -> Column:
     return {"email": lambda: F.lit(True), "ip": lambda: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "card": lambda: _luhn(m), "phone": lambda: F.length(_digits(m)).between(10, 15)}[kind]()
 
 
+def _pattern(kind: str, m: Column, strict: bool) -> Column:
+    """The regex labeler."""
+    if kind == "secret":
+        return m.rlike(r"^[0-9a-f]{32,}$|^[0-9A-F]{32,}$|^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9_/+=-]{20,}$")
+    return _base(kind, m) if strict else F.lit(False)
+
+
 def _valid(kind: str, m: Column) -> Column:
     return {
         "email": lambda: ~m.rlike(r"^[.]|[.][.]|[.]@"),
         "ip": lambda: m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$") & ~m.rlike(r"(?:^|\.)0[0-9]"),
         "card": lambda: _luhn(m),
         "phone": lambda: F.length(_digits(m)).between(10, 15) & ~m.rlike(r"[.-]{2}|\([^)]*\("),
+        "secret": lambda: F.size(F.array_distinct(F.split(F.lower(F.left(m, F.lit(64))), ""))) >= 9,  # a random run has many different symbols
+    }[kind]()
+
+
+def _listed(kind: str, m: Column, before: Column) -> Column:
+    """The gazetteer labeler."""
+    d = _digits(m)
+
+    def issued() -> Column:
+        found = F.lit(False)
+        for low, high, sizes in ISSUERS:
+            found = found | (F.left(d, F.lit(len(low))).between(low, high) & F.length(d).isin(*sizes))
+        return found
+
+    def called() -> Column:
+        abroad = F.lit(False)
+        for n, codes in CALLING.items():
+            abroad = abroad | F.left(d, F.lit(n)).isin(*codes)
+        return F.when(m.startswith("+"), abroad).otherwise(d.rlike("^[2-9]"))  # a national number
+
+    return {
+        "email": lambda: F.lower(F.regexp_extract(m, "[A-Za-z0-9-]+$", 0)).isin(*DOMAINS),
+        "ip": lambda: ~m.rlike(r"^0*(?:0|127|22[4-9]|2[3-5][0-9])\."),
+        "card": issued,
+        "phone": called,
+        "secret": lambda: m.rlike("^(?:" + "|".join(re.escape(t) for t in TOKENS) + ")") | F.lower(F.regexp_extract(before, r"([A-Za-z_-]+)[^A-Za-z_-]*$", 1)).isin(*SETTINGS),
     }[kind]()
 
 
@@ -95,7 +136,7 @@ def _candidates(kind: str, found: str, strict: bool) -> Column:
         context = F.right(before, F.lit(24))
         base = _base(kind, x) if strict else F.lit(False)
         free = lambda c: ~c.rlike("[A-Za-z0-9]")
-        votes = (base, _valid(kind, x), x.rlike(GAZETTEER[kind]), None, free(left) & free(right))
+        votes = (_pattern(kind, x, strict), _valid(kind, x), _listed(kind, x, context), None, free(left) & free(right))
         cue = F.when(context.rlike(CUE[kind]), 1).when(context.rlike(DENY), 0).otherwise(2)
         votes = F.concat(*((_vote(v) if v is not None else cue).cast("string") for v in votes))
         traits = F.concat_ws(",", F.least(F.floor(F.length(x) / 4), F.lit(15)), F.least(F.length(_digits(x)), F.lit(20)), _side(left), _side(right))
@@ -105,25 +146,27 @@ def _candidates(kind: str, found: str, strict: bool) -> Column:
     return F.when((F.size(m) > 0) & (F.size(heads) > 0) & (F.size(gaps) > 0), F.transform(m, one))
 
 
-def spotted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans: every candidate of every kind. A candidate: start, kind, end, base, votes, traits. Empty for null text."""
-    names = docs.columns
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.withColumn("_t", t)
+def spotted(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(_row, _text, _spans): the kept columns of docs as a struct, so that no name can clash; every candidate of every kind.
+
+    A candidate: start, kind, end, base, votes, traits. Empty for null text.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if keep is None else keep))).alias("_row")
+    d = docs.select(row, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     t = F.col("_t")
     # each is necessary for a match of the pattern
     likely = {"email": F.contains(t, F.lit("@")), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9][ -]?[0-9]"), "phone": F.contains(t, F.lit("+"))}
-    d = d.withColumns({n: c for k in KINDS for n, c in _found(f"_{k}", t, BASE[k], likely[k]).items()})
+    d = d.withColumns({n: c for k in BASE_KINDS for n, c in _found(f"_{k}", t, BASE[k], likely[k]).items()})
 
     def rest(k: str) -> Column:
         p, m = F.col(f"_{k}_p"), F.col(f"_{k}_m")
         masked = F.array_join(F.transform(p, lambda x, i: F.concat(x, F.repeat(F.lit("\x00"), F.coalesce(F.length(F.get(m, i)), F.lit(0))))), "")
         return F.when(F.size(m) > 0, masked).otherwise(t)
 
-    d = d.withColumns({f"_r{k}": rest(k) for k in LOOSE})
-    maybe = {"email": t.rlike(r"[(\[]at[)\]]"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{4}")}
+    d = d.withColumns({f"_r{k}": rest(k) if k in BASE else t for k in LOOSE})
+    maybe = {"email": t.rlike(r"[(\[]at[)\]]"), "phone": t.rlike("[0-9]{3}[ .-][0-9]{4}"), "secret": t.rlike("[A-Za-z0-9_/+=-]{16}")}
     d = d.withColumns({n: c for k in LOOSE for n, c in _found(f"_l{k}", F.col(f"_r{k}"), LOOSE[k], maybe[k]).items()})
-    found = [*((k, f"_{k}", True) for k in KINDS), *((k, f"_l{k}", False) for k in LOOSE)]
+    found = [*((k, f"_{k}", True) for k in BASE_KINDS), *((k, f"_l{k}", False) for k in LOOSE)]
     plus = lambda a, b: a + b
 
     def gaps(f: str) -> Column:
@@ -143,7 +186,7 @@ def spotted(docs: DataFrame, text: str = "text") -> DataFrame:
         d = d.withColumns({f"{f}_{name}": make(f) for _, f, _ in found})
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,base:boolean,votes:string,traits:string>>)")
     d = d.withColumn("_spans", F.concat(*(F.coalesce(_candidates(k, f, strict), none) for k, f, strict in found)))
-    return d.select(*(F.col(f"`{n}`") for n in names), "_spans")
+    return d.select("_row", F.col("_t").alias("_text"), "_spans")
 
 
 def reliabilities(patterns: dict[str, float]) -> tuple[float, list[list[list[float]]], dict[str, float]]:
@@ -160,7 +203,10 @@ def reliabilities(patterns: dict[str, float]) -> tuple[float, list[list[list[flo
             for v, n in patterns.items():
                 c[1][int(v[k])] += n * posterior[v]
                 c[0][int(v[k])] += n * (1 - posterior[v])
-            tables.append([[x / sum(row) for x in row] for row in c])
+            own = [[x / sum(row) for x in row] for row in c]
+            if own[1][1] * own[0][0] < own[0][1] * own[1][0]:  # a vote for must not speak against: else the labels could change places
+                own = [[(x + y) / 2 for x, y in zip(*own, strict=True)]] * 2
+            tables.append(own)
         for v in patterns:
             odds = math.log(prior / (1 - prior)) + sum(math.log(tables[k][1][int(v[k])] / tables[k][0][int(v[k])]) for k in range(LABELERS))
             posterior[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
@@ -171,7 +217,7 @@ def fitted(candidates: DataFrame) -> dict[str, float]:
     """The span classifier: log odds by 'kind' (its prior) and 'kind/trait/value', a naive Bayes model over traits and votes.
 
     It is trained on the posteriors of EM over all candidates. What comes to the driver are counts by kind, vote pattern, trait and value:
-    at most 4 * 3**5 * 60 rows, whatever the data.
+    at most 5 * 3**5 * 60 rows, whatever the data.
     """
     # explode() would push a filter on the array below the projections that make it, and so make it again for each
     c = candidates.select(F.explode_outer("_spans").alias("s")).where("s is not null").select("s.kind", "s.votes", F.explode(F.transform(F.split("s.traits", ","), lambda x, i: F.concat_ws("/", i, x))).alias("trait"))
@@ -198,7 +244,7 @@ def fitted(candidates: DataFrame) -> dict[str, float]:
 
 
 def _accepted(s: Column, model: dict[str, float]) -> Column:
-    """A base span stays; another needs odds above 1 from the classifier, and more labelers for it than against it."""
+    """The classifier decides: a span whose odds are above 1. A base span stays, whatever they are."""
     if not model:
         return s["base"]
     known = F.create_map(*(F.lit(x) for kv in sorted(model.items()) for x in kv))
@@ -206,8 +252,7 @@ def _accepted(s: Column, model: dict[str, float]) -> Column:
     kind = s["kind"].cast("string")
     traits = F.aggregate(F.transform(F.split(s["traits"], ","), lambda x, i: odds(F.concat_ws("/", kind, i, x))), F.lit(0.0), lambda a, b: a + b)
     votes = sum((odds(F.concat_ws("/", kind, F.lit(f"v{k}"), F.substring(s["votes"], k + 1, 1))) for k in range(LABELERS)), F.lit(0.0))
-    yes = F.length(F.translate(s["votes"], "02", "")) > F.length(F.translate(s["votes"], "12", ""))
-    return s["base"] | (yes & (odds(kind) + traits + votes > 0))
+    return s["base"] | (odds(kind) + traits + votes > 0)
 
 
 def _joined(spans: Column) -> Column:
@@ -215,16 +260,37 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def decided(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _spans: the spans that stay, by start, then kind. Null or empty text: none. Repeated rows are handled alike."""
-    candidates = spotted(docs, text)
+def _decided(docs: DataFrame, text: str, keep: list[str] | None, with_text: bool) -> DataFrame:
+    """(_row, _text if wanted, _spans): candidates are made once and written, the classifier is fitted on all of them."""
+    candidates = spotted(docs, text, keep)
+    candidates = written(candidates if with_text else candidates.drop("_text"))
     model = fitted(candidates.select("_spans"))
     return candidates.withColumn("_spans", F.array_sort(F.filter("_spans", lambda s: _accepted(s, model))))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each span in text replaced by its kind in angle brackets; overlapping spans by one, of the first's kind. n_chars follows."""
-    d = decided(docs)
+def decided(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The kept columns of docs (all if not said) and spans: the spans that stay, by start, then kind.
+
+    Null or empty text: none. Repeated rows are handled alike; ties in start are in the order of KINDS. Texts of any length: starts are sums
+    of the lengths of what lies between matches, so no text is walked once for each match. An input column named spans gives way to the
+    result. An empty table stays empty.
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
+    d = _decided(docs, text, keep or None, False)
+    return d.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), F.col("_spans").alias("spans"))
+
+
+#: Code points of the pieces in which a text is cut for replacing, so that a span's place is found without a walk from the text's start.
+PIECE = 4096
+
+
+def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with each span in text replaced by its kind in angle brackets; overlapping spans by one, of the first's kind. n_chars follows.
+
+    Null and empty texts stay as they are, and so do all other columns, whatever they are named; repeated rows are handled alike. A text is
+    cut into pieces once, so the time grows with its length and not with the number of spans times the length. An empty table stays empty.
+    """
+    d = _decided(docs, text, None, True)
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     start = F.expr("struct(cast(array() as array<struct<start:bigint,kind:int,end:bigint>>) as done, cast(-1 as bigint) as upto)")
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
@@ -235,17 +301,36 @@ def redacted(docs: DataFrame) -> DataFrame:
         done = F.when(s["start"] < acc["upto"], wider).otherwise(F.concat(acc["done"], F.array(plain(s))))
         return F.struct(done.alias("done"), F.greatest(acc["upto"], s["end"]).alias("upto"))
 
-    d = d.withColumn("_merged", F.aggregate("_spans", start, merge)["done"])
-    m = F.col("_merged")
-    piece = lambda s, i: F.concat(F.substring(F.col("text"), (F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0) + 1).cast("int"), (s["start"] - F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)).cast("int")), F.get(names, s["kind"]))
-    tail = F.substring(F.col("text"), (F.element_at(m, -1)["end"] + 1).cast("int"), F.length("text"))
-    d = d.withColumn("_new", F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(F.array_join(F.transform(m, piece), ""), tail)))
-    changed = {"text": F.col("_new"), "n_chars": F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("_new")).cast(dict(docs.dtypes).get("n_chars", "long")) if "n_chars" in docs.columns else None}
-    return d.select(*((changed[c] if changed.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    some = F.size("_spans") > 0
+    d = d.withColumn("_merged", F.when(some, F.aggregate("_spans", start, merge)["done"]))
+    d = d.withColumn("_pieces", F.when(some, F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    m, pieces = F.col("_merged"), F.col("_pieces")
+
+    def cut(a: Column, b: Column) -> Column:
+        """Code points a to b of the text."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        head = F.substring(F.get(pieces, first), (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))
+        far = F.concat(F.substring(F.get(pieces, first), (a - first * PIECE + 1).cast("int"), F.lit(PIECE)), F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.get(pieces, last), F.lit(1), (b - last * PIECE).cast("int")))
+        return F.when(b <= a, F.lit("")).when(first == last, head).otherwise(far)
+
+    def piece(s, i):
+        return F.concat(cut(F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(F.lit(0).cast("long")), s["start"]), F.get(names, s["kind"]))
+
+    tail = cut(F.element_at(m, -1)["end"], F.length("_text").cast("long"))
+    # size(pieces) is named so that the optimiser makes the pieces once, outside the lambdas
+    d = d.withColumn("_new", F.when(some & (F.size(pieces) > 0) & (F.size(m) > 0), F.concat(F.array_join(F.transform(m, piece), ""), tail)))
+    kinds = dict(docs.dtypes)
+    changed = {text: F.coalesce("_new", F.col(f"_row.`{text}`"))}
+    if "n_chars" in kinds:
+        changed["n_chars"] = F.when(some, F.length("_new")).otherwise(F.col("_row.n_chars")).cast(kinds["n_chars"])
+    return d.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = decided(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("_spans", lambda s: s["base"])
-    count = lambda k: F.size(F.filter("_spans", lambda s: s["base"] & (s["kind"] == KINDS.index(k)))).cast("long").alias(f"n_{k}")
-    return d.select("doc_id", *(count(k) for k in KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+    """Every document's personal data. Base spans as the contract's patterns give them; spans and n_added also hold what the method adds:
+    spelled-out addresses, phone numbers without +, and secrets. Null text: no span; repeated rows: a row each; long texts: whole."""
+    d = decided(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == KINDS.index(k)))).cast("long").alias(f"n_{k}")
+    sizes = [F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")]
+    return d.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *sizes)
