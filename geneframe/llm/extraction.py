@@ -7,131 +7,286 @@ import re
 from collections import deque
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, trimmed
 
+# Elements by what they do in a page.
 #: Elements whose text is no text of the page.
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "select", "textarea", "button", "canvas", "audio", "video"}
+SILENT = set("script style template head title svg iframe select textarea button canvas audio video datalist xmp noembed noframes".split())
+#: Elements whose content is plain characters up to the end tag.
+RAW = set("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that hold something other than the article, and those that hold it.
-AROUND = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
-MAIN = {"article", "main"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr", "input"}
-#: Words in class, id or role that tell boilerplate.
-BOILER = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|menu|nav\w*|breadcrumb\w*|footer|header|masthead|comment\w*|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|login|signup|search|copyright|complementary|contentinfo|navigation)(?:$|[^a-z])")
-GOOD = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|body|text)(?:$|[^a-z])")
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: What the classifier and the edges weigh (scaled capacities are whole numbers).
-WEIGHTS = {"main": 6.0, "around": -9.0, "boiler": -9.0, "good": 1.0, "link": -5.0, "heading": 0.5, "long": 1.2, "stop": 0.6, "bias": 0.3}
+AROUND, MAIN = set("nav header footer aside form menu dialog fieldset".split()), {"article", "main"}
+VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that begin a block; all others are part of one.
+BLOCK = set("address article aside blockquote body caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+#: An element that ends open ones, and the elements that such an end does not cross.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+BARRIER = set("ul ol dl table div section article blockquote".split())
+#: Words of class, id and role names that tell boilerplate, that tell content, and that tell nothing beside another.
+BOILER = set("ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies share sharing social related recommended recommendations recommendation toolbar pagination pager login signup copyright complementary contentinfo menu skyscraper teaser teasers".split())
+GOOD = set("article post entry story content main body text".split())
+NEUTRAL = GOOD | set("site page top bottom left right center box bar list item items links link buttons button wrapper wrap container area block section slot unit inner outer widget header head global primary secondary mobile desktop sticky fixed reader readers user users form the and me on us google sense policy".split())
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_KEY = re.compile(r"[^\s=/>]+|=[^\s=/>]*")
+_VALUE = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
+_SPACE = re.compile(r"\s*")
+_PARTS = re.compile(r"[a-z]+")
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+IN_SILENT, IN_AROUND, IN_BOILER, IN_MAIN, IN_GOOD, IN_LINK, IN_MATH = (1 << k for k in range(7))
+#: Log odds that tags and names give a block beside the classifier's, which are TEXT_MOST at most. They are priors, not fitted.
+PRIOR, TEXT_MOST = {IN_MAIN: 6.0, IN_AROUND: -10.0, IN_BOILER: -10.0, IN_GOOD: 1.0}, 2.0
+#: For a block outside the page's article, and on a page without one.
+OUTSIDE, PLAIN = -5.0, 0.5
+#: Weights of the edges (scaled capacities are whole numbers).
 NEXT, SIBLING, SCALE = 0.8, 0.6, 1000
+#: The classifier is fitted on the blocks of at most PAGES pages (those of smallest hash), by ROUNDS Newton steps with a ridge penalty.
+PAGES, ROUNDS, RIDGE = 400, 12, 2.0
+#: Weights where no page of the sample has an article: bias, share of link text, length, end of a sentence, heading.
+DEFAULT = (0.3, -5.0, 1.2, 0.6, 0.5)
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "path", "flags")
+    __slots__ = ("text", "linked", "tag", "node", "flags")
 
-    def __init__(self, text, linked, tag, path, flags):
-        self.text, self.linked, self.tag, self.path, self.flags = text, linked, tag, path, flags
+    def __init__(self, text, linked, tag, node, flags):
+        self.text, self.linked, self.tag, self.node, self.flags = text, linked, tag, node, flags
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order. Each knows its share of link text, its element's path and what encloses it."""
+def attributes(html: str, at: int, missing: set[str]) -> tuple[dict[str, str], int]:
+    """The attributes from html[at], inside a tag, and the place after its '>'. A value without its closing quote ends as an unquoted one;
+    missing holds the quotes that the rest of the page lacks, so that no end is looked for twice."""
+    out: dict[str, str] = {}
+    n = len(html)
+    while True:
+        at = _GAP.match(html, at).end()
+        if at >= n:
+            return out, n
+        if html[at] == ">":
+            return out, at + 1
+        m = _KEY.match(html, at)
+        key, at = m[0].lower(), m.end()
+        after = _SPACE.match(html, at).end()
+        value = ""
+        if after < n and html[after] == "=":
+            at = _SPACE.match(html, after + 1).end()
+            quote = html[at : at + 1]
+            end = -1
+            if quote in ("'", '"') and quote and quote not in missing:
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    missing.add(quote)
+            if end >= 0:
+                value, at = html[at + 1 : end], end + 1
+            else:
+                m = _VALUE.match(html, at)
+                value, at = m[0], m.end()
+        out.setdefault(key, value)
+
+
+def names_say(names: str) -> int:
+    """What class, id and role names say of an element. A name counts as a whole: all of its words must be known, and one must tell."""
+    found = 0
+    for name in names.split():
+        words = _PARTS.findall(_HUMPS.sub("-", name).lower())
+        if not words or len(words) > 6 or any(w not in BOILER and w not in NEUTRAL for w in words):
+            continue
+        if any(w in BOILER for w in words):
+            return IN_BOILER
+        if any(w in GOOD for w in words):
+            found = IN_GOOD
+    return found
+
+
+def blocks(html: str) -> tuple[list[Block], list[int], list[int]]:
+    """The page's text blocks in order, and the parents and depths of the elements that begin blocks.
+
+    One scan from start to end: what is left of an unfinished construct is text, and nothing is looked for twice, so time grows with the
+    page's length however its tags are nested or broken.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, frozenset]] = [("", 0, frozenset())]
-    parts: list[tuple[str, bool]] = []
-    number = 0
+    parent, depth = [0], [0]
+    # name, what holds inside, place in the stack of the innermost element that begins a block, that element's number
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+    is_open: dict[str, int] = {}
+    parts: list[str] = []
+    linked: list[str] = []
+    missing: set[str] = set()
 
     def flush():
-        raw = unescape("".join(t for t, _ in parts))
-        text = " ".join(raw.split())
-        if text:
-            linked = sum(len("".join(unescape(t).split())) for t, a in parts if a)
-            holder = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
-            out.append(Block(text, linked / max(1, len("".join(text.split()))), holder[0], tuple(e[1] for e in stack if e[0] not in INLINE), stack[-1][2] | holder[2]))
-        parts.clear()
+        if parts:
+            text = " ".join(unescape("".join(parts)).split())
+            if text:
+                in_links = sum(map(len, unescape("".join(linked)).split()))
+                top = stack[-1]
+                holder = stack[top[2]]
+                out.append(Block(text, in_links / max(1, len(text) - text.count(" ")), holder[0], holder[3], top[1]))
+            parts.clear()
+            linked.clear()
 
     def text(t: str):
-        if t and "silent" not in stack[-1][2]:
-            parts.append((t, any(e[0] == "a" for e in stack[1:])))
+        flags = stack[-1][1]
+        if t and not flags & IN_SILENT:
+            parts.append(t)
+            if flags & IN_LINK:
+                linked.append(t)
 
-    at = 0
-    n = len(html)
+    def cut(to: int):
+        for e in stack[to:]:
+            is_open[e[0]] -= 1
+        del stack[to:]
+
+    at, n = 0, len(html)
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        lt = html.find("<", at)
+        if lt < 0:
             text(html[at:])
             break
-        text(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        text(html[at:lt])
+        c = html[lt + 1 : lt + 2]
+        if c in ("!", "?") and c:
+            comment = html.startswith("<!--", lt)
+            end = -1 if (mark := "-->" if comment else ">") in missing else html.find(mark, lt + (4 if comment else 2))
+            if end < 0:
+                missing.add(mark)
+                at = n if comment else lt + 2
+            else:
+                at = end + len(mark)
             continue
-        name = m[2].lower()
-        if m[1]:
-            if name not in INLINE:
+        closing = c == "/"
+        m = _NAME.match(html, lt + 1 + closing)
+        if not m:
+            text("<")
+            at = lt + 1
+            continue
+        name = m[0].lower()
+        named, at = attributes(html, m.end(), missing)
+        if closing:
+            if name in BLOCK:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if depth:
-                del stack[depth:]
+            if is_open.get(name):
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                cut(k)
             continue
-        if name not in INLINE or name == "br":
-            if name == "br":
-                text(" ")
-                continue
+        if name == "br":
+            text(" ")
+            continue
+        block = name in BLOCK and not stack[-1][1] & IN_MATH
+        if block:
             flush()
         if name in VOID:
             continue
-        for closing in (CLOSES.get(name, ()),):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closing:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote"):
-                    break
-        if name not in INLINE and name not in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):  # a block element ends an open paragraph
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if m[3].rstrip().endswith("/") and name in ("svg", "math"):
-            continue
-        flags = set(stack[-1][2])
+        if block:
+            closes = CLOSES.get(name, ())
+            if any(is_open.get(x) for x in closes):
+                k = stack[-1][2]
+                while k and stack[k][0] not in closes and stack[k][0] not in BARRIER:
+                    k = stack[k - 1][2]
+                if k and stack[k][0] in closes:
+                    if name == "tr":  # a row's cell, and the row
+                        up = stack[k - 1][2]
+                        k = up if stack[up][0] == "tr" and stack[k][0] != "tr" else k
+                    cut(k)
+            elif stack[stack[-1][2]][0] == "p":  # a block element ends an open paragraph
+                cut(stack[-1][2])
+        flags = stack[-1][1]
         if name in SILENT:
-            flags.add("silent")
-        if name in AROUND and not (name == "header" and "main" in flags):
-            flags.add("around")
+            flags |= IN_SILENT
+        if name == "a":
+            flags |= IN_LINK
+        if name == "math":
+            flags |= IN_MATH
+        if name in AROUND and not (name == "header" and flags & IN_MAIN):
+            flags |= IN_AROUND
         if name in MAIN:
-            flags.add("main")
-            flags.discard("good")
-        if m[3].strip():
-            attributes = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(m[3])}
-            named = " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label"))
-            if named.strip() and name not in ("body", "html"):
-                if BOILER.search(named):
-                    flags.add("boiler")
-                elif GOOD.search(named):
-                    flags.add("good")
-            if "hidden" in m[3].lower().split() or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", ""):
-                flags.add("silent")
-        number += 1
-        stack.append((name, number, frozenset(flags)))
-        if name in ("script", "style", "textarea"):  # raw text up to the end tag
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.start() if end else n
+            flags = (flags | IN_MAIN) & ~IN_GOOD
+        if named:
+            if name not in ("body", "html"):
+                flags |= names_say(" ".join(named.get(k, "") for k in ("class", "id", "role")))
+            if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or "display:none" in named.get("style", "").lower().replace(" ", ""):
+                flags |= IN_SILENT
+        if block:
+            number = len(parent)
+            parent.append(stack[-1][3])
+            depth.append(depth[stack[-1][3]] + 1)
+            stack.append((name, flags, len(stack), number))
+        else:
+            stack.append((name, flags, stack[-1][2], stack[-1][3]))
+        is_open[name] = is_open.get(name, 0) + 1
+        if name in RAW and not (end := re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)):
+            break  # the rest of the page is its content
+        if name in RAW:
+            at = end.start()
     flush()
-    return out
+    return out, parent, depth
+
+
+def features(b: Block) -> tuple[float, ...]:
+    """Bias, share of link text, length, end of a sentence, heading; in steps, so that equal blocks can be counted."""
+    return (1.0, round(5 * max(0.0, b.linked - 0.2)) / 5, round(6 * min(1.0, math.log1p(len(b.text)) / 6)) / 6, float(b.text[-1] in ".!?…\"”»"), float(b.tag in ("h1", "h2", "h3")))
 
 
-def score(b: Block) -> float:
-    """The classifier: log odds that the block is content."""
-    s = WEIGHTS["bias"] + sum(WEIGHTS[f] for f in ("main", "around", "boiler", "good") if f in b.flags)
-    s += WEIGHTS["link"] * max(0.0, b.linked - 0.2) + WEIGHTS["heading"] * (b.tag in ("h1", "h2", "h3"))
-    s += WEIGHTS["long"] * min(1.0, math.log1p(len(b.text)) / 6) + WEIGHTS["stop"] * (b.text[-1] in ".!?…")
-    return s if "main" in b.flags or "good" in b.flags or "around" in b.flags or "boiler" in b.flags else s - 0.6
+def weak_label(b: Block) -> int | None:
+    """1 in an article, 0 in what is around one; None where tags and names don't tell."""
+    if b.flags & (IN_AROUND | IN_BOILER):
+        return 0
+    return 1 if b.flags & IN_MAIN else None
+
+
+def fit(rows: list[tuple]) -> tuple[float, ...]:
+    """Logistic regression by Newton's method with a ridge penalty; rows: features, label, count. Both labels weigh the same."""
+    if len({r[-2] for r in rows}) < 2:
+        return DEFAULT
+    x, y, n = (np.array(v, float) for v in ([r[:-2] for r in rows], [r[-2] for r in rows], [r[-1] for r in rows]))
+    for label in (0, 1):
+        n[y == label] *= 100 / n[y == label].sum()
+    w = np.zeros(x.shape[1])
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x.T * (n * p * (1 - p))) @ x + RIDGE * np.eye(len(w)), x.T @ (n * (y - p)) - RIDGE * w)
+    return tuple(np.round(w, 6).tolist())
+
+
+def _observe(batches):
+    seen: dict[tuple, int] = {}
+    for batch in batches:
+        for part in slices(batch, "html"):
+            for html in part.column("html").to_pylist():
+                for b in blocks(html or "")[0]:
+                    if (y := weak_label(b)) is not None:
+                        key = (*features(b), y)
+                        seen[key] = seen.get(key, 0) + 1
+    rows = [[*k, n] for k, n in seen.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(DEFAULT) + 2)], names=[f"x{k}" for k in range(len(DEFAULT) + 2)])
+
+
+def fitted(pages: DataFrame) -> tuple[float, ...]:
+    """The classifier's weights, from the blocks of PAGES pages that tags and names label. What comes to the driver are counts of equal
+    features, at most 5 * 7 * 2 * 2 * 2 rows, whatever the data."""
+    few = pages.select("html", F.xxhash64("page_id", "url").alias("h")).where("html is not null").orderBy("h").limit(PAGES).select("html")
+    names = [f"x{k}" for k in range(len(DEFAULT) + 2)]
+    seen = few.mapInArrow(_observe, ", ".join(f"{c} double" for c in names)).groupBy(*names[:-1]).agg(F.sum(names[-1]).alias("n"))
+    return fit(sorted(tuple(r) for r in seen.collect()))
+
+
+def scores(found: list[Block], weights: tuple[float, ...] = DEFAULT) -> list[float]:
+    """Log odds that each block is content: the classifier's, and what its tags and names say."""
+    article = any(b.flags & IN_MAIN and not b.flags & (IN_AROUND | IN_BOILER) for b in found)
+    out = []
+    for b in found:
+        s = max(-TEXT_MOST, min(TEXT_MOST, sum(w * x for w, x in zip(weights, features(b), strict=True))))
+        s += sum(v for flag, v in PRIOR.items() if b.flags & flag)
+        if not b.flags & IN_MAIN:
+            s += OUTSIDE if article else PLAIN
+        out.append(s)
+    return out
 
 
 def min_cut(score_of: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -197,43 +352,53 @@ def min_cut(score_of: list[float], edges: list[tuple[int, int, float]]) -> list[
             a = to[e]
 
 
-def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+def smoothness(found: list[Block], parent: list[int], depth: list[int]) -> list[tuple[int, int, float]]:
     """Edges between neighbours on the page, weaker with their distance in the DOM, and between neighbours of one parent."""
     edges = []
-    last: dict[tuple, int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            common = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            edges.append((i - 1, i, NEXT / (1 + len(a) + len(b.path) - 2 * common)))
-        parent = b.path[:-1]
-        if parent in last:
-            edges.append((last[parent], i, SIBLING))
-        last[parent] = i
+            x, y, far = found[i - 1].node, b.node, 0
+            while x != y:  # no longer than the tags that lie between the two
+                if depth[x] >= depth[y]:
+                    x, far = parent[x], far + 1
+                else:
+                    y, far = parent[y], far + 1
+            edges.append((i - 1, i, NEXT / (1 + far)))
+        if parent[b.node] in last:
+            edges.append((last[parent[b.node]], i, SIBLING))
+        last[parent[b.node]] = i
     return edges
 
 
-def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    keep = min_cut([score(b) for b in found], smoothness(found))
+def main_text(html: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
+    found, parent, depth = blocks(html or "")
+    keep = min_cut(scores(found, weights), smoothness(found, parent, depth))
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
-def _extract(batches):
-    for batch in batches:
-        for part in slices(batch, "html"):
-            texts = [main_text(h) for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _extract(weights):
+    @trimmed
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "html"):
+                texts = [main_text(h, weights) for h in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html).
 
-    Blocks that the cut leaves with the source are joined by an empty line. A page's whole html is read; tags may be unclosed, the end may
-    be missing. Null or empty html, or html without text: empty text, 0. Repeated rows and null ids: a row each, as given.
+    Blocks that the cut leaves with the source are joined by an empty line. A page's whole html is read, in time that grows with its length;
+    tags may be unclosed, the end may be missing. Null or empty html, or html without text: empty text, 0. Repeated rows and null ids: a row
+    each, as given; other columns are not read. Ties of the cut go to boilerplate. An empty table gives an empty result.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    weights = fitted(pages)
+    return pages.select("page_id", "url", "html").mapInArrow(_extract(weights), "page_id long, url string, text string, n_chars long")
 
 
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; see extracted."""
     return extracted(table(spark, sf_dir, "pages"))
