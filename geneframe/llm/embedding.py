@@ -105,7 +105,7 @@ def linked(vectors: DataFrame) -> DataFrame:
     Two vectors of one label link if their cosine, in double precision, is COSINE or more. Equal vectors are compared once and counted as
     often as they occur. Cells, labels and lengths never split a link: see _assign. A vector without label or vec_id, null, zero, or with
     a null or non-finite component has no link and is a component of its own; vectors of unequal length have no link. Rows that repeat a
-    vec_id count as vectors of one component. An empty table gives an empty result.
+    vec_id are vectors of their own, each with its own links. Equal vectors are linked. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     v = vectors.select("vec_id", "label", "embedding")
@@ -113,12 +113,14 @@ def linked(vectors: DataFrame) -> DataFrame:
     keys = [F.when(ok, F.xxhash64("embedding")).alias("k1"), F.when(ok, F.xxhash64(F.reverse("embedding"))).alias("k2"), F.when(ok, F.size("embedding")).alias("dim")]
     v = written(v.select("vec_id", "label", "embedding", *keys))
     by = ["label", "dim", "k1", "k2"]
-    groups = written(v.where("k1 is not null").groupBy(*by).agg(F.min("vec_id").alias("gid"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")))
+    # gid is the group's own number, fixed by writing it: a vec_id may stand for several vectors
+    groups = v.where("k1 is not null").groupBy(*by).agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
+    groups = written(groups.withColumn("gid", F.monotonically_increasing_id()))
     edges, counts = [], []
     for dim in sorted(r[0] for r in groups.select("dim").distinct().collect()):
         own = groups.where(F.col("dim") == dim).select("label", "gid", "n", "embedding")
         size = own.groupBy("label").count().agg(F.max("count")).first()[0]
-        fit = own.select("embedding", F.xxhash64("gid", "label").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
+        fit = own.select("embedding", F.xxhash64("embedding", "label").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
         centroids = spark.sparkContext.broadcast(spherical_kmeans(_unit(_matrix(fit.column("embedding"))), max(1, min(MOST_CELLS, math.ceil(size / PER_CELL)))))
         kinds = {f.name: f.dataType.simpleString() for f in own.schema}
         cells = written(own.mapInArrow(_assign(centroids), f"label {kinds['label']}, gid long, n long, embedding {kinds['embedding']}, cell int, home boolean"))
@@ -135,15 +137,17 @@ def linked(vectors: DataFrame) -> DataFrame:
         found, pairs = counts[0], edges[0]
         for a, b in zip(counts[1:], edges[1:], strict=True):
             found, pairs = found.unionByName(a), pairs.unionByName(b)
-        known = components(pairs)
-        found = found.groupBy("gid").agg(F.sum("links").alias("links")).join(known.withColumnRenamed("id", "gid"), "gid", "left")
-        groups = groups.drop("embedding").join(found, "gid")
-        v = v.drop("embedding").join(groups, by, "left")
+        known = components(pairs).withColumnRenamed("id", "gid")
+        found = found.groupBy("gid").agg(F.sum("links").alias("links")).join(known, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+        groups = written(groups.drop("embedding").join(found, "gid"))
+        roots = written(groups.groupBy("component").agg(F.min("least").alias("root")))
+        v = v.drop("embedding").join(groups.join(roots, "component"), by, "left")
     else:
-        v = v.drop("embedding").withColumns({"gid": F.lit(None).cast("long"), "n": F.lit(None).cast("long"), "links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
-    component = F.coalesce("component", "gid", "vec_id")
+        v = v.drop("embedding").withColumns({c: F.lit(None).cast("long") for c in ("n", "links", "root")})
+    component = F.coalesce("root", "vec_id")
     return v.select("vec_id", F.coalesce(F.col("n") - 1 + F.col("links"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component; see linked."""
     return linked(table(spark, sf_dir, "embeddings"))
