@@ -114,9 +114,10 @@ def trimmed(run):
     return inner
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
-    """batch in runs of rows with at most `most` bytes in the column; a longer row stands alone."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, sizes: pa.Array | None = None):
+    """batch in runs of rows with at most `most` bytes in the column (or of the sizes given); a longer row stands alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0) if sizes is None else sizes
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(ends):
         base = ends[at - 1] if at else 0

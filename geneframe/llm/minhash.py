@@ -6,18 +6,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, hashes, mix, shingles, slices, table, text_bytes, words, written
+from .common import components, discard, hashes, mix, shingles, slices, table, text_bytes, trimmed, words, written
 
 SIMILARITY, WIDTH = 0.8, 5
 #: A pair of similarity 0.8 shares none of BANDS bands of ROWS samples with probability (1 - 0.8**3)**12 = 0.0002.
 BANDS, ROWS = 12, 3
 #: Counters of the document-frequency sketch: fixed in size, so it may be broadcast.
 SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
-#: A shingle in one document only weighs 1 + IDF_SHARE times one that is in all.
-IDF_SHARE = 0.1
+#: Pairs that share a text are dealt to one task for each so many of them.
+PAIRS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +51,7 @@ def _cells(h: np.ndarray):
     return [(mix(h + np.uint64(d + 1)) % np.uint64(SKETCH_WIDTH)).astype(np.int64) for d in range(SKETCH_DEPTH)]
 
 
+@trimmed
 def _count(batches):
     counts = np.zeros((SKETCH_DEPTH, SKETCH_WIDTH), np.int64)
     for batch in batches:
@@ -63,7 +65,8 @@ def _count(batches):
 
 
 class Weights:
-    """TF-IDF weights from the sketch. A count is lowered by what other shingles put into its cell on average (count-mean-min)."""
+    """TF-IDF weights from the sketch: the count in the text times 1 + log(N / df) / log(N), so a shingle of one document weighs twice one
+    that is in all. A counter is lowered by what other shingles put into its cell on average (count-mean-min)."""
 
     def __init__(self, flat: np.ndarray, n_docs: int):
         counts = flat.reshape(SKETCH_DEPTH, SKETCH_WIDTH).astype(np.float64)
@@ -72,7 +75,7 @@ class Weights:
 
     def idf(self, h: np.ndarray) -> np.ndarray:
         df = np.minimum.reduce([self.df[d][cell] for d, cell in enumerate(_cells(h))])
-        return (1 + IDF_SHARE * np.maximum(0, np.log(self.n / df)) / np.log(self.n)).astype(np.float32)
+        return (1 + np.maximum(0, np.log(self.n / df)) / np.log(self.n)).astype(np.float32)
 
 
 def weights(docs: DataFrame) -> Weights:
@@ -114,6 +117,7 @@ def samples(rows: np.ndarray, h: np.ndarray, w: np.ndarray, n_rows: int, number:
 
 
 def _sign(weigh):
+    @trimmed
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -142,9 +146,11 @@ def _sign(weigh):
 def _verify(weigh):
     """Pairs with both texts -> those whose weighted Jaccard similarity is enough."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text_u"):
+            size = pc.add(pc.fill_null(pc.binary_length(batch.column("text_u")), 0), pc.fill_null(pc.binary_length(batch.column("text_v")), 0))
+            for part in slices(batch, "text_u", sizes=size):
                 n, both = len(part), [_shingle_sets(part.column(c)) for c in ("text_u", "text_v")]
                 rows, h, tf = (np.concatenate(x) for x in zip(*both, strict=True))
                 w = tf * weigh.value.idf(h).astype(np.float64)
@@ -162,6 +168,7 @@ def _verify(weigh):
 def _prefixes(weigh):
     """For each text, its rarest shingles up to (1 - s) of its weight, the weight before each, and a flag for those within 1 - 2s / (1 + s)."""
 
+    @trimmed
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -199,24 +206,35 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = signed.where("node is not null").groupBy("node").agg(F.any_value("keys").alias("keys"), F.min("rarity").alias("rarity"), F.min("total").alias("total"))
     banded = nodes.select("node", "rarity", "total", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.min(F.struct("rarity", "node")).alias("first")).where("members > 1")
+    # written before it is joined, as all aggregates here: the join's sides are plain shuffles, so Spark can split a large bucket
+    buckets = written(buckets)
     banded = written(banded.join(buckets.select("band", "key", F.col("first.node").alias("first")), ["band", "key"]))
     texts = docs.where("text is not null").withColumn("node", F.unhex(F.md5("text")))
     wanted = banded.select("node").distinct()
     texts = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-        return pairs.mapInArrow(_verify(weigh), "u binary, v binary")
+        """The pairs whose similarity is enough. A text that is in many pairs goes to several tasks, PAIRS of its pairs in each."""
+        pairs = written(pairs)
+        often = written(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("shares")))
+        dealt = pairs.join(often, "u").withColumn("share", F.pmod(F.xxhash64("v"), F.col("shares")).cast("int")).select("u", "v", "share")
+        hubs = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")).join(often, "u").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+        both = dealt.join(hubs, ["u", "share"]).join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+        out = written(both.select("u", "v", "text_u", "text_v").mapInArrow(_verify(weigh), "u binary, v binary"))
+        discard(pairs, often)
+        return out
 
     stars = banded.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    links = written(verified(stars))
+    links = verified(stars)
     known = components(links)
     banded = banded.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = banded.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
+    mixed = written(mixed)
     left = written(banded.join(mixed, ["band", "key"]).select("node", "component", "total").distinct())
     prefixes = texts.join(left.select("node"), "node", "left_semi").mapInArrow(_prefixes(weigh), "node binary, shingle long, before double, short boolean")
     keyed = written(left.join(prefixes, "node"))
     several = keyed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
+    several = written(several)
     keyed = written(keyed.join(several, "shingle"))
     x = keyed.where("short").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "total", "before")))
     y = keyed.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "total", "before")))
@@ -225,28 +243,33 @@ def classes(docs: DataFrame) -> DataFrame:
     near = (F.col("component_x") != F.col("component_y")) & (F.col("total_y") >= F.col("total_x") - 1e-6) & (F.col("total_x") >= (SIMILARITY - 1e-6) * F.col("total_y"))
     pairs = x.join(y, (x["shingle"] == y["shingle"]) & near & fits & (F.col("node_x") != F.col("node_y")))
     pairs = pairs.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
-    links = links.unionByName(written(verified(pairs)))
+    links = links.unionByName(verified(pairs))
     known = written(components(links)).withColumnRenamed("id", "node")
     ids = signed.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = written(ids.select("doc_id", "node", "component"))
     totals = ids.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    totals = written(totals)
     ids = ids.join(totals, "component", "left")
     alone = F.col("node").isNull()
     return ids.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "component")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: its smallest doc_id (null last; then the smallest text hash; of repeated rows one)."""
+    """docs with one document of each class: its smallest doc_id (null last; then the smallest text hash; of repeated rows one).
+
+    Null, empty and wordless texts all stay. Columns may have any names, null ids any number; an empty table stays empty.
+    """
     names = docs.columns
     c = classes(docs)
     first = c.where("component is not null and class_size > 1").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("x"))
     member = c.where("component is not null and class_size > 1").select("component", "node").distinct().join(first, "component").select(F.col("node").alias("_node"), F.col("x").alias("_first"))
     inner = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), _node_of(F.col("text")).alias("_own"))
     joined = inner.join(member, F.col("_own") == F.col("_node"), "left")
-    alone = joined.where("_node is null").select("_row")
-    chosen = joined.where("_node is not null").where(F.col("_first.node").eqNullSafe(F.col("_own")) & F.col("_row.doc_id").eqNullSafe(F.col("_first.doc_id")))
-    chosen = chosen.groupBy("_own").agg(F.any_value("_row").alias("_row")).select("_row")
-    return alone.unionByName(chosen).select(*(F.col(f"_row.`{n}`").alias(n) for n in names))
+    mine = F.col("_first.node").eqNullSafe(F.col("_own")) & F.col("_row.doc_id").eqNullSafe(F.col("_first.doc_id"))
+    # written before rows are grouped: so the join can be split where one text is a third of all rows, and only what stays is grouped
+    stays = written(joined.where(F.col("_node").isNull() | mine).select("_row", "_own", F.col("_node").isNull().alias("_alone")))
+    chosen = stays.where(~F.col("_alone")).groupBy("_own").agg(F.any_value("_row").alias("_row")).select("_row")
+    return stays.where("_alone").select("_row").unionByName(chosen).select(*(F.col(f"_row.`{n}`").alias(n) for n in names))
 
 
 def _node_of(text: Column) -> Column:
@@ -254,5 +277,6 @@ def _node_of(text: Column) -> Column:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies, and whether it is the one that stays; see classes."""
     c = classes(table(spark, sf_dir, "documents"))
     return c.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
