@@ -269,15 +269,15 @@ def _decided(docs: DataFrame, text: str, keep: list[str] | None, with_text: bool
 
 
 def decided(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs (all if not said) and spans: the spans that stay, by start, then kind.
+    """The kept columns of docs (all if not said) and _spans: the spans that stay, by start, then kind.
 
     Null or empty text: none. Repeated rows are handled alike; ties in start are in the order of KINDS. Texts of any length: starts are sums
-    of the lengths of what lies between matches, so no text is walked once for each match. An input column named spans gives way to the
+    of the lengths of what lies between matches, so no text is walked once for each match. An input column named _spans gives way to the
     result. An empty table stays empty.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "spans"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "_spans"]
     d = _decided(docs, text, keep or None, False)
-    return d.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), F.col("_spans").alias("spans"))
+    return d.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), "_spans")
 
 
 #: Code points of the pieces in which a text is cut for replacing, so that a span's place is found without a walk from the text's start.
@@ -330,7 +330,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data. Base spans as the contract's patterns give them; spans and n_added also hold what the method adds:
     spelled-out addresses, phone numbers without +, and secrets. Null text: no span; repeated rows: a row each; long texts: whole."""
     d = decided(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    base = F.filter("spans", lambda s: s["base"])
-    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == KINDS.index(k)))).cast("long").alias(f"n_{k}")
-    sizes = [F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")]
-    return d.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *sizes)
+    base = F.filter("_spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter("_spans", lambda s: s["base"] & (s["kind"] == KINDS.index(k)))).cast("long").alias(f"n_{k}")
+    sizes = [F.size("_spans").cast("long").alias("n_spans"), F.size(F.filter("_spans", lambda s: ~s["base"])).cast("long").alias("n_added")]
+    return d.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"), *sizes)
