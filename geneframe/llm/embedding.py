@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, discard, table, trimmed, written
 
 COSINE = 0.93
 #: k-means is fitted on at most SAMPLE vectors (those of smallest hash) and has a cell for each PER_CELL vectors of the most frequent label,
@@ -116,7 +116,7 @@ def linked(vectors: DataFrame) -> DataFrame:
     # gid is the group's own number, fixed by writing it: a vec_id may stand for several vectors
     groups = v.where("k1 is not null").groupBy(*by).agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
     groups = written(groups.withColumn("gid", F.monotonically_increasing_id()))
-    edges, counts = [], []
+    edges, counts, done = [], [], []
     for dim in sorted(r[0] for r in groups.select("dim").distinct().collect()):
         own = groups.where(F.col("dim") == dim).select("label", "gid", "n", "embedding")
         size = own.groupBy("label").count().agg(F.max("count")).first()[0]
@@ -130,6 +130,7 @@ def linked(vectors: DataFrame) -> DataFrame:
         asked = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("b").alias("j"), F.when(F.col("home") & (i == F.col("b")), "b").otherwise("o").alias("side")))
         asks = F.transform(F.filter(every, lambda j: F.col("home") & (j != F.col("b"))), lambda j: F.struct(F.col("b").alias("i"), j.alias("j"), F.lit("h").alias("side")))
         tasks = placed.withColumn("t", F.explode(F.concat(asked, asks))).select("label", "cell", "t.i", "t.j", "t.side", "gid", "n", "embedding")
+        done.append(cells)
         found = written(tasks.groupBy("label", "cell", "i", "j").applyInArrow(_compare, "gid long, links long, to long"))
         counts.append(found)
         edges.append(found.where("gid <> to").select(F.col("gid").alias("u"), F.col("to").alias("v")))
@@ -140,6 +141,7 @@ def linked(vectors: DataFrame) -> DataFrame:
         known = components(pairs).withColumnRenamed("id", "gid")
         found = found.groupBy("gid").agg(F.sum("links").alias("links")).join(known, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
         groups = written(groups.drop("embedding").join(found, "gid"))
+        discard(*done)
         roots = written(groups.groupBy("component").agg(F.min("least").alias("root")))
         v = v.drop("embedding").join(groups.join(roots, "component"), by, "left")
     else:

@@ -209,9 +209,11 @@ def classes(docs: DataFrame) -> DataFrame:
     # written before it is joined, as all aggregates here: the join's sides are plain shuffles, so Spark can split a large bucket
     buckets = written(buckets)
     banded = written(banded.join(buckets.select("band", "key", F.col("first.node").alias("first")), ["band", "key"]))
+    done = [signed, buckets, banded]  # to be deleted at the end
     texts = docs.where("text is not null").withColumn("node", F.unhex(F.md5("text")))
     wanted = banded.select("node").distinct()
     texts = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text")))
+    done.append(texts)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs whose similarity is enough. A text that is in many pairs goes to several tasks, PAIRS of its pairs in each."""
@@ -225,7 +227,8 @@ def classes(docs: DataFrame) -> DataFrame:
         return out
 
     stars = banded.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
-    links = verified(stars)
+    found = [verified(stars)]
+    links = found[0]
     known = components(links)
     banded = banded.join(known.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = banded.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "key")
@@ -233,9 +236,11 @@ def classes(docs: DataFrame) -> DataFrame:
     left = written(banded.join(mixed, ["band", "key"]).select("node", "component", "total").distinct())
     prefixes = texts.join(left.select("node"), "node", "left_semi").mapInArrow(_prefixes(weigh), "node binary, shingle long, before double, short boolean")
     keyed = written(left.join(prefixes, "node"))
+    both_keyed = [keyed]
     several = keyed.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("shingle")
     several = written(several)
     keyed = written(keyed.join(several, "shingle"))
+    both_keyed.append(keyed)
     x = keyed.where("short").select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "total", "before")))
     y = keyed.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "total", "before")))
     # at the first shingle that two texts share, what is left of both must be enough
@@ -243,10 +248,12 @@ def classes(docs: DataFrame) -> DataFrame:
     near = (F.col("component_x") != F.col("component_y")) & (F.col("total_y") >= F.col("total_x") - 1e-6) & (F.col("total_x") >= (SIMILARITY - 1e-6) * F.col("total_y"))
     pairs = x.join(y, (x["shingle"] == y["shingle"]) & near & fits & (F.col("node_x") != F.col("node_y")))
     pairs = pairs.select(F.least("node_x", "node_y").alias("u"), F.greatest("node_x", "node_y").alias("v")).distinct()
-    links = links.unionByName(verified(pairs))
+    found.append(verified(pairs))
+    links = links.unionByName(found[1])
     known = written(components(links)).withColumnRenamed("id", "node")
     ids = signed.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = written(ids.select("doc_id", "node", "component"))
+    discard(*done, mixed, left, several, *both_keyed, *found)
     totals = ids.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     totals = written(totals)
     ids = ids.join(totals, "component", "left")
@@ -260,7 +267,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Null, empty and wordless texts all stay. Columns may have any names, null ids any number; an empty table stays empty.
     """
     names = docs.columns
-    c = classes(docs)
+    c = written(classes(docs))
     first = c.where("component is not null and class_size > 1").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("x"))
     member = c.where("component is not null and class_size > 1").select("component", "node").distinct().join(first, "component").select(F.col("node").alias("_node"), F.col("x").alias("_first"))
     inner = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), _node_of(F.col("text")).alias("_own"))

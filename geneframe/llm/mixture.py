@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 #: Hash bits looked at by each level; after all of them only rows with equal hashes share a bucket.
 LEVEL_BITS, LEVELS = 12, 5
@@ -43,22 +43,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", "target")
 
 
-def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs with size, source_size, target and taken added (existing columns of these names are replaced).
-
-    Each source is taken whole floor(target / size) times. For the rest of its budget, its documents are ordered by a hash of their key
-    and text; sums by source and hash bucket give the bucket in which the budget ends, only that bucket is cut finer, and after LEVELS
-    levels the threshold is one hash value. Documents below it are taken once more; the rows that share the value divide what is left of
-    the budget in proportion to their sizes, so a source's words match its target to within one word for each such row. The thresholds of
-    the first, second and third pass are nested: a document is never in a later pass without being in the earlier ones.
-
-    Null text has size 0 and is taken 0 times; null source is a source; equal rows get equal shares; an empty table stays empty.
-    """
-    docs = docs.drop("size", "source_size", "target", "taken")
-    rows = docs.select("*", word_count(F.col(text)).alias("size"), row_hash(*(F.col(k) for k in key), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_hash"))
+def _mixed(docs: DataFrame, source: str, text: str, key: tuple[str, ...]) -> DataFrame:
+    """_row (all columns of docs as a struct, so that no name can clash), size, source_size, target and taken of each row."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    own = row_hash(*(F.col(f"`{k}`") for k in key), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    rows = docs.select(row, F.col(f"`{source}`").alias("_source"), word_count(F.col(f"`{text}`")).alias("size"), own.alias("_hash"))
     bucket = lambda level: F.shiftright("_hash", 60 - LEVEL_BITS * (level + 1))
     # A histogram needs three narrow columns: they are written once and read again by each level.
-    narrow = written(rows.select(F.col(source).alias("_source"), "size", "_hash"))
+    narrow = written(rows.select("_source", "size", "_hash"))
     goal = targets(narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size")))
     cut = goal.select(F.col("source").alias("_source"), "source_size", "target").withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     cut = written(cut.withColumn("left", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")).withColumn("prefix", F.lit(0).cast("long")))
@@ -68,24 +60,47 @@ def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: tupl
         upto = W.partitionBy("_source").orderBy("b")
         sums = sums.withColumn("below", F.sum("n").over(upto) - F.col("n")).withColumnRenamed("_source", "s")
         found = sums.join(cut.drop("n"), F.col("s").eqNullSafe(F.col("_source"))).where("below <= left").groupBy("_source", "source_size", "target", "whole", "left")
-        cut = written(found.agg(F.max_by(F.struct(F.col("b").alias("prefix"), "below", "n"), "b").alias("x")).select("_source", "source_size", "target", "whole", (F.col("left") - F.col("x.below")).alias("left"), "x.prefix", F.col("x.n").alias("n")))
+        old, cut = cut, written(found.agg(F.max_by(F.struct(F.col("b").alias("prefix"), "below", "n"), "b").alias("x")).select("_source", "source_size", "target", "whole", (F.col("left") - F.col("x.below")).alias("left"), "x.prefix", F.col("x.n").alias("n")))
+        discard(old)
+    discard(narrow)
     cut = cut.select(*(F.col(c).alias(f"_mix_{c}") for c in cut.columns))
-    out = rows.join(cut, F.col("_mix__source").eqNullSafe(F.col(source)), "left")
+    out = rows.join(cut, F.col("_mix__source").eqNullSafe(F.col("_source")), "left")
     whole, left, n, size, at = F.col("_mix_whole"), F.col("_mix_left"), F.col("_mix_n"), F.col("size"), F.col("_mix_prefix")
     share = F.when(n > 0, F.floor(F.least(left, n) * size / n)).otherwise(0)
     more = F.when(F.col("_hash") < at, size).when(F.col("_hash") == at, share).otherwise(0)
-    return out.select(*docs.columns, "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (whole * size + more).cast("long").alias("taken"))
+    return out.select("_row", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (whole * size + more).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, source: str = "source", text: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs with size, source_size, target and taken added (existing columns of these names give way).
+
+    Each source is taken whole floor(target / size) times. For the rest of its budget, its documents are ordered by a hash of their key
+    and text; sums by source and hash bucket give the bucket in which the budget ends, only that bucket is cut finer, and after LEVELS
+    levels the threshold is one hash value. Documents below it are taken once more; the rows that share the value divide what is left of
+    the budget in proportion to their sizes, so a source's words match its target to within one word for each such row. The thresholds of
+    the first, second and third pass are nested: a document is never in a later pass without being in the earlier ones.
+
+    Null text has size 0 and is taken 0 times; null source is a source; equal rows get equal shares; texts of any length are only counted;
+    other columns may have any names; an empty table stays empty.
+    """
+    results = ("size", "source_size", "target", "taken")
+    m = _mixed(docs, source, text, key)
+    return m.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in results), *results)
 
 
-def resampled(docs: DataFrame, **options) -> DataFrame:
-    """docs as the mix takes them: each as many times as taken / size says, rounded to whole copies. Columns stay as they are."""
-    m = mixed(docs, **options)
+def resampled(docs: DataFrame, source: str = "source", text: str = "text", key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs as the mix takes them: each as many times as taken / size says, rounded to whole copies. All columns stay as they are, whatever
+    they are named; nulls, ties and empty tables as in mixed, so a null or empty text is not taken."""
+    m = _mixed(docs, source, text, key)
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return m.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).select(*docs.columns)
+    m = m.select("_row", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias("_copy"))
+    return m.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Every document's share of the mix; see mixed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _SIZES = r"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix, slices, table, text_bytes, written
+from .common import Rolling, discard, mix, slices, table, text_bytes, trimmed, written
 
 #: Length of a repeated string, and of the substring whose fingerprint stands for it.
 LENGTH, GRAM = 200, 48
@@ -452,8 +452,9 @@ def stripped(docs: DataFrame) -> DataFrame:
     places = places.join(twice.select("fp", F.explode(salts).alias("salt")), ["fp", "salt"], "left_semi")
     places = written(places.distinct().drop("salt"))
     regions = places.groupBy("fp", "region", "size").agg(F.count("*").alias("n"), F.min(F.struct("node", "a")).alias("at"))
-    more = regions.groupBy("fp").agg(F.sum("n").alias("all")).where("all > 1").select("fp")
-    regions = written(regions.join(more, "fp", "left_semi"))
+    # written before it is joined, so that the join's sides are plain shuffles and Spark can split a gram with many regions
+    more = written(regions.groupBy("fp").agg(F.sum("n").alias("all")).where("all > 1").select("fp"))
+    regions = every = written(regions.join(more, "fp", "left_semi"))
     large = written(regions.groupBy("fp").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > SHARD_BYTES).select("fp"))
     folded = None
     if not large.isEmpty():
@@ -462,14 +463,17 @@ def stripped(docs: DataFrame) -> DataFrame:
     total = regions.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("fp"), F.lit(shards)).alias("shard")
-    wanted = regions.select(F.col("at.node").alias("node"), F.struct(shard, "fp", "region", F.col("at.a").alias("a"), "size", "n").alias("r")).groupBy("node").agg(F.collect_list("r").alias("regions"))
-    one = texts.join(written(wanted), "node").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("regions").alias("regions"))
+    asked = regions.select(F.col("at.node").alias("node"), F.struct(shard, "fp", "region", F.col("at.a").alias("a"), "size", "n").alias("r")).groupBy("node").agg(F.collect_list("r").alias("regions"))
+    asked = written(asked)
+    one = texts.join(asked, "node").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("regions").alias("regions"))
     pieces = one.select("text", "regions").mapInArrow(_cut, "shard long, fp long, region long, bytes binary, several boolean")
     found = written(pieces.groupBy("shard").applyInArrow(_sort, "fp long, region long, runs array<struct<s:int,e:int>>"))
+    done = [twice, more, every, large, asked, places, found, *([] if folded is None else [folded])]
     found = found if folded is None else found.unionByName(folded)
     hits = places.join(found, ["fp", "region"]).select("node", F.explode(F.transform("runs", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"] + LENGTH - 1).alias("e")))).alias("span"))
     spans = hits.groupBy("node").agg(F.collect_list("span").alias("spans"))
     info = written(copies.join(spans, "node", "left").where("copies > 1 or spans is not null"))
+    discard(*done)
     joined = docs.join(info, "node", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
     return joined.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
