@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,17 @@ from .common import Rolling, discard, mix, slices, table, text_bytes, trimmed, w
 
 #: Length of a repeated string, and of the substring whose fingerprint stands for it.
 LENGTH, GRAM = 200, 48
-#: Bytes of distinct candidate text that one task sorts, and bytes of queued suffixes that it holds in memory before it spills.
-SHARD_BYTES, QUEUE_BYTES = 3 << 20, 64 << 20
+#: Bytes of distinct candidate text that one task sorts, and bytes of a queue, or of an array that lasts, that it holds in memory before it
+#: goes to disk.
+SHARD_BYTES, QUEUE_BYTES = 3 << 20, 4 << 20
+#: Sorted suffixes that are looked at together.
+RUN = 1 << 16
 #: Starts that are winnowed at once.
 STARTS = 1 << 18
 #: A gram with over one in HOT of the repeated grams' places is dealt to SALTS tasks. There are fewer than HOT, so they are broadcast.
 HOT, SALTS = 1_000, 64
+#: How a shard is sorted: see suffix_order.
+SORT: dict[str, int] = {"memory": 1 << 22, "limit": QUEUE_BYTES}
 
 
 # Sorting of suffixes
@@ -59,6 +65,16 @@ class BucketQueue:
         return [tuple(np.concatenate(x) for x in zip(*out, strict=True))] if out else []
 
 
+def _held(a: np.ndarray, limit: int) -> np.ndarray:
+    """a, or if it is larger than the limit the same from an unnamed file, mapped into memory as far as it is looked at."""
+    if a.nbytes <= limit:
+        return a
+    f = tempfile.TemporaryFile()
+    a.tofile(f)
+    f.flush()
+    return np.asarray(np.memmap(f, a.dtype, "r", shape=a.shape))
+
+
 def _chunk_keys(t: np.ndarray) -> tuple[np.ndarray, int]:
     """For each position the next symbols as one integer, most significant first, and how many fit: 8, 4 or 1. Positions after the end are 0."""
     width = 8 if t.max() < 1 << 8 else 4 if t.max() < 1 << 16 else 1
@@ -120,22 +136,31 @@ def _doubled(names: np.ndarray, steps: int) -> np.ndarray:
 
 
 def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limit: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the symbols t and each entry's common prefix with the one before, up to `depth` symbols (deeper ties in any order).
+    """Suffix array of the symbols t and each entry's common prefix with the one before, up to `depth` symbols (deeper ties in any order)."""
+    if len(t) < 2:
+        return np.arange(len(t)), np.zeros(len(t), np.int64)
+    pos, lcp = (np.concatenate(x)[::-1] for x in zip(*suffix_runs(t, depth, memory, limit), strict=True))
+    return pos, np.concatenate(([0], lcp[:-1])).astype(np.int64)
+
+
+def suffix_runs(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limit: int = QUEUE_BYTES):
+    """The suffixes of the symbols t (two at least) from the largest to the smallest, in runs: positions, and the common prefix of each with
+    the one given before it, up to `depth` symbols (deeper ties in any order).
 
     Induced sorting as in eSAIS (Bingmann, Fischer, Osipov, 2013): the S*-substrings are sorted and named; the string of names is sorted by
     recursion (in memory by doubling, once it has `memory` names at most); then queues, scanned by first symbol, induce the L-suffixes from
     the S*-suffixes and the S-suffixes from the L-suffixes, and carry the common prefixes along: that of two induced suffixes is one more
-    than the least between their sources. A queue takes and gives whole runs of tuples, so all steps work on arrays.
+    than the least between their sources. A queue takes and gives whole runs of tuples, so all steps work on arrays. Queues, the sorted
+    L-suffixes, the text, its types and the sorted S*-suffixes go to disk where they are over `limit` bytes; the result is never held. The
+    working arrays of naming are in memory: a few numbers for each S*-suffix, of which there is one for two symbols at most.
     """
     n = len(t)
-    if n < 2:
-        return np.arange(n), np.zeros(n, np.int64)
-    t = t.astype(np.int32) + np.int32(1)  # 0 is the end; positions are 32-bit, a shard is far smaller
+    t = _held(t.astype(np.int32) + np.int32(1), limit)  # 0 is the end; positions are 32-bit, a shard is far smaller
     # S (True) or L: by the next symbol that differs; the end is the smallest
     differs = np.flatnonzero(np.concatenate((t[1:] != t[:-1], [True])))
     after = differs[np.searchsorted(differs, np.arange(n))]
     follow = np.concatenate((t, [0]))
-    small = follow[after + 1] > t
+    small = _held(follow[after + 1] > t, limit)
     star = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     del differs, after, follow
     symbol_kind = np.uint16 if t.max() < 1 << 16 else np.int32  # 16-bit keys are sorted by radix
@@ -175,8 +200,10 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
             by = _doubled(names, max(1, int(np.ceil(np.log2(depth)))))
         else:
             by = suffix_order(names, depth, memory, limit)[0]
+        del rank, names, ends, typed, keys
         star = star[by]
-        star_lcp = np.concatenate(([0], _common(t, star[:-1], star[1:], depth, _chunk_keys(t)))).astype(np.int16)
+        star_lcp = _held(np.concatenate(([0], _common(t, star[:-1], star[1:], depth, _chunk_keys(t)))).astype(np.int16), limit)
+        star = _held(star, limit)
     else:
         star_lcp = np.zeros(0, np.int16)
     symbols = np.unique(t)
@@ -216,7 +243,7 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
     least[int(t[-1])] = np.int16(0)
     heads = np.searchsorted(t[star], symbols) if len(star) else np.zeros(len(symbols), int)
     tails = np.searchsorted(t[star], symbols, "right") if len(star) else heads
-    larges: dict[int, tuple] = {}
+    larges = BucketQueue(limit)
     takes_l = lambda p, c: ~small[p]
     for s, symbol in enumerate(symbols.tolist()):
         got, last = [], None
@@ -231,17 +258,17 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
                 got.append((pos, lcp))
                 last = int(pos[-1])
                 induce(queue, least, pos, lcp, takes_l)
-        pos, lcp = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int32), np.zeros(0, np.int16))
-        larges[symbol] = (pos, lcp)
+        for pos, lcp in got:
+            larges.push(symbol, pos, lcp)
         own, own_lcp = star[heads[s] : tails[s]], star_lcp[heads[s] : tails[s]].copy()
         if len(own):
             own_lcp[0] = _common(t, np.array([last]), own[:1], depth)[0] if last is not None else 0
             induce(queue, least, own, own_lcp, takes_l)
     # S-suffixes from the largest down; in a scan from the right, lcp is with the suffix scanned before
-    queue, least, out = BucketQueue(limit), {}, []
+    queue, least = BucketQueue(limit), {}
     takes_s = lambda p, c: small[p]
     for symbol in symbols[::-1].tolist():
-        got, last = [], None
+        last = None
         while True:
             fresh = queue.pop(symbol)
             if not fresh:
@@ -250,40 +277,48 @@ def suffix_order(t: np.ndarray, depth: int = LENGTH, memory: int = 1 << 22, limi
                 lcp = lcp.copy()
                 if last is None:
                     lcp[0] = 0
-                got.append((pos, lcp))
+                yield pos, lcp
                 last = int(pos[-1])
                 induce(queue, least, pos, lcp, takes_s)
-        pos, lcp = larges.pop(symbol)
-        if len(pos):
+        for pos, lcp in larges.pop(symbol):
             down, down_lcp = pos[::-1], np.concatenate(([0], lcp[:0:-1])).astype(np.int16)
             down_lcp[0] = _common(t, np.array([last]), down[:1], depth)[0] if last is not None else 0
-            got.append((down, down_lcp))
+            yield down, down_lcp
             induce(queue, least, down, down_lcp, takes_s)
-        out += got
-    pos, lcp = (np.concatenate(x)[::-1] for x in zip(*out, strict=True))
-    return pos, np.concatenate(([0], lcp[:-1])).astype(np.int64)
 
 
-def repeated_starts(strings: list[bytes], several: list[bool] | None = None, length: int = LENGTH, **options) -> list[np.ndarray]:
-    """For each string, which starts of `length` bytes occur at another place of the strings. Suffixes never run on into the next string.
-
-    A string with several places stands for all of them: its suffix tuples count as more than one.
-    """
-    parts = [np.concatenate((np.frombuffer(s, np.uint8).astype(np.int16) + np.int16(1), np.zeros(1, np.int16))) for s in strings]
-    t = np.concatenate(parts)
-    sizes = np.array([len(p) for p in parts])
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    del parts
-    order, lcp = suffix_order(t, length, **options)
-    full = (np.repeat(starts[1:] - 1, sizes) - np.arange(len(t)) >= length)[order]
-    # runs of suffixes that share `length` bytes; a run repeats if it stands for two places or more
-    same = (lcp >= length) & full & np.concatenate(([False], full[:-1]))
-    count = np.repeat(np.array(several if several is not None else [False] * len(strings), np.int64) + 1, sizes)[order]
-    heads = np.flatnonzero(~same)
-    places = np.repeat(np.add.reduceat(count, heads), np.diff(np.append(heads, len(order))))
+def repeated_starts(t: np.ndarray, sizes: np.ndarray, several: np.ndarray, length: int = LENGTH, **options) -> np.ndarray:
+    """Which starts of `length` symbols occur at another place. t: strings one behind the other, each with a 0 at its end; sizes: of each with
+    its 0. Suffixes never run on into the next string. A string with several places stands for all of them: its suffixes count twice."""
     again = np.zeros(len(t), bool)
-    again[order[full & (places > 1)]] = True
-    return [again[a : max(a, a + len(s) - length + 1)] for a, s in zip(starts, strings, strict=False)]
+    if len(t) < 2:
+        return again
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting, need = 0, RUN
+
+    def settle(last: bool):
+        """Runs of suffixes that share `length` symbols; a run repeats if it stands for two places or more. The last run may go on."""
+        pos, lcp = (np.concatenate(x) for x in zip(*held, strict=True))
+        row = np.searchsorted(starts, pos, "right") - 1
+        full = starts[row + 1] - 1 - pos >= length
+        heads = np.flatnonzero(~((lcp >= length) & full))  # equal symbols, so the one before is full as well
+        heads = heads if len(heads) and heads[0] == 0 else np.concatenate(([0], heads))
+        places = np.add.reduceat(several[row].astype(np.int64) + 1, heads)
+        stop = len(pos) if last else int(heads[-1])
+        places = np.repeat(places, np.diff(np.append(heads, len(pos))))
+        again[pos[:stop][(full & (places > 1))[:stop]]] = True
+        return [(pos[stop:], lcp[stop:])] if stop < len(pos) else []
+
+    for pos, lcp in suffix_runs(t, length, **options):
+        held.append((pos, lcp))
+        waiting += len(pos)
+        if waiting >= need:
+            held = settle(False)
+            waiting, need = 0, max(RUN, sum(len(p) for p, _ in held))  # a run that goes on doubles before it is looked at again
+    if held:
+        settle(True)
+    return again
 
 
 # Candidates
@@ -321,6 +356,7 @@ def _selected(data: np.ndarray, offsets: np.ndarray, roll: Rolling) -> tuple[np.
 
 
 def _winnow(with_places: bool):
+    @trimmed
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -345,6 +381,7 @@ def _winnow(with_places: bool):
     return run
 
 
+@trimmed
 def _cut(batches):
     """Texts with the regions that they stand for -> the regions' bytes, and whether the region has several places."""
     for batch in batches:
@@ -364,15 +401,37 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _sort(t: pa.Table) -> pa.Table:
-    strings, several = t.column("bytes").to_pylist(), t.column("several").to_pylist()
-    found = repeated_starts(strings, several)
-    keep = [i for i, f in enumerate(found) if f.any()]
-    take = pa.array(keep, pa.int64())
-    runs = [[{"s": a, "e": b} for a, b in _runs(found[i])] for i in keep]
-    return pa.table({"fp": t.column("fp").take(take), "region": t.column("region").take(take), "runs": pa.array(runs, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))})
+def _sort(options: dict[str, int]):
+    """A shard's regions, which come batch by batch and go to a file -> for each the runs of starts that repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = tempfile.TemporaryFile()
+        sizes, several, keys = [], [], []
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(batch.schema.get_field_index("bytes")))
+            own = np.diff(offsets)
+            out = np.zeros(len(data) + len(own), np.int16)
+            out[np.arange(len(data)) + np.repeat(np.arange(len(own)), own)] = data.astype(np.int16) + 1
+            out.tofile(f)
+            sizes.append(own + 1)
+            several.append(batch.column(batch.schema.get_field_index("several")).to_numpy(zero_copy_only=False))
+            keys.append(batch.select(["fp", "region"]))
+        f.flush()
+        sizes = np.concatenate(sizes)
+        again = repeated_starts(np.asarray(np.memmap(f, np.int16, "r", shape=(int(sizes.sum()),))), sizes, np.concatenate(several), **options)
+        at = 0
+        ends = np.cumsum(sizes)
+        for batch in keys:
+            runs = [_runs(again[ends[at + i] - sizes[at + i] : ends[at + i]]) for i in range(len(batch))]
+            at += len(batch)
+            keep = [i for i, r in enumerate(runs) if r]
+            column = pa.array([[{"s": a, "e": b} for a, b in runs[i]] for i in keep], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("fp", "region")), column], names=["fp", "region", "runs"])
+
+    return run
 
 
+@trimmed
 def _starts(batches):
     """Texts with regions of grams that are too large for a shard -> each start of the regions, with a hash of its LENGTH bytes."""
     for batch in batches:
@@ -409,14 +468,15 @@ def _folded(texts: DataFrame, regions: DataFrame) -> DataFrame:
     return found.select("fp", "region", F.zip_with(first, last, lambda a, b: F.struct(a.alias("s"), (b + 1).alias("e"))).alias("runs"))
 
 
+@trimmed
 def _strip(batches):
     for batch in batches:
         for part in slices(batch, "text"):
             out = []
-            for text, copies, spans in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("copies").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(part.column("text").cast(pa.large_binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
                 text = text or b""
                 merged: list[list[int]] = []
-                for a, b in [(0, len(text))] if copies > 1 and len(text) >= LENGTH else sorted((s["s"], s["e"]) for s in spans or ()):
+                for a, b in sorted((s["s"], s["e"]) for s in spans or ()):
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
@@ -430,7 +490,7 @@ def _strip(batches):
 def stripped(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) of each document of docs (doc_id, text).
 
-    1. Texts are known by their hash; one with copies is removed whole (if it has LENGTH bytes), and counts once for the others.
+    1. Copies of a text are known by its hash: it is sorted once, with the number of its copies.
     2. Winnowing cuts each text into regions of starts that share a gram. Equal strings of LENGTH bytes share it, so only regions whose
        gram occurs twice can hold a repeat. Of equal regions one is kept, with the note that there are several.
     3. Distinct regions are dealt into shards by gram, about SHARD_BYTES each, and the suffixes of each shard are sorted by induced sorting,
@@ -440,9 +500,7 @@ def stripped(docs: DataFrame) -> DataFrame:
     Null text: as empty. Under LENGTH bytes: nothing is removed. Repeated rows are copies. Nothing is sampled or capped.
     """
     docs = docs.select("doc_id", "text").withColumn("node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    copies = docs.groupBy("node").agg(F.count("*").alias("copies"))
     texts = docs.select("node", "text").where(F.octet_length("text") >= LENGTH)
-    # a row for each gram and text counts copies of a text; a gram that only they share goes on and is found to be single
     twice = written(texts.select("node", "text").mapInArrow(_winnow(False), "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"))
     most = (twice.agg(F.sum("n")).first()[0] or 0) // HOT
     salts = F.when(F.col("n") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -450,8 +508,8 @@ def stripped(docs: DataFrame) -> DataFrame:
     places = texts.mapInArrow(_winnow(True), "fp long, region long, node binary, a int, size int").join(hot, "fp", "left")
     places = places.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node", "a"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
     places = places.join(twice.select("fp", F.explode(salts).alias("salt")), ["fp", "salt"], "left_semi")
-    places = written(places.distinct().drop("salt"))
-    regions = places.groupBy("fp", "region", "size").agg(F.count("*").alias("n"), F.min(F.struct("node", "a")).alias("at"))
+    places = written(places.groupBy("fp", "region", "node", "a", "size").agg(F.count("*").alias("c")))  # c: copies of the text
+    regions = places.groupBy("fp", "region", "size").agg(F.sum("c").alias("n"), F.min(F.struct("node", "a")).alias("at"))
     # written before it is joined, so that the join's sides are plain shuffles and Spark can split a gram with many regions
     more = written(regions.groupBy("fp").agg(F.sum("n").alias("all")).where("all > 1").select("fp"))
     regions = every = written(regions.join(more, "fp", "left_semi"))
@@ -467,17 +525,18 @@ def stripped(docs: DataFrame) -> DataFrame:
     asked = written(asked)
     one = texts.join(asked, "node").groupBy("node").agg(F.any_value("text").alias("text"), F.any_value("regions").alias("regions"))
     pieces = one.select("text", "regions").mapInArrow(_cut, "shard long, fp long, region long, bytes binary, several boolean")
-    found = written(pieces.groupBy("shard").applyInArrow(_sort, "fp long, region long, runs array<struct<s:int,e:int>>"))
+    found = written(pieces.groupBy("shard").applyInArrow(_sort(dict(SORT)), "fp long, region long, runs array<struct<s:int,e:int>>"))
     done = [twice, more, every, large, asked, places, found, *([] if folded is None else [folded])]
     found = found if folded is None else found.unionByName(folded)
     hits = places.join(found, ["fp", "region"]).select("node", F.explode(F.transform("runs", lambda r: F.struct((F.col("a") + r["s"]).alias("s"), (F.col("a") + r["e"] + LENGTH - 1).alias("e")))).alias("span"))
     spans = hits.groupBy("node").agg(F.collect_list("span").alias("spans"))
-    info = written(copies.join(spans, "node", "left").where("copies > 1 or spans is not null"))
+    info = written(spans)
     discard(*done)
-    joined = docs.join(info, "node", "left").select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
+    joined = docs.join(info, "node", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the byte strings that occur elsewhere; see stripped."""
     d = stripped(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
