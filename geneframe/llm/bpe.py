@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,12 +12,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import hashes, slices, table, text_bytes
+from .common import hashes, slices, table, text_bytes, trimmed
 
 #: Text bytes whose pre-tokens form one block: a word leaves it once, however often it occurs, so no word is hot. Text split at a time.
 BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
-#: Word buckets for each shuffle partition.
+#: Word buckets for each shuffle partition. A bucket is read batch by batch, so none is too large for memory.
 BUCKETS = 4
+#: Distinct words whose ids a task keeps.
+KNOWN = 1 << 20
 
 
 def default_path() -> str:
@@ -99,6 +102,7 @@ def _spread(heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _explode(pattern: str, buckets: int):
     """Documents -> for each block one row with the word number at each position, and one for each bucket with its distinct words."""
 
+    @trimmed
     def run(batches):
         from pyspark import TaskContext
 
@@ -137,23 +141,26 @@ def _explode(pattern: str, buckets: int):
 
 
 def _encode(path: str, pattern: str):
-    """One bucket's words of all blocks -> their ids. Each distinct word is encoded once. A block's positions pass as they are."""
+    """One bucket's words of all blocks -> their ids, batch by batch. Each distinct word is encoded once (again only if the bucket has more
+    than KNOWN). A block's positions pass as they are."""
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.drop_columns(["key"])
-        if t.column("places")[0].as_py():
-            return t
-        piece, known, out = _encoding(path, pattern)._encode_single_piece, {}, []
-        for blob in t.column("blob").to_pylist():
-            own, sizes, data = _unpack(blob)
-            ends, raw, got = np.cumsum(unvarint(sizes)).tolist(), data.tobytes(), []
-            for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                ids = known.get(w := raw[a:b])
-                if ids is None:
-                    ids = known[w] = piece(w)
-                got.append(ids)
-            out.append(_pack(own, varint(np.array([len(x) for x in got], np.int64))[0], varint(np.array([i for x in got for i in x], np.int64))[0]))
-        return t.set_column(2, "blob", pa.array(out, pa.binary()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, known = _encoding(path, pattern)._encode_single_piece, {}
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for block, places, blob in zip(*(column[c].to_pylist() for c in ("block", "places", "blob")), strict=True):
+                if not places:
+                    own, sizes, data = _unpack(blob)
+                    ends, raw, got = np.cumsum(unvarint(sizes)).tolist(), data.tobytes(), []
+                    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                        ids = known.get(w := raw[a:b])
+                        if ids is None:
+                            if len(known) >= KNOWN:
+                                known.clear()
+                            ids = known[w] = piece(w)
+                        got.append(ids)
+                    blob = _pack(own, varint(np.array([len(x) for x in got], np.int64))[0], varint(np.array([i for x in got for i in x], np.int64))[0])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([places], pa.bool_()), pa.array([blob], pa.binary())], names=["block", "places", "blob"])
 
     return run
 
@@ -204,6 +211,7 @@ def encoded(docs: DataFrame, digest: bool = False, path: str | None = None, patt
     go to buckets by hash, where the words of all blocks meet and each is encoded once; the ids join the block's positions again and are
     put in order. A word leaves a block once however often it occurs, so a word that is a third of all text is not a hot key; the dictionary
     is never broadcast, as it grows with the data. Two shuffles, both of few compressed rows; a lost task is simply run again.
+    Texts of any length: split and joined in blocks, a longer text is a block of its own. Ties don't arise; other columns are not read.
     Null text: as empty, no tokens. Null or repeated doc_id: a row each, as given. An empty table gives an empty result.
     The tokenizer file must be readable on the executors at the same path.
     """
@@ -216,4 +224,5 @@ def encoded(docs: DataFrame, digest: bool = False, path: str | None = None, patt
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded bytes as digests; see encoded."""
     return encoded(table(spark, sf_dir, "documents"), digest=True)

@@ -264,3 +264,285 @@ def test_extraction(spark):
         e = [(a, b, rng.choice([0.3, 0.8])) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.4]
         cost = lambda y: sum(-x if x < 0 and k else x if x > 0 and not k else 0 for x, k in zip(s, y)) + sum(w for a, b, w in e if y[a] != y[b])  # noqa: B023, E731
         assert abs(cost(extraction.min_cut(s, e)) - min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(2**n))) < 1e-9
+
+
+# Queries against brute force
+
+
+def _base_spans(text):
+    """The base patterns as the contract states them."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+
+    def luhn(m):
+        d = [int(c) for c in reversed(digits(m))]
+        return 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", luhn),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    }
+    found = [(m.start(), i, k, m.end()) for i, (k, (p, ok)) in enumerate(rules.items()) for m in re.finditer(p, text) if ok(m[0])]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """A folder of tables: hand-made rows, nulls, a long text, clashing and extra columns."""
+    r = random.Random(11)
+    pool = ["8.8.8.8", "4111 1111 1111 1111", "a.b@c-d.org", "+1 (234) 555-0199", "x", "é", "😀", "1.2.3", "..", "@", "+", "-", " ", "\n", "12", "4", "00", "token = \"9f8b7c6d5e4f3a2b1c0d9e8f7a6b5c4d\"", "a@b", "me [at] site [dot] org", "call 234-555-0199", "password: hunter2hunter2X9"]
+    texts = ["".join(r.choices(pool, k=r.randint(1, 12))) for _ in range(300)] + ["".join(r.choices("0123456789.-+@ab ()", k=40)) for _ in range(300)]
+    texts += [None, "", " ".join(pool) + " " + prose(3000, 5) + " 9.9.9.9", prose(5000, 8)]
+    base = [prose(150, 100 + k) for k in range(12)]
+    for k, t in enumerate(base):  # copies with more and more words changed
+        w = t.split()
+        for n in (0, 1, 2, 4, 6, 9):
+            x = list(w)
+            for j in r.sample(range(len(w)), n):
+                x[j] = f"new{k}x{j}"
+            texts.append(" ".join(x))
+    langs, sources = ["en", None, "de"], ["a", "b", None, "c"]
+    rows = [(i, t, langs[i % 3], sources[i % 4], len(t or ""), f"e{i}") for i, t in enumerate(texts)] + [(None, base[0], None, None, 1, "n"), (0, texts[0], "en", "a", 3, "again")]
+    path = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _t string").write.parquet(str(path / "documents.parquet"))
+    pages = [(1, "u", "<article><h1>A</h1><p>First text here.</p></article>"), (2, "v", None), (3, None, ""), (1, "u", "<article><h1>A</h1><p>First text here.</p></article>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(path / "pages.parquet"))
+    return str(path), rows
+
+
+def test_op1_base_spans(spark, folder):
+    path, rows = folder
+    got = sorted((str(r["doc_id"]), r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.op1_pii(spark, path).collect())
+    want = []
+    for i, t, *_ in rows:
+        s = _base_spans(t or "")
+        want.append((str(i), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in s).encode()).hexdigest(), *(sum(k == x for k, *_ in s) for x in pii.BASE_KINDS)))
+    assert got == sorted(want)
+
+
+def test_pii_adds_secrets_and_keeps_columns(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(path + "/documents.parquet")
+    texts = {r[5]: r[1] or "" for r in rows}
+    spans = {r["_t"]: [(pii.KINDS[s["kind"]], texts[r["_t"]][s["start"] : s["end"]]) for s in r["_spans"]] for r in pii.decided(docs).collect()}
+    assert set(spans) == set(texts)  # an input column _t passes through
+    added = {v for x in spans.values() for k, v in x if k == "secret"}
+    assert "9f8b7c6d5e4f3a2b1c0d9e8f7a6b5c4d" in added
+    red = {r["_t"]: r for r in pii.redacted(docs).collect()}
+    found = {r["_t"]: r["_spans"] for r in pii.decided(docs).collect()}
+    for key, t in texts.items():
+        out, upto = "", 0
+        for s in found[key]:
+            if s["start"] >= upto:
+                out += t[upto : s["start"]] + f"<{pii.KINDS[s['kind']].upper()}>"
+            upto = max(upto, s["end"])
+        assert (red[key]["text"] or "") == out + t[upto:]
+
+
+def test_redaction_of_a_long_text(spark):
+    text = "😀 some words é " * 3000 + "a@b.org" + " x" * 5000 + " 8.8.8.8" * 300 + " end"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.redacted(d).first()["text"] == text.replace("a@b.org", "<EMAIL>").replace("8.8.8.8", "<IP>")
+
+
+def test_op3_digests(spark, folder):
+    path, rows = folder
+    enc = bpe._encoding(bpe.default_path(), bpe.default_pattern())
+    want = []
+    for i, t, *_ in rows:
+        ids = enc.encode_ordinary(t or "")
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op3_bpe(spark, path).collect()) == sorted(want)
+
+
+def test_op7_spans(spark, folder):
+    path, rows = folder
+    data = [(t or "").encode() for _, t, *_ in rows]
+    seen = {}
+    for b in data:
+        for k in range(len(b) - 199):
+            seen[b[k : k + 200]] = seen.get(b[k : k + 200], 0) + 1
+    want = []
+    for (i, *_), b in zip(rows, data):
+        gone = np.zeros(len(b) + 2, int)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k + 1 : k + 201] = 1
+        kept = bytes(np.frombuffer(b, np.uint8)[gone[1:-1] == 0]) if b else b""
+        want.append((str(i), len(b), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted((str(r["doc_id"]), *(r[c] for c in columns)) for r in suffix.op7_suffix(spark, path).collect()) == sorted(want)
+
+
+def test_suffix_on_disk(spark, docs, monkeypatch):
+    want = sorted(map(str, suffix.stripped(docs).collect()))
+    monkeypatch.setattr(suffix, "SORT", {"memory": 50, "limit": 64})  # recursion, and all that lasts in files
+    assert sorted(map(str, suffix.stripped(docs).collect())) == want
+
+
+def _shingle_counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    out = {}
+    for k in range(len(w) - 4):
+        g = tuple(w[k : k + 5])
+        out[g] = out.get(g, 0) + 1
+    return out
+
+
+def test_op10_against_all_pairs(spark, folder):
+    path, rows = folder
+    got = {r["doc_id"]: r["class_id"] for r in minhash.op10_minhash(spark, path).where("doc_id is not null").collect()}
+    rows = [r for r in rows if r[0] is not None]
+    sets = {r[0]: _shingle_counts(r[1]) for r in rows if len((r[1] or "").split()) >= 5}
+    df, n = {}, len(rows) + 1
+    for s in sets.values():
+        for g in s:
+            df[g] = df.get(g, 0) + 1
+    weigh = {g: 1 + max(0.0, np.log(n / c)) / np.log(n) for g, c in df.items()}
+    linked, apart, edges = 0, 0, {i: {i} for i in sets}
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and not sets[a].keys().isdisjoint(sets[b]):
+                both = sets[a].keys() | sets[b].keys()
+                low, high = (sum(weigh[g] * f(sets[a].get(g, 0), sets[b].get(g, 0)) for g in both) for f in (min, max))
+                if low / high >= 0.81:  # a little above the threshold: weights come from a sketch
+                    linked += 1
+                    assert got[a] == got[b]
+                if low / high >= 0.79:
+                    edges[a].add(b)
+                    edges[b].add(a)
+    for a in ids:  # what is joined is joined by a chain of pairs at the threshold
+        reach, todo = {a}, [a]
+        while todo:
+            for x in edges[todo.pop()] - reach:
+                reach.add(x)
+                todo.append(x)
+        apart += sum(got[b] == got[a] and b not in reach for b in ids)
+    assert linked > 20 and apart == 0
+
+
+def test_op6_against_plain_sums(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(path + "/documents.parquet")
+    model = langid.learned(docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    number = {p: i for i, p in enumerate(model.pieces)}
+    longest, unknown = max(map(len, model.pieces)), len(model.pieces)
+
+    def log_sum(word, k):
+        total = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            for size in range(1, min(longest, j) + 1):
+                piece = number.get(word[j - size : j], unknown if size == 1 else None)
+                total[j] += 0 if piece is None else total[j - size] * model.p[piece, k]
+        return np.log(total[-1])
+
+    got = {}
+    for r in langid.op6_langid(spark, path).collect():
+        got[r["doc_id"]] = r
+    for i, t, *_ in rows[580:640]:
+        words = ["▁" + w for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if w.isalpha()]
+        if not words:
+            assert got[i]["lang_pred"] == "und"
+            continue
+        logs = [sum(log_sum(w, k) for w in words) for k in range(len(model.langs))]
+        assert model.langs[int(np.argmax(logs))] == got[i]["lang_pred"] and abs(got[i]["score"] - 1 / sum(np.exp(np.array(logs) - max(logs)))) < 1e-6
+    assert langid.letters("½ ² Ⅷ 12") == []
+
+
+def test_long_runs_of_letters(monkeypatch):
+    pieces = ["▁", *"abcd", "ab", "▁a", "bcd", "abcdabcd"]
+    lattice, r = langid.Lattice(pieces), np.random.default_rng(1)
+    p = r.uniform(0.01, 0.2, (len(pieces) + 2, 2))
+    p[-1] = 0
+    words = ["▁" + "".join(r.choice(list("abcdx"), 30)) for _ in range(5)]
+    counts = np.arange(1.0, 6.0)
+    short, counted = lattice.forward(words, p), lattice.expected(words, counts, p[:, 0])
+    monkeypatch.setattr(langid, "LONG", 0)
+    monkeypatch.setattr(langid, "LOOK", 7)
+    assert np.allclose(lattice.forward(words, p), short, atol=1e-9) and np.allclose(lattice.expected(words, counts, p[:, 0]), counted, atol=1e-9)
+    assert np.isfinite(lattice.forward(["▁" + "ab" * 20_000], p)).all()
+
+
+def test_op4_rows(spark, folder):
+    got = sorted((r["page_id"], r["url"] or "", r["text"], r["n_chars"]) for r in extraction.op4_extraction(spark, folder[0]).collect())
+    assert got == [(1, "u", "A\n\nFirst text here.", 19), (1, "u", "A\n\nFirst text here.", 19), (2, "v", "", 0), (3, "", "", 0)]
+    assert extraction.extracted(spark.read.parquet(folder[0] + "/pages.parquet").limit(0)).count() == 0
+
+
+def test_extraction_keeps_and_drops():
+    html = """<body><nav><a href=/>Home</a></nav><div class=cookie-banner>We use cookies to make this site better for you all.</div>
+    <article><header><h1>Title</h1></header><div class="share-price"><p>Share price rose today.</p></div><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> inside
+    a text.</p><object>An object.</object><noscript>No script.</noscript><ul><li>One<li>Two</ul><table><tr><td>a<td>b<tr><td>c</table>
+    <div class="social share-buttons">Share this with friends.</div><div class=comments><p>A reader says a long thing here, with an end.</p></div>
+    <aside><p>Something else is told here at some length.</p></aside><form><p>Your name</p></form></article><footer>&copy; us</footer>"""
+    assert extraction.main_text(html) == "Title\n\nShare price rose today.\n\nWith x=1 inside a text.\n\nAn object.\n\nNo script.\n\nOne\n\nTwo\n\na\n\nb\n\nc"
+    assert extraction.main_text("<p>1 < 2 &amp; \"3 > 2\" are both true, as all know.") == '1 < 2 & "3 > 2" are both true, as all know.'
+    assert extraction.main_text("<article>a <!-- x --> b<br>c</article>") == "a b c"
+
+
+@pytest.mark.parametrize("part", ["<div><p>x", '<a "', "<b>x", "<", "<! ", "<a href='", "<figure><td><li>x", "</p></div>x", "<!--", "<script>"])
+def test_extraction_is_linear(part):
+    import time
+
+    times = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        extraction.main_text(part * n)
+        times.append(time.process_time() - began)
+    assert times[1] < 9 * times[0] + 0.5
+
+
+def test_quality_thresholds_follow_the_data(spark):
+    rows = [(i, " ".join(["word", "other", "thing"][k % 3] + str((i * 31 + k) % 997) + ("&" if i < 200 and k % 5 == 0 else "") for k in range(100 + i % 50)), "en", "code" if i < 200 else "prose") for i in range(400)]
+    rows += [(400, " ".join(f"w{k}###" for k in range(100)), "en", "prose"), (401, " ".join(f"w{k}###" for k in range(100)), "de", "tiny"), (402, None, None, None)]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(400))  # a fifth of all words of one source have symbols, and there that is usual
+    assert not got[400]["kept"] and not got[401]["kept"] and not got[402]["kept"]
+    assert got[0]["symbol_rate_most"] > 10 * got[300]["symbol_rate_most"]
+
+
+def test_columns_pass_whatever_their_names(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(path + "/documents.parquet").select("doc_id", "text", "lang", "source", F.lit(-7).alias("size"), F.lit(-8).alias("_hash"), F.lit(-9).alias("n_words"), F.lit(-1).alias("kept"), F.lit(-2).alias("_row"), F.lit(-3).alias("target"))
+    for f in (mixture.resampled, quality.filtered, minhash.deduplicated, pii.redacted):
+        out = f(docs)
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select("size", "_hash", "n_words", "kept", "_row", "target").distinct().collect()} == {(-7, -8, -9, -1, -2, -3)}
+
+
+def test_embedding_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (1, [0.0, 1.0], 0), (3, [0.01, 1.0], 0), (4, [1.0, 0.0], 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (4, 2, 1)]
+
+
+def test_packed_files(spark, docs, tmp_path):
+    rows = packing.packed(docs, length=64)
+    packing.save(rows, str(tmp_path / "packed"), 64)
+    plain = lambda d, s, c, i, p: str((list(d), list(s), list(c), bytes(i), bytes(p)))
+    want = sorted(plain(r["doc_ids"], r["doc_starts"], r["cu_seqlens"], r["ids"], r["positions"]) for r in rows.collect())
+    assert sorted(plain(*x[:3], x[3].tobytes(), x[4].tobytes()) for x in packing.load(str(tmp_path / "packed"))) == want
+    t = prose(400, 1) + "  é\n\n x"
+    path, pattern = bpe.default_path(), bpe.default_pattern()
+    whole = packing.token_ids(t, path, pattern).tolist()
+    packing.LONG_TEXT, old = 5, packing.LONG_TEXT
+    try:
+        assert packing.token_ids(t, path, pattern).tolist() == whole
+    finally:
+        packing.LONG_TEXT = old
+
+
+def test_hashes_in_chunks(monkeypatch):
+    from geneframe.llm import common
+
+    data = np.frombuffer(prose(300, 7).encode() + b"  \n" + prose(20, 1).encode(), np.uint8)
+    offsets = np.array([0, 0, 100, 101, 700, len(data), len(data)])
+    starts, ends, rows = common.words(data, offsets)
+    whole = common.hashes(data, starts, ends)
+    monkeypatch.setattr(common, "HASH_BYTES", 4)
+    monkeypatch.setattr(common.Rolling, "_up", None)
+    a, b, c = common.words(data, offsets)
+    assert (a == starts).all() and (b == ends).all() and (c == rows).all() and (common.hashes(data, a, b) == whole).all()
+    monkeypatch.setattr(common.Rolling, "_up", None)
