@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import codon_split
+from .chunks import CHUNK, chunked
 
 BASES = "TCAG"
 #: Amino acids of the standard code, codons in the order of BASES, first letter slowest (NCBI translation table 1).
@@ -39,6 +40,16 @@ def codon_count(sequences: DataFrame, frames=(0, 1, 2), table_id: str = "table")
     return dense.join(counts, ["frame", "codon"], "left").select("table_id", "frame", "codon", F.coalesce("n", F.lit(0.0)).alias("value"))
 
 
+def sequence_count(sequences: DataFrame) -> DataFrame:
+    """n sequences and their bases."""
+    return sequences.agg(F.count("*").alias("n"), F.sum(F.length("seq").cast("long")).alias("bases"))
+
+
+def family_total(table: DataFrame) -> DataFrame:
+    """frame, aa, total of the codons of an amino acid."""
+    return with_amino(table).groupBy("frame", "aa").agg(F.sum("value").alias("total"))
+
+
 def codon_n(table: DataFrame) -> DataFrame:
     return table.groupBy(*KEYS).agg(F.sum("value").alias("n"))
 
@@ -100,15 +111,49 @@ def codon_profile(sequences: DataFrame, lr: DataFrame) -> DataFrame:
     return c.join(F.broadcast(lr), "codon", "left").select("seq_id", F.col("k").cast("long").alias("k"), "lr")
 
 
-def window_average(sequences: DataFrame, lr: DataFrame, window: int = 5, compat: bool = False) -> DataFrame:
+def window_average(sequences: DataFrame, lr: DataFrame, window: int = 5, compat: bool = False, size: int = CHUNK) -> DataFrame:
     """seq_id, k, x, mean: mean of `window` codons from k on, x their middle. Sequences under a window give none.
 
-    compat=True stops early: k <= ceil((length - 6 window) / 3), and only for length > 6 window. A moving
-    frame costs window additions a codon and keeps the order of the sums fixed.
+    compat=True stops early: k <= ceil((length - 6 window) / 3), and only for length > 6 window. Sequences are read in chunks that overlap
+    by a window less one codon, and the 64 ratios come as one column, so there is no shuffle of codons. A window's sum leaves out codons
+    without a ratio.
     """
-    p = codon_profile(sequences, lr)
-    w = W.partitionBy("seq_id").orderBy("k")
-    p = p.withColumn("ahead", F.sum("lr").over(w.rowsBetween(0, window - 1))).withColumn("last", F.count("*").over(W.partitionBy("seq_id")) - window)
+    ratio = lr.agg(F.map_from_entries(F.collect_list(F.struct("codon", "lr"))).alias("m")).scalar()
+    c = chunked(sequences, size, 3 * (window - 1)).where("part is not null").select("seq_id", "chunk", "length", F.least(F.length("part"), F.lit(size)).alias("own"), codon_split(F.col("part"), F.lit(0)).alias("codons"), ratio.alias("ratio"))
+    c = c.withColumn("v", F.transform("codons", lambda x: F.try_element_at("ratio", x)))
+    # own codons whose window is whole; v is named in each term, so the optimiser makes it once
+    last = F.least(F.floor(F.col("own") / 3), F.size("v") - window + 1).cast("int") - 1
+    at = lambda k, j: F.get("v", k + j)
+
+    def mean(k):
+        total = F.lit(0.0)
+        for j in range(window):
+            total = total + F.coalesce(at(k, j), F.lit(0.0))
+        return F.when(F.coalesce(*(at(k, j) for j in range(window))).isNotNull(), total / window)
+
+    p = c.where(last >= 0).select("seq_id", "chunk", "length", F.posexplode(F.transform(F.sequence(F.lit(0), last), mean)).alias("i", "mean"))
+    p = p.withColumn("k", F.col("chunk") * (size // 3) + F.col("i"))
     if compat:
-        p = p.join(sequences.select("seq_id", F.length("seq").alias("size")), "seq_id").where(F.col("size") > 6 * window).where(F.col("k") <= F.ceil((F.col("size") - 6 * window) / 3))
-    return p.where("k <= last").select("seq_id", "k", (F.col("k") + (window - 1) / 2).alias("x"), (F.col("ahead") / window).alias("mean"))
+        p = p.where(F.col("length") > 6 * window).where(F.col("k") <= F.ceil((F.col("length") - 6 * window) / 3))
+    return p.select("seq_id", "k", (F.col("k") + (window - 1) / 2).alias("x"), "mean")
+
+
+def codon_text(table: DataFrame, width: int = 6, decimal: int = 3, sep: str = "  ") -> DataFrame:
+    """table_id, frame, value: each table as 16 lines of four codons; the middle letter runs along a line, then the third, then the first."""
+    place = lambda k: F.instr(F.lit(BASES), F.substring("codon", k, 1))
+    cell = F.concat("codon", F.lit(":"), F.format_string(f"%{width}.{decimal}f", F.col("value").cast("double")))
+    cells = F.array_sort(F.collect_list(F.struct(place(1).alias("a"), place(3).alias("c"), place(2).alias("b"), cell.alias("t"))))
+    t = table.groupBy(*KEYS).agg(F.transform(cells, lambda x: x["t"]).alias("t"))
+    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 4).cast("int")), lambda i: F.concat(F.array_join(F.slice("t", i * 4 + 1, F.lit(4)), sep), F.lit("\n")))
+    return t.select(*KEYS, F.array_join(lines, "").alias("value"))
+
+
+def codon_listing(table: DataFrame) -> DataFrame:
+    """table_id, frame, value: the number of observations, a line for each codon with its amino acid, an empty line after each first letter."""
+    place = lambda k: F.instr(F.lit(BASES), F.substring("codon", k, 1))
+    end = F.when((place(2) == 4) & (place(3) == 4), "\n\n").otherwise("\n")
+    line = F.concat("codon", F.lit(" "), "aa", F.lit(" "), F.format_string("%6.3f", F.col("value").cast("double")), end)
+    lines = F.array_sort(F.collect_list(F.struct(place(1).alias("a"), place(2).alias("b"), place(3).alias("c"), line.alias("t"))))
+    total = F.sum("value")
+    n = F.when(total == F.floor(total), F.floor(total).cast("string")).otherwise(total.cast("string"))
+    return with_amino(table).groupBy(*KEYS).agg(F.concat(n, F.lit(" observations\n"), F.array_join(F.transform(lines, lambda x: x["t"]), "")).alias("value"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log2_floor
+from ..functions.scalars import log2_floor, now, uid
+from .chunks import CHUNK, chunked
 
 
 def pssm_init(spark: SparkSession, pssm_id: str = "pssm", rows: str = "ACGT", columns: int = 15, value: float = 0.0) -> DataFrame:
@@ -64,7 +65,7 @@ def pssm_zeros(pssm: DataFrame) -> DataFrame:
 
 
 def matrix(pssm: DataFrame, rows: str = "ACGT") -> np.ndarray:
-    """One matrix as an array: rows x columns numbers come to the driver."""
+    """One matrix as an array: rows x columns numbers come to the driver, by an action of its own. The scans also take the DataFrame."""
     got = pssm.select("base", "pos", "value").collect()
     out = np.zeros((len(rows), 1 + max(r["pos"] for r in got)))
     for r in got:
@@ -72,55 +73,103 @@ def matrix(pssm: DataFrame, rows: str = "ACGT") -> np.ndarray:
     return out
 
 
-def _scan(weights: np.ndarray, rows: str, strict: bool):
+def weights_column(weights: np.ndarray | DataFrame, rows: str = "ACGT") -> Column:
+    """A matrix as one array column, row by row. Of a DataFrame it is a scalar subquery: nothing runs while the plan is made."""
+    if isinstance(weights, DataFrame):
+        cell = F.struct(F.instr(F.lit(rows), F.col("base")).alias("r"), F.col("pos").alias("p"), F.col("value").alias("v"))
+        return weights.agg(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["v"]).alias("w")).scalar()
+    return F.array(*(F.lit(float(v)) for v in np.asarray(weights, float).ravel()))
+
+
+def _scan(rows: str, strict: bool, size: int):
     code = np.full(256, len(rows))
     for i, c in enumerate(rows):
         code[ord(c)] = i
-    table = np.vstack([weights, np.full(weights.shape[1], np.nan)])
-    width = weights.shape[1]
-
-    def scores(seq: str) -> np.ndarray:
-        at = code[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
-        if strict and (at == len(rows)).any():
-            raise ValueError("a letter that the matrix lacks")
-        n = len(at) - width + 1
-        out = np.zeros(max(n, 0))
-        for j in range(width if n > 0 else 0):
-            out += table[at[j : j + n], j]
-        return out
 
     def run(batches):
         for batch in batches:
-            for seq_id, seq in zip(batch.column("seq_id"), batch.column("seq").to_pylist(), strict=True):
-                s = scores(seq)
-                for a in range(0, len(s), 1 << 16):
-                    part = s[a : a + (1 << 16)]
-                    values = pa.array(part, mask=np.isnan(part))
-                    yield pa.RecordBatch.from_arrays([pa.array([seq_id.as_py()] * len(part), seq_id.type), pa.array(np.arange(a, a + len(part))), values], names=["seq_id", "start", "score"])
+            parts = batch.column("part")
+            for a in range(0, len(batch), 256):
+                few = batch.slice(a, 256)
+                table = np.asarray(few.column("w")[0].as_py(), float).reshape(len(rows), -1)
+                width, table = table.shape[1], np.vstack([table, np.full(table.shape[1], np.nan)])
+                texts = [(x or "").encode("latin-1", "replace") for x in parts.slice(a, 256).to_pylist()]
+                at = code[np.frombuffer(b"".join(texts), np.uint8)]
+                if strict and (at == len(rows)).any():
+                    raise ValueError("a letter that the matrix lacks")
+                lengths = np.array([len(x) for x in texts])
+                n = np.maximum(lengths - width + 1, 0)
+                # windows of one sequence: their first letters in the joined text
+                local = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                starts = np.repeat(np.cumsum(lengths) - lengths, n) + local
+                score = np.zeros(len(starts))
+                for j in range(width):
+                    score += table[at[starts + j], j]
+                row = np.repeat(np.arange(len(few)), n)
+                first = few.column("chunk").to_numpy() * size
+                for lo in range(0, len(row), 1 << 18):
+                    part = slice(lo, lo + (1 << 18))
+                    ids = few.column("seq_id").take(pa.array(row[part]))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(first[row[part]] + local[part]), pa.array(score[part], mask=np.isnan(score[part]))], names=["seq_id", "start", "score"])
 
     return run
 
 
-def pssm_scan(sequences: DataFrame, weights: np.ndarray, rows: str = "ACGT", strict: bool = False) -> DataFrame:
-    """seq_id, start, score of every window: the sum of the letters' weights. No shuffle.
+def pssm_scan(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str = "ACGT", strict: bool = False, columns: int = 15, size: int = CHUNK) -> DataFrame:
+    """seq_id, start, score of every window: the sum of the letters' weights. No shuffle, chunks that overlap by a window less one letter.
 
-    A window with a letter that the matrix lacks has a null score, or with strict=True fails. A sequence under the width gives no row.
+    weights: an array, or a matrix (base, pos, value) with that many columns, which is then part of the plan. A window with a letter that
+    the matrix lacks has a null score, or with strict=True fails. A sequence under the width gives no row.
     """
+    columns = columns if isinstance(weights, DataFrame) else np.asarray(weights).shape[1]
     kind = dict(sequences.dtypes)["seq_id"]
-    return sequences.select("seq_id", "seq").mapInArrow(_scan(np.asarray(weights, float), rows, strict), f"seq_id {kind}, start long, score double")
+    parts = chunked(sequences, size, columns - 1).select("seq_id", "chunk", "part", weights_column(weights, rows).alias("w"))
+    return parts.mapInArrow(_scan(rows, strict, size), f"seq_id {kind}, start long, score double")
 
 
-def pssm_scan_sql(sequences: DataFrame, weights: np.ndarray, rows: str = "ACGT", chunk: int = 1024) -> DataFrame:
-    """The same scores by column expressions only: sequences in chunks that overlap by a window, window starts exploded, a CASE a letter."""
-    width = weights.shape[1]
-    c = sequences.where(F.length("seq") >= width).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - width) / chunk).cast("int"))).alias("c"))
-    c = c.select("seq_id", (F.col("c") * chunk).alias("first"), F.substring(F.col("seq"), F.col("c") * chunk + 1, F.lit(chunk + width - 1)).alias("part"))
-    c = c.select("seq_id", "first", "part", F.explode(F.sequence(F.lit(0), F.length("part") - width)).alias("i"))
+def pssm_scan_sql(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str = "ACGT", chunk: int = 1024, columns: int = 15) -> DataFrame:
+    """The same scores by column expressions only: chunks that overlap by a window, window starts exploded, a weight looked up a letter."""
+    width = columns if isinstance(weights, DataFrame) else np.asarray(weights).shape[1]
+    c = chunked(sequences, chunk, width - 1).where(F.length("part") >= width).withColumn("w", weights_column(weights, rows))
+    c = c.select("seq_id", (F.col("chunk") * chunk).alias("first"), "part", "w", F.explode(F.sequence(F.lit(0), F.length("part") - width)).alias("i"))
     score = F.lit(0.0)
     for j in range(width):
-        letter = F.substring(F.col("part"), F.col("i") + j + 1, F.lit(1))
-        value = None
-        for r, b in enumerate(rows):
-            value = F.when(letter == b, float(weights[r, j])) if value is None else value.when(letter == b, float(weights[r, j]))
-        score = score + value
+        score = score + F.get("w", (F.instr(F.lit(rows), F.substring(F.col("part"), F.col("i") + j + 1, F.lit(1))) - 1) * width + j)
     return c.select("seq_id", (F.col("first") + F.col("i")).cast("long").alias("start"), score.alias("score"))
+
+
+def base_weights(sequences: DataFrame, weights: DataFrame, columns: int = 15, size: int = CHUNK) -> DataFrame:
+    """pos, base, n, weight: the letters that all windows have at each position, joined with the matrix (base, pos, value)."""
+    parts = chunked(sequences, size, columns - 1).where(F.length("part") >= columns)
+    at = parts.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.substring(F.col("part"), j + 1, F.length("part") - columns + 1))).alias("pos", "x"))
+    counts = at.select("pos", F.explode(F.split("x", "")).alias("base")).groupBy("pos", "base").agg(F.count("*").alias("n"))
+    return counts.join(weights.select("pos", "base", F.col("value").alias("weight")), ["pos", "base"])
+
+
+# Provenance: pssm_id, title, uid, creation, comments
+
+
+def _noted(meta: DataFrame, note: Column, when: Column) -> DataFrame:
+    return meta.withColumn("comments", F.concat("comments", F.array(F.concat(F.lit("("), when, F.lit(") "), note))))
+
+
+def meta_copy(meta: DataFrame, new_uid: Column | None = None, when: Column | None = None) -> DataFrame:
+    """A copy's provenance: an identifier of its own, and a comment that names the matrix it was copied from."""
+    m = _noted(meta, F.concat(F.lit("copied from "), "uid", F.lit(" ("), "title", F.lit(")")), now() if when is None else when)
+    return m.withColumn("uid", uid() if new_uid is None else new_uid)
+
+
+def meta_frequency(meta: DataFrame, new_uid: Column | None = None, when: Column | None = None) -> DataFrame:
+    """The provenance of a matrix of frequencies: a copy, converted."""
+    return _noted(meta_copy(meta, new_uid, when), F.lit("converted to frequency"), now() if when is None else when)
+
+
+def pssm_text(pssm: DataFrame, meta: DataFrame, offset: int = 0, rows: str = "ACGT", width: int = 6, precision: int = 3) -> DataFrame:
+    """pssm_id, value: a matrix as text that scan_pssm reads: tagged lines, comments, rows with a divider before column `offset`."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.concat(F.when((x["pos"] == offset) & F.lit(offset > 0), " " + "|".rjust(width)).otherwise(""), F.format_string(f" %{width}.{precision}f", x["value"].cast("double"))))
+    lines = pssm.groupBy("pssm_id", "base").agg(F.concat(F.lit("\t"), "base", F.array_join(cells, "")).alias("line"), F.max("pos").alias("last"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(rows), F.col("base")).alias("r"), "line"))), lambda x: x["line"])
+    m = lines.groupBy("pssm_id").agg(F.array_join(body, "\n").alias("body"), F.concat(F.count("*"), F.lit(","), F.max("last") + 1).alias("shape")).join(pssm_n(pssm), "pssm_id").join(meta, "pssm_id")
+    notes = F.array_join(F.transform(F.filter("comments", lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("\t"), x, F.lit("\n"))), "")
+    head = F.concat(*(x for k in ("title", "uid", "creation") for x in (F.lit(f"{k}: "), F.col(k), F.lit("\n"))), F.lit("n: "), F.col("n").cast("string"), F.lit("\ncomment\n"), notes)
+    return m.select("pssm_id", F.concat(head, F.lit("pssm "), "shape", F.lit("\n"), "body", F.lit("\n")).alias("value"))

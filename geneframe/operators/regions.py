@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import region_header, reverse_complement, subsequence
+from ..functions.scalars import region_header, reverse_complement
+from .chunks import CHUNK, chunked
 
 
 def begin_le_zero(features: DataFrame, pad: int) -> DataFrame:
     return features.where(F.col("start") - pad <= 0)
 
 
-def gene_regions(features: DataFrame, sequences: DataFrame, pad: int = 100) -> DataFrame:
-    """Features with region (cut at the sequence's ends, reverse complement on the minus strand) and header. One join on seqid."""
-    j = features.join(sequences.select(F.col("seq_id").alias("seqid"), "seq"), "seqid")
-    region = subsequence(F.col("seq"), F.col("start"), F.col("end"), pad)
+def pieces(features: DataFrame, sequences: DataFrame, pad: int = 100, size: int = CHUNK) -> DataFrame:
+    """features with piece: the sequence from start - pad to end + pad, cut at the sequence's ends. (seqid, ord) names a feature.
+
+    One join on (seqid, chunk): a feature meets the chunks that it covers, never a whole sequence, and its parts are put together again.
+    A feature of a sequence that isn't there is left out; one beyond its sequence's end has an empty piece.
+    """
+    a, b = F.greatest(F.col("start") - pad, F.lit(1)) - 1, F.col("end") + pad
+    first, last = F.floor(a / size), F.floor((b - 1) / size)
+    covered = F.when(last >= first, F.array_union(F.array(F.lit(0).cast("long")), F.sequence(first, last))).otherwise(F.array(F.lit(0).cast("long")))
+    f = features.select(F.struct(*features.columns).alias("_f"), "seqid", "ord", a.alias("_a"), b.alias("_b"), F.explode(covered).alias("chunk"))
+    j = f.join(chunked(sequences, size).withColumnRenamed("seq_id", "seqid"), ["seqid", "chunk"])
+    at, upto = F.greatest(F.col("_a") - F.col("chunk") * size, F.lit(0)), F.least(F.col("_b") - F.col("chunk") * size, F.lit(size))
+    part = F.substring(F.col("part"), (at + 1).cast("int"), F.greatest(upto - at, F.lit(0)).cast("int"))
+    g = j.groupBy("seqid", "ord").agg(F.any_value("_f").alias("_f"), F.array_sort(F.collect_set(F.struct("chunk", part.alias("x")))).alias("_x"), F.bool_or(F.col("part").isNull()).alias("_none"))
+    whole = F.when(~F.col("_none"), F.array_join(F.transform("_x", lambda x: x["x"]), ""))
+    return g.select(*(F.col(f"_f.`{c}`").alias(c) for c in features.columns), whole.alias("piece"))
+
+
+def gene_regions(features: DataFrame, sequences: DataFrame, pad: int = 100, size: int = CHUNK) -> DataFrame:
+    """Features with region (cut at the sequence's ends, reverse complement on the minus strand) and header; see pieces."""
     header = region_header(F.col("parent"), pad, F.col("start"), F.col("end"), F.col("strand"))
-    return j.select(*features.columns, F.when(F.col("strand") == "-", reverse_complement(region)).otherwise(region).alias("region"), header.alias("header"))
+    region = F.when(F.col("strand") == "-", reverse_complement(F.col("piece"))).otherwise(F.col("piece"))
+    return pieces(features, sequences, pad, size).select(*features.columns, region.alias("region"), header.alias("header"))
 
 
 def region_fasta(regions: DataFrame, width: int = 100) -> DataFrame:

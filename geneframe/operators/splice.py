@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reverse_complement
+from .chunks import CHUNK, chunked
 from .pssm import pssm_count
 
 PRE, POST = 5, 10
@@ -34,8 +35,25 @@ def next_exon(grouped: DataFrame) -> DataFrame:
 
 
 def transcript_group(features: DataFrame) -> DataFrame:
-    """All features of a parent, wherever they stand: their number and extent."""
-    return features.groupBy("parent").agg(F.count("*").alias("n_exons"), F.min("start").alias("first"), F.max("end").alias("last"))
+    """All features of a parent, wherever they stand: their number, extent, and members (start, end) in the order of the file.
+
+    A transcript has a bounded number of exons, so its members may be one array."""
+    members = F.transform(F.array_sort(F.collect_list(F.struct("ord", "start", "end"))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return features.groupBy("parent").agg(F.count("*").alias("n_exons"), F.min("start").alias("first"), F.max("end").alias("last"), members.alias("members"))
+
+
+def genes_by_seqid(features: DataFrame) -> DataFrame:
+    """seqid, place, parent, start, end: each sequence's features in the order of the file, as rows, so no sequence is one array."""
+    return features.select("seqid", F.row_number().over(W.partitionBy("seqid").orderBy("ord")).cast("long").alias("place"), "parent", "start", "end")
+
+
+def feature_count(features: DataFrame) -> DataFrame:
+    return features.groupBy("type").agg(F.count("*").alias("n"))
+
+
+def limit_features(features: DataFrame, n: int = 50) -> DataFrame:
+    """The first n features of the file's order (a report on request, not a step of a model)."""
+    return features.orderBy("seqid", "ord").limit(n)
 
 
 def junction_window(introns: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
@@ -48,10 +66,12 @@ def junction_window(introns: DataFrame, pre: int = PRE, post: int = POST) -> Dat
     return introns.select("*", F.explode(pair).alias("w")).select(*introns.columns, "w.site_type", "w.lo", "w.hi")
 
 
-def junctions(introns: DataFrame, sequences: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
-    """Oriented site sequences; windows that leave the sequence are dropped. One join on seqid."""
-    w = junction_window(introns, pre, post).join(sequences.select(F.col("seq_id").alias("seqid"), "seq"), "seqid").where((F.col("lo") >= 0) & (F.col("hi") <= F.length("seq")))
-    cut = F.substring(F.col("seq"), (F.col("lo") + 1).cast("int"), F.lit(pre + post))
+def junctions(introns: DataFrame, sequences: DataFrame, pre: int = PRE, post: int = POST, size: int = CHUNK) -> DataFrame:
+    """Oriented site sequences; windows that leave the sequence are dropped. One join on (seqid, chunk): chunks overlap by a window, so each
+    window is whole in the chunk of its first letter."""
+    w = junction_window(introns, pre, post).where("lo >= 0").withColumn("chunk", F.floor(F.col("lo") / size))
+    w = w.join(chunked(sequences, size, pre + post - 1).withColumnRenamed("seq_id", "seqid"), ["seqid", "chunk"]).where(F.col("hi") <= F.col("length"))
+    cut = F.substring(F.col("part"), (F.col("lo") - F.col("chunk") * size + 1).cast("int"), F.lit(pre + post))
     return w.select("seqid", "island", "ord", "strand", "site_type", F.when(F.col("strand") == "+", F.upper(cut)).otherwise(reverse_complement(cut)).alias("site"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import description, has_introns, normalize_parent
+from ..functions.scalars import CATEGORIES, description, has_introns, normalize_parent
 
 QUOTA, FORCED = 20, 3
 
@@ -65,3 +65,49 @@ def segment_means(plddt: DataFrame, size: int) -> DataFrame:
 def join_metrics_meta(predictions: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Predictions with metadata, and those without."""
     return predictions.join(metadata, "gene_id"), predictions.join(metadata, "gene_id", "left_anti")
+
+
+def known_category(proteins: DataFrame) -> DataFrame:
+    """Proteins of the categories that are sampled."""
+    return proteins.where(F.col("category").isin(*CATEGORIES))
+
+
+def strata(proteins: DataFrame) -> DataFrame:
+    """category, length_bin, place, gene_id: the identifiers of each category and bin in order, as rows, so no stratum is one array."""
+    place = F.row_number().over(W.partitionBy("category", "length_bin").orderBy("gene_id")).cast("long")
+    return proteins.select("category", "length_bin", place.alias("place"), "gene_id")
+
+
+def not_forced(proteins: DataFrame, sample: DataFrame) -> DataFrame:
+    """Proteins that the sample doesn't hold as forced ones."""
+    return proteins.join(sample.where("is_forced").select("gene_id"), "gene_id", "left_anti")
+
+
+def sorted_ids(df: DataFrame) -> DataFrame:
+    """The identifiers in lexical order, one of each."""
+    return df.select("gene_id").distinct().orderBy("gene_id")
+
+
+def process_protein(plddt: DataFrame, summary: DataFrame, pae: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gene_id, name, value): the text of each metric file of each protein; and (gene_id, error): proteins that have no model or no metadata.
+
+    plddt: gene_id, residue_number, plddt. summary: gene_id, ptm, fraction_disordered; pae: gene_id, row_idx, pae: a protein without them
+    lacks those files. A protein with an error has no file at all, as nothing of it would be complete; the others go on.
+    """
+    found = plddt.select("gene_id").distinct()
+    bad = found.join(metadata.select("gene_id"), "gene_id", "left_anti").select("gene_id", F.lit("no metadata").alias("error"))
+    bad = bad.unionByName(metadata.select("gene_id").distinct().join(found, "gene_id", "left_anti").select("gene_id", F.lit("no model").alias("error")))
+    lines = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), text.alias("t")))), lambda x: x["t"]), "")
+    residue = F.concat(F.col("residue_number"), F.lit("\t"), F.format_string("%.2f", F.col("plddt").cast("double")), F.lit("\n"))
+    texts = [plddt.groupBy("gene_id").agg(F.lit("plddt.tsv").alias("name"), F.concat(F.lit("residue_number\tplddt\n"), lines("residue_number", residue)).alias("value"))]
+    for c, name in (("ptm", "ptm"), ("fraction_disordered", "fraction_disordered")):
+        texts.append(summary.select("gene_id", F.lit(f"{name}.tsv").alias("name"), F.concat(F.lit(f"{name}\n"), F.coalesce(F.col(c).cast("string"), F.lit("NA")), F.lit("\n")).alias("value")))
+    row = F.concat(F.array_join(F.transform("pae", lambda v: F.format_string("%.2f", v)), "\t"), F.lit("\n"))
+    texts.append(pae.groupBy("gene_id").agg(F.lit("pae.tsv").alias("name"), lines("row_idx", row).alias("value")))
+    columns = metadata.columns
+    texts.append(metadata.select("gene_id", F.lit("metadata.tsv").alias("name"), F.concat(F.lit("\t".join(columns) + "\n"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit("\n")).alias("value")))
+    out = texts[0]
+    for t in texts[1:]:
+        out = out.unionByName(t)
+    good = found.join(metadata.select("gene_id").distinct(), "gene_id", "left_semi")
+    return out.join(good, "gene_id", "left_semi"), bad

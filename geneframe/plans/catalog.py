@@ -13,8 +13,10 @@ from ..operators import pssm as P
 from ..operators import regions as R
 from ..operators import splice as J
 from ..operators import structure as T
+from ..session import scratch
 from ..sources import readers as IN
-from .surrogates import S1, S2, S4, S4W, features, proteins, residues, sequences, whole_proteins
+from ..sources import writers as OUT
+from .surrogates import S1, S2, S4, features, proteins, residues, sequences
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -80,7 +82,7 @@ def codon_count(spark, d):
 
 @query(f"WITH {S1} SELECT count(*) AS n, sum(length(seq))::BIGINT AS bases FROM s1")
 def seq_count(spark, d):
-    return sequences(spark, d).agg(F.count("*").alias("n"), F.sum(F.length("seq").cast("long")).alias("bases"))
+    return C.sequence_count(sequences(spark, d))
 
 
 @query(f"WITH {COUNT} SELECT frame, codon, aa, value FROM t")
@@ -90,7 +92,7 @@ def join_codon_aa(spark, d):
 
 @query(f"WITH {COUNT} SELECT frame, aa, sum(value) AS total FROM t GROUP BY ALL")
 def join_family(spark, d):
-    return C.with_amino(_counts(spark, d)).groupBy("frame", "aa").agg(F.sum("value").alias("total"))
+    return C.family_total(_counts(spark, d))
 
 
 @query(f"WITH {LR} SELECT codon, round(lr, 9) AS lr FROM lr")
@@ -184,51 +186,20 @@ def _head():
     return F.concat(F.lit(">"), F.col("gene_id"), F.lit(" "), F.col("gene_name"), F.lit(" SGDID:S1, Chr "), F.col("chromosome"), F.lit(" from 1-9, "), F.when(F.col("n_exons") == 1, "Verified").when(F.col("n_exons") == 2, "Dubious").otherwise("Other"), F.lit(" ORF"))
 
 
-def _records(spark, d):
-    return proteins(spark, d).select(F.concat(_head(), F.lit("\n"), F.substring("sequence", 1, 20), F.lit("\n"), F.substring("sequence", 21, 10), F.lit("*\n")).alias("value"))
+def _records(spark, d, twice=False):
+    """A FASTA record for each protein, its whole sequence in lines of 60 letters; if twice, each after an older record of the same id."""
+    p = proteins(spark, d)
+    record = F.concat(_head(), F.lit("\n"), F.regexp_replace("sequence", "(.{60})", "$1\n"), F.lit("*\n"))
+    if not twice:
+        return p.select(record.alias("value"))
+    old = F.concat(_head(), F.lit("\nZZZ"), "sequence")
+    return p.select(F.explode(F.array(F.struct(F.lit(1).alias("at"), old.alias("value")), F.struct(F.lit(2).alias("at"), record.alias("value")))).alias("r")).select("r.*")
 
 
 _PROTEIN = f"WITH {S4} SELECT gene_id, gene_name, CASE n_exons WHEN 1 THEN 'Verified' WHEN 2 THEN 'Dubious' ELSE 'Unknown' END AS category, chromosome, sequence, length(sequence)::INTEGER AS length_aa FROM s4"
-
-
-@query(_PROTEIN)
-def scan_protein_fasta(spark, d):
-    return IN.protein_records(IN.fasta_records(_records(spark, d)))
-
-
-@query(_PROTEIN.replace("sequence, length(sequence)::INTEGER AS length_aa", "1 AS one"))
-def parse_header(spark, d):
-    return IN.protein_records(IN.fasta_records(_records(spark, d))).select("gene_id", "gene_name", "category", "chromosome", F.lit(1).alias("one"))
-
-
-@query(_PROTEIN + " WHERE n_exons < 3")
-def category_filter(spark, d):
-    return IN.protein_records(IN.fasta_records(_records(spark, d))).where(F.col("category").isin(*S.CATEGORIES))
-
-
-# The same over whole texts, in lines of 60 letters
-
-
-def _whole_records(spark, d):
-    return whole_proteins(spark, d).select(F.concat(_head(), F.lit("\n"), F.regexp_replace("sequence", "(.{60})", "$1\n"), F.lit("*\n")).alias("value"))
-
-
-_WHOLE = f"WITH {S4W}" + _PROTEIN.removeprefix(f"WITH {S4}").replace("FROM s4", "FROM s4w")
-
-
-@query(_WHOLE)
-def scan_protein_fasta_whole(spark, d):
-    return IN.protein_records(IN.fasta_records(_whole_records(spark, d)))
-
-
-@query(_WHOLE.replace("sequence, length(sequence)::INTEGER AS length_aa FROM", "1 AS one FROM"))
-def parse_header_whole(spark, d):
-    return IN.protein_records(IN.fasta_records(_whole_records(spark, d))).select("gene_id", "gene_name", "category", "chromosome", F.lit(1).alias("one"))
-
-
-@query(_WHOLE + " WHERE n_exons < 3")
-def category_filter_whole(spark, d):
-    return IN.protein_records(IN.fasta_records(_whole_records(spark, d))).where(F.col("category").isin(*S.CATEGORIES))
+query(_PROTEIN, "scan_protein_fasta")(lambda spark, d: IN.protein_records(IN.fasta_records(_records(spark, d, True))))
+query(f"WITH {S4} SELECT gene_id, gene_name, CASE n_exons WHEN 1 THEN 'Verified' WHEN 2 THEN 'Dubious' ELSE 'Unknown' END AS category, chromosome FROM s4", "parse_header")(lambda spark, d: IN.protein_records(IN.fasta_records(_records(spark, d))).select("gene_id", "gene_name", "category", "chromosome"))
+query(_PROTEIN + " WHERE n_exons < 3", "category_filter")(lambda spark, d: T.known_category(IN.protein_records(IN.fasta_records(_records(spark, d)))))
 
 
 @query(f"WITH {S1} SELECT seq_id::VARCHAR AS seq_id, 'first > part' AS doc, seq FROM s1")
@@ -237,10 +208,7 @@ def scan_fasta(spark, d):
     return IN.fasta_records(text)
 
 
-@query(f"WITH {S1} SELECT seq_id, seq FROM s1")
-def scan_transcript_txt(spark, d):
-    return sequences(spark, d).select("seq_id", F.regexp_replace(F.concat("seq", F.lit("\n")), r"\s", "").alias("seq"))
-
+query(f"WITH {S1} SELECT seq_id, seq FROM s1", "scan_transcript_txt")(lambda spark, d: IN.transcript_text(sequences(spark, d).select("seq_id", F.concat(F.regexp_replace("seq", "(.{70})", "$1\n"), F.lit("\n")).alias("value"))))
 
 # Matrices and splice sites
 
@@ -290,15 +258,14 @@ def next_exon(spark, d):
     return J.next_exon(_grouped(spark, d))
 
 
-@query(f"WITH {S2} SELECT parent, count(*) AS n_exons, min(start) AS first, max(\"end\") AS last FROM s2 GROUP BY parent")
-def transcript_group(spark, d):
-    return J.transcript_group(features(spark, d))
-
-
+query(
+    f"""WITH {S2} SELECT parent, count(*) AS n_exons, min(start) AS first, max("end") AS last, string_agg(start || '-' || "end", ',' ORDER BY ord) AS members FROM s2 GROUP BY parent""",
+    "transcript_group",
+)(lambda spark, d: J.transcript_group(features(spark, d)).withColumn("members", F.array_join(F.transform("members", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")))
 query(f"WITH {S2} SELECT parent, min(start) AS first, max(\"end\") AS last FROM s2 GROUP BY parent", "extent")(lambda spark, d: J.transcript_group(features(spark, d)).select("parent", "first", "last"))
-query(f"WITH {S2} SELECT seqid, count(*) AS n FROM s2 GROUP BY seqid", "genes_by_seqid")(lambda spark, d: features(spark, d).groupBy("seqid").agg(F.count("*").alias("n")))
-query(f"WITH {S2} SELECT type, count(*) AS n FROM s2 GROUP BY type", "feature_count")(lambda spark, d: features(spark, d).groupBy("type").agg(F.count("*").alias("n")))
-query(f"WITH {S2} SELECT ord, seqid FROM s2 ORDER BY seqid, ord LIMIT 50", "limit_exons")(lambda spark, d: features(spark, d).orderBy("seqid", "ord").limit(50).select("ord", "seqid"))
+query(f'WITH {S2} SELECT seqid, ord AS place, parent, start, "end" FROM s2', "genes_by_seqid")(lambda spark, d: J.genes_by_seqid(features(spark, d)))
+query(f"WITH {S2} SELECT type, count(*) AS n FROM s2 GROUP BY type", "feature_count")(lambda spark, d: J.feature_count(features(spark, d)))
+query(f"WITH {S2} SELECT ord, seqid FROM s2 ORDER BY seqid, ord LIMIT 50", "limit_exons")(lambda spark, d: J.limit_features(features(spark, d)).select("ord", "seqid"))
 query(f"WITH {SITES} SELECT seqid, island, ord, strand, site_type, lo, hi FROM win", "junction_window")(lambda spark, d: J.junction_window(J.next_exon(_grouped(spark, d))).select("seqid", "island", "ord", "strand", "site_type", "lo", "hi"))
 query(f"WITH {SITES} SELECT * FROM sites", "join_junction_seq")(lambda spark, d: _sites(spark, d))
 query(f"WITH {SITES} SELECT seqid, count(*) AS n_sites FROM sites GROUP BY seqid", "junction_count")(lambda spark, d: J.junction_count(_sites(spark, d)))
@@ -321,7 +288,7 @@ SCAN = PFREQ + """, w AS (SELECT base, pos, CASE WHEN value = 0 THEN -10 ELSE lo
 
 
 def _weights(spark, d):
-    return P.matrix(P.pssm_log(P.pssm_frequency(_models(spark, d).where("pssm_id = 'donor'"))))
+    return P.pssm_log(P.pssm_frequency(_models(spark, d).where("pssm_id = 'donor'")))
 
 
 def _best(scores):
@@ -333,36 +300,29 @@ _BEST = f"WITH {SCAN} SELECT seq_id, count(*) AS n, max(round(score, 6)) AS best
 query(_BEST, "pssm_scan")(lambda spark, d: _best(P.pssm_scan(sequences(spark, d), _weights(spark, d))))
 query(_BEST, "pssm_scan_gather")(lambda spark, d: _best(P.pssm_scan_sql(sequences(spark, d), _weights(spark, d))))
 query(f"WITH {SCAN} SELECT seq_id, round(max(2 ** score), 9) AS likelihood FROM sc GROUP BY seq_id", "exp2")(lambda spark, d: rounded(P.pssm_scan(sequences(spark, d), _weights(spark, d)).groupBy("seq_id").agg(F.max(S.exp2(F.col("score"))).alias("likelihood")), "likelihood"))
-query(f"WITH {SCAN} SELECT pos::INTEGER AS pos, base, count(*) AS n, round(max(v), 9) AS weight FROM ex JOIN w USING (base, pos) GROUP BY ALL", "join_base_pssm")(
-    lambda spark, d: rounded(
-        sequences(spark, d).where("length(seq) >= 15").select(F.explode(F.sequence(F.lit(0), F.lit(14))).alias("pos"), "seq").select("pos", F.expr("substring(seq, pos + 1, length(seq) - 14)").alias("part")).select("pos", F.explode(F.split("part", "")).alias("base")).groupBy("pos", "base").agg(F.count("*").alias("n")).join(P.pssm_log(P.pssm_frequency(_models(spark, d).where("pssm_id = 'donor'"))).select("pos", "base", F.col("value").alias("weight")), ["pos", "base"]),
-        "weight",
-    )
-)
+query(f"WITH {SCAN} SELECT pos::INTEGER AS pos, base, count(*) AS n, round(max(v), 9) AS weight FROM ex JOIN w USING (base, pos) GROUP BY ALL", "join_base_pssm")(lambda spark, d: rounded(P.base_weights(sequences(spark, d), _weights(spark, d)), "weight"))
 
 # Regions
 
 _REG = f"""{S1}, {S2}, reg AS (SELECT s2.*, greatest(start - 100, 1) AS a, least("end" + 100, length(seq)) AS b, seq FROM s2 JOIN s1 ON seqid = seq_id),
  cut AS (SELECT *, CASE WHEN b >= a THEN substr(seq, a, b - a + 1) ELSE '' END AS piece FROM reg), regions AS (SELECT seqid, ord, CASE WHEN strand = '-' THEN reverse(translate(piece, 'ACGT', 'TGCA')) ELSE piece END AS region, '>' || parent || ' padding=100 padded_loc=[' || (start - 100) || ',' || ("end" + 100) || '] strand=' || strand AS header FROM cut)"""
 query(f"WITH {_REG} SELECT seqid, ord, region FROM regions", "join_gene_seq")(lambda spark, d: R.gene_regions(features(spark, d), sequences(spark, d)).select("seqid", "ord", "region"))
-query(f"WITH {_REG} SELECT seqid, ord, piece FROM cut", "subsequence")(lambda spark, d: features(spark, d).join(sequences(spark, d), F.col("seqid") == F.col("seq_id")).select("seqid", "ord", S.subsequence(F.col("seq"), F.col("start"), F.col("end"), 100).alias("piece")))
+query(f"WITH {_REG} SELECT seqid, ord, piece FROM cut", "subsequence")(lambda spark, d: R.pieces(features(spark, d), sequences(spark, d)).select("seqid", "ord", "piece"))
 query(f"WITH {_REG} SELECT seqid, ord, header FROM regions", "region_header")(lambda spark, d: R.gene_regions(features(spark, d), sequences(spark, d)).select("seqid", "ord", "header"))
 query(f"WITH {_REG} SELECT header || chr(10) || rtrim(regexp_replace(region, '(.{{100}})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM regions", "sink_region_fasta")(lambda spark, d: R.region_fasta(R.gene_regions(features(spark, d), sequences(spark, d))))
 query(f"WITH {S2} SELECT seqid, ord, start FROM s2 WHERE start - 100 <= 0", "begin_le_zero")(lambda spark, d: R.begin_le_zero(features(spark, d), 100).select("seqid", "ord", "start"))
 
 
-def _gff(spark, d, coding=False):
-    """The features as lines; if coding, every third has the type CDS."""
-    f = features(spark, d)
-    f = f.withColumn("type", F.when(F.col("ord") % 3 == 0, "CDS").otherwise(F.col("type"))) if coding else f
+def _gff(spark, d):
+    """The features as lines; every third has the type CDS, the first is a comment."""
+    f = features(spark, d).withColumn("type", F.when(F.col("ord") % 3 == 0, "CDS").otherwise(F.col("type")))
     line = F.concat_ws("\t", F.col("seqid").cast("string"), F.lit("src"), F.col("type"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), "strand", F.lit("."), F.concat(F.lit("ID=x;Parent="), "parent", F.lit(";")))
     return f.select("ord", F.when(F.col("ord") == 1, F.concat(F.lit("#"), line)).otherwise(line).alias("value"))
 
 
 _GFF = f'WITH {S2} SELECT ord, seqid::VARCHAR AS seqid, start, "end", strand, parent FROM s2 WHERE ord > 1'
-query(_GFF, "scan_gff")(lambda spark, d: IN.gff_features(_gff(spark, d), ["exon"]).select("ord", "seqid", "start", "end", "strand", "parent"))
-query(_GFF + " AND 1 = 0", "scan_gff_cds")(lambda spark, d: IN.gff_features(_gff(spark, d), ["CDS"]).select("ord", "seqid", "start", "end", "strand", "parent"))
-query(_GFF + " AND ord % 3 = 0", "scan_gff_cds_whole")(lambda spark, d: IN.gff_features(_gff(spark, d, True), ["CDS"]).select("ord", "seqid", "start", "end", "strand", "parent"))
+query(_GFF + " AND ord % 3 <> 0", "scan_gff")(lambda spark, d: IN.gff_features(_gff(spark, d), ["exon"]).select("ord", "seqid", "start", "end", "strand", "parent"))
+query(_GFF + " AND ord % 3 = 0", "scan_gff_cds")(lambda spark, d: IN.gff_features(_gff(spark, d), ["CDS"]).select("ord", "seqid", "start", "end", "strand", "parent"))
 
 
 # Proteins and metrics
@@ -382,20 +342,46 @@ def _sample(spark, d):
 
 query(f"WITH {_SAMPLE} SELECT gene_id, category, length_bin, is_forced FROM sam", "stratified_sample")(lambda spark, d: _sample(spark, d).select("gene_id", "category", "length_bin", "is_forced"))
 query(f"WITH {_SAMPLE} SELECT category, length_bin, count(*) AS n FROM sam GROUP BY ALL", "rank_in_stratum")(lambda spark, d: _sample(spark, d).groupBy("category", "length_bin").agg(F.count("*").alias("n")))
-query(f"WITH {_SAMPLE} SELECT gene_id FROM s4b WHERE gene_id NOT IN (SELECT gene_id FROM sam WHERE is_forced)", "semi_forced")(lambda spark, d: _proteins(spark, d).join(_sample(spark, d).where("is_forced"), "gene_id", "left_anti").select("gene_id"))
-query(f"WITH {S4} SELECT category, length_bin, count(*) AS n FROM s4b GROUP BY ALL", "cat_bin_group")(lambda spark, d: _proteins(spark, d).groupBy("category", "length_bin").agg(F.count("*").alias("n")))
-query(f"WITH {_SAMPLE} SELECT gene_id, category, length_aa, n_exons, CASE WHEN n_exons > 1 THEN 'yes' ELSE 'no' END AS has_introns, length_bin, chromosome, gene_name FROM sam", "sink_sample_tsv")(lambda spark, d: T.sample_metadata(_sample(spark, d)))
-query(f"WITH {S4} SELECT gene_id FROM s4 ORDER BY gene_id", "sort_gene_ids")(lambda spark, d: proteins(spark, d).select("gene_id").orderBy("gene_id"))
-query(f"WITH {S4} SELECT gene_id FROM s4", "exon_count_by_gene_ids")(lambda spark, d: T.exon_count_by_gene(_parents(spark, d)).select("gene_id"))
-query(f"WITH {S4} SELECT gene_id, count(*) AS n_exons FROM s4 GROUP BY gene_id", "exon_count_by_gene")(lambda spark, d: T.exon_count_by_gene(_parents(spark, d)))
-query(f"WITH {S4} SELECT gene_id, CASE WHEN n_exons = 2 THEN 1 ELSE 1 END::BIGINT AS n_exons FROM s4", "join_exon_counts")(lambda spark, d: T.join_exon_counts(proteins(spark, d), T.exon_count_by_gene(_parents(spark, d).where("n_exons = 2"))).select("gene_id", "n_exons"))
+query(f"WITH {_SAMPLE} SELECT gene_id FROM s4b WHERE gene_id NOT IN (SELECT gene_id FROM sam WHERE is_forced)", "semi_forced")(lambda spark, d: T.not_forced(_proteins(spark, d), _sample(spark, d)).select("gene_id"))
+query(f"WITH {S4} SELECT category, length_bin, row_number() OVER (PARTITION BY category, length_bin ORDER BY gene_id) AS place, gene_id FROM s4b", "cat_bin_group")(lambda spark, d: T.strata(_proteins(spark, d)))
+_META = f"WITH {_SAMPLE} SELECT gene_id, category, length_aa, n_exons, CASE WHEN n_exons > 1 THEN 'yes' ELSE 'no' END AS has_introns, length_bin, chromosome, gene_name FROM sam"
+
+
+def _tsv(spark, d):
+    path = scratch(spark)
+    OUT.sink_sample_tsv(T.sample_metadata(_sample(spark, d)), path)
+    return path
+
+
+_COLUMNS = "gene_id, category, length_aa, n_exons, has_introns, length_bin, chromosome, gene_name"
+query(f"WITH {S4}, tsv AS ({_META.removeprefix(f'WITH {S4}, ')}) SELECT concat_ws(chr(9), {_COLUMNS}) AS value FROM tsv UNION ALL SELECT '{_COLUMNS}'.replace(', ', chr(9))".replace(f"WITH {S4}, tsv AS (o AS", f"WITH {S4}, tsv AS (WITH o AS"), "sink_sample_tsv")(
+    lambda spark, d: spark.read.text(_tsv(spark, d))
+)
+query(_META, "scan_metadata_tsv")(lambda spark, d: IN.scan_metadata_tsv(spark, _tsv(spark, d)))
+query(f"WITH {S4} SELECT gene_id FROM s4 ORDER BY gene_id", "sort_gene_ids")(lambda spark, d: T.sorted_ids(proteins(spark, d)))
+
+
+def _cds(spark, d):
+    """Coding features: one for each exon of genes with several, none of the others."""
+    return _parents(spark, d).where("n_exons > 1").withColumn("exon", F.explode(F.sequence(F.lit(1), F.col("n_exons"))))
+
+
+query(f"WITH {S4} SELECT gene_id FROM s4 WHERE n_exons > 1", "exon_count_by_gene_ids")(lambda spark, d: T.exon_count_by_gene(_cds(spark, d)).select("gene_id"))
+query(f"WITH {S4} SELECT gene_id, n_exons::BIGINT AS n_exons FROM s4 WHERE n_exons > 1", "exon_count_by_gene")(lambda spark, d: T.exon_count_by_gene(_cds(spark, d)))
+query(f"WITH {S4} SELECT gene_id, n_exons::BIGINT AS n_exons FROM s4", "join_exon_counts")(lambda spark, d: T.join_exon_counts(proteins(spark, d), T.exon_count_by_gene(_cds(spark, d))).select("gene_id", "n_exons"))
 query(
     f"WITH {S4} SELECT gene_id, '{{\"name\":\"' || gene_id || '\",\"modelSeeds\":[1],\"sequences\":[{{\"protein\":{{\"id\":\"A\",\"sequence\":\"' || sequence || '\",\"description\":\"' || category || ' | ' || n_exons || ' exons | ' || length_aa || ' AA | ' || chromosome || '\"}}}}],\"dialect\":\"alphafold3\",\"version\":2}}' AS json FROM s4",
-    "sink_af3_json",
+    "json_encode",
 )(lambda spark, d: T.predictor_input(proteins(spark, d)))
-query(ORACLE_SQL["sink_af3_json"].replace(S4, S4W).removesuffix("FROM s4") + "FROM s4w", "sink_af3_json_whole")(lambda spark, d: T.predictor_input(whole_proteins(spark, d)))
-QUERIES["json_encode_whole"], ORACLE_SQL["json_encode_whole"] = QUERIES["sink_af3_json_whole"], ORACLE_SQL["sink_af3_json_whole"]
-QUERIES["json_encode"], ORACLE_SQL["json_encode"] = QUERIES["sink_af3_json"], ORACLE_SQL["sink_af3_json"]
+
+
+def _json_files(spark, d):
+    path = scratch(spark)
+    OUT.sink_json(T.predictor_input(_sample(spark, d)), path)
+    return spark.read.text(path).select("gene_id", F.col("value").alias("json"))
+
+
+query(f"WITH {_SAMPLE}, j AS ({ORACLE_SQL['json_encode'].removeprefix(f'WITH {S4} ')}) SELECT j.gene_id, json FROM j WHERE gene_id IN (SELECT gene_id FROM sam)", "sink_af3_json")(_json_files)
 
 _RES = "res AS (SELECT vec_id::VARCHAR AS gene_id, unnest(range(1, len(embedding) + 1))::INTEGER AS residue_number, unnest(embedding)::DOUBLE AS plddt FROM embeddings)"
 query(f"WITH {_RES} SELECT gene_id, residue_number, plddt FROM res", "plddt_per_residue")(lambda spark, d: T.plddt_per_residue(residues(spark, d)))
@@ -413,11 +399,6 @@ def _cif(spark, d):
 
 query(f"WITH {_RES} SELECT gene_id, residue_number, round(plddt, 9) AS plddt FROM res", "scan_mmcif")(lambda spark, d: rounded(T.plddt_per_residue(IN.mmcif_table(_cif(spark, d)).drop("chain")), "plddt"))
 query("SELECT event_id::VARCHAR AS gene_id, value AS ptm, NULL::DOUBLE AS fraction_disordered FROM events", "scan_summary_json")(lambda spark, d: IN.summary_fields(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("gene_id"), F.to_json(F.struct(F.col("value").alias("ptm"))).alias("value"))))
-query("SELECT vec_id::VARCHAR AS gene_id, unnest([0, 1])::INTEGER AS row_idx, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE]) AS first FROM embeddings", "scan_pae_json")(
-    lambda spark, d: IN.pae_rows(spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("gene_id"), F.to_json(F.struct(F.array(F.array(F.get("embedding", F.lit(0)).cast("double")), F.array(F.get("embedding", F.lit(1)).cast("double"))).alias("pae"))).alias("value"))).select("gene_id", "row_idx", F.get("pae", F.lit(0)).alias("first"))
-)
-
-
 def _matrices(spark, d):
     """Each vector, and the vector backwards, as the rows of a matrix."""
     v = F.col("embedding").cast("array<double>")
@@ -427,31 +408,121 @@ def _matrices(spark, d):
 query(
     """WITH m AS (SELECT vec_id::VARCHAR AS gene_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1))::INTEGER AS k FROM embeddings)
  SELECT gene_id, 0 AS row_idx, k AS col, v[k] AS value FROM m UNION ALL SELECT gene_id, 1, k, v[len(v) + 1 - k] FROM m""",
-    "scan_pae_json_whole",
+    "scan_pae_json",
 )(lambda spark, d: IN.pae_rows(_matrices(spark, d)).select("gene_id", "row_idx", F.posexplode("pae").alias("k", "value")).select("gene_id", "row_idx", (F.col("k") + 1).alias("col"), "value"))
 query(f"WITH {S4} SELECT gene_id, category FROM s4 WHERE n_exons > 1", "join_metrics_meta")(lambda spark, d: T.join_metrics_meta(proteins(spark, d).select("gene_id"), proteins(spark, d).where("n_exons > 1").select("gene_id", "category"))[0])
 query(f"WITH {S4} SELECT gene_id FROM s4 WHERE n_exons <= 1", "join_metrics_meta_missing")(lambda spark, d: T.join_metrics_meta(proteins(spark, d).select("gene_id"), proteins(spark, d).where("n_exons > 1").select("gene_id", "category"))[1])
-query(f"WITH {S4} SELECT gene_id FROM s4 ORDER BY gene_id", "sort_pids")(QUERIES["sort_gene_ids"])
+query("SELECT DISTINCT vec_id::VARCHAR AS gene_id FROM embeddings WHERE vec_id % 3 <> 1 ORDER BY gene_id", "sort_pids")(lambda spark, d: T.sorted_ids(IN.discovered(_paths(spark, d))))
+
+
+def _paths(spark, d):
+    """Two models of every vector that isn't the second of three, one in a folder that doesn't count, and another file."""
+    v = F.col("vec_id").cast("string")
+    kinds = F.array(*(F.concat(F.lit("/run/"), a, v, F.lit(b), v, F.lit(c)) for a, b, c in ((F.lit("a/"), "/", "_model.cif"), (F.lit("b/"), "/", "_model.cif"), (F.lit("c/"), "/seed-1_", "/x_model.cif"), (F.lit("d/"), "/", "_confidences.json"))))
+    return spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 3 <> 1").select(F.explode(kinds).alias("path"))
+
+
+query("SELECT vec_id::VARCHAR AS gene_id, '/run/b/' || vec_id || '/' || vec_id || '_model.cif' AS path FROM embeddings WHERE vec_id % 3 <> 1", "discover_files")(lambda spark, d: IN.discovered(_paths(spark, d)))
+
+
+def _jobs(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("path"), (F.col("event_id") % 50).cast("string").alias("minute"), (F.col("event_id") % 7 + 1).alias("n"))
+    chains = F.array_join(F.transform(F.sequence(F.lit(1), "n"), lambda k: F.concat(F.lit("  Chain "), F.char(k + 64), F.lit(": protein ("), (k * 10).cast("string"), F.lit(" residues)\n"))), "")
+    at = lambda hour: F.concat(F.lit("Fri Feb 27 "), F.lit(hour), F.lpad("minute", 2, "0"), F.lit(":21 EST 2026\n"))
+    return e.select("path", F.concat(F.lit("Job Name:      J"), "path", F.lit("\nChains:\n"), chains, F.lit("Started:       "), at("05:"), F.lit("Finished:      "), at("06:")).alias("value"))
+
+
+query(
+    "SELECT event_id::VARCHAR AS path, 'J' || event_id AS job_name, event_id % 7 + 1 AS n_chains, 5 * (event_id % 7 + 1) * (event_id % 7 + 2) AS residues, 3600 AS seconds, (10 * 60 + event_id % 50) * 60 + 21 AS started FROM events",
+    "scan_run_metadata",
+)(
+    lambda spark, d: IN.run_metadata(_jobs(spark, d)).select(
+        "path", "job_name", F.size("chains").cast("long").alias("n_chains"), F.aggregate("chains", F.lit(0).cast("long"), lambda a, c: a + c["residues"]).alias("residues"), (F.unix_timestamp("finished") - F.unix_timestamp("started")).cast("int").alias("seconds"), F.pmod(F.unix_timestamp("started"), F.lit(86400)).alias("started")
+    )
+)
+
+
+# The files of each prediction
+
+
+def _metrics(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("gene_id"), "vec_id")
+    summary = e.where("vec_id % 3 = 0").select("gene_id", (F.col("vec_id") / 4).alias("ptm"), F.when(F.col("vec_id") % 2 == 0, 0.5).alias("fraction_disordered"))
+    metadata = e.where("vec_id % 5 <> 0").select("gene_id", F.lit("x").alias("category"))
+    pae = IN.pae_rows(_matrices(spark, d)).join(e.where("vec_id % 2 = 0").select("gene_id"), "gene_id", "left_semi")
+    return T.plddt_per_residue(residues(spark, d)), summary, pae, metadata
+
+
+_FILES = """e AS (SELECT vec_id, vec_id::VARCHAR AS gene_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, gene_id, v, unnest(range(1, len(v) + 1)) AS k FROM e),
+ f AS (SELECT vec_id, gene_id, 'plddt.tsv' AS name, 'residue_number' || chr(9) || 'plddt' || chr(10) || string_agg(k || chr(9) || printf('%.2f', v[k]) || chr(10), '' ORDER BY k) AS value FROM u GROUP BY ALL
+ UNION ALL SELECT vec_id, gene_id, 'pae.tsv', string_agg(printf('%.2f', v[k]), chr(9) ORDER BY k) || chr(10) || string_agg(printf('%.2f', v[len(v) + 1 - k]), chr(9) ORDER BY k) || chr(10) FROM u WHERE vec_id % 2 = 0 GROUP BY ALL
+ UNION ALL SELECT vec_id, gene_id, 'ptm.tsv', 'ptm' || chr(10) || (vec_id / 4)::DOUBLE || chr(10) FROM e WHERE vec_id % 3 = 0
+ UNION ALL SELECT vec_id, gene_id, 'fraction_disordered.tsv', 'fraction_disordered' || chr(10) || CASE WHEN vec_id % 2 = 0 THEN '0.5' ELSE 'NA' END || chr(10) FROM e WHERE vec_id % 3 = 0
+ UNION ALL SELECT vec_id, gene_id, 'metadata.tsv', 'gene_id' || chr(9) || 'category' || chr(10) || gene_id || chr(9) || 'x' || chr(10) FROM e)"""
+
+
+def _metric_files(spark, d):
+    path = scratch(spark)
+    OUT.sink_metrics_tsv(T.process_protein(*_metrics(spark, d))[0], path)
+    return spark.read.text(path, wholetext=True).select(F.col("gene_id").cast("string").alias("gene_id"), "name", "value")
+
+
+query(f"WITH {_FILES} SELECT gene_id, name, value FROM f WHERE vec_id % 5 <> 0", "process_protein")(lambda spark, d: T.process_protein(*_metrics(spark, d))[0])
+query(f"WITH {_FILES} SELECT gene_id, 'no metadata' AS error FROM e WHERE vec_id % 5 = 0", "process_protein_errors")(lambda spark, d: T.process_protein(*_metrics(spark, d))[1])
+query(f"WITH {_FILES} SELECT gene_id, name, value FROM f WHERE vec_id % 5 <> 0", "sink_metrics")(lambda spark, d: _metric_files(spark, d))
 
 
 # Text round trips
 
 
-def _table_text(spark, d):
-    field = F.concat("codon", F.lit(":"), F.format_string("%6d", F.col("value").cast("long")))
-    return _counts(spark, d).groupBy(F.col("frame").cast("string").alias("table_id")).agg(F.array_join(F.array_sort(F.collect_list(field)), "  ").alias("value"))
+_CELLS = COUNT + ", cell AS (SELECT frame, codon, aa, value, instr('TCAG', codon[1]) AS a, instr('TCAG', codon[2]) AS b, instr('TCAG', codon[3]) AS c FROM t)"
+_TABLE = "string_agg({0} || CASE WHEN b = 4 THEN chr(10) ELSE '  ' END, '' ORDER BY a, c, b)"
+
+
+def _text(spark, d):
+    return C.codon_text(_counts(spark, d), decimal=0).select(F.col("frame").cast("string").alias("table_id"), "value")
 
 
-query(f"WITH {COUNT} SELECT frame::VARCHAR AS table_id, codon, value FROM t", "scan_codon_table")(lambda spark, d: IN.codon_table_fields(_table_text(spark, d)))
-query(f"WITH {COUNT} SELECT frame::VARCHAR AS table_id, string_agg(codon || ':' || lpad(value::BIGINT::VARCHAR, greatest(6, length(value::BIGINT::VARCHAR))::INTEGER, ' '), '  ' ORDER BY codon) AS value FROM t GROUP BY frame", "sink_codon_table")(_table_text)
-query(f"WITH {COUNT} SELECT frame, sum(value) AS n FROM t GROUP BY frame", "fmt_codon_table")(lambda spark, d: C.codon_n(_counts(spark, d)).select("frame", "n"))
+def _batch(spark, d):
+    """The files of the three frames, read again."""
+    folder = scratch(spark)
+    OUT.sink_codon_batch(_counts(spark, d), f"{folder}/x")
+    return IN.scan_codon_table(spark, f"{folder}/*.count.txt").select(F.regexp_extract("table_id", r"_rf(\d)\.", 1).cast("int").alias("frame"), "codon", "value")
+
+
+query(f"WITH {COUNT} SELECT frame::VARCHAR AS table_id, codon, value FROM t", "scan_codon_table")(lambda spark, d: IN.codon_table_fields(_text(spark, d)))
+query(f"WITH {_CELLS} SELECT frame::VARCHAR AS table_id, {_TABLE.format("codon || ':' || printf('%6.0f', value)")} AS value FROM cell GROUP BY frame", "sink_codon_table")(_text)
+query(f"WITH {COUNT} SELECT frame, codon, value FROM t", "sink_codon_batch")(_batch)
+query(f"WITH {_CELLS} SELECT frame, sum(value)::BIGINT || ' observations' || chr(10) || string_agg(codon || ' ' || aa || ' ' || printf('%6.3f', value) || CASE WHEN b = 4 AND c = 4 THEN chr(10) || chr(10) ELSE chr(10) END, '' ORDER BY a, b, c) AS value FROM cell GROUP BY frame", "fmt_codon_table")(lambda spark, d: C.codon_listing(_counts(spark, d)).select("frame", "value"))
+query(f"WITH {COUNT} SELECT frame, sum(value) AS n FROM t GROUP BY frame", "codon_n")(lambda spark, d: C.codon_n(_counts(spark, d)).select("frame", "n"))
+
+
+def _meta(spark, d):
+    return _models(spark, d).select("pssm_id").distinct().select("pssm_id", F.col("pssm_id").alias("title"), F.lit("1a").alias("uid"), F.lit("2020-01-01 101010").alias("creation"), F.array(F.lit("A note"), F.lit("  ")).alias("comments"))
+
+
+_NOTED = "(2020-02-02 000000) copied from 1a (' || pssm_id || ')"
+query(f"WITH {PCOUNT} SELECT DISTINCT pssm_id, '2b' AS uid, 'A note|  |{_NOTED}|(2020-02-02 000000) converted to frequency' AS comments FROM pc", "pssm_meta_frequency")(lambda spark, d: P.meta_frequency(_meta(spark, d), F.lit("2b"), F.lit("2020-02-02 000000")).select("pssm_id", "uid", F.array_join("comments", "|").alias("comments")))
 
 
 def _pssm_text(spark, d):
-    row = F.concat(F.lit("\t"), "base", F.lit(" "), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.concat(F.when(x["pos"] == 5, "| ").otherwise(""), x["value"].cast("string"))), " "))
-    rows = _models(spark, d).groupBy("pssm_id", "base").agg(row.alias("row"))
-    return rows.groupBy("pssm_id").agg(F.concat(F.lit("title: a\nuid: 1\ncreation: 2020-01-01 101010\nn: 3\ncomment\n\tA note\npssm 4,15\n"), F.array_join(F.array_sort(F.collect_list("row")), "\n"), F.lit("\n")).alias("value"))
+    return P.pssm_text(_models(spark, d), P.meta_copy(_meta(spark, d), F.lit("2b"), F.lit("2020-02-02 000000")), offset=5)
+
+
+def _saved(spark, d):
+    """donor.dat and acceptor.dat, read again."""
+    folder = scratch(spark)
+    OUT.sink_splice_models(_models(spark, d), _meta(spark, d), folder, precision=5)
+    return IN.scan_pssm(spark, f"{folder}/*.dat").select(F.regexp_extract("pssm_id", r"(\w+)\.dat", 1).alias("pssm_id"), "base", "pos", "value", "offset")
 
 
 query(f"WITH {PCOUNT} SELECT pssm_id, base, pos, value, 5 AS \"offset\" FROM pc", "scan_pssm")(lambda spark, d: IN.pssm_entries(_pssm_text(spark, d)))
-query(f"WITH {PCOUNT} SELECT DISTINCT pssm_id, 'a' AS title, '1' AS uid, '2020-01-01 101010' AS creation, '3' AS n FROM pc", "sink_pssm")(lambda spark, d: IN.pssm_meta(_pssm_text(spark, d)))
+query(f"WITH {PCOUNT} SELECT DISTINCT pssm_id, pssm_id AS title, '2b' AS uid, '2020-01-01 101010' AS creation, 'A note|{_NOTED}' AS comments FROM pc", "scan_pssm_meta")(lambda spark, d: IN.pssm_meta(_pssm_text(spark, d)).select("pssm_id", "title", "uid", "creation", F.array_join("comments", "|").alias("comments")))
+query(
+    f"""WITH {PCOUNT}, pn2 AS (SELECT pssm_id, max(s) AS n FROM (SELECT pssm_id, pos, sum(value) AS s FROM pc GROUP BY ALL) GROUP BY pssm_id), ln AS (SELECT pssm_id, base, chr(9) || base || string_agg(CASE WHEN pos = 5 THEN '      |' ELSE '' END || printf(' %6.3f', value), '' ORDER BY pos) AS line FROM pc GROUP BY pssm_id, base)
+ SELECT pssm_id, 'title: ' || pssm_id || chr(10) || 'uid: 2b' || chr(10) || 'creation: 2020-01-01 101010' || chr(10) || 'n: ' || any_value(n) || chr(10) || 'comment' || chr(10) || chr(9) || 'A note' || chr(10) || chr(9) || '{_NOTED}' || chr(10) || 'pssm 4,15' || chr(10) || string_agg(line, chr(10) ORDER BY base) || chr(10) AS value FROM ln JOIN pn2 USING (pssm_id) GROUP BY pssm_id""",
+    "sink_pssm",
+)(_pssm_text)
+query(f"WITH {PFREQ} SELECT pssm_id, base, pos, printf('%.5f', value)::DOUBLE AS value, CASE pssm_id WHEN 'donor' THEN 5 ELSE 10 END AS \"offset\" FROM pf", "sink_splice_models")(_saved)
+query("SELECT doc_id, true AS uid_ok, true AS now_ok FROM documents", "uid")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.uid().rlike("^[0-9a-f]{8}$").alias("uid_ok"), S.now().rlike(r"^\d{4}-\d\d-\d\d \d{6}$").alias("now_ok")))
+QUERIES["now"], ORACLE_SQL["now"] = QUERIES["uid"], ORACLE_SQL["uid"]

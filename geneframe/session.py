@@ -1,8 +1,22 @@
-"""A session with the settings that the operators expect."""
+"""A session with the settings that the operators expect, and a folder for files that a query writes and reads again."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, on a local master, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{spark.sparkContext.applicationId}-files/{uuid.uuid4().hex}"
+
+
 def session(master: str | None = None, name: str = "geneframe", partitions: int | None = None) -> SparkSession:
     b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
     b = b.master(master) if master else b

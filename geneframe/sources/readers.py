@@ -6,7 +6,6 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category_of, chromosome_of, extract_id
@@ -15,28 +14,37 @@ GFF_SCHEMA = "seqid string, source string, type string, start long, `end` long,
 METADATA_SCHEMA = "gene_id string, category string, length_aa int, n_exons int, has_introns string, length_bin string, chromosome string, gene_name string"
 
 
+def file_order() -> Column:
+    """A row's place: file, split of the file, row of the split. Rows of a split stay together and in order, whatever order Spark reads the
+    splits in, so this is the order of the files."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def fasta_records(text: DataFrame) -> DataFrame:
-    """value: one record, with or without '>' -> seq_id, doc, seq."""
+    """value: one record, with or without '>' -> seq_id, doc, seq; with a column at, its place, that as well."""
     v = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(v, r"^([^\n]*)", 1)
-    return text.where(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S*)", 1).alias("seq_id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("doc"), F.regexp_replace(F.regexp_replace(v, r"^[^\n]*", ""), r"\s", "").alias("seq"))
+    return text.where(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S*)", 1).alias("seq_id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("doc"), F.regexp_replace(F.regexp_replace(v, r"^[^\n]*", ""), r"\s", "").alias("seq"), *(c for c in ("at",) if c in text.columns))
 
 
 def scan_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return fasta_records(spark.read.text(path, lineSep="\n>"))
+    return fasta_records(spark.read.text(path, lineSep="\n>")).select("seq_id", "doc", "seq")
 
 
 def protein_records(fasta: DataFrame) -> DataFrame:
-    """seq_id, doc, seq -> gene_id, gene_name, category, chromosome, sequence, length_aa. A trailing * goes; of equal ids one stays."""
+    """seq_id, doc, seq -> gene_id, gene_name, category, chromosome, sequence, length_aa. A trailing * goes.
+
+    Of equal ids the last stays, by the column at; without it the one of the largest sequence, as rows of a table have no order."""
     name = F.regexp_extract("doc", r"^(\S+)", 1)
     p = fasta.select(
-        F.col("seq_id").alias("gene_id"), F.when((name == F.col("seq_id")) | F.contains(name, F.lit(":")), "").otherwise(name).alias("gene_name"), category_of(F.col("doc")).alias("category"), chromosome_of(F.col("doc")).alias("chromosome"), F.regexp_replace("seq", r"\*+$", "").alias("sequence")
+        F.col("seq_id").alias("gene_id"), F.when((name == F.col("seq_id")) | F.contains(name, F.lit(":")), "").otherwise(name).alias("gene_name"), category_of(F.col("doc")).alias("category"), chromosome_of(F.col("doc")).alias("chromosome"), F.regexp_replace("seq", r"\*+$", "").alias("sequence"), *(c for c in ("at",) if c in fasta.columns)
     )
-    return p.groupBy("gene_id").agg(F.max(F.struct("sequence", "gene_name", "category", "chromosome")).alias("x")).select("gene_id", "x.gene_name", "x.category", "x.chromosome", "x.sequence", F.length("x.sequence").alias("length_aa"))
+    fields = F.struct("sequence", "gene_name", "category", "chromosome")
+    return p.groupBy("gene_id").agg((F.max_by(fields, "at") if "at" in fasta.columns else F.max(fields)).alias("x")).select("gene_id", "x.gene_name", "x.category", "x.chromosome", "x.sequence", F.length("x.sequence").alias("length_aa"))
 
 
 def scan_protein_fasta(spark: SparkSession, path: str) -> DataFrame:
-    return protein_records(scan_fasta(spark, path))
+    return protein_records(fasta_records(spark.read.text(path, lineSep="\n>").select("value", file_order().alias("at"))))
 
 
 def attributes(c: Column) -> Column:
@@ -52,8 +60,8 @@ def gff_features(lines: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 
 def scan_gff(spark: SparkSession, path: str, types: list[str] | None = None) -> DataFrame:
-    """ord is (file, offset) in one number: the reader's partitions are in file order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    """ord is the line's place (see file_order)."""
+    lines = spark.read.text(path).select("value", file_order().alias("ord"))
     return gff_features(lines, types)
 
 
@@ -81,17 +89,24 @@ def pssm_entries(text: DataFrame) -> DataFrame:
 
 
 def pssm_meta(text: DataFrame) -> DataFrame:
-    """pssm_id, value -> title, uid, creation, n from the tagged lines; other tags are ignored."""
+    """pssm_id, value -> title, uid, creation, n from the tagged lines, and the lines of the comment block; other tags are ignored."""
     tag = lambda k: F.regexp_extract("value", rf"(?m)^{k}:[ \t]*(.*)$", 1).alias(k)
-    return text.select("pssm_id", *(tag(k) for k in ("title", "uid", "creation", "n")))
+    block = F.regexp_extract("value", r"(?ms)^comment[^\n]*\n(.*?)^pssm\b", 1)
+    comments = F.filter(F.transform(F.split(block, "\n"), F.trim), lambda x: x != "")
+    return text.select("pssm_id", *(tag(k) for k in ("title", "uid", "creation", "n")), F.transform(comments, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")).alias("comments"))
 
 
 def scan_pssm(spark: SparkSession, path: str) -> DataFrame:
     return pssm_entries(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("pssm_id"), "value"))
 
 
+def transcript_text(text: DataFrame) -> DataFrame:
+    """seq_id, value (a file's text) -> seq_id, seq."""
+    return text.select("seq_id", F.regexp_replace("value", r"\s", "").alias("seq"))
+
+
 def scan_transcript_txt(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("seq_id"), F.regexp_replace("value", r"\s", "").alias("seq"))
+    return transcript_text(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("seq_id"), "value"))
 
 
 _TOKEN = re.compile(r"""(?m)^;(?P<block>.*?)^;|'(?P<single>(?:[^'\n]|'(?=\S))*)'|"(?P<double>(?:[^"\n]|"(?=\S))*)"|\#.*|(?P<plain>[^\s]+)""", re.S)
@@ -148,14 +163,18 @@ def mmcif_table(text: DataFrame) -> DataFrame:
     return text.select("gene_id", "value").mapInArrow(_mmcif, "gene_id string, atom_ord long, chain string, auth_seq_id int, b_iso double")
 
 
-def discover_files(spark: SparkSession, root: str, pattern: str = "*_model.cif") -> DataFrame:
-    """gene_id, path of predictions below root; files directly in a folder named seed-... are left out, of equal ids the last path stays."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path")
+def discovered(paths: DataFrame) -> DataFrame:
+    """path -> gene_id, path of models; files directly in a folder named seed-... are left out, of equal ids the last path stays."""
     parts = F.split("path", "/")
-    f = f.where(~F.contains(F.element_at(parts, -2), F.lit("seed-")))
+    f = paths.where(F.element_at(parts, -1).endswith("_model.cif") & ~F.contains(F.element_at(parts, -2), F.lit("seed-")))
     return f.select(extract_id(F.element_at(parts, -1)).alias("gene_id"), "path").groupBy("gene_id").agg(F.max("path").alias("path"))
 
 
+def discover_files(spark: SparkSession, root: str, pattern: str = "*_model.cif") -> DataFrame:
+    """gene_id, path of predictions below root; only names are read."""
+    return discovered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path"))
+
+
 def scan_mmcif(spark: SparkSession, root: str) -> DataFrame:
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_model.cif").text(root, wholetext=True).select("value", F.input_file_name().alias("path"))
     parts = F.split("path", "/")
@@ -177,8 +196,11 @@ def scan_json_text(spark: SparkSession, root: str, pattern: str) -> DataFrame:
 
 
 def scan_metadata_tsv(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.csv(path, sep="\t", header=True, schema=METADATA_SCHEMA).withColumn("r", F.monotonically_increasing_id())
-    return d.withColumn("last", F.max("r").over(W.partitionBy("gene_id"))).where("r = last").drop("r", "last")
+    """Of equal ids the last row stays."""
+    d = spark.read.csv(path, sep="\t", header=True, schema=METADATA_SCHEMA)
+    names = [c for c in d.columns if c != "gene_id"]
+    d = d.select(*d.columns, file_order().alias("at"))
+    return d.groupBy("gene_id").agg(F.max_by(F.struct(*names), "at").alias("x")).select("gene_id", *(f"x.{c}" for c in names))
 
 
 def run_metadata(text: DataFrame) -> DataFrame:

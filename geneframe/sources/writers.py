@@ -1,62 +1,49 @@
-"""Sinks. Small tables are formatted on the driver, large ones written by Spark."""
+"""Sinks. Texts are made by columns; a small table's comes to the driver, which writes one file, large ones are written by Spark."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.codon import BASES
+from ..operators.codon import codon_text
+from ..operators.pssm import pssm_frequency, pssm_text
 from ..operators.regions import region_fasta
 
 
-def codon_table_text(values: dict[str, float], width: int = 6, decimal: int = 3, sep: str = "  ") -> str:
-    """16 lines of four codons: the middle letter runs along the line, the third letter down, then the first."""
-    return "".join(sep.join(f"{a + b + c}:{values.get(a + b + c, 0.0):{width}.{decimal}f}" for b in BASES) + "\n" for a in BASES for c in BASES)
-
-
-def codon_table_listing(values: dict[str, float], amino: dict[str, str]) -> str:
-    lines = [f"{sum(values.values()):g} observations"]
-    for a in BASES:
-        lines += [f"{a + b + c} {amino[a + b + c]} {values.get(a + b + c, 0.0):6.3f}" for b in BASES for c in BASES] + [""]
-    return "\n".join(lines)
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """One small text as a file, in any store that Spark writes to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
-def table_values(table: DataFrame) -> dict[int, dict[str, float]]:
-    """A codon table's values by frame: 64 rows a frame."""
-    out: dict[int, dict[str, float]] = {}
-    for r in table.select("frame", "codon", "value").collect():
-        out.setdefault(r["frame"], {})[r["codon"]] = r["value"]
-    return out
+def sink_codon_table(table: DataFrame, path: str, **options) -> None:
+    """One table's text as one file: a row comes to the driver."""
+    put(table.sparkSession, path, "".join(r["value"] for r in codon_text(table, **options).orderBy("table_id", "frame").collect()))
 
 
 def sink_codon_batch(table: DataFrame, prefix: str, frequencies: bool = False) -> list[str]:
+    """A file for each frame: counts without decimals, frequencies with four."""
     names = []
-    for frame, values in sorted(table_values(table).items()):
-        names.append(f"{prefix}_rf{frame}.{'frequency' if frequencies else 'count'}.txt")
-        Path(names[-1]).write_text(codon_table_text(values, decimal=4 if frequencies else 0))
+    for r in codon_text(table, decimal=4 if frequencies else 0).orderBy("frame").collect():  # a row a frame
+        names.append(f"{prefix}_rf{r['frame']}.{'frequency' if frequencies else 'count'}.txt")
+        put(table.sparkSession, names[-1], r["value"])
     return names
 
 
-def pssm_text(weights, title: str = "", uid: str = "", creation: str = "", comments=(), rows: str = "ACGT", offset: int = 0, width: int = 8, precision: int = 4) -> str:
-    """A matrix as text that scan_pssm reads: tagged lines, comments, rows with a divider before column `offset`."""
-    n = max((sum(r[j] for r in weights) for j in range(len(weights[0]))), default=0)
-    head = [f"title: {title}", f"uid: {uid}", f"creation: {creation}", f"n: {n:g}", "comment", *(f"\t{c}" for c in comments if c.strip()), f"pssm {len(rows)},{len(weights[0])}"]
-    body = []
-    for b, values in zip(rows, weights, strict=True):
-        cells = [f"{v:{width}.{precision}f}" for v in values]
-        body.append(" ".join([b, *cells[:offset], *(["|"] if offset else []), *cells[offset:]]))
-    return "\n".join([*head, *body]) + "\n"
-
-
-def sink_pssm(weights, path: str, **options) -> None:
-    Path(path).write_text(pssm_text(weights, **options))
+def sink_pssm(pssm: DataFrame, meta: DataFrame, path: str, **options) -> None:
+    """One matrix as one file."""
+    put(pssm.sparkSession, path, "".join(r["value"] for r in pssm_text(pssm, meta, **options).orderBy("pssm_id").collect()))
 
 
-def sink_splice_models(donor, acceptor, folder: str, pre: int = 5, post: int = 10) -> None:
-    sink_pssm(donor, f"{folder}/donor.dat", title="donor", offset=pre)
-    sink_pssm(acceptor, f"{folder}/acceptor.dat", title="acceptor", offset=post)
+def sink_splice_models(models: DataFrame, meta: DataFrame, folder: str, pre: int = 5, post: int = 10, **options) -> list[str]:
+    """donor.dat and acceptor.dat: the frequencies of the models' counts."""
+    names = []
+    for kind, offset in (("donor", pre), ("acceptor", post)):
+        names.append(f"{folder}/{kind}.dat")
+        sink_pssm(pssm_frequency(models.where(F.col("pssm_id") == kind)), meta, names[-1], offset=offset, **options)
+    return names
 
 
 def sink_region_fasta(regions: DataFrame, path: str, width: int = 100) -> None:
@@ -74,5 +61,12 @@ def sink_sample_tsv(sample: DataFrame, path: str) -> None:
 
 
 def sink_metrics(plddt: DataFrame, summary: DataFrame, pae: DataFrame, metadata: DataFrame, folder: str) -> None:
+    """The metrics as Parquet, a folder for each and in it one for each protein."""
     for name, df in (("plddt", plddt), ("summary", summary), ("pae", pae), ("metadata", metadata)):
         df.write.mode("overwrite").partitionBy("gene_id").parquet(f"{folder}/{name}")
+
+
+def sink_metrics_tsv(texts: DataFrame, folder: str) -> None:
+    """(gene_id, name, value) of process_protein as text: gene_id=.../name=plddt.tsv/ and so on."""
+    lines = texts.withColumn("value", F.regexp_replace("value", r"\n\z", ""))  # the writer ends each row with one
+    lines.write.mode("overwrite").partitionBy("gene_id", "name").text(folder)

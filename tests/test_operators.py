@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from geneframe.functions import scalars as S
 from geneframe.operators import codon as C
 from geneframe.operators import pssm as P
+from geneframe.operators import regions as R
 from geneframe.operators import splice as J
 from geneframe.operators import structure as T
 from geneframe.plans import catalog
@@ -131,13 +132,25 @@ def test_files(spark, tmp_path):
     g = IN.scan_gff(spark, str(tmp_path / "g.gff"), ["exon"]).collect()
     assert [(r["start"], r["end"], r["parent"]) for r in g] == [(1, 5, "t1")]
     assert IN.scan_gff_cds(spark, str(tmp_path / "g.gff")).count() == 1
-    values = {c["codon"]: i + 0.0 for i, c in enumerate(C.genetic_code(spark).collect())}
+    ordered = C.codon_init(spark, frames=(0,)).withColumn("value", F.expr("20 * instr('TCAG', left(codon, 1)) + 4.0 * instr('TCAG', substr(codon, 2, 1)) + instr('TCAG', right(codon, 1))"))
+    values = {r["codon"]: r["value"] for r in ordered.collect()}
     for decimal in (0, 3):
-        (tmp_path / "t.txt").write_text(OUT.codon_table_text(values, decimal=decimal))
+        OUT.sink_codon_table(ordered, str(tmp_path / "t.txt"), decimal=decimal)
         assert {r["codon"]: r["value"] for r in IN.scan_codon_table(spark, str(tmp_path / "t.txt")).collect()} == values
-    OUT.sink_pssm([[1.0, 0.5, 2.0]] * 4, str(tmp_path / "p.dat"), title="t", comments=["An x"], offset=1)
+    lines = (tmp_path / "t.txt").read_text().splitlines()
+    assert len(lines) == 16 and [x[:3] for x in lines[1].split("  ")] == ["TTC", "TCC", "TAC", "TGC"] and lines[0].startswith("TTT:25.000")
+    listing = C.codon_listing(ordered).first()["value"].split("\n")
+    assert listing[0].endswith(" observations") and listing[1].startswith("TTT F 25.000") and listing[17] == "" and len(listing) == 1 + 4 * 17 + 1
+    cells = spark.createDataFrame([("p", b, j, v) for b in "ACGT" for j, v in enumerate((1.0, 0.5, 2.0))], "pssm_id string, base string, pos int, value double")
+    meta = spark.createDataFrame([("p", "t", "u1", "2026-03-01 101500", ["An x", ""])], "pssm_id string, title string, uid string, creation string, comments array<string>")
+    OUT.sink_pssm(cells, meta, str(tmp_path / "p.dat"), offset=1)
     got = IN.scan_pssm(spark, str(tmp_path / "p.dat")).orderBy("base", "pos").collect()
     assert [r["value"] for r in got] == [1.0, 0.5, 2.0] * 4 and {r["offset"] for r in got} == {1}
+    assert (tmp_path / "p.dat").read_text() == "title: t\nuid: u1\ncreation: 2026-03-01 101500\nn: 8.0\ncomment\n\tAn x\npssm 4,3\n" + "".join(f"\t{b}  1.000      |  0.500  2.000\n" for b in "ACGT")
+    back = IN.pssm_meta(spark.read.text(str(tmp_path / "p.dat"), wholetext=True).select(F.lit("p").alias("pssm_id"), "value"))
+    assert back.first()["comments"] == ["An x"]
+    copy = P.meta_frequency(back).first()
+    assert len(copy["uid"]) == 8 and copy["uid"] != "u1" and "copied from u1 (t)" in copy["comments"][1] and copy["comments"][2].endswith("converted to frequency")
     text = spark.createDataFrame([("x", SPLICE)], "pssm_id string, value string")
     assert sorted((r["base"], r["pos"], r["value"]) for r in IN.pssm_entries(text).collect()) == [("A", 0, 0.25), ("A", 1, 1.0), ("A", 2, 0.0), ("C", 0, 0.75), ("C", 1, 0.0), ("C", 2, 1.0)]
     d = tmp_path / "run" / "G1"
@@ -187,11 +200,80 @@ def test_queries_match_sql(spark):
 def test_whole_texts(spark):
     sf = "/root/testdata/sf0.001"
     whole = {r["gene_id"]: len(r["seq"]) for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat('G', lpad(doc_id, 9, '0')) as gene_id", "regexp_replace(lower(text), '[^a-z]', '') as seq").collect()}
-    got = {r["gene_id"]: r for r in catalog.QUERIES["scan_protein_fasta_whole"](spark, sf).collect()}
+    got = {r["gene_id"]: r for r in catalog.QUERIES["scan_protein_fasta"](spark, sf).collect()}
     assert {k: len(r["sequence"]) for k, r in got.items()} == {k: r["length_aa"] for k, r in got.items()} == whole and max(whole.values()) > 1000
 
 
 def test_whole_matrices_and_coding_features(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
-    assert catalog.QUERIES["scan_pae_json_whole"](spark, sf).count() == 2 * n and catalog.QUERIES["scan_gff_cds_whole"](spark, sf).count() > 0
+    assert catalog.QUERIES["scan_pae_json"](spark, sf).count() == 2 * n and catalog.QUERIES["scan_gff_cds"](spark, sf).count() > 0
+
+
+def test_chunks_give_what_whole_sequences_give(spark):
+    rng = np.random.default_rng(3)
+    seqs = {"a": "".join(rng.choice(list("ACGT"), 1000)), "b": "ACGTACGTA", "c": "", "d": None, "e": "".join(rng.choice(list("ACGT"), 48))}
+    s = spark.createDataFrame(list(seqs.items()), "seq_id string, seq string")
+    rows = [(i, k, "exon", int(a), int(a + n), "+-"[i % 2], f"t{i // 3}") for i, (k, a, n) in enumerate((k, rng.integers(1, 1100), rng.integers(0, 300)) for k in "aabceda" for _ in range(12))]
+    f = spark.createDataFrame(rows, "ord long, seqid string, type string, start long, end long, strand string, parent string")
+    comp = str.maketrans("ACGT", "TGCA")
+    for pad in (0, 50):
+        got = {r["ord"]: r["region"] for r in R.gene_regions(f, s, pad, size=48).collect()}
+        for ord_, seqid, _, a, b, strand, _ in rows:
+            seq = seqs[seqid]
+            piece = None if seq is None else seq[max(a - pad, 1) - 1 : max(b + pad, 0)]
+            assert got[ord_] == (piece if strand == "+" or piece is None else piece[::-1].translate(comp))
+        assert got == {r["ord"]: r["region"] for r in R.gene_regions(f, s, pad).collect()}
+    introns = spark.createDataFrame([(k, 1, i, "t", "+-"[i % 2], int(a), int(a) + 60) for k in "ae" for i, a in enumerate(rng.integers(0, 990, 80))], "seqid string, island long, ord long, parent string, strand string, this_end long, next_start long")
+    small, whole = (sorted(map(tuple, J.junctions(introns, s, size=size).collect())) for size in (48, 3 << 14))
+    assert small == whole and len(whole) > 50
+    for seqid, _, ord_, strand, kind, site in whole:
+        x = introns.where(f"seqid = '{seqid}' and ord = {ord_}").first() if ord_ < 3 else None
+        if x is not None and strand == "+" and kind == "donor":
+            assert site == seqs[seqid][x["this_end"] - 5 : x["this_end"] + 10]
+    w = rng.normal(size=(4, 15))
+    scores = [{(r["seq_id"], r["start"]): r["score"] for r in P.pssm_scan(s, w, size=size).collect()} for size in (48, 3 << 14)]
+    assert scores[0] == scores[1] and len(scores[0]) == 986 + 34
+    cells = spark.createDataFrame([("p", "ACGT"[i], j, float(w[i, j])) for i in range(4) for j in range(15)], "pssm_id string, base string, pos int, value double")
+    assert {(r["seq_id"], r["start"]): r["score"] for r in P.pssm_scan(s, cells).collect()} == scores[0]
+    sql = {(r["seq_id"], r["start"]): r["score"] for r in P.pssm_scan_sql(s, cells).collect()}
+    assert sql.keys() == scores[0].keys() and max(abs(sql[k] - scores[0][k]) for k in sql) < 1e-12
+    lr = C.genetic_code(spark).select("codon", (F.xxhash64("codon") % 100 / 100.0).alias("lr"))
+    means = [sorted((r["seq_id"], r["k"], r["mean"]) for r in C.window_average(s, lr, 5, size=size).collect()) for size in (48, 3 << 14)]
+    assert means[0] == means[1] and len(means[0]) == 333 - 4 + 16 - 4
+    values = {r["codon"]: r["lr"] for r in lr.collect()}
+    for seq_id, k, mean in means[0]:
+        assert abs(mean - sum(values[seqs[seq_id][3 * j : 3 * j + 3]] for j in range(k, k + 5)) / 5) < 1e-12
+
+
+def test_last_record_wins(spark, tmp_path):
+    (tmp_path / "p.fa").write_text(">g1 a SGDID:S1, Chr I from 1-9, Verified ORF\nZZZZ\n>g2 b SGDID:S2, Chr II from 1-9, Dubious ORF\nMK*\n>g1 a SGDID:S1, Chr I from 1-9, Verified ORF\nAC\n")
+    assert {r["gene_id"]: r["sequence"] for r in IN.scan_protein_fasta(spark, str(tmp_path / "p.fa")).collect()} == {"g1": "AC", "g2": "MK"}
+    (tmp_path / "m.tsv").write_text("gene_id\tcategory\tlength_aa\tn_exons\thas_introns\tlength_bin\tchromosome\tgene_name\ng\tz\t9\t1\tno\t>800\tI\tx\ng\ta\t8\t1\tno\t>800\tI\tx\n")
+    assert [(r["category"], r["length_aa"]) for r in IN.scan_metadata_tsv(spark, str(tmp_path / "m.tsv")).collect()] == [("a", 8)]
+
+
+def test_metric_files(spark, tmp_path):
+    plddt = spark.createDataFrame([("g", 10, 50.126), ("g", 2, 3.0), ("h", 1, 1.0)], "gene_id string, residue_number int, plddt double")
+    summary = spark.createDataFrame([("g", 0.5, None)], "gene_id string, ptm double, fraction_disordered double")
+    pae = spark.createDataFrame([("g", 1, [2.0, 0.005]), ("g", 0, [0.25, 1.0])], "gene_id string, row_idx int, pae array<double>")
+    metadata = spark.createDataFrame([("g", "x"), ("i", "y")], "gene_id string, category string")
+    texts, errors = T.process_protein(plddt, summary, pae, metadata)
+    want = {"plddt.tsv": "residue_number\tplddt\n2\t3.00\n10\t50.13\n", "ptm.tsv": "ptm\n0.5\n", "fraction_disordered.tsv": "fraction_disordered\nNA\n", "metadata.tsv": "gene_id\tcategory\ng\tx\n"}
+    got = {r["name"]: r["value"] for r in texts.collect()}
+    assert {r["gene_id"] for r in texts.collect()} == {"g"} and want.items() <= got.items() and got["pae.tsv"].startswith("0.25\t1.00\n2.00\t")
+    assert {tuple(r) for r in errors.collect()} == {("h", "no metadata"), ("i", "no model")}
+    OUT.sink_metrics_tsv(texts, str(tmp_path / "out"))
+    found = {p.parent.name.removeprefix("name="): p.read_text() for p in (tmp_path / "out").rglob("part-*")}
+    assert found == got
+    OUT.sink_metrics(plddt, summary, pae, metadata, str(tmp_path / "pq"))
+    assert spark.read.parquet(str(tmp_path / "pq" / "plddt")).count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    from geneframe.__main__ import main
+
+    (tmp_path / "c.fa").write_text(">a\nATGGCNTAA\n>b\nATGATG\n")
+    main(["codons", str(tmp_path / "c.fa"), str(tmp_path / "out")])
+    assert {p.name for p in tmp_path.glob("out_rf*")} == {f"out_rf{i}.{k}.txt" for i in range(3) for k in ("count", "frequency")}
+    assert "ATG:     3" in (tmp_path / "out_rf0.count.txt").read_text()
