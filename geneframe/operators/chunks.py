@@ -21,4 +21,5 @@ def chunked(sequences: DataFrame, size: int = CHUNK, overlap: int = 0) -> DataFr
     if overlap:
         more = F.transform("cut", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("cut", i + 1), F.lit(overlap)), F.lit(""))))
         s = s.withColumn("cut", F.when(F.size("cut") > 1, more).otherwise(F.col("cut")))
-    return s.select("seq_id", "length", F.posexplode("cut").alias("chunk", "part")).select("seq_id", F.col("chunk").cast("long").alias("chunk"), "part", "length")
+    # no array is empty; the outer form keeps the optimiser from adding a filter on its size, which would make the sequence again
+    return s.select("seq_id", "length", F.posexplode_outer("cut").alias("chunk", "part")).select("seq_id", F.col("chunk").cast("long").alias("chunk"), "part", "length")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,9 @@ def codon_count(sequences: DataFrame, frames=(0, 1, 2), table_id: str = "table")
     One shuffle of at most 64 rows for each frame and map task: counts are summed before it.
     """
     exploded = sequences.select("seq", F.explode(F.array(*map(F.lit, frames))).alias("frame"))
-    counts = exploded.select("frame", F.explode(codon_split(F.col("seq"), F.col("frame"))).alias("codon")).groupBy("frame", "codon").agg(F.count("*").cast("double").alias("n"))
+    # the outer form keeps the optimiser from splitting each sequence once more to filter empty arrays
+    codons = exploded.select("frame", F.explode_outer(codon_split(F.col("seq"), F.col("frame"))).alias("codon")).where("codon is not null")
+    counts = codons.groupBy("frame", "codon").agg(F.count("*").cast("double").alias("n"))
     dense = codon_init(sequences.sparkSession, table_id, frames)
     return dense.join(counts, ["frame", "codon"], "left").select("table_id", "frame", "codon", F.coalesce("n", F.lit(0.0)).alias("value"))
 
@@ -107,32 +111,55 @@ def coding_lr(table: DataFrame) -> DataFrame:
 
 def codon_profile(sequences: DataFrame, lr: DataFrame) -> DataFrame:
     """seq_id, k, lr of each frame-0 codon; lr has 64 rows."""
-    c = sequences.select("seq_id", F.posexplode(codon_split(F.col("seq"), 0)).alias("k", "codon"))
+    c = sequences.select("seq_id", F.posexplode_outer(codon_split(F.col("seq"), 0)).alias("k", "codon")).where("codon is not null")
     return c.join(F.broadcast(lr), "codon", "left").select("seq_id", F.col("k").cast("long").alias("k"), "lr")
 
 
+def _means(window: int, size: int):
+    code = np.full(256, 64)  # a codon with another letter gets a number past the table
+    for i, c in enumerate(BASES):
+        code[ord(c)] = code[ord(c.lower())] = i
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                few = batch.slice(a, 256)
+                texts = [x.encode("latin-1", "replace") for x in few.column("part").to_pylist()]
+                sizes = np.array([len(x) // 3 for x in texts])
+                letters = code[np.frombuffer(b"".join(x[: 3 * n] for x, n in zip(texts, sizes, strict=True)), np.uint8)].reshape(-1, 3)
+                ratio = np.append(few.column("ratio")[0].values.to_numpy(zero_copy_only=False).astype(float), np.nan)
+                v = ratio[np.minimum(letters @ np.array([16, 4, 1]), 64)]
+                here, v = ~np.isnan(v), np.nan_to_num(v)
+                own = np.minimum(np.array([min(len(x), size) // 3 for x in texts]), np.maximum(sizes - window + 1, 0))
+                k = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+                at = np.repeat(np.cumsum(sizes) - sizes, own) + k
+                total, some = np.zeros(len(at)), np.zeros(len(at), bool)
+                for j in range(window):
+                    total += v[at + j]
+                    some |= here[at + j]
+                row = np.repeat(np.arange(len(few)), own)
+                first = few.column("chunk").to_numpy() * (size // 3)
+                length = few.column("length").to_numpy()
+                for lo in range(0, len(row), 1 << 18):
+                    p = slice(lo, lo + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([few.column("seq_id").take(pa.array(row[p])), pa.array(first[row[p]] + k[p]), pa.array(length[row[p]]), pa.array(total[p] / window, mask=~some[p])], names=["seq_id", "k", "length", "mean"])
+
+    return run
+
+
 def window_average(sequences: DataFrame, lr: DataFrame, window: int = 5, compat: bool = False, size: int = CHUNK) -> DataFrame:
     """seq_id, k, x, mean: mean of `window` codons from k on, x their middle. Sequences under a window give none.
 
     compat=True stops early: k <= ceil((length - 6 window) / 3), and only for length > 6 window. Sequences are read in chunks that overlap
-    by a window less one codon, and the 64 ratios come as one column, so there is no shuffle of codons. A window's sum leaves out codons
-    without a ratio.
+    by a window less one codon, and the 64 ratios come as one column of the plan, so no codon is shuffled. A window's sum leaves out codons
+    without a ratio, and is always added up in order. Runs on Arrow batches: column lambdas took three times as long.
     """
-    ratio = lr.agg(F.map_from_entries(F.collect_list(F.struct("codon", "lr"))).alias("m")).scalar()
-    c = chunked(sequences, size, 3 * (window - 1)).where("part is not null").select("seq_id", "chunk", "length", F.least(F.length("part"), F.lit(size)).alias("own"), codon_split(F.col("part"), F.lit(0)).alias("codons"), ratio.alias("ratio"))
-    c = c.withColumn("v", F.transform("codons", lambda x: F.try_element_at("ratio", x)))
-    # own codons whose window is whole; v is named in each term, so the optimiser makes it once
-    last = F.least(F.floor(F.col("own") / 3), F.size("v") - window + 1).cast("int") - 1
-    at = lambda k, j: F.get("v", k + j)
-
-    def mean(k):
-        total = F.lit(0.0)
-        for j in range(window):
-            total = total + F.coalesce(at(k, j), F.lit(0.0))
-        return F.when(F.coalesce(*(at(k, j) for j in range(window))).isNotNull(), total / window)
-
-    p = c.where(last >= 0).select("seq_id", "chunk", "length", F.posexplode(F.transform(F.sequence(F.lit(0), last), mean)).alias("i", "mean"))
-    p = p.withColumn("k", F.col("chunk") * (size // 3) + F.col("i"))
+    place = lambda k: F.instr(F.lit(BASES), F.substring("codon", k, 1)) - 1
+    by_code = F.array_sort(F.collect_list(F.struct((16 * place(1) + 4 * place(2) + place(3)).alias("i"), "lr")))
+    ratio = codon_init(sequences.sparkSession).select("codon").join(lr, "codon", "left").agg(F.transform(by_code, lambda x: x["lr"]).alias("m")).scalar()
+    kind = dict(sequences.dtypes)["seq_id"]
+    c = chunked(sequences, size, 3 * (window - 1)).where("part is not null").select("seq_id", "chunk", "part", "length", ratio.alias("ratio"))
+    p = c.mapInArrow(_means(window, size), f"seq_id {kind}, k long, length long, mean double")
     if compat:
         p = p.where(F.col("length") > 6 * window).where(F.col("k") <= F.ceil((F.col("length") - 6 * window) / 3))
     return p.select("seq_id", "k", (F.col("k") + (window - 1) / 2).alias("x"), "mean")

@@ -22,13 +22,16 @@ def pieces(features: DataFrame, sequences: DataFrame, pad: int = 100, size: int
     a, b = F.greatest(F.col("start") - pad, F.lit(1)) - 1, F.col("end") + pad
     first, last = F.floor(a / size), F.floor((b - 1) / size)
     covered = F.when(last >= first, F.array_union(F.array(F.lit(0).cast("long")), F.sequence(first, last))).otherwise(F.array(F.lit(0).cast("long")))
-    f = features.select(F.struct(*features.columns).alias("_f"), "seqid", "ord", a.alias("_a"), b.alias("_b"), F.explode(covered).alias("chunk"))
+    f = features.select(*features.columns, a.alias("_a"), b.alias("_b"), covered.alias("_all")).select("*", F.explode_outer("_all").alias("chunk"))
+    f = f.withColumn("_one", F.size("_all") == 1).drop("_all")
     j = f.join(chunked(sequences, size).withColumnRenamed("seq_id", "seqid"), ["seqid", "chunk"])
     at, upto = F.greatest(F.col("_a") - F.col("chunk") * size, F.lit(0)), F.least(F.col("_b") - F.col("chunk") * size, F.lit(size))
-    part = F.substring(F.col("part"), (at + 1).cast("int"), F.greatest(upto - at, F.lit(0)).cast("int"))
-    g = j.groupBy("seqid", "ord").agg(F.any_value("_f").alias("_f"), F.array_sort(F.collect_set(F.struct("chunk", part.alias("x")))).alias("_x"), F.bool_or(F.col("part").isNull()).alias("_none"))
-    whole = F.when(~F.col("_none"), F.array_join(F.transform("_x", lambda x: x["x"]), ""))
-    return g.select(*(F.col(f"_f.`{c}`").alias(c) for c in features.columns), whole.alias("piece"))
+    j = j.withColumn("piece", F.substring(F.col("part"), (at + 1).cast("int"), F.greatest(upto - at, F.lit(0)).cast("int")))
+    # most features lie in one chunk and are ready; both sides read the same shuffles
+    g = j.where("not _one").select(F.struct(*features.columns).alias("_f"), "seqid", "ord", "chunk", "piece").groupBy("seqid", "ord")
+    g = g.agg(F.any_value("_f").alias("_f"), F.array_sort(F.collect_set(F.struct("chunk", "piece"))).alias("_x"), F.bool_or(F.col("piece").isNull()).alias("_none"))
+    whole = F.when(~F.col("_none"), F.array_join(F.transform("_x", lambda x: x["piece"]), ""))
+    return j.where("_one").select(*features.columns, "piece").unionByName(g.select(*(F.col(f"_f.`{c}`").alias(c) for c in features.columns), whole.alias("piece")))
 
 
 def gene_regions(features: DataFrame, sequences: DataFrame, pad: int = 100, size: int = CHUNK) -> DataFrame:
