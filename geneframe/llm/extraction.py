@@ -270,7 +270,10 @@ def _observe(batches):
 def fitted(pages: DataFrame) -> tuple[float, ...]:
     """The classifier's weights, from the blocks of PAGES pages that tags and names label. What comes to the driver are counts of equal
     features, at most 5 * 7 * 2 * 2 * 2 rows, whatever the data."""
-    few = pages.select("html", F.xxhash64("page_id", "url").alias("h")).where("html is not null").orderBy("h").limit(PAGES).select("html")
+    hashed = pages.where("html is not null").select("html", F.xxhash64("page_id", "url").alias("h"))
+    # the bound comes from the hashes alone, so no task gathers pages of all others; rows of one id and url count once
+    last = hashed.select("h").orderBy("h").limit(PAGES).agg(F.max("h")).first()[0]
+    few = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("html").alias("html")).select("html")
     names = [f"x{k}" for k in range(len(DEFAULT) + 2)]
     seen = few.mapInArrow(_observe, ", ".join(f"{c} double" for c in names)).groupBy(*names[:-1]).agg(F.sum(names[-1]).alias("n"))
     return fit(sorted(tuple(r) for r in seen.collect()))
