@@ -17,6 +17,8 @@ SIMILARITY, WIDTH = 0.8, 5
 BANDS, ROWS = 12, 3
 #: Counters of the document-frequency sketch: fixed in size, so it may be broadcast.
 SKETCH_WIDTH, SKETCH_DEPTH = 1 << 16, 2
+#: A shingle in one of RARE documents, or in fewer, weighs most.
+RARE = 1000
 #: Pairs that share a text are dealt to one task for each so many of them.
 PAIRS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -65,17 +67,19 @@ def _count(batches):
 
 
 class Weights:
-    """TF-IDF weights from the sketch: the count in the text times 1 + log(N / df) / log(N), so a shingle of one document weighs twice one
-    that is in all. A counter is lowered by what other shingles put into its cell on average (count-mean-min)."""
+    """TF-IDF weights from the sketch: the count in the text times 1 + log(N / df) / log(RARE), 2 at most, so a shingle of one document in
+    RARE or of fewer weighs twice one that is in all. A counter is lowered by what other shingles put into its cell on average
+    (count-mean-min). What remains of them is a share of all documents that doesn't grow with their number, and shares are all that weights
+    depend on: so a sketch of one size serves every corpus."""
 
     def __init__(self, flat: np.ndarray, n_docs: int):
         counts = flat.reshape(SKETCH_DEPTH, SKETCH_WIDTH).astype(np.float64)
         self.df = np.maximum(1.0, counts - (counts.sum(axis=1, keepdims=True) - counts) / (SKETCH_WIDTH - 1)).astype(np.float32)
-        self.n = max(2, n_docs)
+        self.n = max(1, n_docs)
 
     def idf(self, h: np.ndarray) -> np.ndarray:
         df = np.minimum.reduce([self.df[d][cell] for d, cell in enumerate(_cells(h))])
-        return (1 + np.maximum(0, np.log(self.n / df)) / np.log(self.n)).astype(np.float32)
+        return (1 + np.clip(np.log(self.n / df) / np.log(RARE), 0, 1)).astype(np.float32)
 
 
 def weights(docs: DataFrame) -> Weights:

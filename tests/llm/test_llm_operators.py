@@ -399,7 +399,7 @@ def test_op10_against_all_pairs(spark, folder):
     for s in sets.values():
         for g in s:
             df[g] = df.get(g, 0) + 1
-    weigh = {g: 1 + max(0.0, np.log(n / c)) / np.log(n) for g, c in df.items()}
+    weigh = {g: 1 + min(1.0, max(0.0, np.log(n / c)) / np.log(minhash.RARE)) for g, c in df.items()}
     linked, apart, edges = 0, 0, {i: {i} for i in sets}
     ids = sorted(sets)
     for a in ids:
