@@ -20,6 +20,8 @@ BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
 BUCKETS = 4
 #: Distinct words whose ids a task keeps.
 KNOWN = 1 << 20
+#: zstd level of the blobs that are shuffled.
+LEVEL = 9
 
 
 def default_path() -> str:
@@ -83,7 +85,7 @@ def unvarint(data: np.ndarray) -> np.ndarray:
 def _pack(*parts: np.ndarray) -> bytes:
     """Arrays of bytes in one compressed blob, behind their sizes."""
     raw = np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
