@@ -16,8 +16,6 @@ from .common import hashes, slices, table, text_bytes, trimmed
 
 #: Text bytes whose pre-tokens form one block: a word leaves it once, however often it occurs, so no word is hot. Text split at a time.
 BLOCK_BYTES, SPLIT_BYTES = 16 << 20, 1 << 20
-#: Word buckets for each shuffle partition. A bucket is read batch by batch, so none is too large for memory.
-BUCKETS = 4
 #: Distinct words whose ids a task keeps.
 KNOWN = 1 << 20
 #: zstd level of the blobs that are shuffled.
@@ -102,7 +100,8 @@ def _spread(heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _explode(pattern: str, buckets: int):
-    """Documents -> for each block one row with the word number at each position, and one for each bucket with its distinct words."""
+    """Documents -> for each block one row with the word number at each position, and one for each bucket with its distinct words. Each row
+    names its partition: that of its bucket, or for positions any."""
 
     @trimmed
     def run(batches):
@@ -127,25 +126,26 @@ def _explode(pattern: str, buckets: int):
                 data, offsets = text_bytes(words_of)
                 bucket = (hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
                 name = (task << 32) | number
-                number += 1
                 who = np.array([block.column("doc_id").is_null().to_numpy(zero_copy_only=False), block.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), counts], np.int64)
-                rows = [(f"b{name}", name, True, _pack(who.view(np.uint8).ravel(), varint(rank[codes])[0]))]
+                rows = [((task + number) % buckets, name, True, _pack(who.view(np.uint8).ravel(), varint(rank[codes])[0]))]
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 size = np.diff(offsets)
                 for k in np.flatnonzero(np.diff(cuts)):
                     own = order[cuts[k] : cuts[k + 1]]
-                    rows.append((f"w{k}", name, False, _pack(varint(np.diff(own, prepend=0))[0], varint(size[own])[0], data[_spread(offsets[own], size[own])])))
-                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "block", "places", "blob"])
+                    rows.append((k, name, False, _pack(varint(np.diff(own, prepend=0))[0], varint(size[own])[0], data[_spread(offsets[own], size[own])])))
+                number += 1
+                kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "places", "blob"])
 
     return run
 
 
 def _encode(path: str, pattern: str):
-    """One bucket's words of all blocks -> their ids, batch by batch. Each distinct word is encoded once (again only if the bucket has more
-    than KNOWN). A block's positions pass as they are."""
+    """One bucket's words of all blocks -> their ids, batch by batch, so none is too large for memory. Each distinct word is encoded once
+    (again only if the bucket has more than KNOWN). A block's positions pass as they are."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, known = _encoding(path, pattern)._encode_single_piece, {}
         for batch in batches:
@@ -218,9 +218,9 @@ def encoded(docs: DataFrame, digest: bool = False, path: str | None = None, patt
     The tokenizer file must be readable on the executors at the same path.
     """
     path, pattern = path or default_path(), pattern or default_pattern()
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = docs.select("doc_id", "text").mapInArrow(_explode(pattern, buckets), "key string, block long, places boolean, blob binary")
-    words_in = exploded.groupBy("key").applyInArrow(_encode(path, pattern), "block long, places boolean, blob binary")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    exploded = docs.select("doc_id", "text").mapInArrow(_explode(pattern, buckets), "part int, block long, places boolean, blob binary")
+    words_in = exploded.repartitionById(buckets, "part").mapInArrow(_encode(path, pattern), "block long, places boolean, blob binary")
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
     return words_in.groupBy("block").applyInArrow(_assemble(path, digest), f"doc_id long, n_tokens long, {kind}")
 
