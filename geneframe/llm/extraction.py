@@ -1,11 +1,18 @@
-"""Main text of web pages by minimum cut: blocks are labelled content or boilerplate."""
+"""Main text of web pages by minimum cut: blocks are labelled content or boilerplate.
+
+All weights are fitted: those of the classifier, whose log odds are the capacities from the terminals, and those of the edges between blocks.
+The labels are weak ones, from elements and names that tell content or boilerplate. Two thirds of what the classifier sees have these cues
+hidden, and the edges are chosen where they are hidden, so pages without them are labelled by their text and by what stands beside it.
+"""
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import deque
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,19 +43,33 @@ _KEY = re.compile(r"[^\s=/>]+|=[^\s=/>]*")
 _VALUE = re.compile(r"[^\s>]*")
 _GAP = re.compile(r"[\s/]*")
 _SPACE = re.compile(r"\s*")
+#: Stock phrases of what stands around articles (fixed values): one feature, whose weight is fitted.
+STOCK = re.compile(r"©|copyright|all rights reserved|imprint|impressum|privacy|cookie|terms of|subscribe|newsletter|sign (?:in|up)|log ?in|follow us|share (?:this|on)|advert|sponsored|read more|\bwrote:|\brepl(?:y|ied)\b|\bcomments?\b", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 IN_SILENT, IN_AROUND, IN_BOILER, IN_MAIN, IN_GOOD, IN_LINK, IN_MATH = (1 << k for k in range(7))
-#: Log odds that tags and names give a block beside the classifier's, which are TEXT_MOST at most. They are priors, not fitted.
-PRIOR, TEXT_MOST = {IN_MAIN: 6.0, IN_AROUND: -10.0, IN_BOILER: -10.0, IN_GOOD: 1.0}, 2.0
-#: For a block outside the page's article, and on a page without one.
-OUTSIDE, PLAIN = -5.0, 0.5
-#: Weights of the edges (scaled capacities are whole numbers).
-NEXT, SIBLING, SCALE = 0.8, 0.6, 1000
-#: The classifier is fitted on the blocks of at most PAGES pages (those of smallest hash), by ROUNDS Newton steps with a ridge penalty.
-PAGES, ROUNDS, RIDGE = 400, 12, 2.0
-#: Weights where no page of the sample has an article: bias, share of link text, length, end of a sentence, heading.
-DEFAULT = (0.3, -5.0, 1.2, 0.6, 0.5)
+#: Weights of edges between neighbours, and between neighbours of one parent, that are tried; scaled capacities are whole numbers.
+EDGES, SCALE = [(x, y) for x in (0.0, 0.5, 1.0, 2.0, 3.0) for y in (0.0, 0.5, 1.0, 2.0)], 1000
+#: The model is fitted on the blocks of at most PAGES pages (those of smallest hash), by ROUNDS Newton steps with a ridge penalty. Words are
+#: counted in WORDS buckets. A terminal's log odds are MOST at most.
+PAGES, ROUNDS, RIDGE, WORDS, PRIOR, MOST = 400, 20, 0.1, 4096, 20.0, 8.0
+#: Features of a block's text and place, and what tags and names say of it.
+TEXT = ("bias", "links", "length", "sentence", "stock", "words", "heading", "paragraph", "item", "before", "after")
+#: How many of TEXT are left when tags and place are hidden too.
+BARE = 6
+CUES = ("around", "boiler", "main", "good", "outside")
+
+
+class Model(NamedTuple):
+    """Weights of TEXT and CUES, log odds of the buckets of words, weights of the two kinds of edges."""
+
+    weights: tuple[float, ...]
+    words: tuple[float, ...]
+    edges: tuple[float, float]
+
+
+#: The model where no page of the sample has an article.
+DEFAULT = Model((-0.5, -5.0, 2.0, 0.6, -2.0, 1.0, 0.5, 0.8, -1.0, -0.5, -0.5, -8.0, -8.0, 6.0, 1.0, -4.0), (), (1.0, 0.5))
 
 
 class Block:
@@ -94,7 +115,7 @@ def names_say(names: str) -> int:
     found = 0
     for name in names.split():
         words = _PARTS.findall(_HUMPS.sub("-", name).lower())
-        if not words or len(words) > 6 or any(w not in BOILER and w not in NEUTRAL for w in words):
+        if not words or any(w not in BOILER and w not in NEUTRAL for w in words):
             continue
         if any(w in BOILER for w in words):
             return IN_BOILER
@@ -228,11 +249,6 @@ def blocks(html: str) -> tuple[list[Block], list[int], list[int]]:
     return out, parent, depth
 
 
-def features(b: Block) -> tuple[float, ...]:
-    """Bias, share of link text, length, end of a sentence, heading; in steps, so that equal blocks can be counted."""
-    return (1.0, round(5 * max(0.0, b.linked - 0.2)) / 5, round(6 * min(1.0, math.log1p(len(b.text)) / 6)) / 6, float(b.text[-1] in ".!?…\"”»"), float(b.tag in ("h1", "h2", "h3")))
-
-
 def weak_label(b: Block) -> int | None:
     """1 in an article, 0 in what is around one; None where tags and names don't tell."""
     if b.flags & (IN_AROUND | IN_BOILER):
@@ -240,10 +256,43 @@ def weak_label(b: Block) -> int | None:
     return 1 if b.flags & IN_MAIN else None
 
 
+def word_buckets(text: str) -> list[int]:
+    return [zlib.crc32(w.encode()) % WORDS for w in set(text.lower().split())]
+
+
+def features(found: list[Block], words: tuple[float, ...] = ()) -> list[tuple[float, ...]]:
+    """TEXT and CUES of each block of a page, in steps, so that equal blocks can be counted."""
+    heads = [i for i, b in enumerate(found) if b.tag in ("h1", "h2")]
+    paragraphs = [i for i, b in enumerate(found) if b.tag == "p"]
+    first, last = heads[0] if heads else 0, paragraphs[-1] if paragraphs else len(found)
+    article = any(weak_label(b) == 1 for b in found)
+    out = []
+    for i, b in enumerate(found):
+        odds = 0.0
+        if words:
+            odds = sum(words[k] for k in word_buckets(b.text)) / max(1, b.text.count(" ") + 1)
+        text = (
+            1.0, round(5 * max(0.0, b.linked - 0.2)) / 5, round(6 * min(1.0, math.log1p(len(b.text)) / 6)) / 6, float(b.text[-1] in ".!?…\"”»"),
+            float(len(b.text) < 400 and STOCK.search(b.text) is not None), round(2 * max(-3.0, min(3.0, odds))) / 2,
+            float(b.tag in ("h1", "h2", "h3")), float(b.tag in ("p", "blockquote", "pre")), float(b.tag in ("li", "dt", "dd", "td", "th", "option")), float(i < first), float(i > last),
+        )
+        cues = (b.flags & IN_AROUND, b.flags & IN_BOILER, weak_label(b) == 1, b.flags & IN_GOOD, article and not b.flags & IN_MAIN)
+        out.append((*text, *(float(bool(c)) for c in cues)))
+    return out
+
+
+def _masked(x: tuple[float, ...], shown: int = len(TEXT)) -> tuple[float, ...]:
+    return (*x[:shown], *[0.0] * (len(TEXT) + len(CUES) - shown))
+
+
 def fit(rows: list[tuple]) -> tuple[float, ...]:
-    """Logistic regression by Newton's method with a ridge penalty; rows: features, label, count. Both labels weigh the same."""
+    """Logistic regression by Newton's method with a ridge penalty; rows: features, label, count. Both labels weigh the same, and each row
+    stands whole, without its cues, without its tags and place as well, and with each single cue beside the mean text of the other label. So
+    the text must tell by itself, and where a cue speaks against it, the cue wins, as it is cues that label."""
     if len({r[-2] for r in rows}) < 2:
-        return DEFAULT
+        return DEFAULT.weights
+    mean = {y: [sum(r[k] * r[-1] for r in rows if r[-2] == y) / sum(r[-1] for r in rows if r[-2] == y) for k in range(len(TEXT))] for y in (0.0, 1.0)}
+    rows = [r for x in rows for r in (x, *((*_masked(x[:-2], k), *x[-2:]) for k in (len(TEXT), BARE)), *((*mean[1 - x[-2]], *(float(k == c) for c in range(len(CUES))), *x[-2:]) for k in range(len(CUES)) if x[len(TEXT) + k]))]
     x, y, n = (np.array(v, float) for v in ([r[:-2] for r in rows], [r[-2] for r in rows], [r[-1] for r in rows]))
     for label in (0, 1):
         n[y == label] *= 100 / n[y == label].sum()
@@ -254,42 +303,101 @@ def fit(rows: list[tuple]) -> tuple[float, ...]:
     return tuple(np.round(w, 6).tolist())
 
 
-def _observe(batches):
-    seen: dict[tuple, int] = {}
+def word_odds(counts: np.ndarray) -> tuple[float, ...]:
+    """Log odds of each bucket from its counts by label, drawn to nothing by PRIOR words that are dealt as all are."""
+    share = counts.sum(0) / max(1.0, counts.sum())
+    if not share.all():
+        return ()
+    return tuple(np.round(np.log((counts[:, 1] + PRIOR * share[1]) / (counts[:, 0] + PRIOR * share[0])) - np.log(share[1] / share[0]), 3).tolist())
+
+
+def _labelled(batches):
+    """The blocks of each page, and their weak labels."""
     for batch in batches:
         for part in slices(batch, "html"):
             for html in part.column("html").to_pylist():
-                for b in blocks(html or "")[0]:
-                    if (y := weak_label(b)) is not None:
-                        key = (*features(b), y)
-                        seen[key] = seen.get(key, 0) + 1
+                found, parent, depth = blocks(html or "")
+                yield found, parent, depth, [weak_label(b) for b in found]
+
+
+def _counted(seen: dict[tuple, int], names: list[str]) -> pa.RecordBatch:
     rows = [[*k, n] for k, n in seen.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(DEFAULT) + 2)], names=[f"x{k}" for k in range(len(DEFAULT) + 2)])
+    return pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(len(names))], names=names)
 
 
-def fitted(pages: DataFrame) -> tuple[float, ...]:
-    """The classifier's weights, from the blocks of PAGES pages that tags and names label. What comes to the driver are counts of equal
-    features, at most 5 * 7 * 2 * 2 * 2 rows, whatever the data."""
+def _word_counts(batches):
+    seen: dict[tuple, int] = {}
+    for found, _, _, labels in _labelled(batches):
+        for b, y in zip(found, labels, strict=True):
+            for k in word_buckets(b.text) if y is not None else ():
+                seen[k, y] = seen.get((k, y), 0) + 1
+    yield _counted(seen, ["bucket", "y", "n"])
+
+
+def _observe(words):
+    def run(batches):
+        seen: dict[tuple, int] = {}
+        for found, _, _, labels in _labelled(batches):
+            for x, y in zip(features(found, words), labels, strict=True):
+                if y is not None:
+                    seen[*x, y] = seen.get((*x, y), 0) + 1
+        yield _counted(seen, _NAMES)
+
+    return run
+
+
+def _tried(weights, words):
+    """Edge weights -> blocks rightly kept, wrongly kept, wrongly left, when cues, tags and place are hidden."""
+
+    def run(batches):
+        seen = {k: [0, 0, 0] for k in range(len(EDGES))}
+        for found, parent, depth, labels in _labelled(batches):
+            if not any(y is not None for y in labels):
+                continue
+            score = [sum(w * v for w, v in zip(weights, _masked(x, BARE), strict=True)) for x in features(found, words)]
+            for k, e in enumerate(EDGES):
+                for kept, y in zip(min_cut(score, smoothness(found, parent, depth, e)), labels, strict=True):
+                    if y is not None and (kept or y):
+                        seen[k][0 if kept and y else 1 if kept else 2] += 1
+        rows = [(k, *v) for k, v in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["k", "right", "wrong", "left"])
+
+    return run
+
+
+_NAMES = [f"x{k}" for k in range(len(TEXT) + len(CUES))] + ["y", "n"]
+
+
+def fitted(pages: DataFrame) -> Model:
+    """The model, from the blocks of PAGES pages that tags and names label. Words are counted on one half of these pages, weights and edges
+    are fitted on the other, where words were not learned by heart. What comes to the driver are counts: by bucket and label, by equal
+    features of the sample's blocks, and by edge weights."""
     hashed = pages.where("html is not null").select("html", F.xxhash64("page_id", "url").alias("h"))
     # the bound comes from the hashes alone, so no task gathers pages of all others; rows of one id and url count once
     last = hashed.select("h").orderBy("h").limit(PAGES).agg(F.max("h")).first()[0]
-    few = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("html").alias("html")).select("html")
-    names = [f"x{k}" for k in range(len(DEFAULT) + 2)]
-    seen = few.mapInArrow(_observe, ", ".join(f"{c} double" for c in names)).groupBy(*names[:-1]).agg(F.sum(names[-1]).alias("n"))
-    return fit(sorted(tuple(r) for r in seen.collect()))
+    few = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("html").alias("html"))
+    half = lambda k: few.where(F.pmod("h", F.lit(2)) == k).select("html")
+    counts = np.zeros((WORDS, 2))
+    for r in half(0).mapInArrow(_word_counts, "bucket double, y double, n double").groupBy("bucket", "y").agg(F.sum("n").alias("n")).collect():
+        counts[int(r["bucket"]), int(r["y"])] += r["n"]
+    words = word_odds(counts)
+    seen = half(1).mapInArrow(_observe(words), ", ".join(f"{c} double" for c in _NAMES)).groupBy(*_NAMES[:-1]).agg(F.sum("n").alias("n"))
+    rows = sorted(tuple(r) for r in seen.collect())
+    if len({r[-2] for r in rows}) < 2:
+        return DEFAULT
+    weights = fit(rows)
+    best, edges = -1.0, EDGES[0]
+    tried = half(1).mapInArrow(_tried(weights, words), "k long, right long, wrong long, left long").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("right", "wrong", "left")))
+    for r in sorted(tried.collect()):
+        f1 = 2 * r["right"] / max(1, 2 * r["right"] + r["wrong"] + r["left"])
+        if f1 > best - 1e-9:  # of equals the smoothest
+            best, edges = f1, EDGES[r["k"]]
+    return Model(weights, words, edges)
 
 
-def scores(found: list[Block], weights: tuple[float, ...] = DEFAULT) -> list[float]:
-    """Log odds that each block is content: the classifier's, and what its tags and names say."""
-    article = any(b.flags & IN_MAIN and not b.flags & (IN_AROUND | IN_BOILER) for b in found)
-    out = []
-    for b in found:
-        s = max(-TEXT_MOST, min(TEXT_MOST, sum(w * x for w, x in zip(weights, features(b), strict=True))))
-        s += sum(v for flag, v in PRIOR.items() if b.flags & flag)
-        if not b.flags & IN_MAIN:
-            s += OUTSIDE if article else PLAIN
-        out.append(s)
-    return out
+def scores(found: list[Block], model: Model = DEFAULT) -> list[float]:
+    """Log odds that each block is content."""
+    return [max(-MOST, min(MOST, sum(w * v for w, v in zip(model.weights, x, strict=True)))) for x in features(found, model.words)]
 
 
 def min_cut(score_of: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -355,7 +463,7 @@ def min_cut(score_of: list[float], edges: list[tuple[int, int, float]]) -> list[
             a = to[e]
 
 
-def smoothness(found: list[Block], parent: list[int], depth: list[int]) -> list[tuple[int, int, float]]:
+def smoothness(found: list[Block], parent: list[int], depth: list[int], weights: tuple[float, float] = DEFAULT.edges) -> list[tuple[int, int, float]]:
     """Edges between neighbours on the page, weaker with their distance in the DOM, and between neighbours of one parent."""
     edges = []
     last: dict[int, int] = {}
@@ -367,25 +475,29 @@ def smoothness(found: list[Block], parent: list[int], depth: list[int]) -> list[
                     x, far = parent[x], far + 1
                 else:
                     y, far = parent[y], far + 1
-            edges.append((i - 1, i, NEXT / (1 + far)))
+            edges.append((i - 1, i, weights[0] / (1 + far)))
         if parent[b.node] in last:
-            edges.append((last[parent[b.node]], i, SIBLING))
+            edges.append((last[parent[b.node]], i, weights[1]))
         last[parent[b.node]] = i
     return edges
 
 
-def main_text(html: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
+def labelled(html: str | None, model: Model = DEFAULT) -> tuple[list[Block], list[bool]]:
+    """A page's blocks, and which of them the cut keeps."""
     found, parent, depth = blocks(html or "")
-    keep = min_cut(scores(found, weights), smoothness(found, parent, depth))
-    return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    return found, min_cut(scores(found, model), smoothness(found, parent, depth, model.edges))
+
+
+def main_text(html: str | None, model: Model = DEFAULT) -> str:
+    return "\n\n".join(b.text for b, k in zip(*labelled(html, model), strict=True) if k)
 
 
-def _extract(weights):
+def _extract(model):
     @trimmed
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(h, weights) for h in part.column("html").to_pylist()]
+                texts = [main_text(h, model) for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
@@ -398,8 +510,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     tags may be unclosed, the end may be missing. Null or empty html, or html without text: empty text, 0. Repeated rows and null ids: a row
     each, as given; other columns are not read. Ties of the cut go to boilerplate. An empty table gives an empty result.
     """
-    weights = fitted(pages)
-    return pages.select("page_id", "url", "html").mapInArrow(_extract(weights), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(_extract(fitted(pages)), "page_id long, url string, text string, n_chars long")
 
 
 def op4_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
