@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,5 +95,66 @@ def uid() -> Column:
     return F.substring(F.expr("uuid()"), 1, 8)
 
 
+def stamp(at: Column) -> Column:
+    """A time as matrices carry it."""
+    return F.date_format(at, "yyyy-MM-dd HHmmss")
+
+
 def now() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HHmmss")
+    return stamp(F.current_timestamp())
+
+
+#: 2**0 to 2**126, the powers that a decimal of 38 digits holds.
+_POWERS = 127
+_WHOLE = "decimal(38,0)"
+
+
+def _let(x: Column, use) -> Column:
+    """use(x), x evaluated once: a lambda's variable stands for it, so expressions stay small."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def fixed(x: Column, decimals: int, width: int = 0) -> Column:
+    """x (a double) with that many decimals (12 at most), rounded half to even on its exact binary value, as C and Python print it;
+    padded on the left to the width. nan, inf and -inf as such; from 2**126 on the digits after the 17th are zeros.
+
+    x is m / 2**s with a whole m of at most 62 bits, so m * 10**decimals and 2**s are exact decimals, and so are quotient and remainder.
+    """
+    if not 0 <= decimals <= 12:
+        raise ValueError("0 to 12 decimals")
+    number = lambda n: F.lit(Decimal(n)).cast(_WHOLE)
+    powers = F.array(*(number(1 << k) for k in range(_POWERS)))
+    zeros = "." + "0" * decimals if decimals else ""
+
+    def point(t: Column) -> Column:
+        """The digits of a whole number of 10 ** -decimals."""
+        if not decimals:
+            return t
+        return _let(F.when(F.length(t) <= decimals, F.lpad(t, decimals + 1, "0")).otherwise(t), lambda d: F.concat(F.left(d, F.length(d) - decimals), F.lit("."), F.right(d, F.lit(decimals))))
+
+    def rounded(n: Column, s: Column) -> Column:
+        """n / 2 ** s, half to even: s over 0."""
+        parts = lambda unit: F.struct((n % unit).alias("rest"), ((n - n % unit) / unit).cast(_WHOLE).alias("q"), F.get(powers, s - 1).alias("half"))
+        up = lambda r: (r["rest"] > r["half"]) | ((r["rest"] == r["half"]) & (r["q"] % 2 == 1))
+        return _let(_let(F.get(powers, s), parts), lambda r: (r["q"] + F.when(up(r), number(1)).otherwise(number(0))).cast(_WHOLE))
+
+    def digits(v: Column) -> Column:
+        """Of a finite number, without its sign."""
+        s = F.when(v["size"] > 0, 60 - F.floor(F.log2(v["size"])).cast("int")).otherwise(_POWERS)
+        exact = lambda k: F.struct(k.alias("s"), F.when(k < _POWERS, v["size"] * F.pow(F.lit(2.0), k)).cast("long").cast("decimal(19,0)").alias("m"))
+        small = lambda e: point(rounded((e["m"] * F.lit(Decimal(10**decimals)).cast(f"decimal({decimals + 1},0)")).cast(_WHOLE), e["s"]).cast("string"))
+        large = lambda e: F.concat((e["m"] * F.get(powers, -e["s"])).cast(_WHOLE).cast("string"), F.lit(zeros))
+        nothing = point(F.lit("0"))
+        kinds = lambda e: F.when(e["s"] >= _POWERS, nothing).when(e["s"] > 0, small(e)).when(e["s"] > -66, large(e)).otherwise(F.format_string(f"%.{decimals}f", v["size"]))
+        return _let(_let(s, exact), kinds)
+
+    def text(v: Column) -> Column:
+        # a result of 15 digits at most: the shortest decimal rounds as the double does, but where it ends just between two results
+        plain = F.format_string(f"%.{decimals}f", v["v"])
+        sign = F.when((v["v"] < 0) | (v["t"] == "-0.0"), "-").otherwise("")
+        named = F.when(F.isnan(v["v"]), "nan").when(v["size"] == float("inf"), F.concat(sign, F.lit("inf")))
+        return F.when((v["size"] < 10.0 ** (15 - decimals)) & ~v["t"].rlike(rf"[EIN]|\.{'5' if not decimals else f'[0-9]{{{decimals}}}5'}$"), plain).otherwise(F.coalesce(named, F.concat(sign, digits(v))))
+
+    v = x.cast("double")
+    out = F.when(v.isNotNull(), _let(F.struct(v.alias("v"), F.abs(v).alias("size"), v.cast("string").alias("t")), text))
+    return F.lpad(out, F.greatest(F.length(out), F.lit(width)), F.lit(" ")) if width else out

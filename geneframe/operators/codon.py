@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import codon_split
+from ..functions.scalars import codon_split, fixed
 from .chunks import CHUNK, chunked
 
 BASES = "TCAG"
@@ -31,16 +31,56 @@ def codon_init(spark: SparkSession, table_id: str = "table", frames=(0,), value:
     return genetic_code(spark).select(F.lit(table_id).alias("table_id"), F.explode(F.array(*map(F.lit, frames))).alias("frame"), "codon", F.lit(float(value)).alias("value"))
 
 
+def codon_init_each(ids: DataFrame, frames=(0,), value: float = 0.0) -> DataFrame:
+    """The same for each table_id of ids."""
+    cells = codon_init(ids.sparkSession, "", frames, value).drop("table_id").agg(F.collect_list(F.struct("frame", "codon", "value")).alias("cells"))  # 64 a frame
+    return ids.select("table_id", cells.scalar().alias("cells")).select("table_id", F.inline("cells"))
+
+
+def _phases(frames: tuple[int, ...], size: int):
+    """Chunks -> one row a frame and codon for each task: codons counted by number at every place, sorted by the place's phase."""
+    code = np.full(256, 64)
+    for i, c in enumerate(BASES):
+        code[ord(c)] = code[ord(c.lower())] = i
+
+    def run(batches):
+        total = np.zeros(3 * 65, np.int64)
+        for batch in batches:
+            for a in range(0, len(batch), 64):
+                texts = [(x or "").encode("latin-1", "replace") for x in batch.column("part").slice(a, 64).to_pylist()]
+                length = np.array([len(x) for x in texts])
+                at = code[np.frombuffer(b"".join(texts), np.uint8)]
+                if len(at) < 3:
+                    continue
+                place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
+                left = np.repeat(length, length) - place
+                codon = np.minimum(16 * at[:-2] + 4 * at[1:-1] + at[2:], 64)
+                codon[(at[:-2] > 3) | (at[1:-1] > 3) | (at[2:] > 3)] = 64
+                own = (left[:-2] >= 3) & (place[:-2] < size)  # whole, and not the next chunk's
+                total += np.bincount((place[:-2] % 3 * 65 + codon)[own], minlength=3 * 65)
+        names = ["".join(c) for c in product(BASES, repeat=3)]
+        rows = [(f, c, int(total[f * 65 + i])) for f in frames for i, c in enumerate(names) if total[f * 65 + i]]
+        frame, codon, n = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(frame, pa.int32()), pa.array(codon, pa.string()), pa.array(n, pa.int64())], names=["frame", "codon", "n"])
+
+    return run
+
+
 def codon_count(sequences: DataFrame, frames=(0, 1, 2), table_id: str = "table") -> DataFrame:
-    """Counts over all sequences (seq_id, seq), dense over 64 codons and the frames. Codons with other letters are left out.
+    """Counts over all sequences (seq_id, seq), dense over 64 codons and the frames (of 0, 1, 2). Codons with other letters are left out.
 
-    One shuffle of at most 64 rows for each frame and map task: counts are summed before it.
+    Sequences are read in chunks that overlap by two letters and start in phase; a task adds up a vector of 64 counts for each frame, so no
+    codon becomes a row and one shuffle takes at most 192 rows of each task.
     """
-    exploded = sequences.select("seq", F.explode(F.array(*map(F.lit, frames))).alias("frame"))
-    # the outer form keeps the optimiser from splitting each sequence once more to filter empty arrays
-    codons = exploded.select("frame", F.explode_outer(codon_split(F.col("seq"), F.col("frame"))).alias("codon")).where("codon is not null")
-    counts = codons.groupBy("frame", "codon").agg(F.count("*").cast("double").alias("n"))
-    dense = codon_init(sequences.sparkSession, table_id, frames)
+    return codon_count_chunks(chunked(sequences, CHUNK, 2), frames, table_id)
+
+
+def codon_count_chunks(chunks: DataFrame, frames=(0, 1, 2), table_id: str = "table", size: int = CHUNK) -> DataFrame:
+    """codon_count of chunks (part) of that size, a multiple of three, with an overlap of two letters."""
+    if not set(frames) <= {0, 1, 2}:
+        raise ValueError("a frame is 0, 1 or 2")
+    counts = chunks.select("part").mapInArrow(_phases(tuple(frames), size), "frame int, codon string, n long").groupBy("frame", "codon").agg(F.sum("n").cast("double").alias("n"))
+    dense = codon_init(chunks.sparkSession, table_id, frames)
     return dense.join(counts, ["frame", "codon"], "left").select("table_id", "frame", "codon", F.coalesce("n", F.lit(0.0)).alias("value"))
 
 
@@ -74,17 +114,19 @@ def codon_div_scalar(table: DataFrame, x: float) -> DataFrame:
     return table.withColumn("value", F.col("value") / F.lit(float(x)))
 
 
-def _with(a: DataFrame, b: DataFrame, how) -> DataFrame:
-    return a.join(b.select("frame", "codon", F.col("value").alias("other")), ["frame", "codon"]).withColumn("value", how(F.col("value"), F.col("other"))).select(*KEYS, "codon", "value")
+def _with(a: DataFrame, b: DataFrame, by, how) -> DataFrame:
+    other = b.select(*by, "codon", F.col("value").alias("other"))
+    return a.join(other, [*by, "codon"]).withColumn("value", how(F.col("value"), F.col("other"))).select(*KEYS, "codon", "value")
 
 
-def codon_add_table(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _with(a, b, lambda x, y: x + y)
+def codon_add_table(a: DataFrame, b: DataFrame, by=tuple(KEYS)) -> DataFrame:
+    """a + b: each table of a with that of b of the same identifier and frame; by=("frame",) or () for a b that holds one table for all."""
+    return _with(a, b, by, lambda x, y: x + y)
 
 
-def codon_div_table(a: DataFrame, b: DataFrame, strict: bool = False) -> DataFrame:
-    """a / b; division by zero gives null, or with strict=True an error."""
-    return _with(a, b, (lambda x, y: x / y) if strict else F.try_divide)
+def codon_div_table(a: DataFrame, b: DataFrame, strict: bool = False, by=tuple(KEYS)) -> DataFrame:
+    """a / b, as codon_add_table; division by zero gives null, or with strict=True an error."""
+    return _with(a, b, by, (lambda x, y: x / y) if strict else F.try_divide)
 
 
 def with_amino(table: DataFrame) -> DataFrame:
@@ -109,10 +151,10 @@ def coding_lr(table: DataFrame) -> DataFrame:
     return r.select("codon", F.try_divide("r", F.sum("r").over(W.partitionBy())).alias("lr"))
 
 
-def codon_profile(sequences: DataFrame, lr: DataFrame) -> DataFrame:
-    """seq_id, k, lr of each frame-0 codon; lr has 64 rows."""
-    c = sequences.select("seq_id", F.posexplode_outer(codon_split(F.col("seq"), 0)).alias("k", "codon")).where("codon is not null")
-    return c.join(F.broadcast(lr), "codon", "left").select("seq_id", F.col("k").cast("long").alias("k"), "lr")
+def codon_profile(sequences: DataFrame, lr: DataFrame, size: int = CHUNK) -> DataFrame:
+    """seq_id, k, lr of each frame-0 codon; lr has 64 rows. Sequences are read in chunks of whole codons."""
+    c = chunked(sequences, size).select("seq_id", "chunk", F.posexplode_outer(codon_split(F.col("part"), 0)).alias("k", "codon")).where("codon is not null")
+    return c.join(F.broadcast(lr), "codon", "left").select("seq_id", (F.col("chunk") * (size // 3) + F.col("k")).alias("k"), "lr")
 
 
 def _means(window: int, size: int):
@@ -165,22 +207,22 @@ def window_average(sequences: DataFrame, lr: DataFrame, window: int = 5, compat:
     return p.select("seq_id", "k", (F.col("k") + (window - 1) / 2).alias("x"), "mean")
 
 
-def codon_text(table: DataFrame, width: int = 6, decimal: int = 3, sep: str = "  ") -> DataFrame:
-    """table_id, frame, value: each table as 16 lines of four codons; the middle letter runs along a line, then the third, then the first."""
+def _traditional(table: DataFrame, cell) -> DataFrame:
+    """table_id, frame, n, t: the cells' texts in the traditional order; the middle letter runs fastest, then the third, then the first."""
     place = lambda k: F.instr(F.lit(BASES), F.substring("codon", k, 1))
-    cell = F.concat("codon", F.lit(":"), F.format_string(f"%{width}.{decimal}f", F.col("value").cast("double")))
-    cells = F.array_sort(F.collect_list(F.struct(place(1).alias("a"), place(3).alias("c"), place(2).alias("b"), cell.alias("t"))))
-    t = table.groupBy(*KEYS).agg(F.transform(cells, lambda x: x["t"]).alias("t"))
-    lines = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 4).cast("int")), lambda i: F.concat(F.array_join(F.slice("t", i * 4 + 1, F.lit(4)), sep), F.lit("\n")))
-    return t.select(*KEYS, F.array_join(lines, "").alias("value"))
+    cells = F.array_sort(F.collect_list(F.struct(place(1).alias("a"), place(3).alias("c"), place(2).alias("b"), cell.alias("t"))))  # 64 at most
+    return table.groupBy(*KEYS).agg(F.sum("value").alias("n"), F.transform(cells, lambda x: x["t"]).alias("t"))
+
+
+def codon_text(table: DataFrame, width: int = 6, decimal: int = 3, sep: str = "  ") -> DataFrame:
+    """table_id, frame, value: each table as 16 lines of four codons, each with the separator behind it."""
+    t = _traditional(table, F.concat("codon", F.lit(":"), fixed(F.col("value"), decimal, width), F.lit(sep)))
+    return t.select(*KEYS, F.array_join(F.transform("t", lambda x, i: F.concat(x, F.when(i % 4 == 3, "\n").otherwise(""))), "").alias("value"))
 
 
 def codon_listing(table: DataFrame) -> DataFrame:
-    """table_id, frame, value: the number of observations, a line for each codon with its amino acid, an empty line after each first letter."""
-    place = lambda k: F.instr(F.lit(BASES), F.substring("codon", k, 1))
-    end = F.when((place(2) == 4) & (place(3) == 4), "\n\n").otherwise("\n")
-    line = F.concat("codon", F.lit(" "), "aa", F.lit(" "), F.format_string("%6.3f", F.col("value").cast("double")), end)
-    lines = F.array_sort(F.collect_list(F.struct(place(1).alias("a"), place(2).alias("b"), place(3).alias("c"), line.alias("t"))))
-    total = F.sum("value")
-    n = F.when(total == F.floor(total), F.floor(total).cast("string")).otherwise(total.cast("string"))
-    return with_amino(table).groupBy(*KEYS).agg(F.concat(n, F.lit(" observations\n"), F.array_join(F.transform(lines, lambda x: x["t"]), "")).alias("value"))
+    """table_id, frame, value: the number of observations, then lines of four codons with their amino acids, an empty line between first
+    letters; no white space at the end."""
+    t = _traditional(with_amino(table), F.concat(F.lit("   "), "codon", F.lit(" "), "aa", F.lit(" "), fixed(F.col("value"), 3, 6), F.lit(" ")))
+    lines = F.transform("t", lambda x, i: F.concat(x, F.when(i % 16 == 15, "\n\n").when(i % 4 == 3, "\n").otherwise("")))
+    return t.select(*KEYS, F.concat(fixed(F.col("n"), 3), F.lit(" observations\n"), F.rtrim(F.array_join(lines, ""), F.lit(" \n"))).alias("value"))

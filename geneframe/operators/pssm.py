@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import log2_floor, now, uid
+from ..functions.scalars import fixed, log2_floor, now, uid
 from .chunks import CHUNK, chunked
 
 
@@ -17,6 +17,13 @@ def pssm_init(spark: SparkSession, pssm_id: str = "pssm", rows: str = "ACGT", co
     return spark.range(columns).select(F.lit(pssm_id).alias("pssm_id"), bases, F.col("id").cast("int").alias("pos")).withColumn("value", F.lit(float(value)))
 
 
+def pssm_init_each(ids: DataFrame, rows: str = "ACGT", columns: int = 15, value: float = 0.0) -> DataFrame:
+    """The same for each pssm_id of ids."""
+    base = F.explode(F.array(*map(F.lit, rows))).alias("base")
+    d = ids.select("pssm_id", base).select("pssm_id", "base", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("pos"))
+    return d.withColumn("value", F.lit(float(value)))
+
+
 def pssm_copy(pssm: DataFrame, pssm_id: str) -> DataFrame:
     return pssm.withColumn("pssm_id", F.lit(pssm_id))
 
@@ -166,7 +173,7 @@ def meta_frequency(meta: DataFrame, new_uid: Column | None = None, when: Column
 
 def pssm_text(pssm: DataFrame, meta: DataFrame, offset: int = 0, rows: str = "ACGT", width: int = 6, precision: int = 3) -> DataFrame:
     """pssm_id, value: a matrix as text that scan_pssm reads: tagged lines, comments, rows with a divider before column `offset`."""
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.concat(F.when((x["pos"] == offset) & F.lit(offset > 0), " " + "|".rjust(width)).otherwise(""), F.format_string(f" %{width}.{precision}f", x["value"].cast("double"))))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.concat(F.when((x["pos"] == offset) & F.lit(offset > 0), " " + "|".rjust(width)).otherwise(""), F.concat(F.lit(" "), fixed(x["value"], precision, width))))
     lines = pssm.groupBy("pssm_id", "base").agg(F.concat(F.lit("\t"), "base", F.array_join(cells, "")).alias("line"), F.max("pos").alias("last"))
     body = F.transform(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(rows), F.col("base")).alias("r"), "line"))), lambda x: x["line"])
     m = lines.groupBy("pssm_id").agg(F.array_join(body, "\n").alias("body"), F.concat(F.count("*"), F.lit(","), F.max("last") + 1).alias("shape")).join(pssm_n(pssm), "pssm_id").join(meta, "pssm_id")

@@ -2,36 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import reverse_complement
 from .chunks import CHUNK, chunked
-from .pssm import pssm_count
+from .pssm import pssm_count, pssm_init_each
 
 PRE, POST = 5, 10
-
-
-def islands(features: DataFrame) -> DataFrame:
+#: Features are numbered in blocks of 2 ** BLOCK_BITS places.
+BLOCK_BITS = 16
+
+
+def _keyed(features: DataFrame, bits: int) -> DataFrame:
+    """With key: the feature's seqid and block, a range of 2 ** bits places of ord (an integer, or a struct whose last field is one). A block
+    has at most that many rows, however many its sequence has, so windows over blocks have no hot task."""
+    kind = features.schema["ord"].dataType
+    if isinstance(kind, StructType):
+        *names, last = kind.names
+        block = F.struct(*(F.col(f"ord.{n}").alias(n) for n in names), F.shiftright(F.col(f"ord.{last}"), bits).alias(last))
+    else:
+        block = F.shiftright("ord", bits)
+    return features.withColumn("key", F.struct("seqid", block.alias("block")))
+
+
+def _along() -> WindowSpec:
+    """A sequence's blocks in order."""
+    return W.partitionBy("key.seqid").orderBy("key.block")
+
+
+def carried(features: DataFrame, bits: int = BLOCK_BITS, size: bool = False, following: bool = False) -> DataFrame:
+    """Features with changed (1 where the parent differs from that of the feature before), island (runs of one parent, numbered in each
+    seqid) and place (row number in the seqid); ord, unique in a seqid, is the order of the file. With size=True also the island's size and
+    last, the number of the seqid's last island; with following=True next: island and start of the next feature.
+
+    Each block is numbered for itself; one row of each block carries its first and last parent, its changes and rows along the sequence,
+    and back to it what lies in other blocks: only a block's first and last island can go on there.
+    """
+    w, head = W.partitionBy("key").orderBy("ord"), F.struct("parent")
+    f = _keyed(features, bits).withColumn("place", F.row_number().over(w).cast("long"))
+    same = head.eqNullSafe(F.lag(head).over(w))
+    f = f.withColumn("changed", F.when((F.col("place") == 1) | same, 0).otherwise(1)).withColumn("island", F.sum("changed").over(w))
+    sums = [F.min_by(head, "ord").alias("head"), F.max_by(head, "ord").alias("tail"), F.count("*").alias("n"), F.max("island").alias("changes")]
+    if size:
+        f = f.withColumn("size", F.count("*").over(W.partitionBy("key", "island")))
+        sums += [F.min_by("size", "ord").alias("n_head"), F.max_by("size", "ord").alias("n_tail")]
+    if following:
+        f = f.withColumn("next", F.lead(F.struct("island", "start")).over(w))
+        sums.append(F.min_by("start", "ord").alias("start_head"))
+    e = f.groupBy("key").agg(*sums)
+    e = e.withColumn("opens", F.when(F.col("head").eqNullSafe(F.lag("tail").over(_along())), 0).otherwise(1))
+    so_far = lambda c: F.coalesce(F.sum(c).over(_along().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    e = e.withColumns({"rows": so_far("n"), "base": F.sum("opens").over(_along()) + so_far("changes")})
+    if following:
+        e = e.withColumn("after", F.lead(F.struct(F.col("base").alias("island"), F.col("start_head").alias("start"))).over(_along()))
+    if size:
+        end = lambda k, n: F.struct((F.col("base") + k).alias("island"), F.col(n).alias("size"))
+        ends = F.when(F.col("changes") > 0, F.array(end(F.lit(0), "n_head"), end(F.col("changes"), "n_tail"))).otherwise(F.array(end(F.lit(0), "n_head")))
+        kept = [c for c in ("opens", "rows", "base", "changes", "after") if c in e.columns]
+        e = e.select("key", *kept, F.explode(ends).alias("x")).withColumn("all", F.sum("x.size").over(W.partitionBy("key.seqid", "x.island")))
+        e = e.groupBy("key").agg(*(F.any_value(c).alias(c) for c in kept), F.min_by("all", "x.island").alias("all_head"), F.max_by("all", "x.island").alias("all_tail"))
+        e = e.withColumn("last", F.max(F.col("base") + F.col("changes")).over(W.partitionBy("key.seqid")))
+    d = f.join(e.select("key", *(c for c in ("opens", "rows", "base", "after", "changes", "all_head", "all_tail", "last") if c in e.columns and (size or c != "changes"))), "key")
+    out = {"changed": F.when(F.col("place") == 1, F.col("opens")).otherwise(F.col("changed")), "place": F.col("place") + F.col("rows")}
+    if size:
+        out["size"] = F.when(F.col("island") == 0, F.col("all_head")).when(F.col("island") == F.col("changes"), F.col("all_tail")).otherwise(F.col("size"))
+        out["last"] = F.col("last")
+    if following:
+        out["next"] = F.coalesce(F.when(F.col("next").isNotNull(), F.struct((F.col("next.island") + F.col("base")).alias("island"), F.col("next.start").alias("start"))), "after")
+    return d.select(*features.columns, (F.col("island") + F.col("base")).alias("island"), *(c.alias(n) for n, c in out.items()))
+
+
+def islands(features: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """Runs of consecutive features with one parent, numbered in each seqid; ord is the order of the file in it."""
-    w = W.partitionBy("seqid").orderBy("ord")
-    changed = F.when(F.col("parent").eqNullSafe(F.lag("parent").over(w)), 0).otherwise(1)
-    return features.withColumn("changed", changed).withColumn("island", F.sum("changed").over(w)).drop("changed")
+    return carried(features, bits).drop("changed", "place")
 
 
-def exon_group(features: DataFrame, compat: bool = False) -> DataFrame:
+def exon_group(features: DataFrame, compat: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
     """Features of islands with more than one, with size; compat=True leaves out each seqid's last island."""
-    f = islands(features).withColumn("size", F.count("*").over(W.partitionBy("seqid", "island")))
-    if compat:
-        f = f.withColumn("last", F.max("island").over(W.partitionBy("seqid"))).where("island < last").drop("last")
-    return f.where("size > 1")
+    f = carried(features, bits, size=True)
+    f = f.where("island < last") if compat else f
+    return f.where("size > 1").select(*features.columns, "island", "size")
+
+
+_INTRON = ("seqid", "island", "ord", "parent", "strand")
 
 
-def next_exon(grouped: DataFrame) -> DataFrame:
-    """Introns: an exon's end and the next one's start, in file order."""
-    w = W.partitionBy("seqid", "island").orderBy("ord")
-    return grouped.withColumn("next_start", F.lead("start").over(w)).where("next_start is not null").select("seqid", "island", "ord", "parent", "strand", F.col("end").alias("this_end"), "next_start")
+def introns(features: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Introns of features as they are: what next_exon makes of exon_group, in one pass."""
+    f = carried(features, bits, following=True).where("next.island = island")
+    return f.select(*_INTRON, F.col("end").alias("this_end"), F.col("next.start").alias("next_start")).where("next_start is not null")
+
+
+def next_exon(grouped: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Introns: an exon's end and the next one's start, in file order. A block's last exon finds its next one at the head of the block after."""
+    head = F.struct("island", "start")
+    f = _keyed(grouped, bits).withColumn("next", F.lead(head).over(W.partitionBy("key").orderBy("ord")))
+    e = f.groupBy("key").agg(F.min_by(head, "ord").alias("head")).select("key", F.lead("head").over(_along()).alias("after"))
+    f = f.join(e, "key").withColumn("next", F.coalesce("next", "after")).where("next.island = island")
+    return f.select(*_INTRON, F.col("end").alias("this_end"), F.col("next.start").alias("next_start")).where("next_start is not null")
 
 
 def transcript_group(features: DataFrame) -> DataFrame:
@@ -44,7 +115,7 @@ def transcript_group(features: DataFrame) -> DataFrame:
 
 def genes_by_seqid(features: DataFrame) -> DataFrame:
     """seqid, place, parent, start, end: each sequence's features in the order of the file, as rows, so no sequence is one array."""
-    return features.select("seqid", F.row_number().over(W.partitionBy("seqid").orderBy("ord")).cast("long").alias("place"), "parent", "start", "end")
+    return carried(features).select("seqid", "place", "parent", "start", "end")
 
 
 def feature_count(features: DataFrame) -> DataFrame:
@@ -75,6 +146,12 @@ def junctions(introns: DataFrame, sequences: DataFrame, pre: int = PRE, post: in
     return w.select("seqid", "island", "ord", "strand", "site_type", F.when(F.col("strand") == "+", F.upper(cut)).otherwise(reverse_complement(cut)).alias("site"))
 
 
+def splice_init(parents: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
+    """Empty matrices of each parent's donors and acceptors: pssm_id donor-{parent} and acceptor-{parent}, base, pos, value."""
+    kinds = F.explode(F.array(F.lit("donor"), F.lit("acceptor"))).alias("kind")
+    return pssm_init_each(parents.select("parent", kinds).select(F.concat_ws("-", "kind", "parent").alias("pssm_id")), columns=pre + post)
+
+
 def splice_models(sites: DataFrame, pre: int = PRE, post: int = POST) -> DataFrame:
     """Count matrices of donors and acceptors."""
     return pssm_count(sites.select(F.col("site_type").alias("pssm_id"), "site"), pre + post)

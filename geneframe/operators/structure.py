@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import CATEGORIES, description, has_introns, normalize_parent
+from ..functions.scalars import CATEGORIES, description, fixed, has_introns, normalize_parent
 
 QUOTA, FORCED = 20, 3
 
@@ -24,24 +24,41 @@ def sample_key(gene_id: Column, seed: int) -> Column:
 
 
 def stratified_sample(proteins: DataFrame, seed: int = 42, quota: int = QUOTA, forced: int = FORCED) -> DataFrame:
-    """proteins (gene_id, category, length_bin, n_exons) -> the sampled rows with is_forced.
+    """proteins (gene_id, category, length_bin, n_exons) -> the sampled rows with is_forced; gene_id is unique.
 
-    The first `forced` genes with introns of a category, in an order by hash, are taken; then each bin is filled up to the quota.
+    The first `forced` genes with introns of a category, in an order by hash, are taken; then each bin is filled up to the quota. A bin needs
+    no others than its first `quota` genes and the forced ones, so each map task sends at most that many rows of a stratum: both ranks are
+    compared with a constant, and Spark keeps the first rows before it shuffles.
     """
-    order = [sample_key(F.col("gene_id"), seed), F.col("gene_id")]
-    p = proteins.withColumn("intron", F.col("n_exons") > 1)
-    p = p.withColumn("r", F.row_number().over(W.partitionBy("category", "intron").orderBy(*order))).withColumn("is_forced", F.col("intron") & (F.col("r") <= forced))
-    p = p.withColumn("r", F.row_number().over(W.partitionBy("category", "length_bin").orderBy(F.col("is_forced").desc(), *order)))
-    return p.where((F.col("r") <= quota) | F.col("is_forced")).drop("r", "intron")
-
-
-def predictor_input(proteins: DataFrame, seeds=(1,), dialect: str = "alphafold3", version: int = 2) -> DataFrame:
+    order = [F.col("key"), F.col("gene_id")]
+    first = lambda d, n, *by: d.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n).drop("r")
+    p = proteins.withColumn("key", sample_key(F.col("gene_id"), seed))
+    must = first(p.where("n_exons > 1"), forced, "category").withColumn("is_forced", F.lit(True))
+    may = first(p, quota, "category", "length_bin").withColumn("is_forced", F.lit(False))
+    by = W.partitionBy("category", "length_bin", "gene_id").orderBy(F.col("is_forced").desc())
+    both = must.unionByName(may).withColumn("r", F.row_number().over(by)).where("r = 1")
+    both = both.withColumn("r", F.row_number().over(W.partitionBy("category", "length_bin").orderBy(F.col("is_forced").desc(), *order)))
+    return both.where((F.col("r") <= quota) | F.col("is_forced")).drop("r", "key")
+
+
+def predictor_input(proteins: DataFrame, seeds=(1,), dialect: str = "alphafold3", version: int = 4) -> DataFrame:
     """gene_id, json: one input document for each protein."""
     protein = F.struct(F.lit("A").alias("id"), "sequence", description(F.col("category"), F.col("n_exons"), F.col("length_aa"), F.col("chromosome")).alias("description"))
     doc = F.struct(F.col("gene_id").alias("name"), F.array(*map(F.lit, seeds)).alias("modelSeeds"), F.array(F.struct(protein.alias("protein"))).alias("sequences"), F.lit(dialect).alias("dialect"), F.lit(version).alias("version"))
     return proteins.select("gene_id", F.to_json(doc).alias("json"))
 
 
+def predictor_text(proteins: DataFrame, seeds=(1,), dialect: str = "alphafold3", version: int = 4) -> DataFrame:
+    """gene_id, json: the same documents, indented by two, a member a line, without a line's end at the end."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    text = description(F.col("category"), F.col("n_exons"), F.col("length_aa"), F.col("chromosome"))
+    numbers = ",\n    ".join(map(str, seeds))
+    return proteins.select("gene_id", F.concat(
+        F.lit('{\n  "name": '), quoted(F.col("gene_id")), F.lit(f',\n  "modelSeeds": [\n    {numbers}\n  ],\n  "sequences": [\n    {{\n      "protein": {{\n        "id": "A",\n        "sequence": '),
+        quoted(F.col("sequence")), F.lit(',\n        "description": '), quoted(text), F.lit(f'\n      }}\n    }}\n  ],\n  "dialect": "{dialect}",\n  "version": {version}\n}}'),
+    ).alias("json"))
+
+
 def sample_metadata(proteins: DataFrame) -> DataFrame:
     return proteins.select("gene_id", "category", "length_aa", "n_exons", has_introns(F.col("n_exons")).alias("has_introns"), "length_bin", "chromosome", "gene_name")
 
@@ -88,26 +105,38 @@ def sorted_ids(df: DataFrame) -> DataFrame:
     return df.select("gene_id").distinct().orderBy("gene_id")
 
 
-def process_protein(plddt: DataFrame, summary: DataFrame, pae: DataFrame, metadata: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gene_id, name, value): the text of each metric file of each protein; and (gene_id, error): proteins that have no model or no metadata.
+def process_protein(plddt: DataFrame, summary: DataFrame, pae: DataFrame, metadata: DataFrame, unreadable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(gene_id, name, place, value): the lines of each metric file of each protein, in the order of place; and (gene_id, error): proteins
+    that have no model or no metadata, or a file that can't be read.
 
-    plddt: gene_id, residue_number, plddt. summary: gene_id, ptm, fraction_disordered; pae: gene_id, row_idx, pae: a protein without them
-    lacks those files. A protein with an error has no file at all, as nothing of it would be complete; the others go on.
+    plddt: gene_id, residue_number, plddt and possibly chain, which is a column of the files of proteins with several. summary: gene_id, ptm,
+    fraction_disordered; pae: gene_id, row_idx, pae: a protein without them lacks those files. A protein with an error has no file at all,
+    as nothing of it would be complete; the others go on. A line is a row, so no file is one value.
     """
     found = plddt.select("gene_id").distinct()
-    bad = found.join(metadata.select("gene_id"), "gene_id", "left_anti").select("gene_id", F.lit("no metadata").alias("error"))
-    bad = bad.unionByName(metadata.select("gene_id").distinct().join(found, "gene_id", "left_anti").select("gene_id", F.lit("no model").alias("error")))
-    lines = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), text.alias("t")))), lambda x: x["t"]), "")
-    residue = F.concat(F.col("residue_number"), F.lit("\t"), F.format_string("%.2f", F.col("plddt").cast("double")), F.lit("\n"))
-    texts = [plddt.groupBy("gene_id").agg(F.lit("plddt.tsv").alias("name"), F.concat(F.lit("residue_number\tplddt\n"), lines("residue_number", residue)).alias("value"))]
-    for c, name in (("ptm", "ptm"), ("fraction_disordered", "fraction_disordered")):
-        texts.append(summary.select("gene_id", F.lit(f"{name}.tsv").alias("name"), F.concat(F.lit(f"{name}\n"), F.coalesce(F.col(c).cast("string"), F.lit("NA")), F.lit("\n")).alias("value")))
-    row = F.concat(F.array_join(F.transform("pae", lambda v: F.format_string("%.2f", v)), "\t"), F.lit("\n"))
-    texts.append(pae.groupBy("gene_id").agg(F.lit("pae.tsv").alias("name"), lines("row_idx", row).alias("value")))
+    error = lambda d, text: d.select("gene_id", F.lit(text).alias("error"))
+    bad = error(found.join(metadata.select("gene_id"), "gene_id", "left_anti"), "no metadata")
+    missing = metadata.select("gene_id").distinct().join(found, "gene_id", "left_anti")
+    if unreadable is not None:
+        missing = missing.join(unreadable.select("gene_id"), "gene_id", "left_anti")
+        bad = bad.unionByName(unreadable.select("gene_id", "error"))
+    bad = bad.unionByName(error(missing, "no model"))
+    place = lambda head, chain, k: F.struct(F.lit(head).alias("part"), chain.alias("chain"), k.cast("long").alias("k")).alias("place")
+    line = lambda d, name, at, text: d.select("gene_id", F.lit(name).alias("name"), at, F.concat(text, F.lit("\n")).alias("value"))
+    one, none = F.lit(""), F.lit(0)
+    chain = F.col("chain") if "chain" in plddt.columns else one
+    chains = plddt.select("gene_id", chain.alias("c")).groupBy("gene_id").agg((F.min("c") < F.max("c")).alias("several"))
+    p = plddt.join(chains, "gene_id")
+    if "chain" in plddt.columns:
+        first = F.when(F.col("several"), F.concat(F.coalesce("chain", F.lit("")), F.lit("\t"))).otherwise("")
+    else:
+        first = one
+    out = line(chains, "plddt.tsv", place(0, one, none), F.concat(F.when(F.col("several"), "chain\t").otherwise(""), F.lit("residue_number\tplddt")))
+    out = out.unionByName(line(p, "plddt.tsv", place(1, F.coalesce(chain, one), F.col("residue_number")), F.concat(first, F.col("residue_number"), F.lit("\t"), fixed(F.col("plddt"), 2))))
+    for c in ("ptm", "fraction_disordered"):
+        out = out.unionByName(line(summary, f"{c}.tsv", place(0, one, none), F.concat(F.lit(f"{c}\n"), F.coalesce(F.col(c).cast("string"), F.lit("NA")))))
+    out = out.unionByName(line(pae, "pae.tsv", place(1, one, F.col("row_idx")), F.array_join(F.transform("pae", lambda v: fixed(v, 2)), "\t")))
     columns = metadata.columns
-    texts.append(metadata.select("gene_id", F.lit("metadata.tsv").alias("name"), F.concat(F.lit("\t".join(columns) + "\n"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit("\n")).alias("value")))
-    out = texts[0]
-    for t in texts[1:]:
-        out = out.unionByName(t)
-    good = found.join(metadata.select("gene_id").distinct(), "gene_id", "left_semi")
+    out = out.unionByName(line(metadata, "metadata.tsv", place(0, one, none), F.concat(F.lit("\t".join(columns) + "\n"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)))))
+    good = found.join(metadata.select("gene_id").distinct(), "gene_id", "left_semi").join(bad.select("gene_id"), "gene_id", "left_anti")
     return out.join(good, "gene_id", "left_semi"), bad

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -16,6 +15,8 @@ from ..operators import structure as T
 from ..session import scratch
 from ..sources import readers as IN
 from ..sources import writers as OUT
+from ..sources.fasta import scan_fasta_chunks
+from ..sources.files import write_named
 from .surrogates import S1, S2, S4, features, proteins, residues, sequences
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -70,9 +71,11 @@ for _key, _make, _sql in (
     query(_sql, _key)(lambda spark, d, make=_make: _table(make(_counts(spark, d))))
 
 
-@query(f"WITH {CODE} SELECT codon, aa, 0.0::DOUBLE AS value, count(*) OVER (PARTITION BY aa)::INTEGER AS family_size FROM code")
+@query(f"WITH {CODE} SELECT doc_id AS table_id, codon, aa, 0.0::DOUBLE AS value, count(*) OVER (PARTITION BY doc_id, aa)::INTEGER AS family_size FROM documents, code")
 def codon_init(spark, d):
-    return C.codon_init(spark).join(C.genetic_code(spark), "codon").select("codon", "aa", "value", "family_size")
+    """An empty table for each document, as counting starts from."""
+    ids = sequences(spark, d).select(F.col("seq_id").alias("table_id"))
+    return C.codon_init_each(ids, (0,)).join(F.broadcast(C.genetic_code(spark)), "codon").select("table_id", "codon", "aa", "value", "family_size")
 
 
 @query(f"WITH {COUNT} SELECT codon, value FROM t WHERE frame = 0")
@@ -202,10 +205,21 @@ query(f"WITH {S4} SELECT gene_id, gene_name, CASE n_exons WHEN 1 THEN 'Verified'
 query(_PROTEIN + " WHERE n_exons < 3", "category_filter")(lambda spark, d: T.known_category(IN.protein_records(IN.fasta_records(_records(spark, d)))))
 
 
-@query(f"WITH {S1} SELECT seq_id::VARCHAR AS seq_id, 'first > part' AS doc, seq FROM s1")
+def _fasta(spark, d):
+    """The sequences as FASTA files, in lines of 60 letters."""
+    path = scratch(spark)
+    seq = F.coalesce("seq", F.lit(""))
+    sequences(spark, d).select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit(" first > part\n"), F.regexp_replace(seq, "(.{60})", "$1\n"))).write.text(path)
+    return path
+
+
+@query(
+    f"""WITH {S1}, l AS (SELECT seq_id::VARCHAR AS seq_id, coalesce(seq, '') AS seq FROM s1), c AS (SELECT *, unnest(range(0, greatest((length(seq) + 2999) // 3000, 1))) AS chunk FROM l)
+ SELECT seq_id, 'first > part' AS doc, chunk, substr(seq, chunk * 3000 + 1, 3010) AS part, length(seq) AS length FROM c"""
+)
 def scan_fasta(spark, d):
-    text = sequences(spark, d).select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit(" first > part\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value"))
-    return IN.fasta_records(text)
+    """Chunks of the files' records, each file read in ranges of 128 KB."""
+    return scan_fasta_chunks(spark, _fasta(spark, d), 3000, 10, 1 << 17).select("seq_id", "doc", "chunk", "part", "length")
 
 
 query(f"WITH {S1} SELECT seq_id, seq FROM s1", "scan_transcript_txt")(lambda spark, d: IN.transcript_text(sequences(spark, d).select("seq_id", F.concat(F.regexp_replace("seq", "(.{70})", "$1\n"), F.lit("\n")).alias("value"))))
@@ -229,7 +243,7 @@ def _grouped(spark, d):
 
 
 def _sites(spark, d):
-    return J.junctions(J.next_exon(_grouped(spark, d)), sequences(spark, d))
+    return J.junctions(J.introns(features(spark, d)), sequences(spark, d))
 
 
 def _models(spark, d):
@@ -248,9 +262,7 @@ def exon_group_compat(spark, d):
 
 @query(f"WITH {GROUP} SELECT seqid, ord, changed FROM ch")
 def prev_parent(spark, d):
-    f = J.islands(features(spark, d))
-    w = W.partitionBy("seqid").orderBy("ord")
-    return f.select("seqid", "ord", F.coalesce(F.col("island") - F.lag("island").over(w), F.lit(1)).cast("int").alias("changed"))
+    return J.carried(features(spark, d)).select("seqid", "ord", "changed")
 
 
 @query(f"WITH {INTRON} SELECT seqid, island, ord, parent, strand, this_end, next_start FROM intr")
@@ -266,7 +278,7 @@ query(f"WITH {S2} SELECT parent, min(start) AS first, max(\"end\") AS last FROM
 query(f'WITH {S2} SELECT seqid, ord AS place, parent, start, "end" FROM s2', "genes_by_seqid")(lambda spark, d: J.genes_by_seqid(features(spark, d)))
 query(f"WITH {S2} SELECT type, count(*) AS n FROM s2 GROUP BY type", "feature_count")(lambda spark, d: J.feature_count(features(spark, d)))
 query(f"WITH {S2} SELECT ord, seqid FROM s2 ORDER BY seqid, ord LIMIT 50", "limit_exons")(lambda spark, d: J.limit_features(features(spark, d)).select("ord", "seqid"))
-query(f"WITH {SITES} SELECT seqid, island, ord, strand, site_type, lo, hi FROM win", "junction_window")(lambda spark, d: J.junction_window(J.next_exon(_grouped(spark, d))).select("seqid", "island", "ord", "strand", "site_type", "lo", "hi"))
+query(f"WITH {SITES} SELECT seqid, island, ord, strand, site_type, lo, hi FROM win", "junction_window")(lambda spark, d: J.junction_window(J.introns(features(spark, d))).select("seqid", "island", "ord", "strand", "site_type", "lo", "hi"))
 query(f"WITH {SITES} SELECT * FROM sites", "join_junction_seq")(lambda spark, d: _sites(spark, d))
 query(f"WITH {SITES} SELECT seqid, count(*) AS n_sites FROM sites GROUP BY seqid", "junction_count")(lambda spark, d: J.junction_count(_sites(spark, d)))
 query(f"WITH {PCOUNT} SELECT pssm_id, base, pos, value FROM pc", "pssm_count")(lambda spark, d: _models(spark, d))
@@ -279,8 +291,11 @@ query(f"WITH {PFREQ} SELECT pssm_id, base, pos, round(value * value / sum(value
 query(f"WITH {PFREQ} SELECT pssm_id, base, pos, round(value ** 0.5, 9) AS value FROM pf", "power")(lambda spark, d: rounded(P.pssm_sharpen(P.pssm_frequency(_models(spark, d)), 0.5, normalise=False), "value"))
 query(f"WITH {PFREQ} SELECT pssm_id, base, pos, round(CASE WHEN value = 0 THEN -10 ELSE log2(value) END, 9) AS value FROM pf", "log2_floor")(lambda spark, d: rounded(P.pssm_log(P.pssm_frequency(_models(spark, d))), "value"))
 query(f"WITH {PFREQ} SELECT pssm_id, count_if(value = 0)::BIGINT AS n_zero FROM pf GROUP BY pssm_id", "pssm_zeros")(lambda spark, d: P.pssm_zeros(P.pssm_frequency(_models(spark, d))))
-query("SELECT 'pssm' AS pssm_id, base, pos::INTEGER AS pos, 0.0::DOUBLE AS value FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS base), (SELECT unnest(range(0, 15)) AS pos)", "pssm_init")(lambda spark, d: P.pssm_init(spark))
-query("SELECT pssm_id, base, pos::INTEGER AS pos, 0.0::DOUBLE AS value FROM (SELECT unnest(['donor', 'acceptor']) AS pssm_id), (SELECT unnest(['A', 'C', 'G', 'T']) AS base), (SELECT unnest(range(0, 15)) AS pos)", "splice_init")(lambda spark, d: P.pssm_init(spark, "donor").unionByName(P.pssm_init(spark, "acceptor")))
+_CELL4 = "(SELECT unnest(['A', 'C', 'G', 'T']) AS base), (SELECT unnest(range(0, 15)) AS pos)"
+query(f"SELECT doc_id AS pssm_id, base, pos::INTEGER AS pos, 0.0::DOUBLE AS value FROM documents, {_CELL4}", "pssm_init")(lambda spark, d: P.pssm_init_each(sequences(spark, d).select(F.col("seq_id").alias("pssm_id"))))
+query(f"SELECT kind || '-' || parent AS pssm_id, base, pos::INTEGER AS pos, 0.0::DOUBLE AS value FROM (SELECT DISTINCT 'T' || l_orderkey AS parent FROM lineitem WHERE l_quantity > 49), (SELECT unnest(['donor', 'acceptor']) AS kind), {_CELL4}", "splice_init")(
+    lambda spark, d: J.splice_init(features(spark, d).where(F.col("end") - F.col("start") + 1 > 49).select("parent").distinct())
+)
 
 SCAN = PFREQ + """, w AS (SELECT base, pos, CASE WHEN value = 0 THEN -10 ELSE log2(value) END AS v FROM pf WHERE pssm_id = 'donor'),
  st AS (SELECT seq_id, seq, unnest(range(0, greatest(length(seq) - 14, 0))) AS start FROM s1), ex AS (SELECT seq_id, start, unnest(range(0, 15)) AS pos, unnest(string_split(substr(seq, start + 1, 15), '')) AS base FROM st),
@@ -370,18 +385,24 @@ query(f"WITH {S4} SELECT gene_id FROM s4 WHERE n_exons > 1", "exon_count_by_gene
 query(f"WITH {S4} SELECT gene_id, n_exons::BIGINT AS n_exons FROM s4 WHERE n_exons > 1", "exon_count_by_gene")(lambda spark, d: T.exon_count_by_gene(_cds(spark, d)))
 query(f"WITH {S4} SELECT gene_id, n_exons::BIGINT AS n_exons FROM s4", "join_exon_counts")(lambda spark, d: T.join_exon_counts(proteins(spark, d), T.exon_count_by_gene(_cds(spark, d))).select("gene_id", "n_exons"))
 query(
-    f"WITH {S4} SELECT gene_id, '{{\"name\":\"' || gene_id || '\",\"modelSeeds\":[1],\"sequences\":[{{\"protein\":{{\"id\":\"A\",\"sequence\":\"' || sequence || '\",\"description\":\"' || category || ' | ' || n_exons || ' exons | ' || length_aa || ' AA | ' || chromosome || '\"}}}}],\"dialect\":\"alphafold3\",\"version\":2}}' AS json FROM s4",
+    f"WITH {S4} SELECT gene_id, '{{\"name\":\"' || gene_id || '\",\"modelSeeds\":[1],\"sequences\":[{{\"protein\":{{\"id\":\"A\",\"sequence\":\"' || sequence || '\",\"description\":\"' || category || ' | ' || n_exons || ' exons | ' || length_aa || ' AA | ' || chromosome || '\"}}}}],\"dialect\":\"alphafold3\",\"version\":4}}' AS json FROM s4",
     "json_encode",
 )(lambda spark, d: T.predictor_input(proteins(spark, d)))
 
 
+_PRETTY = r"""'{\n  "name": "' || gene_id || '",\n  "modelSeeds": [\n    1\n  ],\n  "sequences": [\n    {\n      "protein": {\n        "id": "A",\n        "sequence": "' || sequence || '",\n        "description": "' ||
+   category || ' | ' || n_exons || ' exons | ' || length_aa || ' AA | ' || chromosome || '"\n      }\n    }\n  ],\n  "dialect": "alphafold3",\n  "version": 4\n}'""".replace("\\n", "\n")
+
+
 def _json_files(spark, d):
+    """{gene_id}.json of each sampled protein, read again."""
     path = scratch(spark)
-    OUT.sink_json(T.predictor_input(_sample(spark, d)), path)
-    return spark.read.text(path).select("gene_id", F.col("value").alias("json"))
+    OUT.sink_json(T.predictor_text(_sample(spark, d)), path)
+    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return text.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("gene_id"), F.col("value").alias("json"))
 
 
-query(f"WITH {_SAMPLE}, j AS ({ORACLE_SQL['json_encode'].removeprefix(f'WITH {S4} ')}) SELECT j.gene_id, json FROM j WHERE gene_id IN (SELECT gene_id FROM sam)", "sink_af3_json")(_json_files)
+query(f"WITH {_SAMPLE} SELECT gene_id, {_PRETTY} AS json FROM sam", "sink_af3_json")(_json_files)
 
 _RES = "res AS (SELECT vec_id::VARCHAR AS gene_id, unnest(range(1, len(embedding) + 1))::INTEGER AS residue_number, unnest(embedding)::DOUBLE AS plddt FROM embeddings)"
 query(f"WITH {_RES} SELECT gene_id, residue_number, plddt FROM res", "plddt_per_residue")(lambda spark, d: T.plddt_per_residue(residues(spark, d)))
@@ -391,14 +412,33 @@ query(f"WITH {_RES} SELECT gene_id, (residue_number - 1) // 8 AS segment, round(
 
 
 def _cif(spark, d):
+    """{gene_id}/{gene_id}_model.cif of each protein, and an older one of the same name."""
+    path = scratch(spark)
     row = F.concat_ws(" ", F.lit("ATOM"), F.col("atom_ord").cast("string"), F.lit("'C A'"), F.lit("A"), F.col("auth_seq_id").cast("string"), F.col("b_iso").cast("string"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("atom_ord", row.alias("row")))), lambda x: x["row"]), "\n")
     head = "data_x\n_entry.id x\n;a text\n;\nloop_\n_atom_site.group_PDB\n_atom_site.id\n_atom_site.label_atom_id\n_atom_site.auth_asym_id\n_atom_site.auth_seq_id\n_atom_site.B_iso_or_equiv\n"
-    return residues(spark, d).groupBy("gene_id").agg(F.concat(F.lit(head), rows, F.lit("\n#\n")).alias("value"))
+    r = residues(spark, d)
+    lines = r.select("gene_id", F.col("atom_ord").alias("place"), F.concat(row, F.lit("\n")).alias("value"))
+    lines = lines.unionByName(r.select("gene_id").distinct().select("gene_id", F.lit(-1).cast("long").alias("place"), F.lit(head).alias("value")))
+    new = lines.select(F.format_string("b/%s/%s_model.cif", "gene_id", "gene_id").alias("path"), "place", "value")
+    old = lines.where("place <= 0").select(F.format_string("a/%s/%s_model.cif", "gene_id", "gene_id").alias("path"), "place", "value")
+    write_named(new.unionByName(old), path)
+    return path
+
+
+query(f"WITH {_RES} SELECT gene_id, residue_number, round(plddt, 9) AS plddt FROM res", "scan_mmcif")(lambda spark, d: rounded(T.plddt_per_residue(IN.scan_mmcif(spark, _cif(spark, d)).drop("chain")), "plddt"))
+
+
+def _summaries(spark, d):
+    """A summary for each event, the second field in every third; every fifth is cut off."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = F.to_json(F.struct(F.col("value").alias("ptm"), F.when(F.col("event_id") % 3 == 0, F.col("value") / 2).alias("fraction_disordered")))
+    return e.select(F.col("event_id").cast("string").alias("gene_id"), F.when(F.col("event_id") % 5 == 0, F.left(text, F.length(text) - 1)).otherwise(text).alias("value"))
+
+
+query("SELECT event_id::VARCHAR AS gene_id, value AS ptm, CASE WHEN event_id % 3 = 0 THEN value / 2 END AS fraction_disordered FROM events WHERE event_id % 5 <> 0", "scan_summary_json")(lambda spark, d: IN.summary_fields(_summaries(spark, d)))
+query("SELECT event_id::VARCHAR AS gene_id, 'unreadable summary' AS error FROM events WHERE event_id % 5 = 0", "scan_summary_json_errors")(lambda spark, d: IN.summary_errors(_summaries(spark, d)))
 
 
-query(f"WITH {_RES} SELECT gene_id, residue_number, round(plddt, 9) AS plddt FROM res", "scan_mmcif")(lambda spark, d: rounded(T.plddt_per_residue(IN.mmcif_table(_cif(spark, d)).drop("chain")), "plddt"))
-query("SELECT event_id::VARCHAR AS gene_id, value AS ptm, NULL::DOUBLE AS fraction_disordered FROM events", "scan_summary_json")(lambda spark, d: IN.summary_fields(spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("gene_id"), F.to_json(F.struct(F.col("value").alias("ptm"))).alias("value"))))
 def _matrices(spark, d):
     """Each vector, and the vector backwards, as the rows of a matrix."""
     v = F.col("embedding").cast("array<double>")
@@ -464,10 +504,25 @@ _FILES = """e AS (SELECT vec_id, vec_id::VARCHAR AS gene_id, embedding::DOUBLE[]
 def _metric_files(spark, d):
     path = scratch(spark)
     OUT.sink_metrics_tsv(T.process_protein(*_metrics(spark, d))[0], path)
-    return spark.read.text(path, wholetext=True).select(F.col("gene_id").cast("string").alias("gene_id"), "name", "value")
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    return text.select(F.element_at(parts, -2).alias("gene_id"), F.element_at(parts, -1).alias("name"), "value")
+
+
+def _metric_lines(spark, d):
+    lines = T.process_protein(*_metrics(spark, d))[0]
+    return lines.select("gene_id", "name", "place.part", "place.k", "value")
 
 
-query(f"WITH {_FILES} SELECT gene_id, name, value FROM f WHERE vec_id % 5 <> 0", "process_protein")(lambda spark, d: T.process_protein(*_metrics(spark, d))[0])
+query(
+    f"""WITH {_FILES}, g AS (
+ SELECT vec_id, gene_id, 'plddt.tsv' AS name, 0 AS part, 0 AS k, 'residue_number' || chr(9) || 'plddt' || chr(10) AS value FROM e UNION ALL SELECT vec_id, gene_id, 'plddt.tsv', 1, k, k || chr(9) || printf('%.2f', v[k]) || chr(10) FROM u
+ UNION ALL SELECT vec_id, gene_id, 'pae.tsv', 1, 0, string_agg(printf('%.2f', v[k]), chr(9) ORDER BY k) || chr(10) FROM u WHERE vec_id % 2 = 0 GROUP BY vec_id, gene_id
+ UNION ALL SELECT vec_id, gene_id, 'pae.tsv', 1, 1, string_agg(printf('%.2f', v[len(v) + 1 - k]), chr(9) ORDER BY k) || chr(10) FROM u WHERE vec_id % 2 = 0 GROUP BY vec_id, gene_id
+ UNION ALL SELECT vec_id, gene_id, name, 0, 0, value FROM f WHERE name NOT IN ('plddt.tsv', 'pae.tsv'))
+ SELECT gene_id, name, part, k::BIGINT AS k, value FROM g WHERE vec_id % 5 <> 0""",
+    "process_protein",
+)(_metric_lines)
 query(f"WITH {_FILES} SELECT gene_id, 'no metadata' AS error FROM e WHERE vec_id % 5 = 0", "process_protein_errors")(lambda spark, d: T.process_protein(*_metrics(spark, d))[1])
 query(f"WITH {_FILES} SELECT gene_id, name, value FROM f WHERE vec_id % 5 <> 0", "sink_metrics")(lambda spark, d: _metric_files(spark, d))
 
@@ -476,7 +531,7 @@ query(f"WITH {_FILES} SELECT gene_id, name, value FROM f WHERE vec_id % 5 <> 0",
 
 
 _CELLS = COUNT + ", cell AS (SELECT frame, codon, aa, value, instr('TCAG', codon[1]) AS a, instr('TCAG', codon[2]) AS b, instr('TCAG', codon[3]) AS c FROM t)"
-_TABLE = "string_agg({0} || CASE WHEN b = 4 THEN chr(10) ELSE '  ' END, '' ORDER BY a, c, b)"
+_TABLE = "string_agg({0} || '  ' || CASE WHEN b = 4 THEN chr(10) ELSE '' END, '' ORDER BY a, c, b)"
 
 
 def _text(spark, d):
@@ -493,7 +548,11 @@ def _batch(spark, d):
 query(f"WITH {COUNT} SELECT frame::VARCHAR AS table_id, codon, value FROM t", "scan_codon_table")(lambda spark, d: IN.codon_table_fields(_text(spark, d)))
 query(f"WITH {_CELLS} SELECT frame::VARCHAR AS table_id, {_TABLE.format("codon || ':' || printf('%6.0f', value)")} AS value FROM cell GROUP BY frame", "sink_codon_table")(_text)
 query(f"WITH {COUNT} SELECT frame, codon, value FROM t", "sink_codon_batch")(_batch)
-query(f"WITH {_CELLS} SELECT frame, sum(value)::BIGINT || ' observations' || chr(10) || string_agg(codon || ' ' || aa || ' ' || printf('%6.3f', value) || CASE WHEN b = 4 AND c = 4 THEN chr(10) || chr(10) ELSE chr(10) END, '' ORDER BY a, b, c) AS value FROM cell GROUP BY frame", "fmt_codon_table")(lambda spark, d: C.codon_listing(_counts(spark, d)).select("frame", "value"))
+query(
+    f"""WITH {_CELLS} SELECT frame, printf('%.3f', sum(value)) || ' observations' || chr(10)
+ || rtrim(string_agg('   ' || codon || ' ' || aa || ' ' || printf('%6.3f', value) || ' ' || CASE WHEN b = 4 AND c = 4 THEN chr(10) || chr(10) WHEN b = 4 THEN chr(10) ELSE '' END, '' ORDER BY a, c, b), ' ' || chr(10)) AS value FROM cell GROUP BY frame""",
+    "fmt_codon_table",
+)(lambda spark, d: C.codon_listing(_counts(spark, d)).select("frame", "value"))
 query(f"WITH {COUNT} SELECT frame, sum(value) AS n FROM t GROUP BY frame", "codon_n")(lambda spark, d: C.codon_n(_counts(spark, d)).select("frame", "n"))
 
 
@@ -524,5 +583,7 @@ query(
     "sink_pssm",
 )(_pssm_text)
 query(f"WITH {PFREQ} SELECT pssm_id, base, pos, printf('%.5f', value)::DOUBLE AS value, CASE pssm_id WHEN 'donor' THEN 5 ELSE 10 END AS \"offset\" FROM pf", "sink_splice_models")(_saved)
-query("SELECT doc_id, true AS uid_ok, true AS now_ok FROM documents", "uid")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.uid().rlike("^[0-9a-f]{8}$").alias("uid_ok"), S.now().rlike(r"^\d{4}-\d\d-\d\d \d{6}$").alias("now_ok")))
-QUERIES["now"], ORACLE_SQL["now"] = QUERIES["uid"], ORACLE_SQL["uid"]
+query("SELECT doc_id, true AS uid_ok FROM documents", "uid")(lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.uid().rlike("^[0-9a-f]{8}$").alias("uid_ok")))
+query("SELECT event_id, strftime(ts, '%Y-%m-%d %H%M%S') AS at FROM events", "now")(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", S.stamp(F.col("ts")).alias("at")))
+_TEXTS = f"""WITH {FREQ} SELECT frame, codon, printf('%.3f', value) AS three, printf('%8.5f', value) AS five, printf('%.0f', value * 1000) AS none FROM f"""
+query(_TEXTS, "fixed")(lambda spark, d: C.codon_frequency(_counts(spark, d)).select("frame", "codon", S.fixed(F.col("value"), 3).alias("three"), S.fixed(F.col("value"), 5, 8).alias("five"), S.fixed(F.col("value") * 1000, 0).alias("none")))

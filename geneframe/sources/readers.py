@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tempfile
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category_of, chromosome_of, extract_id
+from .files import opened, reachable
 
 GFF_SCHEMA = "seqid string, source string, type string, start long, `end` long, score string, strand string, phase string, attributes string"
 METADATA_SCHEMA = "gene_id string, category string, length_aa int, n_exons int, has_introns string, length_bin string, chromosome string, gene_name string"
@@ -109,58 +114,128 @@ def scan_transcript_txt(spark: SparkSession, path: str) -> DataFrame:
     return transcript_text(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("seq_id"), "value"))
 
 
-_TOKEN = re.compile(r"""(?m)^;(?P<block>.*?)^;|'(?P<single>(?:[^'\n]|'(?=\S))*)'|"(?P<double>(?:[^"\n]|"(?=\S))*)"|\#.*|(?P<plain>[^\s]+)""", re.S)
+_WORD = re.compile(r"""'((?:[^']|'(?=\S))*)'(?!\S)|"((?:[^"]|"(?=\S))*)"(?!\S)|(\#.*)|(\S+)""")
 
 
-def mmcif_atoms(text: str) -> list[tuple[int, str, int, float]]:
-    """(order, chain, residue, B factor) of each atom in a model's text."""
-    out, names, values, state = [], [], [], ""
-
-    def flush():
-        if names and all(n in names for n in ("_atom_site.auth_seq_id", "_atom_site.B_iso_or_equiv")):
-            r, b = names.index("_atom_site.auth_seq_id"), names.index("_atom_site.B_iso_or_equiv")
-            c = names.index("_atom_site.auth_asym_id") if "_atom_site.auth_asym_id" in names else None
-            for k in range(0, len(values) - len(names) + 1, len(names)):
-                out.append((len(out), values[k + c] if c is not None else "", int(values[k + r]), float(values[k + b])))
-        names.clear()
-        values.clear()
-
-    for m in _TOKEN.finditer(text or ""):
-        if m[0].startswith("#"):
+def _tokens(lines: Iterable[str]) -> Iterator[tuple[str, bool]]:
+    """A file's tokens and whether they are bare words, line by line; a text between lines that begin with ; is one token."""
+    block = None
+    for line in lines:
+        line = line.rstrip("\r\n")
+        if block is not None:
+            if not line.startswith(";"):
+                block.append(line)
+                continue
+            yield "\n".join(block), False
+            block, line = None, line[1:]
+        elif line.startswith(";"):
+            block = [line[1:]]
             continue
-        plain = m["plain"]
-        if plain and plain.lower() == "loop_":
-            flush()
-            state = "names"
-        elif plain and plain.startswith("_"):
-            if state != "names":
-                flush()
-                state = ""
-            else:
-                names.append(plain)
-        elif plain and plain.lower().startswith("data_"):
-            flush()
-            state = ""
+        if "'" not in line and '"' not in line and "#" not in line:
+            for word in line.split():
+                yield word, True
+            continue
+        for m in _WORD.finditer(line):
+            if m[3] is None:
+                yield (m[4], True) if m[4] is not None else (m[1] if m[1] is not None else m[2], False)
+    if block is not None:
+        raise ValueError("the file ends inside a text")
+
+
+def mmcif_atoms(lines: Iterable[str]) -> Iterator[tuple[int, str, int, float]]:
+    """(order, chain, residue, B factor) of each atom in a model's lines, one by one: a row of the table is all that is held.
+
+    A row that is cut off, a number that is none, or a model without atoms is a ValueError."""
+    names, row, places, state, n = [], [], None, "", 0
+    for token, bare in _tokens(lines):
+        low = token.lower() if bare else ""
+        if low == "loop_" or low.startswith("data_") or bare and token.startswith("_") and state != "names":
+            if places and row:
+                raise ValueError("a row of atoms is cut off")
+            names, row, places, state = [], [], None, "names" if low == "loop_" else ""
+        elif bare and token.startswith("_"):
+            names.append(token)
         elif names:
-            state = "values"
-            values.append(next(x for x in (m["block"], m["single"], m["double"], plain) if x is not None))
-    flush()
-    return out
+            if state == "names":
+                state = "values"
+                if "_atom_site.auth_seq_id" in names and "_atom_site.B_iso_or_equiv" in names:
+                    places = [names.index(c) if c in names else None for c in ("_atom_site.auth_asym_id", "_atom_site.auth_seq_id", "_atom_site.B_iso_or_equiv")]
+            if places:
+                row.append(token)
+                if len(row) == len(names):
+                    c, r, b = places
+                    yield n, row[c] if c is not None else "", int(row[r]), float(row[b])
+                    n += 1
+                    row = []
+    if places and row:
+        raise ValueError("a row of atoms is cut off")
+    if not n:
+        raise ValueError("no atoms")
+
+
+_ATOMS = pa.schema([("gene_id", pa.string()), ("atom_ord", pa.int64()), ("chain", pa.string()), ("auth_seq_id", pa.int32()), ("b_iso", pa.float64()), ("error", pa.string())])
+#: Atoms of a batch; bytes of a model's atoms that stay in memory until it is read to its end.
+ATOMS, SPOOL = 1 << 15, 8 << 20
+
+
+def _atom_batches(gene: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """A model's atoms once all of it could be read, or one row with what is wrong with it: nothing of a bad file comes out."""
+    with tempfile.SpooledTemporaryFile(SPOOL) as spool:
+        try:
+            atoms = mmcif_atoms(lines)
+            with pa.ipc.new_stream(spool, _ATOMS) as out:
+                while few := list(islice(atoms, ATOMS)):
+                    k, chain, residue, b = zip(*few, strict=True)
+                    n = len(few)
+                    out.write(pa.RecordBatch.from_arrays([pa.array([gene] * n, pa.string()), pa.array(k, pa.int64()), pa.array(chain, pa.string()), pa.array(residue, pa.int32()), pa.array(b, pa.float64()), pa.nulls(n, pa.string())], schema=_ATOMS))
+        except (ValueError, OverflowError, OSError) as e:
+            yield pa.RecordBatch.from_pylist([{"gene_id": gene, "error": f"{type(e).__name__}: {e}"[:500]}], schema=_ATOMS)
+            return
+        spool.seek(0)
+        with pa.ipc.open_stream(spool) as back:
+            yield from back
+
+
+def _models_of_texts(batches):
+    for batch in batches:
+        for gene, text in zip(batch.column("gene_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            yield from _atom_batches(gene, io.StringIO(text or ""))
+
+
+def _lines_of(path: str) -> Iterator[str]:
+    with opened(path) as f, io.TextIOWrapper(f, "utf-8") as lines:
+        yield from lines
 
 
-def _mmcif(batches):
+def _models_of_files(batches):
     for batch in batches:
-        for gene, text in zip(batch.column("gene_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            atoms = mmcif_atoms(text)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([gene] * len(atoms), pa.string()), pa.array([a[0] for a in atoms], pa.int64()), pa.array([a[1] for a in atoms], pa.string()), pa.array([a[2] for a in atoms], pa.int32()), pa.array([a[3] for a in atoms], pa.float64())],
-                names=["gene_id", "atom_ord", "chain", "auth_seq_id", "b_iso"],
-            )
+        for gene, path in zip(batch.column("gene_id").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            yield from _atom_batches(gene, _lines_of(path))
+
+
+_ATOM_COLUMNS = "gene_id string, atom_ord long, chain string, auth_seq_id int, b_iso double, error string"
+
+
+def mmcif_rows(models: DataFrame) -> DataFrame:
+    """gene_id with value (a model's text) or path (a file, which is read as a stream) -> atoms, and for a model that can't be read one row
+    with its error instead. The format's quoting needs a tokenizer, so this one runs in Python."""
+    run, column = (_models_of_texts, "value") if "value" in models.columns else (_models_of_files, "path")
+    return models.select("gene_id", column).mapInArrow(run, _ATOM_COLUMNS)
+
+
+def mmcif_table(models: DataFrame) -> DataFrame:
+    """The atoms of the models that can be read."""
+    return mmcif_rows(models).where("error is null").drop("error")
 
 
-def mmcif_table(text: DataFrame) -> DataFrame:
-    """gene_id, value -> atoms. The format's quoting needs a tokenizer, so this one runs in Python."""
-    return text.select("gene_id", "value").mapInArrow(_mmcif, "gene_id string, atom_ord long, chain string, auth_seq_id int, b_iso double")
+def mmcif_errors(models: DataFrame) -> DataFrame:
+    """gene_id, error of the models that can't."""
+    return mmcif_rows(models).where("error is not null").select("gene_id", "error")
+
+
+def _place(path: Column) -> Column:
+    """A path with one form of the local scheme, as Spark's readers give it in two."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def discovered(paths: DataFrame) -> DataFrame:
@@ -175,24 +250,57 @@ def discover_files(spark: SparkSession, root: str, pattern: str = "*_model.cif")
     return discovered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path"))
 
 
+def model_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Atoms and errors (see mmcif_rows) of the models below root, one model for each identifier (see discovered)."""
+    models = discover_files(spark, root)
+    if reachable(root):
+        return mmcif_rows(models.repartition("gene_id"))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_model.cif").text(root, wholetext=True).select("value", _place(F.col("_metadata.file_path")).alias("path"))
+    return mmcif_rows(models.withColumn("path", _place(F.col("path"))).join(text, "path").select("gene_id", "value"))
+
+
 def scan_mmcif(spark: SparkSession, root: str) -> DataFrame:
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_model.cif").text(root, wholetext=True).select("value", F.input_file_name().alias("path"))
-    parts = F.split("path", "/")
-    return mmcif_table(text.where(~F.contains(F.element_at(parts, -2), F.lit("seed-"))).select(extract_id(F.element_at(parts, -1)).alias("gene_id"), "value"))
+    """The atoms of the models below root that can be read."""
+    return model_rows(spark, root).where("error is null").drop("error")
+
+
+_SUMMARY = "ptm double, fraction_disordered double, _corrupt_record string"
+_PAE = "pae array<array<double>>, _corrupt_record string"
 
 
 def summary_fields(text: DataFrame) -> DataFrame:
-    j = F.from_json("value", "ptm double, fraction_disordered double")
-    return text.select("gene_id", j["ptm"].alias("ptm"), j["fraction_disordered"].alias("fraction_disordered"))
+    """gene_id, ptm, fraction_disordered of the texts that can be read; absent ones are null."""
+    j = F.from_json("value", _SUMMARY)
+    return text.select("gene_id", j.alias("j")).where("j._corrupt_record is null").select("gene_id", "j.ptm", "j.fraction_disordered")
+
+
+def summary_errors(text: DataFrame) -> DataFrame:
+    return text.select("gene_id", F.from_json("value", _SUMMARY).alias("j")).where("j._corrupt_record is not null").select("gene_id", F.lit("unreadable summary").alias("error"))
 
 
 def pae_rows(text: DataFrame) -> DataFrame:
-    return text.select("gene_id", F.posexplode(F.from_json("value", "pae array<array<double>>")["pae"]).alias("row_idx", "pae"))
+    """gene_id, row_idx, pae: a row for each row of the matrices that can be read."""
+    j = F.from_json("value", _PAE)
+    return text.select("gene_id", j.alias("j")).where("j._corrupt_record is null").select("gene_id", F.posexplode("j.pae").alias("row_idx", "pae"))
+
+
+def pae_errors(text: DataFrame) -> DataFrame:
+    """gene_id, error: texts that are no JSON, have no matrix, or hold what is no number."""
+    return text.select("gene_id", F.from_json("value", _PAE).alias("j")).where("j._corrupt_record is not null or j.pae is null").select("gene_id", F.lit("unreadable matrix").alias("error"))
+
+
+def json_texts(files: DataFrame, models: DataFrame) -> DataFrame:
+    """path, value of JSON files and gene_id, path of models -> gene_id, value: the files that stand beside the models."""
+    parts = F.split("path", "/")
+    folder = lambda c: F.array_join(F.slice(F.split(_place(F.col(c)), "/"), 1, F.size(F.split(_place(F.col(c)), "/")) - 1), "/")
+    f = files.select(extract_id(F.element_at(parts, -1)).alias("gene_id"), folder("path").alias("folder"), "value")
+    return f.join(models.select("gene_id", folder("path").alias("folder")), ["gene_id", "folder"]).select("gene_id", "value")
 
 
 def scan_json_text(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """gene_id, value: JSON files below root that stand beside the model of their identifier."""
     t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    return t.select(extract_id(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("gene_id"), "value")
+    return json_texts(t.select(F.col("_metadata.file_path").alias("path"), "value"), discover_files(spark, root))
 
 
 def scan_metadata_tsv(spark: SparkSession, path: str) -> DataFrame:

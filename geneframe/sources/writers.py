@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.codon import codon_text
 from ..operators.pssm import pssm_frequency, pssm_text
 from ..operators.regions import region_fasta
+from .files import write_named
 
 
 def put(spark: SparkSession, path: str, text: str) -> None:
@@ -23,11 +24,11 @@ def sink_codon_table(table: DataFrame, path: str, **options) -> None:
     put(table.sparkSession, path, "".join(r["value"] for r in codon_text(table, **options).orderBy("table_id", "frame").collect()))
 
 
-def sink_codon_batch(table: DataFrame, prefix: str, frequencies: bool = False) -> list[str]:
-    """A file for each frame: counts without decimals, frequencies with four."""
+def sink_codon_batch(table: DataFrame, prefix: str, kind: str = "count") -> list[str]:
+    """A file for each frame: counts without decimals, frequencies and preferences with four."""
     names = []
-    for r in codon_text(table, decimal=4 if frequencies else 0).orderBy("frame").collect():  # a row a frame
-        names.append(f"{prefix}_rf{r['frame']}.{'frequency' if frequencies else 'count'}.txt")
+    for r in codon_text(table, decimal=0 if kind == "count" else 4).orderBy("frame").collect():  # a row a frame
+        names.append(f"{prefix}_rf{r['frame']}.{kind}.txt")
         put(table.sparkSession, names[-1], r["value"])
     return names
 
@@ -50,9 +51,9 @@ def sink_region_fasta(regions: DataFrame, path: str, width: int = 100) -> None:
     region_fasta(regions, width).write.mode("overwrite").text(path)
 
 
-def sink_json(inputs: DataFrame, path: str) -> None:
-    """gene_id, json -> a folder for each gene."""
-    inputs.select("gene_id", F.col("json").alias("value")).write.mode("overwrite").partitionBy("gene_id").text(path)
+def sink_json(inputs: DataFrame, folder: str) -> None:
+    """gene_id, json -> {gene_id}.json for each gene."""
+    write_named(inputs.select(F.concat("gene_id", F.lit(".json")).alias("path"), F.lit(0).alias("place"), F.col("json").alias("value")), folder)
 
 
 def sink_sample_tsv(sample: DataFrame, path: str) -> None:
@@ -66,7 +67,6 @@ def sink_metrics(plddt: DataFrame, summary: DataFrame, pae: DataFrame, metadata:
         df.write.mode("overwrite").partitionBy("gene_id").parquet(f"{folder}/{name}")
 
 
-def sink_metrics_tsv(texts: DataFrame, folder: str) -> None:
-    """(gene_id, name, value) of process_protein as text: gene_id=.../name=plddt.tsv/ and so on."""
-    lines = texts.withColumn("value", F.regexp_replace("value", r"\n\z", ""))  # the writer ends each row with one
-    lines.write.mode("overwrite").partitionBy("gene_id", "name").text(folder)
+def sink_metrics_tsv(lines: DataFrame, folder: str) -> None:
+    """The lines of process_protein as files: {gene_id}/plddt.tsv and so on. Either all files of the call are there or none is new."""
+    write_named(lines.select(F.concat("gene_id", F.lit("/"), "name").alias("path"), "place", "value"), folder)

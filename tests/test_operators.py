@@ -138,9 +138,9 @@ def test_files(spark, tmp_path):
         OUT.sink_codon_table(ordered, str(tmp_path / "t.txt"), decimal=decimal)
         assert {r["codon"]: r["value"] for r in IN.scan_codon_table(spark, str(tmp_path / "t.txt")).collect()} == values
     lines = (tmp_path / "t.txt").read_text().splitlines()
-    assert len(lines) == 16 and [x[:3] for x in lines[1].split("  ")] == ["TTC", "TCC", "TAC", "TGC"] and lines[0].startswith("TTT:25.000")
+    assert len(lines) == 16 and [x[:3] for x in lines[1].split("  ")] == ["TTC", "TCC", "TAC", "TGC", ""] and lines[0].startswith("TTT:25.000")
     listing = C.codon_listing(ordered).first()["value"].split("\n")
-    assert listing[0].endswith(" observations") and listing[1].startswith("TTT F 25.000") and listing[17] == "" and len(listing) == 1 + 4 * 17 + 1
+    assert listing[0].endswith(" observations") and listing[1].startswith("   TTT F 25.000    TCT S 29.000 ") and listing[5] == "" and len(listing) == 4 * 5
     cells = spark.createDataFrame([("p", b, j, v) for b in "ACGT" for j, v in enumerate((1.0, 0.5, 2.0))], "pssm_id string, base string, pos int, value double")
     meta = spark.createDataFrame([("p", "t", "u1", "2026-03-01 101500", ["An x", ""])], "pssm_id string, title string, uid string, creation string, comments array<string>")
     OUT.sink_pssm(cells, meta, str(tmp_path / "p.dat"), offset=1)
@@ -259,13 +259,11 @@ def test_metric_files(spark, tmp_path):
     pae = spark.createDataFrame([("g", 1, [2.0, 0.005]), ("g", 0, [0.25, 1.0])], "gene_id string, row_idx int, pae array<double>")
     metadata = spark.createDataFrame([("g", "x"), ("i", "y")], "gene_id string, category string")
     texts, errors = T.process_protein(plddt, summary, pae, metadata)
-    want = {"plddt.tsv": "residue_number\tplddt\n2\t3.00\n10\t50.13\n", "ptm.tsv": "ptm\n0.5\n", "fraction_disordered.tsv": "fraction_disordered\nNA\n", "metadata.tsv": "gene_id\tcategory\ng\tx\n"}
-    got = {r["name"]: r["value"] for r in texts.collect()}
-    assert {r["gene_id"] for r in texts.collect()} == {"g"} and want.items() <= got.items() and got["pae.tsv"].startswith("0.25\t1.00\n2.00\t")
+    want = {"plddt.tsv": "residue_number\tplddt\n2\t3.00\n10\t50.13\n", "ptm.tsv": "ptm\n0.5\n", "fraction_disordered.tsv": "fraction_disordered\nNA\n", "pae.tsv": "0.25\t1.00\n2.00\t0.01\n", "metadata.tsv": "gene_id\tcategory\ng\tx\n"}
+    assert {r["gene_id"] for r in texts.collect()} == {"g"}
     assert {tuple(r) for r in errors.collect()} == {("h", "no metadata"), ("i", "no model")}
     OUT.sink_metrics_tsv(texts, str(tmp_path / "out"))
-    found = {p.parent.name.removeprefix("name="): p.read_text() for p in (tmp_path / "out").rglob("part-*")}
-    assert found == got
+    assert {p.relative_to(tmp_path / "out").as_posix(): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {f"g/{k}": v for k, v in want.items()}
     OUT.sink_metrics(plddt, summary, pae, metadata, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq" / "plddt")).count() == 3
 
@@ -274,6 +272,7 @@ def test_command_line(spark, tmp_path):
     from geneframe.__main__ import main
 
     (tmp_path / "c.fa").write_text(">a\nATGGCNTAA\n>b\nATGATG\n")
-    main(["codons", str(tmp_path / "c.fa"), str(tmp_path / "out")])
-    assert {p.name for p in tmp_path.glob("out_rf*")} == {f"out_rf{i}.{k}.txt" for i in range(3) for k in ("count", "frequency")}
-    assert "ATG:     3" in (tmp_path / "out_rf0.count.txt").read_text()
+    for flags, kinds in (([], {"frequency"}), (["-c"], {"frequency", "count"}), (["-p"], {"frequency", "count", "preference"})):
+        main(["codons", str(tmp_path / "c.fa"), str(tmp_path / "out"), *flags])
+        assert {p.name for p in tmp_path.glob("out_rf*")} == {f"out_rf{i}.{k}.txt" for i in range(3) for k in kinds}
+    assert "ATG:     3" in (tmp_path / "out_rf0.count.txt").read_text() and "ATG:1.0000" in (tmp_path / "out_rf0.preference.txt").read_text()
