@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CATEGORIES, description, fixed, has_introns, normalize_parent
+from ..session import scratch
 
 QUOTA, FORCED = 20, 3
 
@@ -89,10 +91,35 @@ def known_category(proteins: DataFrame) -> DataFrame:
     return proteins.where(F.col("category").isin(*CATEGORIES))
 
 
+def _placed(batches):
+    """Sorted rows -> their number in the task's run of their stratum, and the task."""
+    from pyspark import TaskContext
+
+    part, last, k = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        places = []
+        for stratum in zip(batch.column("category").to_pylist(), batch.column("length_bin").to_pylist(), strict=True):
+            k = k + 1 if stratum == last else 1
+            last = stratum
+            places.append(k)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array([part] * len(places), pa.int32())], names=[*batch.schema.names, "place", "part"])
+
+
 def strata(proteins: DataFrame) -> DataFrame:
-    """category, length_bin, place, gene_id: the identifiers of each category and bin in order, as rows, so no stratum is one array."""
-    place = F.row_number().over(W.partitionBy("category", "length_bin").orderBy("gene_id")).cast("long")
-    return proteins.select("category", "length_bin", place.alias("place"), "gene_id")
+    """category, length_bin, place, gene_id: the identifiers of each category and bin in order, as rows, so no stratum is one array.
+
+    Ranges of (category, length_bin, gene_id) are sorted and numbered by task, so a stratum may be many tasks; the tasks' numbers of rows, a
+    row for each task and stratum in it, are then added up. The sorted rows are written first, when this is called, as their ranges must
+    not change between the two.
+    """
+    by = ["category", "length_bin", "gene_id"]
+    rows = proteins.select(*by)
+    path = scratch(proteins.sparkSession)
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_placed, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", place long, part int").write.parquet(path)
+    rows = proteins.sparkSession.read.parquet(path).withColumn("key", F.struct("category", "length_bin"))
+    sizes = rows.groupBy("key", "part").agg(F.max("place").alias("n"))
+    sizes = sizes.select("key", "part", (F.sum("n").over(W.partitionBy("key").orderBy("part")) - F.col("n")).alias("before"))
+    return rows.join(sizes, ["key", "part"]).select("category", "length_bin", (F.col("place") + F.col("before")).alias("place"), "gene_id")
 
 
 def not_forced(proteins: DataFrame, sample: DataFrame) -> DataFrame:

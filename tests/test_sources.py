@@ -144,6 +144,17 @@ def test_sample_sends_few_rows(spark):
     assert plan.count("WindowGroupLimit") >= 4  # before and after the shuffle, for forced genes and for bins
 
 
+def test_places_in_strata(spark):
+    r = random.Random(8)
+    rows = [(f"g{r.randrange(10**6)}", r.choice(("x", "x", "x", None)), r.choice("sl")) for _ in range(3000)]
+    got = T.strata(spark.createDataFrame(rows, "gene_id string, category string, length_bin string").repartition(7)).collect()
+    want = {}
+    for c, b, g in sorted(((c, b, g) for g, c, b in rows), key=lambda x: (x[0] or "", x[1], x[2])):
+        want.setdefault((c, b), []).append(g)
+    assert {k: [g for _, g in sorted((x["place"], x["gene_id"]) for x in got if (x["category"], x["length_bin"]) == k)] for k in want} == want
+    assert all(sorted(x["place"] for x in got if (x["category"], x["length_bin"]) == k) == list(range(1, len(v) + 1)) for k, v in want.items())
+
+
 def test_exact_decimals(spark):
     r = random.Random(1)
     v = [0.0625, 0.125, 2.675, 0.5, 1.5, 2.5, 0.0, -0.0, -0.001, float("nan"), float("inf"), float("-inf"), None, 1e22, 123456789012345678.0, 2.0**62, 2.0**125, 5e-324, 0.005, -2.675, 999.9995]
