@@ -13,7 +13,7 @@ from .pssm import pssm_count, pssm_init_each
 
 PRE, POST = 5, 10
 #: Features are numbered in blocks of 2 ** BLOCK_BITS places.
-BLOCK_BITS = 16
+BLOCK_BITS = 13
 
 
 def _keyed(features: DataFrame, bits: int) -> DataFrame:

@@ -39,11 +39,12 @@ def sink_pssm(pssm: DataFrame, meta: DataFrame, path: str, **options) -> None:
 
 
 def sink_splice_models(models: DataFrame, meta: DataFrame, folder: str, pre: int = 5, post: int = 10, **options) -> list[str]:
-    """donor.dat and acceptor.dat: the frequencies of the models' counts."""
-    names = []
+    """donor.dat and acceptor.dat: the frequencies of the models' counts, which are made once."""
+    names, models = [], models.persist()
     for kind, offset in (("donor", pre), ("acceptor", post)):
         names.append(f"{folder}/{kind}.dat")
         sink_pssm(pssm_frequency(models.where(F.col("pssm_id") == kind)), meta, names[-1], offset=offset, **options)
+    models.unpersist()
     return names
 
 
