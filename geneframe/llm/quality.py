@@ -118,14 +118,15 @@ def fences(s: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def thresholds(s: DataFrame) -> DataFrame:
     """(lang, source, <rate>_most ...) from a sketch: the fences of language and source, drawn to the language's, which is drawn to that of
-    all, each with the weight of BORROWED documents: so a small group leans on others and a large one on itself, without a switch. A null
-    language or source is a value of its own."""
+    all, each with the weight of BORROWED documents: so a small group leans on others and a large one on itself, without a switch. Means are
+    geometric (of fence + 1), as fences of different groups differ by factors. A null language or source is a value of its own."""
     own = fences(s, ["lang", "source"], "own")
     of_lang = fences(s, ["lang"], "wide").select(F.col("lang").alias("l"), F.col("rate").alias("r"), "wide", "wide_rows")
     of_all = fences(s, [], "whole").select(F.col("rate").alias("k"), "whole")
     t = own.join(of_lang, F.col("l").eqNullSafe(F.col("lang")) & (F.col("r") == F.col("rate"))).join(of_all, F.col("k") == F.col("rate"))
-    mean = lambda n, x, y: (n * F.col(x) + BORROWED * F.col(y)) / (n + BORROWED)
-    t = t.withColumn("wide", mean(F.col("wide_rows"), "wide", "whole")).withColumn("most", F.round(mean(F.col("own_rows"), "own", "wide"), 6))
+    mean = lambda n, x, y: (n * x + BORROWED * y) / (n + BORROWED)
+    log = lambda c: F.log(F.col(c) + 1)
+    t = t.withColumn("near", mean(F.col("wide_rows"), log("wide"), log("whole"))).withColumn("most", F.round(F.exp(mean(F.col("own_rows"), log("own"), F.col("near"))) - 1, 6))
     return t.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("most"))).alias(f"{k}_most") for k in RATES))
 
 
@@ -188,7 +189,7 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bin
         CASE WHEN bin < 1024 THEN bin ELSE 1024 * pow(2.0, (bin - 1024) / 128) END AS value FROM h),
 q AS (SELECT level, lang, source, rate, max(total) AS n, min(CASE WHEN upto >= 0.25 * total THEN value END) AS low, min(CASE WHEN upto >= 0.75 * total THEN value END) AS high FROM c GROUP BY ALL),
 f AS (SELECT *, round(high + 3 * (high - low), 6) AS fence FROM q),
-t AS (SELECT o.lang, o.source, o.rate, round((o.n::DOUBLE * o.fence + 50 * ((w.n::DOUBLE * w.fence + 50 * a.fence) / (w.n::DOUBLE + 50))) / (o.n::DOUBLE + 50), 6) AS most FROM f o
+t AS (SELECT o.lang, o.source, o.rate, round(exp((o.n::DOUBLE * ln(o.fence + 1) + 50 * ((w.n::DOUBLE * ln(w.fence + 1) + 50 * ln(a.fence + 1)) / (w.n::DOUBLE + 50))) / (o.n::DOUBLE + 50)) - 1, 6) AS most FROM f o
         JOIN f w ON w.level = 'wide' AND w.lang IS NOT DISTINCT FROM o.lang AND w.rate = o.rate JOIN f a ON a.level = 'whole' AND a.rate = o.rate WHERE o.level = 'own'),
 p AS (SELECT lang, source, max(CASE WHEN rate = 'symbol_rate' THEN most END)::DOUBLE AS symbol_rate_most, max(CASE WHEN rate = 'dup_line_rate' THEN most END)::DOUBLE AS dup_line_rate_most,
         max(CASE WHEN rate = 'word_length' THEN most END)::DOUBLE AS word_length_most FROM t GROUP BY ALL),
