@@ -104,6 +104,17 @@ def now() -> Column:
     return stamp(F.current_timestamp())
 
 
+def shortest(x: Column) -> Column:
+    """x (a double) as Python prints it: the shortest digits that give it back, with an exponent only under 1e-4 and from 1e16 on."""
+    v = x.cast("double")
+    t, size = v.cast("string"), F.abs(v)
+    plain = F.regexp_replace(v.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_extract(t, r"E-?(\d+)$", 1)
+    scaled = F.concat(F.regexp_extract(t, r"^(-?\d+(?:\.(?!0E)\d+)?)", 1), F.when(F.contains(t, F.lit("E-")), "e-").otherwise("e+"), F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0")))
+    named = F.when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    return F.coalesce(named, F.when(~F.contains(t, F.lit("E")), t).when((size >= 1e-4) & (size < 1e16), plain).otherwise(scaled))
+
+
 #: 2**0 to 2**126, the powers that a decimal of 38 digits holds.
 _POWERS = 127
 _WHOLE = "decimal(38,0)"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fixed, log2_floor, now, uid
+from ..functions.scalars import fixed, log2_floor, now, shortest, uid
 from .chunks import CHUNK, chunked
 
 
@@ -178,5 +178,5 @@ def pssm_text(pssm: DataFrame, meta: DataFrame, offset: int = 0, rows: str = "AC
     body = F.transform(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(rows), F.col("base")).alias("r"), "line"))), lambda x: x["line"])
     m = lines.groupBy("pssm_id").agg(F.array_join(body, "\n").alias("body"), F.concat(F.count("*"), F.lit(","), F.max("last") + 1).alias("shape")).join(pssm_n(pssm), "pssm_id").join(meta, "pssm_id")
     notes = F.array_join(F.transform(F.filter("comments", lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("\t"), x, F.lit("\n"))), "")
-    head = F.concat(*(x for k in ("title", "uid", "creation") for x in (F.lit(f"{k}: "), F.col(k), F.lit("\n"))), F.lit("n: "), F.col("n").cast("string"), F.lit("\ncomment\n"), notes)
+    head = F.concat(*(x for k in ("title", "uid", "creation") for x in (F.lit(f"{k}: "), F.col(k), F.lit("\n"))), F.lit("n: "), shortest(F.col("n")), F.lit("\ncomment\n"), notes)
     return m.select("pssm_id", F.concat(head, F.lit("pssm "), "shape", F.lit("\n"), "body", F.lit("\n")).alias("value"))
