@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,12 +29,58 @@ def pssm_copy(pssm: DataFrame, pssm_id: str) -> DataFrame:
     return pssm.withColumn("pssm_id", F.lit(pssm_id))
 
 
+#: Matrices whose counts a task holds before it gives them out.
+HELD = 4096
+
+
+def _codes(rows: str) -> np.ndarray:
+    """The row of each byte's letter; the number of rows for those that have none."""
+    code = np.full(256, len(rows))
+    for i, c in enumerate(rows):
+        code[ord(c)] = i
+    return code
+
+
+def _letters(rows: str, columns: int):
+    code, width = _codes(rows), len(rows) + 1
+
+    def table(held):
+        cells = np.stack(list(held.values()))[:, :, :-1]
+        n, per = len(held), columns * (width - 1)
+        at = np.tile(np.arange(per), n)
+        ids = pa.array(list(held)).take(pa.array(np.repeat(np.arange(n), per)))
+        return pa.RecordBatch.from_arrays([ids, pa.array(list(rows)).take(pa.array(at % (width - 1))), pa.array(at // (width - 1), pa.int32()), pa.array(cells.ravel(), pa.int64())], names=["pssm_id", "base", "pos", "n"])
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            texts = batch.column("site").to_pylist()
+            joined = "".join(texts).encode("latin-1", "replace")
+            ids = pa.compute.dictionary_encode(batch.column("pssm_id"), null_encoding="encode")
+            names, of = ids.dictionary.to_pylist(), np.asarray(ids.indices)
+            at = (of[:, None] * columns + np.arange(columns)) * width + code[np.frombuffer(joined, np.uint8)].reshape(-1, columns)
+            counts = np.bincount(at.ravel(), minlength=len(names) * columns * width).reshape(-1, columns, width)
+            for name, c in zip(names, counts, strict=True):
+                held[name] = held[name] + c if name in held else c
+            if len(held) >= HELD:
+                yield table(held)
+                held = {}
+        if held:
+            yield table(held)
+
+    return run
+
+
 def pssm_count(sites: DataFrame, columns: int, rows: str = "ACGT") -> DataFrame:
-    """Counts of sites (pssm_id, site) by base and position, dense. Letters outside rows add nothing."""
-    counts = sites.select("pssm_id", F.posexplode(F.split(F.upper("site"), "")).alias("pos", "base")).where(F.col("pos") < columns).groupBy("pssm_id", "base", "pos").agg(F.count("*").cast("double").alias("n"))
-    ids = sites.select("pssm_id").distinct()
-    dense = ids.select("pssm_id", F.explode(F.array(*map(F.lit, rows))).alias("base")).select("*", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("pos"))
-    return dense.join(counts, ["pssm_id", "base", "pos"], "left").select("pssm_id", "base", "pos", F.coalesce("n", F.lit(0.0)).alias("value"))
+    """Counts of sites (pssm_id, site) by base and position, dense. Letters outside rows add nothing.
+
+    A task adds up whole matrices, so no letter becomes a row and the sites are read once."""
+    kind = dict(sites.dtypes)["pssm_id"]
+    site = F.rpad(F.coalesce(F.upper("site"), F.lit("")), columns, " ")
+    counts = sites.select("pssm_id", site.alias("site")).mapInArrow(_letters(rows, columns), f"pssm_id {kind}, base string, pos int, n long")
+    return counts.groupBy("pssm_id", "base", "pos").agg(F.sum("n").cast("double").alias("value"))
 
 
 def pssm_n(pssm: DataFrame) -> DataFrame:
@@ -89,9 +136,7 @@ def weights_column(weights: np.ndarray | DataFrame, rows: str = "ACGT") -> Colum
 
 
 def _scan(rows: str, strict: bool, size: int):
-    code = np.full(256, len(rows))
-    for i, c in enumerate(rows):
-        code[ord(c)] = i
+    code = _codes(rows)
 
     def run(batches):
         for batch in batches:
@@ -174,9 +219,10 @@ def meta_frequency(meta: DataFrame, new_uid: Column | None = None, when: Column
 def pssm_text(pssm: DataFrame, meta: DataFrame, offset: int = 0, rows: str = "ACGT", width: int = 6, precision: int = 3) -> DataFrame:
     """pssm_id, value: a matrix as text that scan_pssm reads: tagged lines, comments, rows with a divider before column `offset`."""
     cells = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: F.concat(F.when((x["pos"] == offset) & F.lit(offset > 0), " " + "|".rjust(width)).otherwise(""), F.concat(F.lit(" "), fixed(x["value"], precision, width))))
-    lines = pssm.groupBy("pssm_id", "base").agg(F.concat(F.lit("\t"), "base", F.array_join(cells, "")).alias("line"), F.max("pos").alias("last"))
+    totals = pssm.withColumn("n", F.sum("value").over(W.partitionBy("pssm_id", "pos")))  # one pass: the matrix is made once
+    lines = totals.groupBy("pssm_id", "base").agg(F.concat(F.lit("\t"), "base", F.array_join(cells, "")).alias("line"), F.max("pos").alias("last"), F.max("n").alias("n"))
     body = F.transform(F.array_sort(F.collect_list(F.struct(F.instr(F.lit(rows), F.col("base")).alias("r"), "line"))), lambda x: x["line"])
-    m = lines.groupBy("pssm_id").agg(F.array_join(body, "\n").alias("body"), F.concat(F.count("*"), F.lit(","), F.max("last") + 1).alias("shape")).join(pssm_n(pssm), "pssm_id").join(meta, "pssm_id")
+    m = lines.groupBy("pssm_id").agg(F.array_join(body, "\n").alias("body"), F.concat(F.count("*"), F.lit(","), F.max("last") + 1).alias("shape"), F.max("n").alias("n")).join(meta.drop("n"), "pssm_id")
     notes = F.array_join(F.transform(F.filter("comments", lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("\t"), x, F.lit("\n"))), "")
     head = F.concat(*(x for k in ("title", "uid", "creation") for x in (F.lit(f"{k}: "), F.col(k), F.lit("\n"))), F.lit("n: "), shortest(F.col("n")), F.lit("\ncomment\n"), notes)
     return m.select("pssm_id", F.concat(head, F.lit("pssm "), "shape", F.lit("\n"), "body", F.lit("\n")).alias("value"))

@@ -556,22 +556,31 @@ query(
 query(f"WITH {COUNT} SELECT frame, sum(value) AS n FROM t GROUP BY frame", "codon_n")(lambda spark, d: C.codon_n(_counts(spark, d)).select("frame", "n"))
 
 
+def _described(ids):
+    return ids.select("pssm_id", F.col("pssm_id").alias("title"), F.lit("1a").alias("uid"), F.lit("2020-01-01 101010").alias("creation"), F.array(F.lit("A note"), F.lit("  ")).alias("comments"))
+
+
 def _meta(spark, d):
-    return _models(spark, d).select("pssm_id").distinct().select("pssm_id", F.col("pssm_id").alias("title"), F.lit("1a").alias("uid"), F.lit("2020-01-01 101010").alias("creation"), F.array(F.lit("A note"), F.lit("  ")).alias("comments"))
+    return _described(_models(spark, d).select("pssm_id").distinct())
 
 
 _NOTED = "(2020-02-02 000000) copied from 1a (' || pssm_id || ')"
 query(f"WITH {PCOUNT} SELECT DISTINCT pssm_id, '2b' AS uid, 'A note|  |{_NOTED}|(2020-02-02 000000) converted to frequency' AS comments FROM pc", "pssm_meta_frequency")(lambda spark, d: P.meta_frequency(_meta(spark, d), F.lit("2b"), F.lit("2020-02-02 000000")).select("pssm_id", "uid", F.array_join("comments", "|").alias("comments")))
 
 
+def _kinds(spark):
+    """The provenance of both matrices, whether or not there are sites: the matrices aren't made again for it."""
+    return _described(spark.createDataFrame([("donor",), ("acceptor",)], "pssm_id string"))
+
+
 def _pssm_text(spark, d):
-    return P.pssm_text(_models(spark, d), P.meta_copy(_meta(spark, d), F.lit("2b"), F.lit("2020-02-02 000000")), offset=5)
+    return P.pssm_text(_models(spark, d), P.meta_copy(_kinds(spark), F.lit("2b"), F.lit("2020-02-02 000000")), offset=5)
 
 
 def _saved(spark, d):
     """donor.dat and acceptor.dat, read again."""
     folder = scratch(spark)
-    OUT.sink_splice_models(_models(spark, d), _meta(spark, d), folder, precision=5)
+    OUT.sink_splice_models(_models(spark, d), _kinds(spark), folder, precision=5)
     return IN.scan_pssm(spark, f"{folder}/*.dat").select(F.regexp_extract("pssm_id", r"(\w+)\.dat", 1).alias("pssm_id"), "base", "pos", "value", "offset")
 
 
