@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -179,15 +181,39 @@ def pssm_scan(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str =
     return parts.mapInArrow(_scan(rows, strict, size), f"seq_id {kind}, start long, score double")
 
 
+#: Digits of letters' codes, and the bits of a whole number that hold them.
+_DIGITS, _BITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", 62
+
+
 def pssm_scan_sql(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str = "ACGT", chunk: int = 1024, columns: int = 15) -> DataFrame:
-    """The same scores by column expressions only: chunks that overlap by a window, window starts exploded, a weight looked up a letter."""
+    """The same scores by column expressions only, for at most 31 rows: chunks that overlap by a window, a weight looked up a letter.
+
+    Several windows' letters are one whole number, a few bits a letter, so a window is a shift and no text is cut for it."""
     width = columns if isinstance(weights, DataFrame) else np.asarray(weights).shape[1]
-    c = chunked(sequences, chunk, width - 1).where(F.length("part") >= width).withColumn("w", weights_column(weights, rows))
-    c = c.select("seq_id", (F.col("chunk") * chunk).alias("first"), "part", "w", F.explode(F.sequence(F.lit(0), F.length("part") - width)).alias("i"))
+    bits = len(rows).bit_length()
+    if bits > 5:
+        raise ValueError("31 rows at most")
+    most = _BITS // bits
+    each = max(1, most - width + 1)  # windows of a number; a matrix wider than a number needs several
+    spans = [min(most, each + width - 1 - a) for a in range(0, each + width - 1, most)]
+    other = next(c for c in "xyzabcdefghijklmnopqrstuvw?#+;:,<>" if c not in rows)
+    digits = F.translate(F.regexp_replace("part", f"[^{re.escape(rows)}]", other), rows + other, _DIGITS[: len(rows) + 1])
+    c = chunked(sequences, chunk, width - 1).where(F.length("part") >= width)
+    c = c.select("seq_id", (F.col("chunk") * chunk).alias("first"), F.length("part").alias("n"), digits.alias("digits"))
+    c = c.select("seq_id", "first", "n", "digits", F.explode(F.sequence(F.lit(0), F.col("n") - width, F.lit(each))).alias("s"))
+    number = lambda k, n: F.conv(F.rpad(F.substring(F.col("digits"), F.col("s") + 1 + k * most, F.lit(n)), n, "0"), 1 << bits, 10).cast("long").alias(f"x{k}")
+    names = [f"x{k}" for k in range(len(spans))]
+    c = c.select("seq_id", (F.col("first") + F.col("s")).alias("first"), F.least(F.lit(each), F.col("n") - width - F.col("s") + 1).alias("n"), *(number(k, n) for k, n in enumerate(spans)))
+    c = c.select("seq_id", "first", *names, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    if each > 1:  # the window's letters are the number's last
+        c = c.withColumn("x0", F.call_function("shiftright", F.col("x0"), ((each - 1 - F.col("i")) * bits).cast("int")))
+        spans = [width]
+    c = c.select("seq_id", (F.col("first") + F.col("i")).cast("long").alias("start"), *names, weights_column(weights, rows).alias("w"))
     score = F.lit(0.0)
     for j in range(width):
-        score = score + F.get("w", (F.instr(F.lit(rows), F.substring(F.col("part"), F.col("i") + j + 1, F.lit(1))) - 1) * width + j)
-    return c.select("seq_id", (F.col("first") + F.col("i")).cast("long").alias("start"), score.alias("score"))
+        k, at = divmod(j, most) if each == 1 else (0, j)
+        score = score + F.get("w", (F.shiftright(f"x{k}", bits * (spans[k] - 1 - at)).bitwiseAND(F.lit((1 << bits) - 1)) * width + j).cast("int"))
+    return c.select("seq_id", "start", score.alias("score"))
 
 
 def base_weights(sequences: DataFrame, weights: DataFrame, columns: int = 15, size: int = CHUNK) -> DataFrame:
