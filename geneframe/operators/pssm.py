@@ -216,11 +216,36 @@ def pssm_scan_sql(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: s
     return c.select("seq_id", "start", score.alias("score"))
 
 
-def base_weights(sequences: DataFrame, weights: DataFrame, columns: int = 15, size: int = CHUNK) -> DataFrame:
-    """pos, base, n, weight: the letters that all windows have at each position, joined with the matrix (base, pos, value)."""
-    parts = chunked(sequences, size, columns - 1).where(F.length("part") >= columns)
-    at = parts.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.substring(F.col("part"), j + 1, F.length("part") - columns + 1))).alias("pos", "x"))
-    counts = at.select("pos", F.explode(F.split("x", "")).alias("base")).groupBy("pos", "base").agg(F.count("*").alias("n"))
+def _positions(rows: str, columns: int):
+    code = _codes(rows)
+    width, span = len(rows) + 1, np.arange(columns - 1)
+
+    def run(batches):
+        n = np.zeros((columns, width), np.int64)
+        for batch in batches:
+            parts = batch.column("part")
+            for a in range(0, len(batch), 256):
+                texts = [x.encode("latin-1", "replace") for x in parts.slice(a, 256).to_pylist()]
+                at = code[np.frombuffer(b"".join(texts), np.uint8)]
+                lengths = np.array([len(x) for x in texts])
+                ends = np.cumsum(lengths)
+                edge = lambda first: np.bincount((span * width + at[first[:, None] + span]).ravel(), minlength=len(span) * width).reshape(-1, width)  # noqa: E731, B023
+                none = np.zeros((1, width), np.int64)
+                before = np.concatenate([none, np.cumsum(edge(ends - lengths), axis=0)])
+                after = np.concatenate([np.cumsum(edge(ends - len(span))[::-1], axis=0)[::-1], none])
+                n += np.bincount(at, minlength=width) - before - after
+        pos, base = np.nonzero(n[:, :-1])
+        yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int32()), pa.array([rows[b] for b in base], pa.string()), pa.array(n[pos, base], pa.int64())], names=["pos", "base", "n"])
+
+    return run
+
+
+def base_weights(sequences: DataFrame, weights: DataFrame, columns: int = 15, size: int = CHUNK, rows: str = "ACGT") -> DataFrame:
+    """pos, base, n, weight: the letters that all windows have at each position, joined with the matrix (base, pos, value).
+
+    A position's letters are the chunk's less those before the first window's and after the last one's, so no letter becomes a row."""
+    parts = chunked(sequences, size, columns - 1).where(F.length("part") >= columns).select("part")
+    counts = parts.mapInArrow(_positions(rows, columns), "pos int, base string, n long").groupBy("pos", "base").agg(F.sum("n").alias("n"))
     return counts.join(weights.select("pos", "base", F.col("value").alias("weight")), ["pos", "base"])
 
 
