@@ -307,7 +307,8 @@ def _weights(spark, d):
 
 
 def _best(scores):
-    s = scores.withColumn("score", F.round("score", 6))
+    x = F.col("score")
+    s = scores.withColumn("score", F.signum(x) * F.floor(F.abs(x) * 1e6 + 0.5) / 1e6)  # rounded as the SQL does, without decimals
     return s.groupBy("seq_id").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
