@@ -16,16 +16,18 @@ PRE, POST = 5, 10
 BLOCK_BITS = 13
 
 
-def _keyed(features: DataFrame, bits: int) -> DataFrame:
+def _keyed(features: DataFrame, bits: int, parts: int | None = None) -> DataFrame:
     """With key: the feature's seqid and block, a range of 2 ** bits places of ord (an integer, or a struct whose last field is one). A block
-    has at most that many rows, however many its sequence has, so windows over blocks have no hot task."""
+    has at most that many rows, however many its sequence has, so windows over blocks have no hot task. Dealt to parts tasks, if given: the
+    session's number of partitions doesn't grow with the table, and so a task's rows would."""
     kind = features.schema["ord"].dataType
     if isinstance(kind, StructType):
         *names, last = kind.names
         block = F.struct(*(F.col(f"ord.{n}").alias(n) for n in names), F.shiftright(F.col(f"ord.{last}"), bits).alias(last))
     else:
         block = F.shiftright("ord", bits)
-    return features.withColumn("key", F.struct("seqid", block.alias("block")))
+    f = features.withColumn("key", F.struct("seqid", block.alias("block")))
+    return f.repartition(parts, "key") if parts else f
 
 
 def _along() -> WindowSpec:
@@ -33,7 +35,7 @@ def _along() -> WindowSpec:
     return W.partitionBy("key.seqid").orderBy("key.block")
 
 
-def carried(features: DataFrame, bits: int = BLOCK_BITS, size: bool = False, following: bool = False) -> DataFrame:
+def carried(features: DataFrame, bits: int = BLOCK_BITS, size: bool = False, following: bool = False, parts: int | None = None) -> DataFrame:
     """Features with changed (1 where the parent differs from that of the feature before), island (runs of one parent, numbered in each
     seqid) and place (row number in the seqid); ord, unique in a seqid, is the order of the file. With size=True also the island's size and
     last, the number of the seqid's last island; with following=True next: island and start of the next feature.
@@ -42,7 +44,7 @@ def carried(features: DataFrame, bits: int = BLOCK_BITS, size: bool = False, fol
     and back to it what lies in other blocks: only a block's first and last island can go on there.
     """
     w, head = W.partitionBy("key").orderBy("ord"), F.struct("parent")
-    f = _keyed(features, bits).withColumn("place", F.row_number().over(w).cast("long"))
+    f = _keyed(features, bits, parts).withColumn("place", F.row_number().over(w).cast("long"))
     same = head.eqNullSafe(F.lag(head).over(w))
     f = f.withColumn("changed", F.when((F.col("place") == 1) | same, 0).otherwise(1)).withColumn("island", F.sum("changed").over(w))
     sums = [F.min_by(head, "ord").alias("head"), F.max_by(head, "ord").alias("tail"), F.count("*").alias("n"), F.max("island").alias("changes")]
@@ -80,9 +82,9 @@ def islands(features: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     return carried(features, bits).drop("changed", "place")
 
 
-def exon_group(features: DataFrame, compat: bool = False, bits: int = BLOCK_BITS) -> DataFrame:
+def exon_group(features: DataFrame, compat: bool = False, bits: int = BLOCK_BITS, parts: int | None = None) -> DataFrame:
     """Features of islands with more than one, with size; compat=True leaves out each seqid's last island."""
-    f = carried(features, bits, size=True)
+    f = carried(features, bits, size=True, parts=parts)
     f = f.where("island < last") if compat else f
     return f.where("size > 1").select(*features.columns, "island", "size")
 
@@ -90,16 +92,16 @@ def exon_group(features: DataFrame, compat: bool = False, bits: int = BLOCK_BITS
 _INTRON = ("seqid", "island", "ord", "parent", "strand")
 
 
-def introns(features: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def introns(features: DataFrame, bits: int = BLOCK_BITS, parts: int | None = None) -> DataFrame:
     """Introns of features as they are: what next_exon makes of exon_group, in one pass."""
-    f = carried(features, bits, following=True).where("next.island = island")
+    f = carried(features, bits, following=True, parts=parts).where("next.island = island")
     return f.select(*_INTRON, F.col("end").alias("this_end"), F.col("next.start").alias("next_start")).where("next_start is not null")
 
 
-def next_exon(grouped: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def next_exon(grouped: DataFrame, bits: int = BLOCK_BITS, parts: int | None = None) -> DataFrame:
     """Introns: an exon's end and the next one's start, in file order. A block's last exon finds its next one at the head of the block after."""
     head = F.struct("island", "start")
-    f = _keyed(grouped, bits).withColumn("next", F.lead(head).over(W.partitionBy("key").orderBy("ord")))
+    f = _keyed(grouped, bits, parts).withColumn("next", F.lead(head).over(W.partitionBy("key").orderBy("ord")))
     e = f.groupBy("key").agg(F.min_by(head, "ord").alias("head")).select("key", F.lead("head").over(_along()).alias("after"))
     f = f.join(e, "key").withColumn("next", F.coalesce("next", "after")).where("next.island = island")
     return f.select(*_INTRON, F.col("end").alias("this_end"), F.col("next.start").alias("next_start")).where("next_start is not null")
@@ -113,9 +115,9 @@ def transcript_group(features: DataFrame) -> DataFrame:
     return features.groupBy("parent").agg(F.count("*").alias("n_exons"), F.min("start").alias("first"), F.max("end").alias("last"), members.alias("members"))
 
 
-def genes_by_seqid(features: DataFrame) -> DataFrame:
+def genes_by_seqid(features: DataFrame, parts: int | None = None) -> DataFrame:
     """seqid, place, parent, start, end: each sequence's features in the order of the file, as rows, so no sequence is one array."""
-    return carried(features).select("seqid", "place", "parent", "start", "end")
+    return carried(features, parts=parts).select("seqid", "place", "parent", "start", "end")
 
 
 def feature_count(features: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..sources import readers as IN
 from ..sources import writers as OUT
 from ..sources.fasta import scan_fasta_chunks
 from ..sources.files import write_named
-from .surrogates import S1, S2, S4, features, proteins, residues, sequences
+from .surrogates import S1, S2, S4, features, parts, proteins, residues, sequences
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -239,11 +239,11 @@ PFREQ = PCOUNT + ", pf AS (SELECT pssm_id, base, pos, value / sum(value) OVER (P
 
 
 def _grouped(spark, d):
-    return J.exon_group(features(spark, d))
+    return J.exon_group(features(spark, d), parts=parts(spark, d))
 
 
 def _sites(spark, d):
-    return J.junctions(J.introns(features(spark, d)), sequences(spark, d))
+    return J.junctions(J.introns(features(spark, d), parts=parts(spark, d)), sequences(spark, d))
 
 
 def _models(spark, d):
@@ -257,17 +257,17 @@ def exon_group(spark, d):
 
 @query(f"WITH {GROUP} SELECT seqid, ord, parent, island, size FROM (SELECT grp.*, (SELECT max(island) FROM isl WHERE isl.seqid = grp.seqid) AS last FROM grp) WHERE island < last")
 def exon_group_compat(spark, d):
-    return J.exon_group(features(spark, d), compat=True).select("seqid", "ord", "parent", "island", "size")
+    return J.exon_group(features(spark, d), compat=True, parts=parts(spark, d)).select("seqid", "ord", "parent", "island", "size")
 
 
 @query(f"WITH {GROUP} SELECT seqid, ord, changed FROM ch")
 def prev_parent(spark, d):
-    return J.carried(features(spark, d)).select("seqid", "ord", "changed")
+    return J.carried(features(spark, d), parts=parts(spark, d)).select("seqid", "ord", "changed")
 
 
 @query(f"WITH {INTRON} SELECT seqid, island, ord, parent, strand, this_end, next_start FROM intr")
 def next_exon(spark, d):
-    return J.next_exon(_grouped(spark, d))
+    return J.next_exon(_grouped(spark, d), parts=parts(spark, d))
 
 
 query(
@@ -275,10 +275,10 @@ query(
     "transcript_group",
 )(lambda spark, d: J.transcript_group(features(spark, d)).withColumn("members", F.array_join(F.transform("members", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")))
 query(f"WITH {S2} SELECT parent, min(start) AS first, max(\"end\") AS last FROM s2 GROUP BY parent", "extent")(lambda spark, d: J.transcript_group(features(spark, d)).select("parent", "first", "last"))
-query(f'WITH {S2} SELECT seqid, ord AS place, parent, start, "end" FROM s2', "genes_by_seqid")(lambda spark, d: J.genes_by_seqid(features(spark, d)))
+query(f'WITH {S2} SELECT seqid, ord AS place, parent, start, "end" FROM s2', "genes_by_seqid")(lambda spark, d: J.genes_by_seqid(features(spark, d), parts(spark, d)))
 query(f"WITH {S2} SELECT type, count(*) AS n FROM s2 GROUP BY type", "feature_count")(lambda spark, d: J.feature_count(features(spark, d)))
 query(f"WITH {S2} SELECT ord, seqid FROM s2 ORDER BY seqid, ord LIMIT 50", "limit_exons")(lambda spark, d: J.limit_features(features(spark, d)).select("ord", "seqid"))
-query(f"WITH {SITES} SELECT seqid, island, ord, strand, site_type, lo, hi FROM win", "junction_window")(lambda spark, d: J.junction_window(J.introns(features(spark, d))).select("seqid", "island", "ord", "strand", "site_type", "lo", "hi"))
+query(f"WITH {SITES} SELECT seqid, island, ord, strand, site_type, lo, hi FROM win", "junction_window")(lambda spark, d: J.junction_window(J.introns(features(spark, d), parts=parts(spark, d))).select("seqid", "island", "ord", "strand", "site_type", "lo", "hi"))
 query(f"WITH {SITES} SELECT * FROM sites", "join_junction_seq")(lambda spark, d: _sites(spark, d))
 query(f"WITH {SITES} SELECT seqid, count(*) AS n_sites FROM sites GROUP BY seqid", "junction_count")(lambda spark, d: J.junction_count(_sites(spark, d)))
 query(f"WITH {PCOUNT} SELECT pssm_id, base, pos, value FROM pc", "pssm_count")(lambda spark, d: _models(spark, d))

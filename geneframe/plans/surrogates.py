@@ -19,10 +19,21 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), seq.alias("seq"))
 
 
+#: Features of a task.
+ROWS = 500_000
+
+
+def parts(spark: SparkSession, d: str) -> int:
+    """Partitions of the features: the session's number, or more for a large table, so that a task's rows stay bounded. The count is in the
+    files' footers."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, d, "lineitem").count() // ROWS))
+
+
 def features(spark: SparkSession, d: str) -> DataFrame:
     """Exons from order lines: a transcript is an order, its sequence one of the documents."""
     n = table(spark, d, "documents").agg(F.count("*")).scalar()
     x = table(spark, d, "lineitem").withColumn("seqid", F.col("l_orderkey") % n)
+    x = x.select("seqid", "l_orderkey", *_LINE).repartition(parts(spark, d), "seqid")
     size = F.col("l_quantity").cast("long")
     # an order is in one sequence: both windows share the sequence's partition and sort
     order = W.partitionBy("seqid").orderBy("l_orderkey", *_LINE)
