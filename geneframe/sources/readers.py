@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category_of, chromosome_of, extract_id
-from .files import opened, reachable
+from .files import listed, opened, reachable, tasks
 
 GFF_SCHEMA = "seqid string, source string, type string, start long, `end` long, score string, strand string, phase string, attributes string"
 METADATA_SCHEMA = "gene_id string, category string, length_aa int, n_exons int, has_introns string, length_bin string, chromosome string, gene_name string"
@@ -178,28 +178,54 @@ _ATOMS = pa.schema([("gene_id", pa.string()), ("atom_ord", pa.int64()), ("chain"
 ATOMS, SPOOL = 1 << 15, 8 << 20
 
 
+def _table(gene: str, few: list[tuple]) -> pa.RecordBatch:
+    k, chain, residue, b = zip(*few, strict=True)
+    n = len(few)
+    return pa.RecordBatch.from_arrays([pa.array([gene] * n, pa.string()), pa.array(k, pa.int64()), pa.array(chain, pa.string()), pa.array(residue, pa.int32()), pa.array(b, pa.float64()), pa.nulls(n, pa.string())], schema=_ATOMS)
+
+
 def _atom_batches(gene: str, lines: Iterable[str]) -> Iterator[pa.RecordBatch]:
     """A model's atoms once all of it could be read, or one row with what is wrong with it: nothing of a bad file comes out."""
     with tempfile.SpooledTemporaryFile(SPOOL) as spool:
         try:
             atoms = mmcif_atoms(lines)
-            with pa.ipc.new_stream(spool, _ATOMS) as out:
-                while few := list(islice(atoms, ATOMS)):
-                    k, chain, residue, b = zip(*few, strict=True)
-                    n = len(few)
-                    out.write(pa.RecordBatch.from_arrays([pa.array([gene] * n, pa.string()), pa.array(k, pa.int64()), pa.array(chain, pa.string()), pa.array(residue, pa.int32()), pa.array(b, pa.float64()), pa.nulls(n, pa.string())], schema=_ATOMS))
+            batch = _table(gene, list(islice(atoms, ATOMS)))
+            if len(batch) == ATOMS:  # there may be more
+                with pa.ipc.new_stream(spool, _ATOMS) as out:
+                    out.write(batch)
+                    while few := list(islice(atoms, ATOMS)):
+                        out.write(_table(gene, few))
         except (ValueError, OverflowError, OSError) as e:
             yield pa.RecordBatch.from_pylist([{"gene_id": gene, "error": f"{type(e).__name__}: {e}"[:500]}], schema=_ATOMS)
             return
+        if len(batch) < ATOMS:
+            yield batch
+            return
         spool.seek(0)
         with pa.ipc.open_stream(spool) as back:
             yield from back
 
 
-def _models_of_texts(batches):
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small models' atoms in batches of many."""
+    held, n = [], 0
     for batch in batches:
-        for gene, text in zip(batch.column("gene_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            yield from _atom_batches(gene, io.StringIO(text or ""))
+        held.append(batch)
+        n += len(batch)
+        if n >= ATOMS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _models(column: str, lines):
+    def every(batches):
+        for batch in batches:
+            for gene, x in zip(batch.column("gene_id").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                yield from _atom_batches(gene, lines(x))
+
+    return lambda batches: _joined(every(batches))
 
 
 def _lines_of(path: str) -> Iterator[str]:
@@ -207,11 +233,7 @@ def _lines_of(path: str) -> Iterator[str]:
         yield from lines
 
 
-def _models_of_files(batches):
-    for batch in batches:
-        for gene, path in zip(batch.column("gene_id").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            yield from _atom_batches(gene, _lines_of(path))
-
+_models_of_texts, _models_of_files = _models("value", lambda text: io.StringIO(text or "")), _models("path", _lines_of)
 
 _ATOM_COLUMNS = "gene_id string, atom_ord long, chain string, auth_seq_id int, b_iso double, error string"
 
@@ -247,14 +269,14 @@ def discovered(paths: DataFrame) -> DataFrame:
 
 def discover_files(spark: SparkSession, root: str, pattern: str = "*_model.cif") -> DataFrame:
     """gene_id, path of predictions below root; only names are read."""
-    return discovered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path"))
+    return discovered(listed(spark, root, pattern))
 
 
 def model_rows(spark: SparkSession, root: str) -> DataFrame:
     """Atoms and errors (see mmcif_rows) of the models below root, one model for each identifier (see discovered)."""
     models = discover_files(spark, root)
     if reachable(root):
-        return mmcif_rows(models.repartition("gene_id"))
+        return mmcif_rows(models.repartition(tasks(spark), "path"))
     text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_model.cif").text(root, wholetext=True).select("value", _place(F.col("_metadata.file_path")).alias("path"))
     return mmcif_rows(models.withColumn("path", _place(F.col("path"))).join(text, "path").select("gene_id", "value"))
 

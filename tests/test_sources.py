@@ -264,3 +264,57 @@ def test_predictor_files(spark, tmp_path):
         doc = {"name": gene, "modelSeeds": [1], "sequences": [{"protein": {"id": "A", "sequence": seq, "description": f"{category} | {exons} exons | {n} AA | {chromosome}"}}], "dialect": "alphafold3", "version": 4}
         assert (tmp_path / "in" / f"{gene}.json").read_text() == json.dumps(doc, indent=2)
     assert json.loads(T.predictor_input(p).where("gene_id = 'G1'").first()["json"])["version"] == 4
+
+
+def _tasks(spark, name, run):
+    """Tasks of the jobs that run() starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds}
+    return sum(x.numTasks for x in map(tracker.getStageInfo, stages) if x)
+
+
+def test_many_folders_take_few_tasks(spark, tmp_path):
+    for k in range(300):
+        d = tmp_path / "run" / "b" / f"p{k}"
+        d.mkdir(parents=True)
+        (d / f"p{k}_model.cif").write_text(CIF + ("1 C A 1 50.5\n2 C A 2 60\n" if k else "1 C A x 5.0\n"))
+    for hidden in ("_staging/p1", ".old/p2"):
+        (tmp_path / "run" / hidden).mkdir(parents=True)
+        (tmp_path / "run" / hidden / "p_model.cif").write_text("")
+    root = f"file://{tmp_path}/run"
+    found = {r["path"] for r in files.listed(spark, root, "*_model.cif").collect()}
+    assert found == {r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path").collect()} and len(found) == 300
+    got = []
+    assert _tasks(spark, "models", lambda: got.extend(IN.model_rows(spark, root).collect())) < 200
+    assert len(got) == 599 and [r["gene_id"] for r in got if r["error"]] == ["p0"]
+
+
+def test_small_models_share_a_batch():
+    import pyarrow as pa
+
+    texts = [CIF + "1 C A 1 50.5\n", CIF + "1 C A x 5.0\n", *[CIF + f"1 C A {k} 60\n" for k in range(98)]]
+    table = pa.RecordBatch.from_pydict({"gene_id": [f"g{k}" for k in range(100)], "value": texts})
+    out = list(IN._models_of_texts([table]))
+    assert len(out) == 1 and out[0].num_rows == 100 and [r["gene_id"] for r in out[0].to_pylist() if r["error"]] == ["g1"]
+
+
+def test_commit_joins_folders_of_tasks(tmp_path):
+    root = tmp_path / "out"
+    (root / "b/x").mkdir(parents=True)
+    (root / "b/x/1").write_text("old")
+    w = files._NamedFiles(f"file://{root}")
+    staged = []
+    for k, names in enumerate((("a/x/1", "b/x/1"), ("a/x/2", "b/y/1", "c"))):
+        top = root / "_staging" / w.job / str(k)
+        for n in names:
+            (top / n).parent.mkdir(parents=True, exist_ok=True)
+            (top / n).write_text(f"{k}{n}")
+        staged.append(files._Written(str(top)))
+    w.commit([*staged, None, files._Written(str(root / "_staging" / w.job / "9"))])
+    assert {p.relative_to(root).as_posix(): p.read_text() for p in root.rglob("*") if p.is_file()} == {"a/x/1": "0a/x/1", "b/x/1": "0b/x/1", "a/x/2": "1a/x/2", "b/y/1": "1b/y/1", "c": "1c"}
+    assert not (root / "_staging").exists()
