@@ -16,7 +16,7 @@ from ..session import scratch
 from ..sources import readers as IN
 from ..sources import writers as OUT
 from ..sources.fasta import scan_fasta_chunks
-from ..sources.files import write_named
+from ..sources.files import whole_texts, write_named
 from .surrogates import S1, S2, S4, features, parts, proteins, residues, sequences
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -505,8 +505,8 @@ _FILES = """e AS (SELECT vec_id, vec_id::VARCHAR AS gene_id, embedding::DOUBLE[]
 def _metric_files(spark, d):
     path = scratch(spark)
     OUT.sink_metrics_tsv(T.process_protein(*_metrics(spark, d))[0], path)
-    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    text = whole_texts(spark, path)
+    parts = F.split("path", "/")
     return text.select(F.element_at(parts, -2).alias("gene_id"), F.element_at(parts, -1).alias("name"), "value")
 
 

@@ -44,7 +44,7 @@ def opened(path: str) -> pa.NativeFile:
 
 def _walk(pattern: str, deep: bool):
     """Rows (path, folder) -> files as they are, folders' members instead of them; with deep=True all files below. What Spark's readers leave
-    out, names that begin with _ or a dot, is left out."""
+    out, empty files and names that begin with _ or a dot, is left out."""
     hidden = re.compile(r"_[^=]*$|\.")
 
     def members(where, name, prefix):
@@ -54,7 +54,7 @@ def _walk(pattern: str, deep: bool):
             folder = x.type == fs.FileType.Directory
             if folder and deep:
                 yield from members(where, x.path, prefix)
-            elif folder or fnmatch.fnmatchcase(x.base_name, pattern):
+            elif folder or x.size and fnmatch.fnmatchcase(x.base_name, pattern):
                 yield prefix + x.path, folder
 
     def run(batches):

@@ -69,5 +69,6 @@ def sink_metrics(plddt: DataFrame, summary: DataFrame, pae: DataFrame, metadata:
 
 
 def sink_metrics_tsv(lines: DataFrame, folder: str) -> None:
-    """The lines of process_protein as files: {gene_id}/plddt.tsv and so on. Either all files of the call are there or none is new."""
-    write_named(lines.select(F.concat("gene_id", F.lit("/"), "name").alias("path"), "place", "value"), folder)
+    """The lines of process_protein as files: {gene_id}/plddt.tsv and so on. Either all files of the call are there or none is new.
+    A protein's files are made in one task, so its folder is made once."""
+    write_named(lines.select("gene_id", F.concat("gene_id", F.lit("/"), "name").alias("path"), "place", "value"), folder, together="gene_id")

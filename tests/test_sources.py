@@ -318,3 +318,13 @@ def test_commit_joins_folders_of_tasks(tmp_path):
     w.commit([*staged, None, files._Written(str(root / "_staging" / w.job / "9"))])
     assert {p.relative_to(root).as_posix(): p.read_text() for p in root.rglob("*") if p.is_file()} == {"a/x/1": "0a/x/1", "b/x/1": "0b/x/1", "a/x/2": "1a/x/2", "b/y/1": "1b/y/1", "c": "1c"}
     assert not (root / "_staging").exists()
+
+
+def test_many_small_texts_take_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / "run" / f"p{k}").mkdir(parents=True)
+        (tmp_path / "run" / f"p{k}" / "ptm.tsv").write_text("" if k == 0 else f"ptm\n{k} é\n")
+    root, got = f"file://{tmp_path}/run", []
+    assert _tasks(spark, "texts", lambda: got.extend(files.whole_texts(spark, root).collect())) < 200
+    old = spark.read.text(root, wholetext=True, recursiveFileLookup=True).collect()
+    assert sorted(r["value"] for r in got) == sorted(r["value"] for r in old) and {r["path"].split("/")[-2] for r in got} == {f"p{k}" for k in range(1, 300)}
