@@ -211,6 +211,13 @@ def ranges(spark: SparkSession, path: str, bytes_each: int = RANGE) -> DataFrame
     return parts.select("path", "a", F.least(F.col("a") + bytes_each, F.col("size")).alias("b"), "size")
 
 
+def range_tasks(spark: SparkSession, parts: DataFrame) -> int:
+    """Tasks that ranges are dealt to: one for RANGE bytes, so many small ranges share one, but the session's number at least, if there are
+    as many ranges."""
+    n, size = parts.agg(F.count("*"), F.coalesce(F.sum(F.col("b") - F.col("a")), F.lit(0))).first()
+    return max(1, min(n, max(-(-size // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000))
+
+
 def scan_fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK, overlap: int = 0, bytes_each: int = RANGE) -> DataFrame:
     """seq_id, doc, chunk, part, length (and path, place: where the record's header stands, 0 in a record that began in a range before) of
     each record's chunks, as chunked() makes them of whole sequences; a record without letters has one empty chunk.
@@ -222,7 +229,7 @@ def scan_fasta_chunks(spark: SparkSession, path: str, size: int = CHUNK, overlap
         whole = scan_fasta(spark, path)
         return chunked(whole.select(F.struct("seq_id", "doc").alias("seq_id"), "seq"), size, overlap).select("seq_id.seq_id", "seq_id.doc", "chunk", "part", "length")
     parts = ranges(spark, path, bytes_each)
-    tasks = max(1, min(parts.count(), 100_000))
+    tasks = range_tasks(spark, parts)
     edges = parts.repartition(tasks).mapInArrow(_edges, "path string, a long, b long, size long, lead long, last string, tail long")
     # a group is the range with the last header so far and those that it goes on in
     along = W.partitionBy("path").orderBy("a")

@@ -328,3 +328,11 @@ def test_many_small_texts_take_few_tasks(spark, tmp_path):
     assert _tasks(spark, "texts", lambda: got.extend(files.whole_texts(spark, root).collect())) < 200
     old = spark.read.text(root, wholetext=True, recursiveFileLookup=True).collect()
     assert sorted(r["value"] for r in got) == sorted(r["value"] for r in old) and {r["path"].split("/")[-2] for r in got} == {f"p{k}" for k in range(1, 300)}
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">s{k}\n{'ACGT' * 15}\n" for k in range(300)))
+    path, got = f"file://{tmp_path}/a.fa", []
+    assert ranges(spark, path, 64).count() > 300
+    assert _tasks(spark, "chunks", lambda: got.extend(scan_fasta_chunks(spark, path, 30, 3, 64).collect())) < 100
+    assert sorted((r["seq_id"], r["chunk"], r["part"], r["length"]) for r in got) == sorted((f"s{k}", c, ("ACGT" * 15)[c * 30 : c * 30 + 33], 60) for k in range(300) for c in range(2))
