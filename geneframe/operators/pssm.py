@@ -137,34 +137,50 @@ def weights_column(weights: np.ndarray | DataFrame, rows: str = "ACGT") -> Colum
     return F.array(*(F.lit(float(v)) for v in np.asarray(weights, float).ravel()))
 
 
-def _scan(rows: str, strict: bool, size: int):
+def _windows(batches, rows: str, strict: bool):
+    """Chunks, 256 at most, and of each window in them: its chunk's row, its first letter in the chunk, its score."""
     code = _codes(rows)
+    for batch in batches:
+        parts = batch.column("part")
+        for a in range(0, len(batch), 256):
+            few = batch.slice(a, 256)
+            table = np.asarray(few.column("w")[0].as_py(), float).reshape(len(rows), -1)
+            width, table = table.shape[1], np.vstack([table, np.full(table.shape[1], np.nan)])
+            texts = [(x or "").encode("latin-1", "replace") for x in parts.slice(a, 256).to_pylist()]
+            at = code[np.frombuffer(b"".join(texts), np.uint8)]
+            if strict and (at == len(rows)).any():
+                raise ValueError("a letter that the matrix lacks")
+            lengths = np.array([len(x) for x in texts])
+            n = np.maximum(lengths - width + 1, 0)
+            # windows of one sequence: their first letters in the joined text
+            local = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            starts = np.repeat(np.cumsum(lengths) - lengths, n) + local
+            # a score at every letter of the joined text, of which those of windows inside a chunk are taken
+            score, columns = np.zeros(max(len(at) - width + 1, 0)), np.ascontiguousarray(table.T)
+            for j in range(width):
+                score += columns[j].take(at[j : j + len(score)])
+            yield few, np.repeat(np.arange(len(few)), n), local, score[starts]
+
 
+def _scan(rows: str, strict: bool, size: int):
     def run(batches):
-        for batch in batches:
-            parts = batch.column("part")
-            for a in range(0, len(batch), 256):
-                few = batch.slice(a, 256)
-                table = np.asarray(few.column("w")[0].as_py(), float).reshape(len(rows), -1)
-                width, table = table.shape[1], np.vstack([table, np.full(table.shape[1], np.nan)])
-                texts = [(x or "").encode("latin-1", "replace") for x in parts.slice(a, 256).to_pylist()]
-                at = code[np.frombuffer(b"".join(texts), np.uint8)]
-                if strict and (at == len(rows)).any():
-                    raise ValueError("a letter that the matrix lacks")
-                lengths = np.array([len(x) for x in texts])
-                n = np.maximum(lengths - width + 1, 0)
-                # windows of one sequence: their first letters in the joined text
-                local = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                starts = np.repeat(np.cumsum(lengths) - lengths, n) + local
-                score = np.zeros(len(starts))
-                for j in range(width):
-                    score += table[at[starts + j], j]
-                row = np.repeat(np.arange(len(few)), n)
-                first = few.column("chunk").to_numpy() * size
-                for lo in range(0, len(row), 1 << 18):
-                    part = slice(lo, lo + (1 << 18))
-                    ids = few.column("seq_id").take(pa.array(row[part]))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(first[row[part]] + local[part]), pa.array(score[part], mask=np.isnan(score[part]))], names=["seq_id", "start", "score"])
+        for few, row, local, score in _windows(batches, rows, strict):
+            first = few.column("chunk").to_numpy() * size
+            for lo in range(0, len(row), 1 << 18):
+                part = slice(lo, lo + (1 << 18))
+                ids = few.column("seq_id").take(pa.array(row[part]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(first[row[part]] + local[part]), pa.array(score[part], mask=np.isnan(score[part]))], names=["seq_id", "start", "score"])
+
+    return run
+
+
+def _likelihoods(rows: str, strict: bool):
+    def run(batches):
+        for few, row, local, score in _windows(batches, rows, strict):
+            first = np.flatnonzero(local == 0)  # a chunk's first window
+            if len(first):
+                best = np.fmax.reduceat(np.exp2(score), first)
+                yield pa.RecordBatch.from_arrays([few.column("seq_id").take(pa.array(row[first])), pa.array(best, mask=np.isnan(best))], names=["seq_id", "likelihood"])
 
     return run
 
@@ -175,12 +191,25 @@ def pssm_scan(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str =
     weights: an array, or a matrix (base, pos, value) with that many columns, which is then part of the plan. A window with a letter that
     the matrix lacks has a null score, or with strict=True fails. A sequence under the width gives no row.
     """
-    columns = columns if isinstance(weights, DataFrame) else np.asarray(weights).shape[1]
-    kind = dict(sequences.dtypes)["seq_id"]
-    parts = chunked(sequences, size, columns - 1).select("seq_id", "chunk", "part", weights_column(weights, rows).alias("w"))
+    parts, kind = _scored(sequences, weights, rows, columns, size)
     return parts.mapInArrow(_scan(rows, strict, size), f"seq_id {kind}, start long, score double")
 
 
+def _scored(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str, columns: int, size: int) -> tuple[DataFrame, str]:
+    """Chunks that overlap by a window less one letter, with the matrix; the type of seq_id."""
+    columns = columns if isinstance(weights, DataFrame) else np.asarray(weights).shape[1]
+    return chunked(sequences, size, columns - 1).select("seq_id", "chunk", "part", weights_column(weights, rows).alias("w")), dict(sequences.dtypes)["seq_id"]
+
+
+def pssm_likelihood(sequences: DataFrame, weights: np.ndarray | DataFrame, rows: str = "ACGT", strict: bool = False, columns: int = 15, size: int = CHUNK) -> DataFrame:
+    """seq_id, likelihood: the largest 2 ** score of a sequence's windows, which are those of pssm_scan.
+
+    All windows are scored and raised where their chunk is; a chunk is one row then, and no window becomes a row. Windows with a null score
+    don't count; a sequence that has no others has a null, one under the width no row."""
+    parts, kind = _scored(sequences, weights, rows, columns, size)
+    return parts.mapInArrow(_likelihoods(rows, strict), f"seq_id {kind}, likelihood double").groupBy("seq_id").agg(F.max("likelihood").alias("likelihood"))
+
+
 #: Digits of letters' codes, and the bits of a whole number that hold them.
 _DIGITS, _BITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", 62
 

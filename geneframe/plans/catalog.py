@@ -315,7 +315,7 @@ def _best(scores):
 _BEST = f"WITH {SCAN} SELECT seq_id, count(*) AS n, max(round(score, 6)) AS best, round(sum(round(score, 6)), 3) AS total FROM sc GROUP BY seq_id"
 query(_BEST, "pssm_scan")(lambda spark, d: _best(P.pssm_scan(sequences(spark, d), _weights(spark, d))))
 query(_BEST, "pssm_scan_gather")(lambda spark, d: _best(P.pssm_scan_sql(sequences(spark, d), _weights(spark, d))))
-query(f"WITH {SCAN} SELECT seq_id, round(max(2 ** score), 9) AS likelihood FROM sc GROUP BY seq_id", "exp2")(lambda spark, d: rounded(P.pssm_scan(sequences(spark, d), _weights(spark, d)).groupBy("seq_id").agg(F.max(S.exp2(F.col("score"))).alias("likelihood")), "likelihood"))
+query(f"WITH {SCAN} SELECT seq_id, round(max(2 ** score), 9) AS likelihood FROM sc GROUP BY seq_id", "exp2")(lambda spark, d: rounded(P.pssm_likelihood(sequences(spark, d), _weights(spark, d)), "likelihood"))
 query(f"WITH {SCAN} SELECT pos::INTEGER AS pos, base, count(*) AS n, round(max(v), 9) AS weight FROM ex JOIN w USING (base, pos) GROUP BY ALL", "join_base_pssm")(lambda spark, d: rounded(P.base_weights(sequences(spark, d), _weights(spark, d)), "weight"))
 
 # Regions

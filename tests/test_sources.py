@@ -336,3 +336,20 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     assert ranges(spark, path, 64).count() > 300
     assert _tasks(spark, "chunks", lambda: got.extend(scan_fasta_chunks(spark, path, 30, 3, 64).collect())) < 100
     assert sorted((r["seq_id"], r["chunk"], r["part"], r["length"]) for r in got) == sorted((f"s{k}", c, ("ACGT" * 15)[c * 30 : c * 30 + 33], 60) for k in range(300) for c in range(2))
+
+
+def test_likelihood_makes_no_row_of_a_window(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from geneframe.functions.scalars import exp2
+    from geneframe.operators import pssm as P
+
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice("ACGT" if k % 3 else "ACGTN") for _ in range(n))) for k, n in enumerate((0, 4, 5, 6, 29, 30, 31, 34, 35, 200, 1000))] + [(90, None), (91, "N" * 40)]
+    s, w = spark.createDataFrame(rows, "seq_id long, seq string"), np.array([[rng.uniform(-10, 0) for _ in range(5)] for _ in range(4)])
+    want = P.pssm_scan(s, w, size=30).groupBy("seq_id").agg(F.max(exp2(F.col("score"))).alias("x"))
+    round9 = lambda d: {(r[0], None if r[1] is None else round(r[1], 12)) for r in d.collect()}
+    assert round9(P.pssm_likelihood(s, w, size=30)) == round9(want) and want.count() == 10
+    batch = pa.RecordBatch.from_pydict({"seq_id": [1, 2], "chunk": [0, 0], "part": ["ACGT" * 50, "AC"], "w": [w.ravel().tolist()] * 2})
+    assert [len(b) for b in P._likelihoods("ACGT", False)([batch])] == [1]
